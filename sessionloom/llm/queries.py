@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import packing
+from sessionloom.llm import packing, topk, warc
 from sessionloom.llm.common import read
 
 
@@ -14,5 +14,41 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op9_packing": op9_packing}
-ORACLES: dict[str, str] = {}
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(topk.quantised(read(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0, 10)
+
+
+QUERIES = {
+    "op5_exact_topk": op5_exact_topk,
+    "op8_warc_revisits": op8_warc_revisits,
+    "op9_packing": op9_packing,
+}
+
+ORACLES: dict[str, str] = {
+    "op5_exact_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
+""",
+    "op8_warc_revisits": """
+WITH d AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), r AS (SELECT *, max(page_id) OVER (PARTITION BY hex, payload_bytes) AS response_id FROM d)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((CAST('0x' || substr(hex, CAST((i // 4) * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN response_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN response_id <> page_id THEN response_id END AS refers_to
+FROM r
+""",
+}
