@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import packing, topk, warc
+from sessionloom.llm import langid, packing, topk, urlrules, warc
 from sessionloom.llm.common import read
 
 
@@ -22,7 +22,34 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(topk.quantised(read(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0, 10)
 
 
+#: The rules that every page is held against before mined ones (fixed values).
+URL_RULES = {
+    "com/": "allow",
+    "example.com/en/": "block",
+    "www.example.com/en/": "allow",
+    "net/es/": "block",
+    "net/fr/": "block",
+}
+
+
+def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document whose number its URL ends in: low quality or toxic."""
+    pages, labels = read(spark, sf_dir, "pages").select("page_id", "url"), read(spark, sf_dir, "labels")
+    number = F.regexp_extract("url", r"/(\d{1,18})(?:\.\w+)?/?(?:[?#].*)?$", 1).try_cast("long")
+    labelled = pages.select("url", number.alias("doc_id")).join(labels, "doc_id").select("url", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
+    return urlrules.judge(pages, labelled, URL_RULES)
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.fit(docs, langid.fold("id") != 2)
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (langid.fold() == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 QUERIES = {
+    "op1_url_rules": op1_url_rules,
+    "op10_language": op10_language,
     "op5_exact_topk": op5_exact_topk,
     "op8_warc_revisits": op8_warc_revisits,
     "op9_packing": op9_packing,
