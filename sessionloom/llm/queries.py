@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import langid, packing, topk, urlrules, warc
+from sessionloom.llm import dartminhash, langid, packing, topk, urlrules, warc
 from sessionloom.llm.common import read
 
 
@@ -47,7 +47,13 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (langid.fold() == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dartminhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 QUERIES = {
+    "op7_near_duplicates": op7_near_duplicates,
     "op1_url_rules": op1_url_rules,
     "op10_language": op10_language,
     "op5_exact_topk": op5_exact_topk,
