@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import dartminhash, langid, packing, topk, urlrules, warc
+from sessionloom.llm import dartminhash, langid, packing, pii, topk, urlrules, warc
 from sessionloom.llm.common import read
 
 
@@ -52,7 +52,12 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op6_personal_data": op6_personal_data,
     "op7_near_duplicates": op7_near_duplicates,
     "op1_url_rules": op1_url_rules,
     "op10_language": op10_language,
