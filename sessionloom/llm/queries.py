@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import dartminhash, langid, packing, pii, topk, urlrules, warc
+from sessionloom.llm import dartminhash, langid, mergedropout, packing, pii, topk, urlrules, warc
 from sessionloom.llm.common import read
 
 
@@ -56,7 +56,12 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
 
+def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mergedropout.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
+    "op3_merge_dropout": op3_merge_dropout,
     "op6_personal_data": op6_personal_data,
     "op7_near_duplicates": op7_near_duplicates,
     "op1_url_rules": op1_url_rules,
