@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import dartminhash, langid, mergedropout, packing, pii, topk, urlrules, warc
+from sessionloom.llm import dartminhash, langid, licenses, mergedropout, packing, pii, topk, urlrules, warc
 from sessionloom.llm.common import read
 
 
@@ -60,7 +60,12 @@ def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mergedropout.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_licenses": op4_licenses,
     "op3_merge_dropout": op3_merge_dropout,
     "op6_personal_data": op6_personal_data,
     "op7_near_duplicates": op7_near_duplicates,
