@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import dartminhash, langid, licenses, mergedropout, packing, pii, topk, urlrules, warc
+from sessionloom.llm import covertree, dartminhash, langid, licenses, mergedropout, packing, pii, topk, urlrules, warc
 from sessionloom.llm.common import read
 
 
@@ -64,7 +64,12 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op2_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op2_vector_duplicates": op2_vector_duplicates,
     "op4_licenses": op4_licenses,
     "op3_merge_dropout": op3_merge_dropout,
     "op6_personal_data": op6_personal_data,
@@ -77,6 +82,21 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_vector_duplicates": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS low FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings LEFT JOIN least ON least.a = vec_id LEFT JOIN n ON n.a = vec_id
+""",
     "op5_exact_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
