@@ -12,10 +12,12 @@ documents that agree in a band are compared exactly.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,7 +31,7 @@ WORDS, BANDS, ROWS = 5, 32, 6
 BROADCAST_IDS = 2_000_000
 _WORD = re.compile(r"\w+")
 _CACHE: dict[str, int] = {}
-_CACHE_ROWS = 500_000
+_CACHE_ROWS = 200_000
 
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
@@ -116,13 +118,13 @@ def _band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sign(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
-    """doc_id, same (equal for texts of equal words; null without words) and the band keys of each row."""
+    """doc_id, same (equal for texts of equal words; null without words), number of shingles and band keys of each row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.slice(start, 256)
+            for start in range(0, len(batch), 64):
+                part = batch.slice(start, 64)
                 hashes = [word_hashes(t) for t in part.column(1).to_pylist()]
                 some = [i for i, h in enumerate(hashes) if len(h)]
                 sets = [shingles(hashes[i], words) for i in some]
@@ -131,9 +133,10 @@ def sign(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, words: int =
                 counts[some] = bands
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(keys.reshape(-1)))
                 same = [xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in hashes]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.binary()), lists], ["doc_id", "same", "bands"])
+                total = [max(0, len(h) - words + 1) or 1 for h in hashes]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.binary()), pa.array(total, pa.int32()), lists], ["doc_id", "same", "total", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(task, f"doc_id {kind}, same binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(task, f"doc_id {kind}, same binary, total int, bands array<long>")
 
 
 def _similarity(a: bytes, b: bytes) -> float:
@@ -169,35 +172,113 @@ def verify(docs: DataFrame, pairs: DataFrame, threshold: float, words: int = WOR
     return stored(both.select("a", "b", similarity("sa", "sb").alias("similarity")).filter(F.col("similarity") >= threshold))
 
 
+def _pack(frame: pd.DataFrame) -> pd.DataFrame:
+    """One row a block: ids, classes and units (shingle and count) of its texts."""
+    units = []
+    for x in frame["shingles"]:
+        h, n = np.frombuffer(x[: len(x) * 2 // 3], np.uint64), np.frombuffer(x[len(x) * 2 // 3 :], np.uint32).astype(np.int64)
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        units.append(_mix(np.repeat(h, n) + nth.astype(np.uint64) * _D))
+    data = pickle.dumps((frame["rep"].to_numpy(np.int64), frame["c"].to_numpy(np.int64), np.array([len(u) for u in units]), np.concatenate(units)), protocol=5)
+    return pd.DataFrame({"home": frame["home"].iloc[:1], "part": frame["part"].iloc[:1], "low": [frame["c"].min()], "high": [frame["c"].max()], "texts": [data]})
+
+
+def _across(a: bytes, b: bytes, threshold: float) -> list[tuple[int, int]]:
+    """Links that join classes between the texts of two blocks: a forest, not all pairs."""
+    (ia, ca, na, ua), (ib, cb, nb, ub) = pickle.loads(a), pickle.loads(b)
+    common = np.intersect1d(ua, ub)
+    least = np.zeros((len(ia), len(ib)), np.float32)
+
+    def table(units: np.ndarray, lengths: np.ndarray, some: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(some, units).clip(0, len(some) - 1)
+        hit = some[at] == units
+        out = np.zeros((len(lengths), len(some)), np.float32)
+        out[np.repeat(np.arange(len(lengths)), lengths)[hit], at[hit]] = 1
+        return out
+
+    for start in range(0, len(common), 8192):
+        some = common[start : start + 8192]
+        least += table(ua, na, some) @ table(ub, nb, some).T
+    shared = least.astype(np.float64)
+    linked = (shared >= threshold * (na[:, None] + nb[None, :] - shared)) & (ca[:, None] != cb[None, :])
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        x, y = root(int(ca[i])), root(int(cb[j]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((int(ia[i]), int(ib[j])))
+    return out
+
+
+def _links_across(docs: DataFrame, members: DataFrame, threshold: float, words: int, block: int = 128) -> DataFrame:
+    """Links between texts of different classes that share a bucket (``members``: key, rep, c).
+
+    Texts live in blocks of at most about ``block``: those of one bucket, the largest that they are
+    in, together. Blocks that meet in any bucket are compared whole within a task; what moves is a
+    block of texts for each pair of blocks, not a row for each pair of texts.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    homes = members.join(sizes, "key").groupBy("rep").agg(F.max_by("key", F.struct("size", "key")).alias("home"), F.first("c").alias("c"))
+    homes = stored(homes)
+    parts = homes.groupBy("home").agg(F.ceil(F.count("*") / block).alias("parts"))
+    placed = stored(homes.join(parts, "home").select("rep", "c", "home", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part")))
+    sets = _sets(docs, placed.select(F.col("rep").alias("doc_id")), words).withColumnRenamed("doc_id", "rep")
+    blocks = stored(placed.join(sets, "rep").groupBy("home", "part").applyInPandas(_pack, "home long, part int, low long, high long, texts binary"))
+    place = F.struct("home", "part")
+    there = stored(members.join(placed.select("rep", "home", "part"), "rep").select("key", place.alias("p")).distinct())
+    met = there.alias("x").join(there.alias("y"), F.expr("x.key = y.key AND x.p <= y.p")).select(F.col("x.p").alias("p"), F.col("y.p").alias("q")).distinct()
+    of = lambda name: blocks.select(place.alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("low", "high", "texts")))
+    both = met.join(of("p"), "p").join(of("q"), "q")
+    # two blocks of one and the same class have nothing to join
+    both = both.filter((F.col("p_low") != F.col("p_high")) | (F.col("q_low") != F.col("q_high")) | (F.col("p_low") != F.col("q_low")))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = [link for x, y in zip(batch.column(0), batch.column(1), strict=True) for link in _across(x.as_py(), y.as_py(), threshold)]
+            yield pa.RecordBatch.from_arrays([pa.array([link[i] for link in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return stored(both.select("p_texts", "q_texts").mapInArrow(task, "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
     """doc_id, class_id for every row: classes are chains of texts with that similarity or more.
 
     ``docs``: doc_id, text; other columns are ignored. ``class_id`` is the smallest doc_id of a class.
     Texts of equal words are one class and one text in what follows. In every bucket of a band each
-    text is compared with the bucket's smallest; texts that are still in different classes are then
-    all compared, save those of the bucket's largest class with each other, which are linked already:
-    no bucket is capped, and none gives all its pairs. With 32 bands of 6 a pair of similarity 0.8 is
+    text is compared with the bucket's hub, that which meets most texts over all its buckets; texts
+    of a bucket that are still in different classes are then all compared, block by block: no bucket
+    is capped, and none gives a row for each of its pairs. With 32 bands of 6 a pair of similarity 0.8 is
     found with probability 0.9999 by its own buckets, and more in a group. A text without words (null,
     empty, punctuation) is a class of its own; rows repeated with one id share its class; an id stands
     for one text; a row without id gets no class.
     """
     source = docs.select("doc_id", "text")
     signed = stored(sign(source, bands=bands, rows=rows, words=words))
-    texts = stored(signed.filter("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-    keys = texts.select(F.explode("bands").alias("key"), "rep")
-    hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").drop("last")
-    buckets = stored(keys.join(hubs, "key"))
-    links = verify(source, buckets.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), threshold, words)
+    texts = stored(signed.filter("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("total").alias("total"), F.first("bands").alias("bands")))
+    keys = texts.select(F.explode("bands").alias("key"), "rep", "total")
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    buckets = stored(keys.join(shared, "key"))
+    # the text that shares buckets with most others is the likeliest centre of a group
+    centrality = buckets.groupBy("rep").agg(F.sum("size").alias("met"))
+    central = stored(buckets.select("key", "rep", "total").join(centrality, "rep"))
+    hubs = central.groupBy("key").agg(F.max_by(F.struct("rep", "total"), F.struct("met", -F.col("rep"))).alias("h")).select("key", F.col("h.rep").alias("hub"), F.col("h.total").alias("hub_total"))
+    buckets = stored(central.drop("met").join(hubs, "key"))
+    alike = lambda m, n: F.least(m, n) >= F.lit(threshold) * F.greatest(m, n)  # noqa: E731  else the lengths alone rule a link out
+    first = buckets.filter("rep <> hub").filter(alike("total", "hub_total")).select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+    links = verify(source, first, threshold, words)
     found = stored(components(links.select("a", "b")))
-    # what the smallest of a bucket did not bring together
-    members = buckets.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "hub", "rep", F.coalesce("component", "rep").alias("c"))
+    # what the hubs did not bring together
+    members = buckets.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "hub", "rep", "total", F.coalesce("component", "rep").alias("c"))
     split = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
     members = stored(members.join(split, "key", "left_semi"))
-    largest = members.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
-    others = members.filter("rep <> hub")
-    lesser = others.join(largest, "key").filter("c <> main").select("key", F.col("rep").alias("x"), F.col("c").alias("xc"))
-    rest = lesser.join(others, "key").filter("xc <> c").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-    more = verify(source, rest, threshold, words)
+    more = _links_across(source, members, threshold, words)
     if not more.isEmpty():
         found = stored(components(links.select("a", "b").union(more.select("a", "b"))))
     classes = texts.select("same", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("same", F.coalesce("component", "rep").alias("class_id"))
