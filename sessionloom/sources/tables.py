@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -76,3 +77,28 @@ def catalogue(sessions: DataFrame, children: dict[str, DataFrame], sizes: DataFr
     if {"started_at", "ended_at"} <= set(sessions.columns):
         out = out.withColumn("duration", F.greatest(F.lit(0).cast("long"), F.col("ended_at") - F.col("started_at")))
     return out
+
+
+def coerce_elements(snapshots: DataFrame, json_col: str = "elements") -> DataFrame:
+    """snapshot_id, idx, parent, depth and the fields of each well-formed element of a JSON array.
+
+    Elements without a role or a box go; indexes and parents are renumbered past them, and an element
+    whose parent went hangs from the nearest ancestor that stayed.
+    """
+    kind = "array<struct<role:string,label:string,identifier:string,x:double,y:double,w:double,h:double,focused:boolean,parent:int>>"
+    rows = snapshots.select("snapshot_id", F.posexplode(F.from_json(json_col, kind)).alias("at", "e"))
+    rows = rows.withColumn("ok", (F.length("e.role") > 0) & F.col("e.x").isNotNull() & F.col("e.y").isNotNull() & (F.col("e.w") >= 0) & (F.col("e.h") >= 0)).withColumn("ok", F.coalesce("ok", F.lit(False)))
+    w = Window.partitionBy("snapshot_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("idx", F.sum(F.col("ok").cast("int")).over(w) - 1).select("snapshot_id", "at", "idx", "ok", F.col("e.parent").alias("up"), "e").checkpoint()
+    ups = rows.select("snapshot_id", F.col("at").alias("up"), F.col("ok").alias("up_ok"), F.col("up").alias("next"), F.col("idx").alias("up_idx"))
+    found = rows.filter("ok").select("snapshot_id", "at", "idx", "e", "up").join(ups, ["snapshot_id", "up"], "left")
+    while not found.filter("up_ok = false").isEmpty():  # a level of dropped ancestors a round
+        again = found.withColumn("up", F.when(F.col("up_ok"), F.col("up")).otherwise(F.col("next"))).drop("up_ok", "next", "up_idx")
+        found = again.join(ups, ["snapshot_id", "up"], "left").checkpoint()
+    flat = found.select("snapshot_id", "idx", F.col("up_idx").alias("parent"), "e.role", "e.label", "e.identifier", "e.x", "e.y", "e.w", "e.h", F.coalesce("e.focused", F.lit(False)).alias("focused"))
+    front = flat.filter("parent is null").select("snapshot_id", "idx", F.lit(0).alias("depth")).checkpoint()
+    depth = front
+    while not front.isEmpty():
+        front = flat.join(front.select("snapshot_id", F.col("idx").alias("parent"), F.col("depth").alias("d")), ["snapshot_id", "parent"]).select("snapshot_id", "idx", (F.col("d") + 1).alias("depth")).checkpoint()
+        depth = depth.unionByName(front)
+    return flat.join(depth, ["snapshot_id", "idx"])
