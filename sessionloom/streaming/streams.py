@@ -31,10 +31,10 @@ def gap_sessions(events: DataFrame, gap: str, late: str = "10 minutes") -> DataF
     return events.withWatermark("ts", late).groupBy("session_id", F.session_window("ts", gap).alias("window")).agg(F.count("*").alias("n"))
 
 
-def throttle(events: DataFrame, gap_ms: float, idle: str = "1 hour") -> DataFrame:
+def throttle(events: DataFrame, gap_ms: float, idle_ms: int = 3_600_000) -> DataFrame:
     """event_id, session_id, t of rows that are ``gap_ms`` or more after the session's last kept one; a clock that goes back keeps.
 
-    ``events``: session_id, event_id, t (ms). State is one number a session, dropped after ``idle`` without rows.
+    ``events``: session_id, event_id, t (ms). State is one number a session, dropped after ``idle_ms`` without rows.
     """
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -48,7 +48,7 @@ def throttle(events: DataFrame, gap_ms: float, idle: str = "1 hour") -> DataFram
                     last = float(e.t)
                     kept.append((e.event_id, key[0], last))
         state.update((last,))
-        state.setTimeoutDuration(idle)
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(kept, columns=["event_id", "session_id", "t"])
 
     kind = events.schema["session_id"].dataType.simpleString()
