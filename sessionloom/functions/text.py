@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 # Labels that change while a state stays the same.
 VOLATILE = (
-    r"^\d{1,2}:\d{2}(:\d{2})?(\s*[AaPp][Mm])?$",
-    r"^[\d.,]+%?$",
-    r"^\d+(\.\d+)?\s*(B|KB|MB|GB|TB)$",
-    r"^\d+\s*(unread|new|notifications?|messages?|items?)$",
-    r"^\(\d+\)",
-    r"\b\d+\s*(s|sec|seconds?|m|min|minutes?|h|hours?|d|days?)\s+ago$",
-    r"^(just now|yesterday|today)$",
+    r"\d{1,2}:\d{2}",
+    r"\(\s*\d+\s*\)",
+    r"^\s*[\d.,]+\s*%?\s*$",
+    r"(?i)\b\d+\s+(unread|items?|messages?|results?|files?|photos?|selected)\b",
+    r"(?i)\b(just now|\d+\s+(seconds?|minutes?|hours?|days?)\s+ago)\b",
+    r"(?i)\b\d+\s*(KB|MB|GB|TB)\b",
+    r"^\s*(Edited|Modified)\s*$",
 )
 # Path segments that name one thing rather than a place.
 ID_LIKE = (r"^\d+$", r"(?i)^[0-9a-f]{8,}$", r"(?i)^[0-9a-f]{8}-[0-9a-f-]{8,}$", r"^(?=.*\d)[A-Za-z0-9_-]{16,}$")
@@ -23,13 +23,13 @@ def volatile(label: Column) -> Column:
     """Whether a label is a clock, a counter, a size, a relative time or the like."""
     hit = F.lit(False)
     for pattern in VOLATILE:
-        hit = hit | F.trim(label).rlike(pattern)
+        hit = hit | label.rlike(pattern)
     return hit
 
 
 def non_speech(text: Column) -> Column:
-    """Whether a transcript is nothing but bracketed annotations."""
-    return text.rlike(r"^\s*([\[(*][^\])*]*[\])*]\s*)+$")
+    """Whether a transcript is nothing but a bracketed annotation."""
+    return text.rlike(r"^\s*[(\[*][^)\]*]*[)\]*]\s*$")
 
 
 def url_prefix(url: Column) -> Column:

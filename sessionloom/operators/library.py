@@ -8,22 +8,31 @@ from pyspark.sql.window import Window
 
 from sessionloom.operators import spatial, temporal
 
-#: Modifiers that make a key a command, and those that choose another column of the keymap (fixed values).
-COMMANDS = ("cmd", "ctrl", "meta")
+# Modifiers that make a key a command, and the virtual key of each scancode.
+COMMANDS = ("cmd", "ctrl")
+VIRTUAL_KEYS = {
+    2: 18, 3: 19, 4: 20, 5: 21, 6: 23, 7: 22, 8: 26, 9: 28, 10: 25, 11: 29, 12: 27, 13: 24, 16: 12, 17: 13, 18: 14, 19: 15, 20: 17, 21: 16, 22: 32, 23: 34,
+    24: 31, 25: 35, 26: 33, 27: 30, 30: 0, 31: 1, 32: 2, 33: 3, 34: 5, 35: 4, 36: 38, 37: 40, 38: 37, 39: 41, 40: 39, 41: 50, 43: 42, 44: 6, 45: 7, 46: 8,
+    47: 9, 48: 11, 49: 45, 50: 46, 51: 43, 52: 47, 53: 44, 57: 49,
+}
 
 
 def decode_keys(keys: DataFrame, keymaps: DataFrame) -> DataFrame:
-    """keys with ``char``: by the keymap in force, its plain, shift or alt column; null where a command is held or nothing is known.
+    """keys with ``char`` and ``held``: the character by the keymap in force, and the modifiers still listed.
 
     ``keys``: session_id, event_id, t, scancode, modifiers (array); ``keymaps``: session_id, event_id,
-    t, map (scancode to struct<plain, shift, alt>).
+    t, map (virtual key to an array of the plain, shift, alt and alt-shift characters). A command takes
+    the plain column and keeps its modifiers; a decoded character uses its modifiers up; a key that no
+    keymap knows has no character.
     """
-    held = temporal.asof(keys, keymaps, ["map"])
-    key = F.col("map")[F.col("scancode")]
-    has = lambda m: F.array_contains("modifiers", m)
+    codes = F.create_map(*[F.lit(v) for pair in VIRTUAL_KEYS.items() for v in pair])
+    rows = temporal.asof(keys, keymaps, ["map"])
+    has = lambda m: F.array_contains("modifiers", m).cast("int")
     command = F.arrays_overlap("modifiers", F.array(*[F.lit(c) for c in COMMANDS]))
-    char = F.when(command, F.lit(None).cast("string")).when(has("alt"), key["alt"]).when(has("shift"), key["shift"]).otherwise(key["plain"])
-    return held.withColumn("char", char).drop("map")
+    column = F.when(command, F.lit(1)).otherwise(1 + has("shift") + 2 * has("alt"))
+    char = F.nullif(F.try_element_at(F.col("map")[codes[F.col("scancode")]], column), F.lit(""))
+    kept = F.when(char.isNotNull() & ~command, F.array().cast("array<string>")).otherwise(F.array_sort("modifiers"))
+    return rows.withColumn("char", char).withColumn("held", kept).drop("map")
 
 
 def presence_lanes(segs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from sessionloom.functions import text
 from sessionloom.sources.tables import ensure_checkpoint_dir
 
 # Element roles that stay from one visit to the next.
-STABLE_ROLES = ("button", "checkbox", "combobox", "heading", "link", "menubutton", "menuitem", "popupbutton", "radiobutton", "searchfield", "tab", "textarea", "textfield", "toolbar")
+STABLE_ROLES = ("Sheet", "Dialog", "Button", "PopUpButton", "CheckBox", "RadioButton", "TextField", "TextArea", "SecureTextField", "ComboBox", "MenuItem", "MenuButton", "Toolbar", "SearchField")
 # How far an anchor's rung can be trusted.
 CEILINGS = {"identifier": 1.0, "label": 0.8, "visual": 0.5, "point": 0.3}
 
@@ -28,9 +28,9 @@ def element_predicates(elements: DataFrame, most: int = 64) -> DataFrame:
     descriptor, without repeats, at most ``most`` a snapshot.
     """
     ensure_checkpoint_dir(elements.sparkSession)
-    role = F.lower(F.regexp_replace("role", "(?i)^AX", ""))
+    role = F.regexp_replace("role", "^AX", "")
     rows = elements.withColumn("role", role)
-    inside = rows.filter("role = 'tabgroup'").select("snapshot_id", "idx")
+    inside = rows.filter("role = 'TabGroup'").select("snapshot_id", "idx")
     front = inside
     while not front.isEmpty():  # one level a round
         front = rows.join(front.withColumnRenamed("idx", "parent"), ["snapshot_id", "parent"]).select("snapshot_id", "idx").checkpoint()
@@ -44,9 +44,10 @@ def element_predicates(elements: DataFrame, most: int = 64) -> DataFrame:
     return ranked.filter(F.col("ord") <= most).select("snapshot_id", "key", "ord")
 
 
-def anchor_key(path: Column, label: Column, x: Column, y: Column, step: float = 16.0) -> Column:
-    """``ax:path:label`` where there is a path, else the point on a grid of 16 px."""
-    point = F.concat(F.lit("pt:"), (F.round(x / step) * step).cast("int").cast("string"), F.lit(","), (F.round(y / step) * step).cast("int").cast("string"))
+def anchor_key(path: Column, label: Column, display: Column, x: Column, y: Column, step: float = 16.0) -> Column:
+    """``ax:path:label`` where there is a path, else the display and the point in steps of 16 px."""
+    cell = lambda v: F.floor(v / step + 0.5).cast("string")
+    point = F.concat(F.lit("pt:"), display, F.lit(":"), cell(x), F.lit(","), cell(y))
     return F.coalesce(F.concat(F.lit("ax:"), path, F.lit(":"), F.coalesce(label, F.lit(""))), point)
 
 
@@ -97,10 +98,28 @@ def slots(typed: DataFrame) -> DataFrame:
     return g.withColumn("variable", F.size("samples") > 1)
 
 
+def action_signature() -> Column:
+    """One action by its kind and targets; what was typed, and into which slot, does not count.
+
+    Columns: kind, anchor_key, to_key (drags), button, count, dx, dy (scrolls), keys (chords), until (waits).
+    """
+    text_of = lambda *parts: F.concat_ws(":", *[p if isinstance(p, Column) else F.col(p).cast("string") for p in parts])
+    kind, sign = F.col("kind"), lambda c: F.signum(F.col(c)).cast("int").cast("string")
+    return (
+        F.when(kind == "click", text_of("kind", "anchor_key", "button", "count"))
+        .when(kind == "drag", text_of("kind", F.concat("anchor_key", F.lit("->"), "to_key"), "button"))
+        .when(kind == "hover", text_of("kind", "anchor_key"))
+        .when(kind == "scroll", text_of("kind", "anchor_key", F.concat(sign("dx"), F.lit(","), sign("dy"))))
+        .when(kind == "chord", text_of("kind", F.array_join("keys", "+")))
+        .when(kind == "wait", text_of("kind", "until"))
+        .otherwise(kind)
+    )
+
+
 def edge_signature(actions: DataFrame) -> DataFrame:
-    """edge_id, signature: kind and target of each action in order; typed text counts by its slot alone."""
-    said = F.concat_ws(":", "kind", F.coalesce("anchor_key", "slot", F.lit("")))
-    return actions.groupBy("edge_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", said.alias("s")))), lambda a: a["s"]), "|").alias("signature"))
+    """edge_id, signature: the signatures of an edge's actions in order."""
+    rows = actions.select("edge_id", "ord", action_signature().alias("s"))
+    return rows.groupBy("edge_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "s"))), lambda a: a["s"]), "|").alias("signature"))
 
 
 def merge_nodes(predicates: DataFrame) -> DataFrame:
@@ -129,7 +148,7 @@ def node_label(predicates: DataFrame) -> DataFrame:
     """node_id, label: app, and a sheet, a URL place or a focused label behind a dash."""
     of = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("value")))
     g = predicates.groupBy("node_id").agg(of("app").alias("app"), of("sheet").alias("sheet"), of("url").alias("url"), of("ax_focused").alias("focus"))
-    return g.select("node_id", F.concat_ws(" — ", "app", F.coalesce("sheet", "url", "focus")).alias("label"))
+    return g.select("node_id", F.coalesce(F.nullif(F.concat_ws(" — ", "app", F.coalesce("sheet", "url", "focus")), F.lit("")), F.concat(F.col("node_id").cast("string"), F.lit(" — no state"))).alias("label"))
 
 
 def ranks(edges: DataFrame, entries: DataFrame, most: int = 1000) -> DataFrame:

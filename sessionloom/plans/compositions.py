@@ -35,15 +35,16 @@ def coerce(spark, d):
 _KEYS = f"{fx.EV}, mp AS (SELECT session_id, us, event_id FROM ev WHERE kind = 'bookmark'), ky AS (SELECT event_id, session_id, us, k % 5 AS code, k FROM ev WHERE kind = 'key_down')"
 
 
-@query("f16_decode_keys", f"WITH {_KEYS}, j AS (SELECT ky.*, (SELECT max_by(mp.event_id, (mp.us, mp.event_id)) FROM mp WHERE mp.session_id = ky.session_id AND mp.us <= ky.us) AS m FROM ky) SELECT event_id, CASE WHEN m IS NULL OR k % 7 = 0 THEN NULL WHEN k % 3 = 0 THEN 'S' || code || (m % 2) ELSE 'p' || code || (m % 2) END AS char FROM j")
+@query("f16_decode_keys", f"WITH {_KEYS}, j AS (SELECT ky.*, (SELECT max_by(mp.event_id, (mp.us, mp.event_id)) FROM mp WHERE mp.session_id = ky.session_id AND mp.us <= ky.us) AS m FROM ky) SELECT event_id, CASE WHEN m IS NULL THEN NULL WHEN k % 7 = 0 THEN 'p' || code || (m % 2) ELSE CASE WHEN k % 3 = 0 AND k % 11 = 0 THEN 'B' WHEN k % 11 = 0 THEN 'A' WHEN k % 3 = 0 THEN 'S' ELSE 'p' END || code || (m % 2) END AS char, CASE WHEN k % 7 <> 0 AND m IS NOT NULL THEN '' ELSE array_to_string(list_filter([CASE WHEN k % 11 = 0 THEN 'alt' END, CASE WHEN k % 7 = 0 THEN 'cmd' END, CASE WHEN k % 3 = 0 THEN 'shift' END], lambda x: x IS NOT NULL), '+') END AS held FROM j")
 def decode(spark, d):
+    """Scancodes 30 to 34 of a keymap that each bookmark brings."""
     ev = fx.events(spark, d)
     code = lambda i, p: F.concat(F.lit(f"{p}{i}"), (F.col("event_id") % 2).cast("string"))
-    entries = [x for i in range(5) for x in (F.lit(i), F.struct(code(i, "p").alias("plain"), code(i, "S").alias("shift"), code(i, "A").alias("alt")))]
+    entries = [x for i in range(5) for x in (F.lit(library.VIRTUAL_KEYS[30 + i]), F.array(*[code(i, p) for p in "pSAB"]))]
     maps = ev.filter("kind = 'bookmark'").select("session_id", "event_id", "t", F.create_map(*entries).alias("map"))
-    mods = F.filter(F.array(F.when(F.col("k") % 7 == 0, "cmd"), F.when(F.col("k") % 3 == 0, "shift")), lambda m: m.isNotNull())
-    keys = ev.filter("kind = 'key_down'").select("session_id", "event_id", "t", (F.col("k") % 5).alias("scancode"), mods.alias("modifiers"))
-    return library.decode_keys(keys, maps).select("event_id", "char")
+    mods = F.filter(F.array(F.when(F.col("k") % 7 == 0, "cmd"), F.when(F.col("k") % 3 == 0, "shift"), F.when(F.col("k") % 11 == 0, "alt")), lambda m: m.isNotNull())
+    keys = ev.filter("kind = 'key_down'").select("session_id", "event_id", "t", (30 + F.col("k") % 5).alias("scancode"), mods.alias("modifiers"))
+    return library.decode_keys(keys, maps).select("event_id", "char", F.array_join("held", "+").alias("held"))
 
 
 @query("a14_presence_lanes", "WITH s AS (SELECT conv_id AS session_id, CASE WHEN turn % 3 = 0 THEN 'task' ELSE 'action' END AS g, turn * 1000.0::DOUBLE AS t_start, turn * 1000.0::DOUBLE + 1000 AS t_end, text AS transcript, CASE WHEN turn % 2 = 0 THEN role ELSE ' ' END AS caption FROM conversations), n AS (SELECT session_id, g, count(*) AS n FROM s GROUP BY ALL), f AS (SELECT session_id, max_by(g, (n, g)) AS g FROM n GROUP BY session_id), r AS (SELECT s.* FROM s JOIN f USING (session_id, g)) SELECT session_id, 'transcript' AS lane, t_start, t_end, transcript AS text FROM r WHERE trim(transcript) <> '' UNION ALL SELECT session_id, 'caption', t_start, t_end, caption FROM r WHERE trim(caption) <> ''")

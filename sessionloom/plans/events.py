@@ -107,14 +107,14 @@ def exclusion_report(spark, d):
     return temporal.exclusion_report(temporal.exclude_focused(fx.events(spark, d), ["App1 ", "app4"]))
 
 
-@query("f9_volatile_labels", "SELECT doc_id FROM documents WHERE regexp_matches(substr(text, 1, 40), '[0-9]{1,2}:[0-9]{2}') OR regexp_matches(trim(text), '^[0-9][0-9.,]*$')")
+@query("f9_volatile_labels", r"SELECT doc_id, head FROM (SELECT doc_id, substr(text, 1, 60) AS head FROM documents) WHERE NOT (regexp_matches(head, '[0-9]{1,2}:[0-9]{2}') OR regexp_matches(head, '\([ ]*[0-9]+[ ]*\)') OR regexp_matches(head, '^\s*[0-9.,]+\s*%?\s*$') OR regexp_matches(head, '\b[0-9]+\s+(unread|items?|messages?|results?|files?|photos?|selected)\b', 'i') OR regexp_matches(head, '\b(just now|[0-9]+\s+(seconds?|minutes?|hours?|days?)\s+ago)\b', 'i') OR regexp_matches(head, '\b[0-9]+\s*(KB|MB|GB|TB)\b', 'i') OR regexp_matches(head, '^\s*(Edited|Modified)\s*$'))")
 def volatile(spark, d):
-    """The clock and counter rules on the heads of texts; the full set is in functions.text."""
-    docs = fx.table(spark, d, "documents")
-    return docs.filter(F.substring("text", 1, 40).rlike(r"[0-9]{1,2}:[0-9]{2}") | F.trim("text").rlike(r"^[0-9][0-9.,]*$")).select("doc_id")
+    """Heads of texts as labels: those that last."""
+    docs = fx.table(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("head"))
+    return docs.filter(~text.volatile(F.col("head")))
 
 
-@query("f10_speech", r"SELECT conv_id, turn FROM conversations WHERE NOT regexp_full_match(text, '\s*([\[(*][^\])*]*[\])*]\s*)+')")
+@query("f10_speech", r"SELECT conv_id, turn FROM conversations WHERE NOT regexp_full_match(text, '\s*[(\[*][^)\]*]*[)\]*]\s*')")
 def speech(spark, d):
     return fx.table(spark, d, "conversations").filter(~text.non_speech(F.col("text"))).select("conv_id", "turn")
 

@@ -199,11 +199,11 @@ def merge_edges(spark, d):
     return traces.merge_edges(e, states)
 
 
-@query("m4_anchor_keys", f"WITH {fx.EV} SELECT event_id, CASE WHEN k % 3 = 0 THEN 'ax:/win/' || (k % 4) || ':L' || (k % 5) ELSE 'pt:' || (round(x / 16) * 16)::INTEGER || ',' || (round(y / 16) * 16)::INTEGER END AS key FROM ev")
+@query("m4_anchor_keys", f"WITH {fx.EV} SELECT event_id, CASE WHEN k % 3 = 0 THEN 'ax:/win/' || (k % 4) || ':L' || (k % 5) ELSE 'pt:D' || (k % 2) || ':' || floor(x / 16 + 0.5)::BIGINT || ',' || floor(y / 16 + 0.5)::BIGINT END AS key FROM ev")
 def anchors(spark, d):
     ev = fx.events(spark, d)
     path = F.when(F.col("k") % 3 == 0, F.concat(F.lit("/win/"), (F.col("k") % 4).cast("string")))
-    return ev.select("event_id", traces.anchor_key(path, F.concat(F.lit("L"), (F.col("k") % 5).cast("string")), F.col("x"), F.col("y")).alias("key"))
+    return ev.select("event_id", traces.anchor_key(path, F.concat(F.lit("L"), (F.col("k") % 5).cast("string")), F.concat(F.lit("D"), (F.col("k") % 2).cast("string")), F.col("x"), F.col("y")).alias("key"))
 
 
 @query("m5_lift", f"WITH {fx.EV}, {fx.SEG}, ed AS (SELECT session_id, us AS s, lead(us) OVER w AS e, lead(reason) OVER w AS reason, row_number() OVER w - 1 AS n FROM bnd WINDOW w AS (PARTITION BY session_id ORDER BY us)) SELECT session_id, n::INTEGER AS n, ed.reason, (SELECT count(*) FROM ev WHERE ev.session_id = ed.session_id AND kind IN ('mouse_down', 'key_down') AND ev.us >= s AND ev.us < e)::INTEGER AS n_actions FROM ed WHERE e IS NOT NULL")
@@ -228,11 +228,16 @@ def slots(spark, d):
     return out.select("slot", F.array_join("samples", ",").alias("samples"), "variable")
 
 
-@query("m8_signatures", f"WITH {fx.EV} SELECT session_id AS edge_id, string_agg(kind || ':' || CASE WHEN kind = 'key_down' THEN 'slot' || (k % 3) ELSE 'a' || (k % 7) END, '|' ORDER BY event_id) AS signature FROM ev WHERE kind IN ('mouse_down', 'key_down') GROUP BY session_id")
+@query("m8_signatures", f"WITH {fx.EV}, ac AS (SELECT session_id, event_id, CASE WHEN kind = 'mouse_down' AND k % 3 = 0 THEN 'drag:a' || (k % 7) || '->b' || (k % 2) || ':left' WHEN kind = 'mouse_down' THEN 'click:a' || (k % 7) || ':left:1' WHEN kind = 'scroll' THEN 'scroll:a' || (k % 7) || ':' || sign(k % 5 - 2)::INTEGER || ',' || sign(k % 3 - 1)::INTEGER WHEN k % 5 = 0 THEN 'chord:cmd+s' ELSE 'type' END AS s FROM ev WHERE kind IN ('mouse_down', 'key_down', 'scroll')) SELECT session_id AS edge_id, string_agg(s, '|' ORDER BY event_id) AS signature FROM ac GROUP BY session_id")
 def signatures(spark, d):
-    ev = fx.events(spark, d).filter("kind in ('mouse_down', 'key_down')")
-    a = F.when(F.col("kind") == "mouse_down", F.concat(F.lit("a"), (F.col("k") % 7).cast("string")))
-    return traces.edge_signature(ev.select(F.col("session_id").alias("edge_id"), F.col("event_id").alias("ord"), "kind", a.alias("anchor_key"), F.concat(F.lit("slot"), (F.col("k") % 3).cast("string")).alias("slot")))
+    ev = fx.events(spark, d).filter("kind in ('mouse_down', 'key_down', 'scroll')")
+    name = lambda p, n: F.concat(F.lit(p), (F.col("k") % n).cast("string"))
+    kind = F.when((F.col("kind") == "mouse_down") & (F.col("k") % 3 == 0), "drag").when(F.col("kind") == "mouse_down", "click").when(F.col("kind") == "scroll", "scroll").when(F.col("k") % 5 == 0, "chord").otherwise("type")
+    acts = ev.select(
+        F.col("session_id").alias("edge_id"), F.col("event_id").alias("ord"), kind.alias("kind"), name("a", 7).alias("anchor_key"), name("b", 2).alias("to_key"), F.lit("left").alias("button"), F.lit(1).alias("count"),
+        (F.col("k") % 5 - 2).alias("dx"), (F.col("k") % 3 - 1).alias("dy"), F.array(F.lit("cmd"), F.lit("s")).alias("keys"), F.lit(None).cast("string").alias("until"),
+    )
+    return traces.edge_signature(acts)
 
 
 @query("m10_near_match", "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(q.e, b.e), 6) AS score FROM v q JOIN v b ON q.vec_id % 25 = 0 AND b.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM s), t AS (SELECT query_id, max(CASE WHEN n = 1 THEN id END) AS id, max(score) AS b, max(CASE WHEN n = 2 THEN score END) AS c FROM r WHERE n <= 2 GROUP BY query_id) SELECT query_id, CASE WHEN b >= 0.4 AND b - c >= 0.03 THEN id END AS match, CASE WHEN b < 0.4 THEN 'none' WHEN b - c >= 0.03 THEN 'match' ELSE 'ambiguous' END AS verdict FROM t")
