@@ -14,6 +14,7 @@ import pickle
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -187,12 +188,15 @@ def usable(vectors: DataFrame, label: str, vector: str, id_col: str) -> Column:
     )
 
 
-def _unit(v: Column) -> Column:
-    """Length one, safe for components of any size."""
-    most = F.array_max(F.transform(v, F.abs))
-    scaled = F.transform(v, lambda c: c / most)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, c: s + c * c))
-    return F.transform(scaled, lambda c: c / norm)
+def _at_unit_length(frames):
+    """Vectors at length one, safe for components of any size."""
+    for frame in frames:
+        units = []
+        for e in frame["e"]:
+            x = np.asarray(e, np.float64)
+            x = x / np.abs(x).max()
+            units.append(x / np.sqrt(x @ x))
+        yield frame[["rep", "n", "node"]].assign(v=units)
 
 
 def _distance(a: str, b: str) -> Column:
@@ -264,7 +268,9 @@ def near_duplicates(
     every = source.select("vec_id", "ok", F.when(F.col("ok"), F.col("label")).alias("label"), F.when(F.col("ok"), F.col("e")).alias("e"))
     distinct = stored(every.filter("ok").groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
     root = F.concat_ws(":", F.col("label").cast("string"), F.size("e").cast("string"))
-    rows, nodes, depth = _upper_levels(stored(distinct.select("rep", "n", _unit(F.col("e").cast("array<double>")).alias("v"), F.regexp_replace(root, "/", "_").alias("node"))), leaf_rows, fan)
+    named = distinct.select("rep", "n", F.regexp_replace(root, "/", "_").alias("node"), "e")
+    units = named.mapInPandas(_at_unit_length, "rep long, n long, node string, v array<double>")
+    rows, nodes, depth = _upper_levels(stored(units), leaf_rows, fan)
     # a node that could not be split further is cut by hash
     sizes = stored(rows.groupBy("node").agg(F.ceil(F.count("*") / leaf_rows).alias("parts")))
     part = F.pmod(F.xxhash64("rep", F.lit(99)), F.col("parts"))
@@ -274,9 +280,17 @@ def near_duplicates(
     names = trees.select("leaf", "node")
     met = pairs.join(names.select(F.col("node").alias("a"), F.col("leaf").alias("la")), "a").join(names.select(F.col("node").alias("b"), F.col("leaf").alias("lb")), "b")
     met = met.filter((F.col("a") != F.col("b")) | (F.col("la") <= F.col("lb"))).select("la", "lb")
-    pair = F.udf(_pair, "struct<counts:array<struct<id:long,n:long>>,edges:array<struct<a:long,b:long>>>", useArrow=False)
+
+    def task(batches):
+        kinds = [pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())])), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))]
+        for batch in batches:
+            for a, b, same in zip(*batch.columns, strict=True):
+                counts, edges = _pair(a.as_py(), b.as_py(), same.as_py(), threshold)
+                yield pa.RecordBatch.from_arrays([pa.array([counts], kinds[0]), pa.array([edges], kinds[1])], ["counts", "edges"])
+
     both = met.repartition(F.col("la"), F.col("lb")).join(trees.select(F.col("leaf").alias("la"), F.col("tree").alias("ta")), "la").join(trees.select(F.col("leaf").alias("lb"), F.col("tree").alias("tb")), "lb")
-    found = stored(both.select(pair("ta", "tb", F.col("la") == F.col("lb"), F.lit(threshold)).alias("r")).select("r.counts", "r.edges"))
+    same = F.col("la") == F.col("lb")
+    found = stored(both.select("ta", "tb", same.alias("same")).mapInArrow(task, "counts array<struct<id:long,n:long>>, edges array<struct<a:long,b:long>>"))
     partners = found.select(F.inline("counts")).groupBy("id").agg(F.sum("n").alias("partners"))
     classes = components(found.select(F.inline("edges")))
     known = stored(
