@@ -31,7 +31,7 @@ WORDS, BANDS, ROWS = 5, 32, 6
 BROADCAST_IDS = 2_000_000
 _WORD = re.compile(r"\w+")
 _CACHE: dict[str, int] = {}
-_CACHE_ROWS = 200_000
+_CACHE_ROWS = 100_000
 
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])

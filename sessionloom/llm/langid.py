@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionloom.llm.common import small_batches
+
 BUCKET_BITS = 13
 #: Steepness of the bits' votes, and the least lead of the best language over the next.
 SLOPE, LEAD = 4.0, 0.2
@@ -143,23 +145,24 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -
     A null text or one without letters is ``und`` with score 0, not ambiguous. Columns of those names
     are replaced. The model (a few hundred KB) goes to the tasks with their code.
     """
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
     from pyspark.sql import types as T
 
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, scores, unsure = [UNKNOWN] * len(batch), np.zeros(len(batch)), np.zeros(len(batch), bool)
-            texts = batch.column(kept.index(text_col))
-            for start in range(0, len(batch) if model.languages else 0, 256):
-                counts = [ngram_counts(t.as_py()) for t in texts[start : start + 256]]
+        for whole in batches:
+            for start in range(0, len(whole), 128):
+                batch = whole.slice(start, 128)
+                names, scores, unsure = [UNKNOWN] * len(batch), np.zeros(len(batch)), np.zeros(len(batch), bool)
+                counts = [ngram_counts(t.as_py()) for t in batch.column(kept.index(text_col))] if model.languages else []
                 at = [i for i, c in enumerate(counts) if c is not None]
                 if at:
                     best, share, lead = model.predict(np.stack([counts[i] for i in at]))
                     for i, b, s, d in zip(at, best, share, lead, strict=True):
-                        names[start + i], scores[start + i], unsure[start + i] = model.languages[b], s, d < LEAD
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names), pa.array(scores), pa.array(unsure)], [*kept, "lang_pred", "score", "ambiguous"])
+                        names[i], scores[i], unsure[i] = model.languages[b], s, d < LEAD
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names), pa.array(scores), pa.array(unsure)], [*kept, "lang_pred", "score", "ambiguous"])
 
     return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(task, schema)
 

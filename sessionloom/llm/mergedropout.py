@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionloom.llm.common import small_batches
+
 SPACE = "▁"
 _CHUNK = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 _NONE = np.int64(2**62)
@@ -209,6 +211,7 @@ def encode_documents(docs: DataFrame, model: str, *, dropout: float = 0.1, seed:
     repeated rows are encoded alike; an empty table gives no rows; other columns are ignored. A
     literal U+2581 is spelled in bytes, so that it decodes to itself.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionloom.llm.common import small_batches
+
 #: Longest run of characters without white space that the fast encoder gets; longer runs cost it
 #: time in their square, so such documents go to the library's own encoder.
 LONG_RUN = 2000
@@ -134,6 +136,7 @@ def pack_documents(
     ``padded_length`` is what a sequence takes: ``window``, or its own length where that is a power of
     two. ``keep_ids`` adds the token ids of each piece.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_length long" + ", ids array<int>" * keep_ids

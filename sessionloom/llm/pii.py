@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import stored
+from sessionloom.llm.common import small_batches, stored
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("name", "number", "secret")
@@ -124,6 +124,17 @@ def _free(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> Iterato
             yield start, end
 
 
+def _not_within(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Those of ``spans`` (in order) that lie in none of ``taken`` (in order) as a whole."""
+    at, reach = 0, -1
+    for start, end in spans:
+        while at < len(taken) and taken[at][0] <= start:
+            reach = max(reach, taken[at][1])
+            at += 1
+        if end > reach:
+            yield start, end
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
     """(kind, start, end, votes, features) of base spans and further candidates; codes are small whole numbers."""
     found = [(kind, start, end) for kind, start, end in base]
@@ -132,7 +143,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     pairs = [m.span() for m in _PAIR.finditer(text)]
     numbers = [m.span() for m in _DIGITS.finditer(text) if 7 <= len(_only_digits(m[0])) <= 20] if has_digit else []
     secrets = list(_tokens_with_digits(text)) if has_digit else []
-    secrets = list(_free(secrets, taken))
+    secrets = list(_not_within(secrets, taken))  # a card number may lie in a longer secret
     numbers = list(_free(numbers, sorted(taken + secrets)))
     found += [(4, *s) for s in pairs] + [(5, *s) for s in numbers] + [(6, *s) for s in secrets]
     out = []
@@ -170,6 +181,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, and the spans of each whole text with their votes and features: one pass over the texts."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     span = pa.list_(pa.struct([(n, pa.int32()) for n in ("kind", "start", "end", "votes", "features")]))
 
@@ -298,12 +310,13 @@ def redact(docs: DataFrame, model: SpanModel, text_col: str = "text") -> DataFra
 
     Spans that overlap or touch inside one another become one, named by the first.
     """
+    small_batches(docs.sparkSession)
     names = docs.columns
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         at = names.index(text_col)
-        for batch in batches:
+        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, len(whole), 512)):
             texts = []
             for value in batch.column(at):
                 text = value.as_py()
