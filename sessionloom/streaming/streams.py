@@ -15,9 +15,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from sessionloom.operators import segments
 
 
-def event_sink(events: DataFrame, path: str, checkpoint: str, every: str = "250 milliseconds", partition: str = "session_id"):
-    """Appends a stream to Parquet in small batches, partitioned by session; returns the running query."""
-    return events.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy(partition).trigger(processingTime=every).outputMode("append").start()
+def event_sink(events: DataFrame, path: str, checkpoint: str, every: str = "250 milliseconds", partition: str = "session_id", once: bool = False):
+    """Appends a stream to Parquet in small batches, partitioned; returns the running query.
+
+    ``once`` ends it when all that is there now has been written.
+    """
+    writer = events.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy(partition).outputMode("append")
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
 def windowed_counts(events: DataFrame, size: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
