@@ -100,7 +100,9 @@ def cluster_routes(routes: DataFrame, **rule) -> DataFrame:
 
     Only routes linked by compatible pairs can meet, so each family of them is assigned on its own.
     """
-    pairs = compatible_pairs(routes, **rule)
+    ensure_checkpoint_dir(routes.sparkSession)
+    routes = routes.checkpoint()  # each round below reads it again
+    pairs = compatible_pairs(routes, **rule).checkpoint()
     both = pairs.union(pairs.select("b_key", "a_key")).groupBy(F.col("a_key").alias("route_key")).agg(F.collect_set("b_key").alias("fits"))
     rows = routes.select("route_key", "n_sessions", F.size("places").alias("length")).join(_families(routes, pairs), "route_key").join(both, "route_key", "left")
 

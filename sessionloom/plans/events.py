@@ -9,6 +9,7 @@ from sessionloom.functions import text
 from sessionloom.operators import features, segments, temporal, vectors
 from sessionloom.plans.registry import query
 from sessionloom.sources import fixtures as fx
+from sessionloom.sources.tables import ensure_checkpoint_dir
 
 W = 24 * 3_600_000.0
 
@@ -29,6 +30,8 @@ def sessions_like_this(spark, d):
     segs, _ = _segments(ev)
     vecs = features.behaviour(ev, segs, width=W)
     mean = vecs.groupBy("session_id").agg(F.array(*[F.round(F.avg(F.col("v")[i]), 6) for i in range(12)]).alias("v")).select(F.col("session_id").alias("id"), "v")
+    ensure_checkpoint_dir(spark)
+    mean = mean.checkpoint()  # both sides of the search read it
     return vectors.knn(mean.withColumnRenamed("id", "query_id"), mean, 5, skip_self=True)
 
 
