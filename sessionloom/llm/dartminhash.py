@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import stored
+from sessionloom.llm.common import give_back, stored
 from sessionloom.llm.graph import components
 
 WORDS, BANDS, ROWS = 5, 32, 6
@@ -135,6 +135,8 @@ def sign(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, words: int =
                 same = [xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in hashes]
                 total = [max(0, len(h) - words + 1) or 1 for h in hashes]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.binary()), pa.array(total, pa.int32()), lists], ["doc_id", "same", "total", "bands"])
+        _CACHE.clear()
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(task, f"doc_id {kind}, same binary, total int, bands array<long>")
 
@@ -157,6 +159,8 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 part = batch.slice(start, 512)
                 sets = [shingles(word_hashes(t), words) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h.tobytes() + n.astype(np.uint32).tobytes() for h, n in sets], pa.binary())], ["doc_id", "shingles"])
+        _CACHE.clear()
+        give_back()
 
     near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     found = docs.select("doc_id", "text").join(near, "doc_id", "left_semi").mapInArrow(task, f"doc_id {kind}, shingles binary")

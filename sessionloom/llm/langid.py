@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import small_batches
+from sessionloom.llm.common import give_back, small_batches
 
 BUCKET_BITS = 13
 #: Steepness of the bits' votes, and the least lead of the best language over the next.
@@ -163,6 +163,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -
                     for i, b, s, d in zip(at, best, share, lead, strict=True):
                         names[i], scores[i], unsure[i] = model.languages[b], s, d < LEAD
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names), pa.array(scores), pa.array(unsure)], [*kept, "lang_pred", "score", "ambiguous"])
+        give_back()
 
     return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(task, schema)
 

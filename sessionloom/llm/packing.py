@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import small_batches
+from sessionloom.llm.common import give_back, small_batches
 
 #: Longest run of characters without white space that the fast encoder gets; longer runs cost it
 #: time in their square, so such documents go to the library's own encoder.
@@ -189,5 +189,6 @@ def pack_documents(
                 yield packed()
         if tails:
             yield packed()
+        give_back()
 
     return source.mapInArrow(task, schema)

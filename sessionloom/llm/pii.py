@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import small_batches, stored
+from sessionloom.llm.common import give_back, small_batches, stored
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("name", "number", "secret")
@@ -192,6 +192,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 text = text.as_py() or ""
                 rows.append([dict(zip(("kind", "start", "end", "votes", "features"), c, strict=True)) for c in candidates(text, base_spans(text))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, span)], ["doc_id", "spans"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(task, f"doc_id {kind}, spans array<struct<kind:int,start:int,end:int,votes:int,features:int>>")
 
@@ -333,5 +334,6 @@ def redact(docs: DataFrame, model: SpanModel, text_col: str = "text") -> DataFra
             columns = list(batch.columns)
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
+        give_back()
 
     return docs.mapInArrow(task, docs.schema)
