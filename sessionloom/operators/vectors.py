@@ -52,19 +52,37 @@ def knn(queries: DataFrame, base: DataFrame, k: int, *, skip_self: bool = False,
 
 
 def ann(queries: DataFrame, base: DataFrame, k: int, *, cells: int = 16, probes: int = 4, sample_rows: int = 20_000, seed: int = 1) -> DataFrame:
-    """As ``knn``, but each query looks into its ``probes`` nearest of ``cells`` k-means cells only.
+    """As ``knn``, by k-means cells: no row is lost, cells that cannot hold a nearer one are not read.
 
-    The cells are fitted on at most about ``sample_rows`` rows; every row is put into a cell.
+    Each query first looks into its ``probes`` nearest of ``cells`` cells, then into every other cell
+    whose radius lets it hold a row as near as the k-th found. Where vectors have no structure these
+    are nearly all cells. The cells are fitted on at most about ``sample_rows`` rows; every row is put
+    into a cell.
     """
     n = base.count()
     rows = base.select("id", "v", array_to_vector(F.col("v").cast("array<double>")).alias("features"))
     some = rows if n <= sample_rows else rows.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)) < sample_rows)
     model = KMeans(k=min(cells, max(1, n)), seed=seed, maxIter=10, featuresCol="features", predictionCol="cell").fit(some)
     centres = [[float(x) for x in c] for c in model.clusterCenters()]  # as many as cells
-    far = F.array(*[F.struct(l2("v", F.array(*[F.lit(x) for x in c])).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centres)])
-    probed = queries.select("query_id", F.col("v").alias("qv"), F.explode(F.transform(F.slice(F.array_sort(far), 1, probes), lambda s: s["cell"])).alias("cell"))
-    near = model.transform(rows).select("id", "v", "cell").join(probed, "cell").select("query_id", "id", F.round(l2("qv", "v"), 6).alias("distance"))
-    return top(near, k, F.asc("distance"), F.asc("id")).select("query_id", "rank", "id", "distance")
+    dealt = model.transform(rows).select("id", "v", "cell", F.pmod(F.xxhash64("id"), F.lit(LANES)).alias("_lane"))
+    own = F.element_at(F.array(*[F.array(*[F.lit(x) for x in c]) for c in centres]), F.col("cell") + 1)
+    radii = {r["cell"]: r["radius"] for r in dealt.groupBy("cell").agg(F.max(l2("v", own)).alias("radius")).collect()}
+    far = F.array_sort(F.array(*[F.struct(l2("v", F.array(*[F.lit(x) for x in c])).alias("d"), F.lit(i).alias("cell"), F.lit(radii[i]).alias("radius")) for i, c in enumerate(centres) if i in radii]))
+    asked = queries.select("query_id", F.col("v").alias("qv"), far.alias("far"))
+
+    def look(probed: DataFrame) -> DataFrame:
+        """The k nearest of each query in the cells given with it; a cell's rows are dealt to lanes."""
+        sent = probed.withColumn("_lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LANES - 1).cast("long"))))
+        near = dealt.join(sent, ["cell", "_lane"]).select("query_id", "id", F.round(l2("qv", "v"), 6).alias("distance"))
+        return top(near, k, F.asc("distance"), F.asc("id")).select("query_id", "rank", "id", "distance")
+
+    first = look(asked.select("query_id", "qv", F.explode(F.slice("far", 1, probes)["cell"]).alias("cell")))
+    kth = first.filter(F.col("rank") == k).select("query_id", F.col("distance").alias("kth"))
+    # distances are rounded, so a cell may hold a tie a little beyond
+    open_cells = F.filter(F.slice("far", probes + 1, len(centres)), lambda s: F.col("kth").isNull() | (s["d"] - s["radius"] <= F.col("kth") + 1e-5))
+    rest = look(asked.join(kth, "query_id", "left").select("query_id", "qv", F.explode(open_cells["cell"]).alias("cell")))
+    both = first.unionByName(rest).drop("rank")
+    return top(both, k, F.asc("distance"), F.asc("id")).select("query_id", "rank", "id", "distance")
 
 
 def maxsim(queries: DataFrame, base: DataFrame, k: int, *, scope: DataFrame | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import text
 from sessionloom.operators import evaluate, features, fusion, hierarchy, library, routes, segments, spatial, temporal, traces, vectors
+from sessionloom.plans.catalog import QUERIES as PLANS
 from sessionloom.sources import tables
 
 
@@ -271,6 +272,13 @@ def test_approximate_neighbours_recall(spark, sf):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_approximate_neighbours_as_registered(spark, sf):
+    base = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    exact = {(r.query_id, r.id) for r in vectors.knn(base.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "v"), base, 10).collect() if r.query_id != r.id}
+    found = {(r.query_id, r.id) for r in PLANS["t2_ann"](spark, sf).collect() if r.query_id != r.id}
+    assert exact and len(exact & found) >= 0.9 * len(exact)
+
+
 def test_hash_radius_matches_all_pairs(spark):
     rng = random.Random(10)
     base = [rng.getrandbits(64) - 2**63 for _ in range(8)]
