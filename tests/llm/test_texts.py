@@ -198,3 +198,23 @@ def test_licenses_and_their_differences(spark):
     assert [r.license for r in by[8]] == ["CC-BY-NC-4.0", "Apache-2.0"] and not {4, 5, 6} & set(by)
     assert licenses.scan(documents(spark, [])).count() == 0
     assert {r.doc_id: r.n_found for r in licenses.verdicts(documents(spark, rows)).collect()}[7] == 200
+
+
+@pytest.mark.parametrize("mark", ["\n", "\n * ", "\r\n# "])
+def test_wrapped_licenses_of_every_template(spark, mark):
+    names = sorted(licenses.TEMPLATES)
+    wrap = lambda t, n: mark.join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    rows = [(10 * i + n, "Some words before\n\n" + wrap(licenses.TEMPLATES[name], n) + "\n\nand words after") for i, name in enumerate(names) for n in (1, 2, 4, 7)]
+    rows.append((1000, "\n\n".join(wrap(licenses.TEMPLATES[name], 5) for name in names)))
+    got = {}
+    for r in licenses.scan(documents(spark, rows)).orderBy("start").collect():
+        got.setdefault(r.doc_id, []).append((r.license, r.exact))
+    assert got == {**{10 * i + n: [(name, True)] for i, name in enumerate(names) for n in (1, 2, 4, 7)}, 1000: [(name, True) for name in names]}
+
+
+def test_licenses_in_overlapping_windows_count_once(spark):
+    notice = licenses.TEMPLATES["GPL-notice"].replace(" ", "\n", 20)
+    text = ("Copyright holders " + "word " * 37) * 40
+    rows = [(n, text[: 11 * n] + "\n" + notice + "\n" + text) for n in range(0, 300, 25)]
+    assert {r.doc_id: (r.license, r.exact) for r in licenses.scan(documents(spark, rows)).collect()} == {n: ("GPL-notice", True) for n, _ in rows}
+    assert licenses.scan(documents(spark, rows)).count() == len(rows)
