@@ -1,11 +1,12 @@
 """Encoding to the pieces of a SentencePiece BPE model with seeded merge-dropout, and decoding.
 
-Each candidate merge of the agenda is skipped where a hash keyed by seed, chunk, variant, place and
-merged piece falls below the dropout. A chunk is a word with the spaces before it: no piece of such a
-model crosses from a word into the next one's spaces, so chunks can be encoded one by one. Equal
-chunks draw one of ``variants`` keys by document and place, so that one word is segmented in several
-ways over a corpus and each way is worked out once per worker. All new chunks of a batch go through
-the agenda together, as arrays: in each round every chunk takes its best remaining merge.
+Each candidate merge of the agenda is skipped where a hash keyed by seed, chunk, document, the chunk's
+position in it, place and merged piece falls below the dropout. A chunk is a word with the spaces
+before it: no piece of such a model crosses from a word into the next one's spaces, so chunks can be
+encoded one by one. Every occurrence of a chunk draws its own skips. A segmentation depends on which
+of the chunk's possible merges are skipped and on nothing else, so a worker remembers it by chunk and
+skipped merges. All new ones of a batch go through the agenda together, as arrays: in each round every
+chunk takes its best remaining merge.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ SPACE = "▁"
 _CHUNK = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 _NONE = np.int64(2**62)
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-#: Chunks whose segmentation a worker remembers.
-CACHE_CHUNKS = 800_000
+#: Segmentations, and chunks with their possible merges, that a worker remembers.
+CACHE_CHUNKS, KNOWN_CHUNKS = 600_000, 200_000
+#: Longest chunk, and most possible merges of one, for which they are listed; others always take the agenda.
+LISTED_LENGTH, LISTED_MERGES = 32, 63
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -73,9 +76,12 @@ class PairTable:
 
 
 class DropoutEncoder:
-    """One model, seed and dropout. ``dropout`` 0 gives the model's own segmentation."""
+    """One model, seed and dropout. ``dropout`` 0 gives the model's own segmentation.
 
-    def __init__(self, model: str, dropout: float, seed: int, variants: int):
+    ``variants``: 0 lets every occurrence draw its own skips; tests give a number to name draws.
+    """
+
+    def __init__(self, model: str, dropout: float, seed: int, variants: int = 0):
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=model)
@@ -105,8 +111,67 @@ class DropoutEncoder:
         # a literal U+2581 would decode to a space, so it is spelled in bytes; a space takes its piece
         self.char_ids[ord(" ")], self.char_ids[ord(SPACE)] = self.char_ids[ord(SPACE)], -1
         self.skip_below = np.uint64(min(max(dropout, 0.0), 1.0) * (2**64 - 2**12))
-        self.drops, self.seed, self.variants = dropout > 0, seed, max(1, variants) if dropout > 0 else 1
-        self.cache: dict[tuple[str, int], bytes] = {}
+        self.drops, self.seed, self.variants = dropout > 0, seed, variants
+        self.ids = {p.replace(SPACE, " "): n for p, n in ids.items() if len(p) > 1}
+        self.longest = max(map(len, self.ids), default=0)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.cache: dict[tuple[int, int], bytes] = {}
+        self.known: dict[str, int] = {}  # -1: not listed
+        self.spread = np.zeros(0, np.uint64)
+        self.first, self.merges = np.zeros(1, np.int64), np.zeros(0, np.uint64)
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Lists the merges that may come up in each chunk: its pieces, by place."""
+        listed, counts, places, pieces = [], [], [], []
+        for c in chunks:
+            n, own = len(c), []
+            if n <= LISTED_LENGTH:
+                get = self.ids.get
+                own = [(i, p) for i in range(n - 1) for j in range(i + 2, min(n, i + self.longest) + 1) if (p := get(c[i:j])) is not None]
+            if n > LISTED_LENGTH or len(own) > LISTED_MERGES:
+                if n <= LISTED_LENGTH:
+                    self.known[c] = -1
+                continue
+            self.known[c] = len(self.spread) + len(listed)
+            listed.append(c)
+            counts.append(len(own))
+            places += [i for i, _ in own]
+            pieces += [p for _, p in own]
+        if listed:
+            points, lengths, start = self._points(listed)
+            self.spread = np.concatenate([self.spread, self._spread(points, lengths, start)])
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
+            self.merges = np.concatenate([self.merges, np.array(places, np.uint64) * _M[0] + np.array(pieces, np.uint64) * _M[2]])
+
+    @staticmethod
+    def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code points of all texts, the texts' lengths, and each point's place in its text."""
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        return points, lengths, np.arange(len(points)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+    def _spread(self, points: np.ndarray, lengths: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """A hash of seed and characters for each text."""
+        spread = _mix(points.astype(np.uint64) + (start.astype(np.uint64) + np.uint64(1)) * _M[0] + np.uint64(self.seed * int(_M[2]) % 2**64))
+        return np.add.reduceat(spread, np.cumsum(lengths) - lengths)
+
+    def _skipped(self, which: np.ndarray, draws: np.ndarray) -> np.ndarray:
+        """For each occurrence of a listed chunk, a bit for each of its merges that is skipped."""
+        masks = np.zeros(len(which), np.uint64)
+        if not self.drops or not len(which):
+            return masks
+        counts = self.first[which + 1] - self.first[which]
+        key = _mix(self.spread[which] + draws * _M[1])
+        bit = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        h = _mix(np.repeat(key, counts) + self.merges[np.repeat(self.first[which], counts) + bit])
+        hit = np.nonzero(h < self.skip_below)[0]
+        if len(hit):
+            of = np.repeat(np.arange(len(which)), counts)[hit]
+            at = np.concatenate([[0], np.nonzero(np.diff(of))[0] + 1])
+            masks[of[at]] = np.bitwise_or.reduceat(np.uint64(1) << bit[hit].astype(np.uint64), at)
+        return masks
 
     def _candidates(self, sym, start, key, chunk, at, n) -> np.ndarray:
         """Order of merging symbol ``at`` with the next one, or _NONE: by rank, then from the left."""
@@ -119,17 +184,14 @@ class DropoutEncoder:
         return np.where(ok, self.rank[merged] << np.int64(40) | start[at], _NONE)
 
     def agenda(self, chunks: list[tuple[str, int]]) -> list[bytes]:
-        """Piece ids (little-endian uint16 or uint32 as int32 bytes) of each chunk and variant."""
+        """Piece ids (little-endian uint16 or uint32 as int32 bytes) of each chunk and draw."""
         texts = [c for c, _ in chunks]
-        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        points, lengths, start = self._points(texts)
         chunk = np.repeat(np.arange(len(texts)), lengths)
-        start = np.arange(len(points)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         sym = self.char_ids[points]
         sym = np.where(sym < 0, ~points.astype(np.int64), sym)  # characters without a piece stay below zero
-        spread = _mix(points.astype(np.uint64) + (start.astype(np.uint64) + np.uint64(1)) * _M[0] + np.uint64(self.seed * int(_M[2]) % 2**64))
-        variant = np.fromiter((v for _, v in chunks), np.uint64, len(chunks))
-        key = _mix(np.add.reduceat(spread, np.cumsum(lengths) - lengths) + variant * _M[1])[chunk]
+        draw = np.fromiter((v for _, v in chunks), np.uint64, len(chunks))
+        key = _mix(self._spread(points, lengths, start) + draw * _M[1])[chunk]
         done_chunk, done_sym, done_start = [], [], []
         order = self._candidates(sym, start, key, chunk, np.arange(len(sym)), len(sym))
         while len(sym):
@@ -171,23 +233,41 @@ class DropoutEncoder:
         return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def encode(self, texts: list[str], names: list[int]) -> list[np.ndarray]:
-        """Piece ids of each text; ``names`` (hashes of the documents' ids) key the choice of variants."""
+        """Piece ids of each text; ``names`` (hashes of the documents' ids) and places key the draws."""
         split = [_CHUNK.findall(" " + t) if t else [] for t in texts]
-        keys: list[list[tuple[str, int]]] = []
-        for name, parts in zip(names, split, strict=True):
-            if self.variants > 1:
-                which = _mix(np.arange(len(parts), dtype=np.uint64) * _M[0] + np.uint64(name)) % np.uint64(self.variants)
-                keys.append(list(zip(parts, which.tolist(), strict=True)))
-            else:
-                keys.append([(p, 0) for p in parts])
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        known = self.cache.get
-        new = list({k for row in keys for k, found in zip(row, map(known, row), strict=True) if found is None})
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            self.cache.update(zip(part, self.agenda(part), strict=True))
-        return [np.frombuffer(b"".join(map(self.cache.__getitem__, row)), "<i4") for row in keys]
+        flat = [c for parts in split for c in parts]
+        if len(self.cache) > CACHE_CHUNKS or len(self.known) > KNOWN_CHUNKS:
+            self._forget()
+        self._learn([c for c in dict.fromkeys(flat) if c not in self.known])
+        which = np.fromiter((self.known.get(c, -1) for c in flat), np.int64, len(flat))
+        draws = np.concatenate([np.empty(0, np.uint64), *(_mix(np.arange(len(parts), dtype=np.uint64) * _M[0] + np.uint64(name)) for name, parts in zip(names, split, strict=True))])
+        if self.variants:
+            draws %= np.uint64(self.variants)
+        masks = np.zeros(len(flat), np.uint64)
+        listed = np.nonzero(which >= 0)[0]
+        masks[listed] = self._skipped(which[listed], draws[listed])
+        keys = list(zip(which.tolist(), masks.tolist(), strict=True))
+        out = list(map(self.cache.get, keys))
+        wanted: dict[tuple[int, int], int] = {}
+        alone = []
+        for i, found in enumerate(out):
+            if found is None:
+                if keys[i][0] < 0:
+                    alone.append(i)
+                else:
+                    wanted.setdefault(keys[i], i)
+        new, at, points = [*wanted.values(), *alone], 0, 0
+        for end, i in enumerate(new, 1):  # by as many characters as fit an agenda
+            points += len(flat[i])
+            if points >= 400_000 or end == len(new):
+                part, at, points = new[at:end], end, 0
+                for j, data in zip(part, self.agenda([(flat[j], int(draws[j])) for j in part]), strict=True):
+                    out[j] = data
+                    if keys[j][0] >= 0:
+                        self.cache[keys[j]] = data
+        out = [self.cache[k] if x is None else x for k, x in zip(keys, out, strict=True)]
+        ends = np.cumsum([0, *map(len, split)]).tolist()
+        return [np.frombuffer(b"".join(out[a:b]), "<i4") for a, b in zip(ends, ends[1:], strict=False)]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that ``encode`` got: pieces joined, the space put before it taken away."""
@@ -195,7 +275,7 @@ class DropoutEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(model: str, dropout: float, seed: int, variants: int) -> DropoutEncoder:
+def encoder(model: str, dropout: float, seed: int, variants: int = 0) -> DropoutEncoder:
     return DropoutEncoder(model, dropout, seed, variants)
 
 
@@ -204,9 +284,11 @@ def _lists(ids: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([*ids, np.empty(0, "<i4")]).astype(np.int32)))
 
 
-def encode_documents(docs: DataFrame, model: str, *, dropout: float = 0.1, seed: int = 1, variants: int = 4) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, *, dropout: float = 0.1, seed: int = 1, variants: int = 0) -> DataFrame:
     """doc_id, ids, n_ids, ids_crc32, lossless for every row of ``docs`` (doc_id, text).
 
+    ``variants``: 0 lets every occurrence of a word draw its own skips; a number caps the ways in which
+    a word is segmented.
     ``lossless``: the ids decode to the very text. A null text counts as empty, which has no ids;
     repeated rows are encoded alike; an empty table gives no rows; other columns are ignored. A
     literal U+2581 is spelled in bytes, so that it decodes to itself.
@@ -236,7 +318,7 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(model, 0.0, 0, 1)
+        own = encoder(model, 0.0, 0)
         for batch in batches:
             texts = [None if x is None else own.decode(np.array(x, np.int64)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])

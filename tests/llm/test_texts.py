@@ -218,3 +218,32 @@ def test_licenses_in_overlapping_windows_count_once(spark):
     rows = [(n, text[: 11 * n] + "\n" + notice + "\n" + text) for n in range(0, 300, 25)]
     assert {r.doc_id: (r.license, r.exact) for r in licenses.scan(documents(spark, rows)).collect()} == {n: ("GPL-notice", True) for n, _ in rows}
     assert licenses.scan(documents(spark, rows)).count() == len(rows)
+
+
+def test_every_occurrence_draws_its_own_skips(spark):
+    word, n = " internationalisation", 2000
+    own = mergedropout.encoder(MODEL, 0.1, 1)
+    rows = mergedropout.encode_documents(documents(spark, [(i, word[1:] + word * (n - 1)) for i in range(2)]), MODEL).orderBy("doc_id").collect()
+    ways = []
+    for r in rows:
+        ways.append([])
+        name = mergedropout.xxhash.xxh3_64_intdigest(str(r.doc_id), seed=1)
+        at = 0
+        for i in range(n):
+            draw = int(mergedropout._mix(np.array([(i * int(mergedropout._M[0]) + name) % 2**64], np.uint64))[0])
+            want = naive_dropout(own, word, draw) if i < 10 else np.frombuffer(own.agenda([(word, draw)])[0], "<i4").tolist()
+            assert r.ids[at : at + len(want)] == want
+            at += len(want)
+            ways[-1].append(tuple(want))
+        assert at == len(r.ids) and r.lossless
+    assert len(set(ways[0])) > 4 and ways[0] != ways[1]
+
+
+def test_remembered_segmentations_are_those_of_the_agenda():
+    own = mergedropout.DropoutEncoder(MODEL, 0.3, 5)
+    texts = [t * 20 for t in TEXTS] + ["aaaaaaaa " * 30, "a" * 90, "\u2581x\u2581the " * 9]
+    for _ in range(2):  # the second time from memory
+        for name, (text, got) in enumerate(zip(texts, own.encode(texts, list(range(len(texts)))), strict=True)):
+            chunks = mergedropout._CHUNK.findall(" " + text) if text else []
+            draws = mergedropout._mix(np.arange(len(chunks), dtype=np.uint64) * mergedropout._M[0] + np.uint64(name)).tolist()
+            assert got.tobytes() == b"".join(own.agenda(list(zip(chunks, draws, strict=True))) if chunks else [])
