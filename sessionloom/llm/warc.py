@@ -75,6 +75,40 @@ def _uri(url: Column, page_id: Column) -> Column:
     return F.when(safe == "", F.concat(F.lit("urn:page:"), page_id.cast("string"))).otherwise(safe)
 
 
+def _record(revisit: Column, refers_to: Column, record_id: Column, date: str) -> Column:
+    """The bytes of a record of page_id, url, payload, payload_bytes and payload_digest, as text.
+
+    A revisit whose length or digest is not known (null) goes without that header line.
+    """
+    crlf = F.lit("\r\n")
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, crlf)
+    known = lambda text: F.coalesce(text, F.lit(""))
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), known(line("Content-Length", F.col("payload_bytes").cast("string"))), crlf)
+    block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
+    return F.concat(
+        F.lit(VERSION), crlf,
+        line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
+        line("WARC-Record-ID", record_id),
+        line("WARC-Date", F.lit(date)),
+        line("WARC-Target-URI", _uri(F.col("url"), F.col("page_id"))),
+        known(line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest")))),
+        F.when(revisit, F.concat(line("WARC-Profile", F.lit(REVISIT_PROFILE)), known(line("WARC-Refers-To", refers_to)))).otherwise(F.lit("")),
+        line("X-Page-Id", F.col("page_id").cast("string")),
+        line("Content-Type", F.lit("application/http;msgtype=response")),
+        line("Content-Length", F.octet_length(block).cast("string")),
+        crlf, block,
+    )
+
+
+def _write(records: DataFrame, path: str, compression: str, records_per_file: int) -> None:
+    options = {"lineSep": END, "compression": compression, "maxRecordsPerFile": records_per_file}
+    records.write.options(**options).text(path)
+
+
+def _sent(plan: DataFrame) -> DataFrame:
+    return F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
+
+
 def write_archives(
     pages: DataFrame, path: str, *, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z",
     id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", compression: str = "gzip", records_per_file: int = 4096,
@@ -87,31 +121,16 @@ def write_archives(
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": payload_digest(F.col("payload"))})
-    plan = stored(revisit_plan(rows.select("page_id", "payload_bytes", "payload_digest"), least_bytes))
-    if plan.count() <= BROADCAST_ROWS:
-        plan = F.broadcast(plan)
+    plan = _sent(stored(revisit_plan(rows.select("page_id", "payload_bytes", "payload_digest"), least_bytes)))
+    _write(_resolved(rows, plan, date), path, compression, records_per_file)
+
+
+def _resolved(rows: DataFrame, plan: DataFrame, date: str) -> DataFrame:
+    """value: a record for each row with a payload, a revisit where the plan names another page."""
     rows = rows.join(plan, ["payload_digest", "payload_bytes"], "left")
     # of several rows with the responding id, each is a response: nothing refers to itself
     revisit = F.col("response_id").isNotNull() & (F.col("response_id") != F.col("page_id"))
-    crlf = F.lit("\r\n")
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
-    block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, crlf)
-    record = F.concat(
-        F.lit(VERSION), crlf,
-        line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", _record_id(F.col("page_id"))),
-        line("WARC-Date", F.lit(date)),
-        line("WARC-Target-URI", _uri(F.col("url"), F.col("page_id"))),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit(REVISIT_PROFILE)), line("WARC-Refers-To", _record_id(F.col("response_id"))))).otherwise(F.lit("")),
-        line("X-Page-Id", F.col("page_id").cast("string")),
-        line("Content-Type", F.lit("application/http;msgtype=response")),
-        line("Content-Length", F.octet_length(block).cast("string")),
-        crlf, block,
-    )
-    options = {"lineSep": END, "compression": compression, "maxRecordsPerFile": records_per_file}
-    rows.select(record.alias("value")).write.options(**options).text(path)
+    return rows.select(_record(revisit, _record_id(F.col("response_id")), _record_id(F.col("page_id")), date).alias("value"))
 
 
 _HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
@@ -187,10 +206,32 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     return own.unionByName(joined)
 
 
-def deduplicate_archives(spark: SparkSession, source: str, target: str, *, least_bytes: int = 0) -> None:
-    """Reads archives, resolves equal payloads among their responses, and writes them with fresh headers."""
-    records = read_archives(spark, source).filter("record_type = 'response'")
-    write_archives(records.select("page_id", "url", F.col("payload").cast("string").alias("html")), target, least_bytes=least_bytes)
+def deduplicate_archives(spark: SparkSession, source: str, target: str, *, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", compression: str = "gzip", records_per_file: int = 4096) -> None:
+    """Reads archives, resolves equal payloads among their responses, and writes all records with fresh headers.
+
+    A revisit of the source is joined to its response by record id and becomes a revisit to the
+    response kept for that payload (the largest page id). One whose response is absent stays as it is:
+    stated digest, no length, and the record id that it refers to.
+    """
+    heads = stored(read_archives(spark, source, keep_payload=False).drop("payload"))
+    responses = heads.filter("record_type = 'response'")
+    plan = _sent(stored(revisit_plan(responses, least_bytes)))
+    rows = read_archives(spark, source).filter("record_type = 'response'").select("page_id", "url", F.col("payload").cast("string").alias("payload"), "payload_bytes", "payload_digest")
+
+    kept = responses.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("response_id"))
+    originals = (
+        responses.groupBy(F.col("record_id").alias("refers_to_id"))
+        .agg(F.max(F.struct("page_id", "payload_digest", "payload_bytes")).alias("_of"))
+        .select("refers_to_id", "_of.payload_digest", "_of.payload_bytes")
+        .join(kept, ["payload_digest", "payload_bytes"])
+    )
+    again = heads.filter("record_type = 'revisit'").select("page_id", "url", "refers_to_id", "stated_digest").join(originals, "refers_to_id", "left")
+    again = again.withColumns({"payload": F.lit(""), "payload_digest": F.coalesce("payload_digest", "stated_digest")})
+    # a page may be in the source both as a response and as a revisit to it
+    own = F.when(F.col("response_id") == F.col("page_id"), F.concat(F.col("page_id").cast("string"), F.lit(":revisit"))).otherwise(F.col("page_id").cast("string"))
+    refers_to = F.coalesce(_record_id(F.col("response_id")), F.col("refers_to_id"))
+    revisits = again.select(_record(F.lit(True), refers_to, _record_id(own), date).alias("value"))
+    _write(_resolved(rows, plan, date).unionByName(revisits), target, compression, records_per_file)
 
 
 def round_trip(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:

@@ -3,6 +3,8 @@ import hashlib
 import itertools
 import tempfile
 
+from pyspark.sql import functions as F
+
 from sessionloom.llm import queries, urlrules, warc
 from tests.llm.helpers import documents
 
@@ -45,6 +47,30 @@ def test_archives_are_read_back_whole(spark):
     assert again == expect(ROWS)
 
 
+def test_revisits_of_a_source_archive_are_kept(spark):
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/w"
+    warc.write_archives(pages(spark, ROWS), path + "/a")  # holds revisits
+    more = [(21, "http://g", "<p>one</p>"), (22, "http://h", "<p>two</p>"), (23, "http://i", "<p>one</p>")]
+    warc.write_archives(pages(spark, more), path + "/b")
+    warc.deduplicate_archives(spark, path, path + "-2")
+    back = warc.read_archives(spark, path + "-2")
+    assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.resolve_revisits(back).collect()} == expect(ROWS + more)
+    assert back.count() == len(ROWS) + len(more) and back.filter("not intact").count() == 0
+    # a second pass changes nothing, nor do small payloads lose their revisits
+    warc.deduplicate_archives(spark, path + "-2", path + "-3", least_bytes=10**9)
+    assert sorted(map(str, warc.read_archives(spark, path + "-3").collect())) == sorted(map(str, back.collect()))
+
+
+def test_revisits_without_their_response_are_kept(spark):
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/w"
+    record = warc._record(F.lit(True), warc._record_id(F.lit(7)), warc._record_id(F.concat(F.col("page_id").cast("string"), F.lit("old"))), "2023-01-01T00:00:00Z")
+    rows = spark.createDataFrame([(5, "http://x", "", 10, "AAAA"), (6, "http://y", "", None, None)], "page_id long, url string, payload string, payload_bytes long, payload_digest string")
+    warc._write(rows.select(record.alias("value")), path, "gzip", 10)
+    warc.deduplicate_archives(spark, path, path + "2")
+    first, second = (sorted((r.page_id, r.record_type, r.url, r.refers_to_id, r.stated_digest) for r in warc.read_archives(spark, p).collect()) for p in (path, path + "2"))
+    assert first == second and [r[4] for r in first] == ["AAAA", None]
+
+
 def test_urls_and_given_rules(spark):
     cases = {
         "https://WWW.Example.com/en/1?q#f": ("www.example.com", "/en/1", "www.example.com/en/"), "http://x.example.com/en/": ("x.example.com", "/en/", "example.com/en/"),
