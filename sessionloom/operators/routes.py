@@ -79,12 +79,12 @@ def compatible_pairs(routes: DataFrame, *, rule: str = "insertions", budget: int
     return similarity(met).filter(F.col("lcs_ratio" if rule == "lcs" else "jaccard") >= least).select("a_key", "b_key")
 
 
-def _families(keys: DataFrame, pairs: DataFrame, rounds: int = 60) -> DataFrame:
+def _families(keys: DataFrame, pairs: DataFrame) -> DataFrame:
     """route_key, family: least key that compatible pairs lead to, spreading along links and along what neighbours know."""
     ensure_checkpoint_dir(keys.sparkSession)
     links = pairs.select(F.col("a_key").alias("x"), F.col("b_key").alias("y")).union(pairs.select("b_key", "a_key")).checkpoint()
     label = keys.select(F.col("route_key").alias("x"), F.col("route_key").alias("family"))
-    for _ in range(rounds):
+    while True:  # labels only fall, so this ends
         near = links.join(label.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("family").alias("near"))
         hop = label.join(near, "x", "left").select("x", F.col("family").alias("was"), F.least("family", F.coalesce("near", "family")).alias("m"))
         new = hop.join(label.select(F.col("x").alias("m"), F.col("family").alias("far")), "m").select("x", "was", F.least("m", "far").alias("family")).checkpoint()

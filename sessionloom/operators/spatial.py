@@ -59,7 +59,7 @@ def weighted_points(ev: DataFrame) -> DataFrame:
     return ev.filter(F.col("kind").isin(*EVENT_WEIGHTS) & F.col("x").isNotNull() & F.col("y").isNotNull()).withColumn("weight", weight[F.col("kind")])
 
 
-def dbscan(points: DataFrame, *, eps: float = 80.0, min_weight: float = 3.0, rounds: int = 40) -> DataFrame:
+def dbscan(points: DataFrame, *, eps: float = 80.0, min_weight: float = 3.0) -> DataFrame:
     """frame_id, point_id, cluster (-1 for noise) by weighted density.
 
     ``points``: frame_id, point_id, x, y, weight. Neighbours meet by cells of ``eps``. A point is core
@@ -76,7 +76,7 @@ def dbscan(points: DataFrame, *, eps: float = 80.0, min_weight: float = 3.0, rou
     edges = pairs.join(core, ["frame_id", "p"], "left_semi").select("frame_id", "p", "q")
     inner = edges.join(core.withColumnRenamed("p", "q"), ["frame_id", "q"], "left_semi").select("frame_id", "p", "q").checkpoint()
     label = core.select("frame_id", "p", F.col("p").alias("label"))
-    for _ in range(rounds):
+    while True:  # labels only fall, so this ends
         spread = inner.join(label.withColumnRenamed("p", "q"), ["frame_id", "q"]).groupBy("frame_id", "p").agg(F.min("label").alias("near"))
         # one hop to the least neighbour, one more to that neighbour's own label
         hop = label.join(spread, ["frame_id", "p"]).select("frame_id", "p", F.col("label").alias("was"), F.least("label", "near").alias("m"))
@@ -157,15 +157,15 @@ def nest(elements: DataFrame, tolerance: float = 1.0) -> DataFrame:
 
 
 def depths(nested: DataFrame, most: int = 64) -> DataFrame:
-    """snapshot_id, idx, depth from parents, one level a round."""
+    """snapshot_id, idx, depth from parents, one level a round; raises where elements lie deeper than ``most``."""
     known = nested.filter("parent is null").select("snapshot_id", "idx", F.lit(0).alias("depth"))
     front, out = known, known
-    for depth in range(1, most):
+    for depth in range(1, most + 1):
         front = nested.join(front.select("snapshot_id", F.col("idx").alias("parent")), ["snapshot_id", "parent"]).select("snapshot_id", "idx", F.lit(depth).alias("depth")).checkpoint()
         if front.isEmpty():
-            break
+            return out
         out = out.unionByName(front)
-    return out
+    raise ValueError(f"elements lie deeper than {most} levels")
 
 
 def dhash(thumbs: DataFrame) -> DataFrame:

@@ -127,20 +127,22 @@ def embed_text(docs: DataFrame, *, id_col: str, text_tokens: Column, dims: int =
     return pipeline.fit(rows).transform(rows).select("id", vector_to_array("unit").alias("v"))
 
 
-def highlights(scores: DataFrame, *, floor: float = 0.8, most: int = 8, rounds: int = 12) -> DataFrame:
+def highlights(scores: DataFrame, *, floor: float = 0.8, most: int = 8) -> DataFrame:
     """Boxes of cells that answer a query: query_id, frame_id, r0, c0, r1, c1, strength.
 
     ``scores``: query_id, frame_id, r, c, score. Cells at or below 0 or under ``floor`` of the frame's
     best go; the rest join side by side; the strongest ``most`` boxes stay. Labels spread to the least
-    neighbour until nothing changes, at most ``rounds`` doublings of a grid's width.
+    neighbour, and on to that one's own label, until nothing changes.
     """
     frame = ["query_id", "frame_id"]
     best = F.max("score").over(Window.partitionBy(*frame))
     cells = scores.withColumn("_best", best).filter((F.col("score") > 0) & (F.col("score") >= floor * F.col("_best"))).withColumn("label", F.col("r") * 100_000 + F.col("c")).drop("_best")
-    for _ in range(rounds):
+    while True:
         around = cells.select(*frame, "r", "c", "label", F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((0, 0), (0, 1), (1, 0), (0, -1), (-1, 0))])).alias("s"))
         spread = around.groupBy(*frame, (F.col("r") + F.col("s.dr")).alias("r"), (F.col("c") + F.col("s.dc")).alias("c")).agg(F.min("label").alias("near"))
-        moved = cells.join(spread, [*frame, "r", "c"]).withColumn("label", F.least("label", "near")).drop("near").checkpoint()
+        hop = cells.join(spread, [*frame, "r", "c"]).withColumn("label", F.least("label", "near")).drop("near")
+        own = cells.select(*frame, (F.col("r") * 100_000 + F.col("c")).alias("at"), F.col("label").alias("far"))
+        moved = hop.withColumn("at", F.col("label")).join(own, [*frame, "at"]).withColumn("label", F.least("label", "far")).drop("at", "far").checkpoint()
         changed = moved.join(cells.select(*frame, "r", "c", F.col("label").alias("was")), [*frame, "r", "c"]).filter("label <> was").isEmpty()
         cells = moved
         if changed:

@@ -279,6 +279,20 @@ def test_approximate_neighbours_as_registered(spark, sf):
     assert exact and len(exact & found) >= 0.9 * len(exact)
 
 
+def test_a_long_region_is_one_box(spark):
+    # rows of 16 cells joined at alternating ends: 136 steps from end to end
+    snake = [(r, c) for r in range(0, 16, 2) for c in range(16)] + [(r, 15 if r % 4 == 1 else 0) for r in range(1, 15, 2)]
+    cells = spark.createDataFrame([(1, 1, r, c, 1.0) for r, c in snake], "query_id int, frame_id int, r int, c int, score double")
+    assert [(b.r0, b.c0, b.r1, b.c1) for b in vectors.highlights(cells).collect()] == [(0, 0, 14, 15)]
+
+
+def test_depths_beyond_the_bound_raise(spark):
+    nested = spark.createDataFrame([(1, i, i - 1 if i else None) for i in range(5)], "snapshot_id int, idx int, parent int")
+    assert {r.idx: r.depth for r in spatial.depths(nested, 5).collect()} == {i: i for i in range(5)}
+    with pytest.raises(ValueError):
+        spatial.depths(nested, 3)
+
+
 def test_hash_radius_matches_all_pairs(spark):
     rng = random.Random(10)
     base = [rng.getrandbits(64) - 2**63 for _ in range(8)]
