@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -136,7 +137,7 @@ TEXTS = ["", " ", "  a  b\n c d ", "añ\tb日\x00 x", "日本語 テキスト",
 
 
 def test_without_dropout_the_model_s_own_pieces():
-    own, sp = mergedropout.DropoutEncoder(MODEL, 0.0, 1, 4), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    own, sp = mergedropout.DropoutEncoder(MODEL, 0.0, 1), sentencepiece.SentencePieceProcessor(model_file=MODEL)
     assert [x.tolist() for x in own.encode(TEXTS, list(range(len(TEXTS))))] == sp.encode(TEXTS)
 
 
@@ -151,7 +152,7 @@ def naive_dropout(own, chunk, variant):
         best = None
         for i in range(len(sym) - 1):
             if sym[i] >= 0 and sym[i + 1] >= 0:
-                got = int(own.pairs.get(np.array([sym[i]]), np.array([sym[i + 1]]))[0])
+                got = own.merged(sym[i], sym[i + 1])
                 if got >= 0 and int(mix(key + start[i] * m[0] + got * m[2])[0]) >= int(own.skip_below):
                     best = min(best or (2**62, 0, 0), (int(own.rank[got]), i, got))
         if best is None:
@@ -162,18 +163,37 @@ def naive_dropout(own, chunk, variant):
 
 
 def test_agenda_matches_a_plain_one():
-    own = mergedropout.DropoutEncoder(MODEL, 0.3, 5, 4)
+    own = mergedropout.DropoutEncoder(MODEL, 0.3, 5)
     chunks = [(c, v) for c in (" internationalisation", " thonanonthe", "日本x", " añ", "\n", " aaaaaaaaaaaa") for v in range(4)]
     assert [np.frombuffer(x, "<i4").tolist() for x in own.agenda(chunks)] == [naive_dropout(own, c, v) for c, v in chunks]
 
 
+def test_long_chunks_take_the_same_agenda():
+    own = mergedropout.DropoutEncoder(MODEL, 0.2, 5)
+    rng = random.Random(2)
+    chunks = ["".join(rng.choice("abcdethéx日 "[: 11 - n % 2]).replace(" ", "e") for _ in range(rng.randint(1, 90))) for n in range(60)]
+    assert [np.frombuffer(x, "<i4").tolist() for x in own.agenda([(c, i) for i, c in enumerate(chunks)])] == [naive_dropout(own, c, i) for i, c in enumerate(chunks)]
+    text = "".join(rng.choice("abcdefghijklmnop") for _ in range(1_000_000))
+    began = time.monotonic()
+    ids, each = own.encode_all(["the", text, "end"], [1, 2, 3])
+    assert time.monotonic() - began < 60 and own.lossless(["the", text, "end"], ids, each).all()
+
+
+def test_pair_tables_answer_as_dictionaries():
+    rng = random.Random(4)
+    pairs = {(min(rng.randrange(300), rng.randrange(300)), rng.randrange(300)): rng.randrange(10**6) for _ in range(4000)}
+    table = mergedropout.PairTable(pairs, 302)
+    left, right = np.repeat(np.arange(302), 302), np.tile(np.arange(302), 302)
+    assert table.get(left, right).tolist() == [pairs.get((a, b), -1) for a, b in zip(left.tolist(), right.tolist(), strict=True)]
+
+
 def test_dropout_varies_and_decodes_losslessly(spark):
     docs = documents(spark)
     rows = mergedropout.encode_documents(docs, MODEL, dropout=0.2).collect()
     assert len(rows) == docs.count() and all(r.lossless for r in rows)
     again = mergedropout.encode_documents(docs, MODEL, dropout=0.2, seed=2).collect()
     assert {r.doc_id: r.ids for r in rows}[5] != {r.doc_id: r.ids for r in again}[5]
-    own = mergedropout.DropoutEncoder(MODEL, 0.2, 1, 4)
+    own = mergedropout.DropoutEncoder(MODEL, 0.2, 1)
     ids = own.encode(["internationalisation " * 50], [3])[0]
     assert len({tuple(own.agenda([(" internationalisation", v)])[0]) for v in range(4)}) > 1 and own.decode(ids) == "internationalisation " * 50
     decoded = {r.doc_id: r.text for r in mergedropout.decode_documents(mergedropout.encode_documents(docs, MODEL), MODEL).collect()}
@@ -239,11 +259,11 @@ def test_every_occurrence_draws_its_own_skips(spark):
     assert len(set(ways[0])) > 4 and ways[0] != ways[1]
 
 
-def test_remembered_segmentations_are_those_of_the_agenda():
+def test_texts_take_the_agenda_chunk_by_chunk():
     own = mergedropout.DropoutEncoder(MODEL, 0.3, 5)
     texts = [t * 20 for t in TEXTS] + ["aaaaaaaa " * 30, "a" * 90, "\u2581x\u2581the " * 9]
-    for _ in range(2):  # the second time from memory
+    for _ in range(2):
         for name, (text, got) in enumerate(zip(texts, own.encode(texts, list(range(len(texts)))), strict=True)):
-            chunks = mergedropout._CHUNK.findall(" " + text) if text else []
+            chunks = re.findall(r" +[^ \n]*|\n|[^ \n]+", " " + text) if text else []
             draws = mergedropout._mix(np.arange(len(chunks), dtype=np.uint64) * mergedropout._M[0] + np.uint64(name)).tolist()
             assert got.tobytes() == b"".join(own.agenda(list(zip(chunks, draws, strict=True))) if chunks else [])
