@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm.common import ascii_lower, stored
 
-BLOCKED = "label:block"
+#: The class of a blocked URL: no token has this prefix.
+BLOCKED = "class:block"
 #: Most mined rules that are sent whole to every executor.
 BROADCAST_RULES = 50_000
 
@@ -64,12 +65,15 @@ def tokens_of(url: Column) -> Column:
     return F.when(url.isNull(), F.array().cast("array<string>")).otherwise(F.array_distinct(everything))
 
 
-def mine_rules(labelled: DataFrame, *, min_support: float = 0.002, min_rows: int = 5, min_confidence: float = 0.6, min_lift: float = 1.5) -> DataFrame:
+def mine_rules(labelled: DataFrame, *, min_support: float = 0.002, min_rows: int = 5, min_confidence: float = 0.6, min_lift: float = 1.0) -> DataFrame:
     """rule_id, tokens, confidence, support: combinations whose URLs are mostly blocked.
 
     ``labelled``: url, blocked. A rule's tokens must be in ``min_support`` of the labelled rows and in
     ``min_rows``; so at most (tokens a URL / min_support) tokens are frequent, however many rows there
-    are. A rule that holds another of no less confidence is dropped. No labelled rows: no rules.
+    are. A rule that holds another of no less confidence is dropped, as is one below ``min_lift``,
+    its confidence by the share of blocked rows (1: no rule that is worse than chance). Rows with a
+    null URL or label teach nothing; repeated rows count as often as they occur. No labelled rows: no
+    rules.
     """
     spark = labelled.sparkSession
     rows = stored(labelled.filter(F.col("url").isNotNull() & F.col("blocked").isNotNull()).select(F.concat(tokens_of(F.col("url")), F.when(F.col("blocked"), F.array(F.lit(BLOCKED))).otherwise(F.array().cast("array<string>"))).alias("items")))
@@ -120,7 +124,10 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: dict[str, str], *, id_co
     of ``pages`` are ignored.
     """
     mined = match_rules(pages.select(F.col(url_col).alias("url")), mine_rules(labelled, **mining))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).join(mined, "url", "left")
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
+    # rows without a URL match nothing: each gets a key of its own, so that they don't meet in one task
+    rows = rows.withColumn("at", F.coalesce("url", F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))))
+    rows = rows.join(mined.withColumnRenamed("url", "at"), "at", "left")
     host, path = host_of(F.coalesce("url", F.lit(""))), path_of(F.coalesce("url", F.lit("")))
     rows = rows.select("page_id", host.alias("host"), path.alias("path"), "mined_rule", "mined_confidence")
     rule, verdict = given_rule(F.col("host"), F.col("path"), rules)

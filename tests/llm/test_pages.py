@@ -1,8 +1,10 @@
 import base64
+import gzip
 import hashlib
 import itertools
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.llm import queries, urlrules, warc
@@ -104,6 +106,50 @@ def test_mined_rules_match_brute_force(spark):
     assert matched == {u for (u, _), t in zip(rows, tokens) if any(set(c) <= t for c in want)}
 
 
+def test_hosts_named_like_a_class(spark):
+    rows = [(f"http://block.example.org/{'bad' if i % 2 else 'good'}/{i}", i % 2 == 1) for i in range(20)] + [(None, True), ("http://x.org/", None)]
+    labelled = spark.createDataFrame(rows, "url string, blocked boolean")
+    mined = urlrules.mine_rules(labelled, min_support=0.1, min_rows=3)
+    assert {tuple(r.tokens) for r in mined.collect()} == {("dir:bad",)}
+    asked = pages(spark, [(i, u, None) for i, (u, _) in enumerate(rows)])
+    out = {r.page_id: r.verdict for r in urlrules.judge(asked, labelled, {}, min_support=0.1, min_rows=3).collect()}
+    assert out == {i: "block" if i < 20 and i % 2 else "allow" for i in range(len(rows))}
+    assert urlrules.judge(pages(spark, []), labelled, queries.URL_RULES).count() == 0
+
+
+def test_mined_rules_do_not_depend_on_the_share_of_blocked_urls(spark):
+    rows = [(f"http://h{i}.org/bad/{i}", True) for i in range(18)] + [(f"http://h{i}.org/good", False) for i in range(4)]
+    mined = urlrules.mine_rules(spark.createDataFrame(rows, "url string, blocked boolean"), min_support=0.1, min_rows=3)
+    assert ("dir:bad",) in {tuple(r.tokens) for r in mined.collect()}
+
+
+def test_pages_without_an_id_keep_their_records(spark):
+    rows = [(1, "http://a", "x"), (None, "http://b", "x"), (None, "http://c", "y"), (None, "http://d", "y"), (None, None, None)]
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, 1, "response", None), (None, 1, "revisit", 1), (None, 1, "response", None), (None, 1, "response", None), (None, 0, "response", None)], key=str)
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/w"
+    warc.write_archives(pages(spark, rows), path)
+    back = warc.read_archives(spark, path)
+    assert back.select("record_id").distinct().count() == 5
+    warc.deduplicate_archives(spark, path, path + "-2")
+    again = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.resolve_revisits(warc.read_archives(spark, path + "-2")).collect()), key=str)
+    assert again == got
+
+
+def test_archives_are_read_in_pieces():
+    record = lambda n: b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\nHTTP/1.1 200 OK\r\n\r\n%s\r\n\r\n" % (n + 19, b"z" * n)
+    data = b"".join(map(record, (0, 5, 70_000, 1)))
+    members = b"".join(gzip.compress(record(n)) for n in (0, 5, 3_000_000))
+    for step in (1, 3, 1000, len(data)):
+        assert [len(r["payload"]) for r in warc.parse_records(data[i : i + step] for i in range(0, len(data), step))] == [0, 5, 70_000, 1]
+    assert [len(r["payload"]) for r in warc.parse_records(warc._unpacked("a.gz", members))] == [0, 5, 3_000_000]
+    for broken in (data[:-1], data[:30], b"x" + data):
+        with pytest.raises(ValueError):
+            list(warc.parse_records(iter([broken])))
+    with pytest.raises(ValueError):
+        list(warc.parse_records(warc._unpacked("a.gz", members[:-20])))
+
+
 def test_pipeline_end_to_end(spark):
     import corpus_pipeline
 
