@@ -156,14 +156,26 @@ def test_pipeline_end_to_end(spark):
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     text = "The quick brown fox jumps over the lazy dog and runs away from all of the hounds in the morning"
     rows = [(1, text), (2, text), (3, text + " today"), (4, None), (5, "123"), (6, "Write to jane@mail.example.com about the other thing entirely please"), (6, "Write to jane@mail.example.com about the other thing entirely please")]
-    documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{folder}/documents.parquet")
+    names = ["doc_id", "text", "lang", "source", "n_chars", "score", "_found"]  # further columns, with names that clash
+    documents(spark, rows).selectExpr(*names[:5], "7.5D AS score", "'mine' AS _found").write.parquet(f"{folder}/documents.parquet")
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     seen = []
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, folder)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert docs.columns == names and {(r.score, r._found) for r in docs.collect()} == {(7.5, "mine")}
         seen.append(sorted((r.doc_id, r.text) for r in docs.collect()))
     assert [i for i, _ in seen[0]] == [1, 2, 3, 6, 6] and [i for i, _ in seen[1]] == [1, 6]
     assert seen[2][1][1].startswith("Write to [EMAIL] about")
     out = corpus_pipeline.run(spark, folder).collect()
     assert {r.doc_id for r in out} == {1, 6}
+
+
+def test_pipeline_of_nothing_and_of_rows_without_ids(spark):
+    import corpus_pipeline
+
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    documents(spark, []).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{folder}/documents.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
+    rows = [(None, "some plain words of a text"), (None, "some plain words of a text"), (1, "some plain words of a text"), (2, "some other words in a text")]
+    documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{folder}/b/documents.parquet")
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.run(spark, f"{folder}/b").collect()) == ["1", "2", "None", "None"]

@@ -1,3 +1,4 @@
+import difflib
 import itertools
 import random
 import re
@@ -232,6 +233,44 @@ def test_wrapped_licenses_of_every_template(spark, mark):
     assert got == {**{10 * i + n: [(name, True)] for i, name in enumerate(names) for n in (1, 2, 4, 7)}, 1000: [(name, True) for name in names]}
 
 
+def test_templates_of_a_caller_need_no_word_of_licensing(spark):
+    own = {"Tea": "Whoever drinks this tea shall wash every cup before sunset", "Long": " ".join(f"term{i} and" for i in range(150))}
+    rows = [(1, "Hello. Whoever drinks this coffee shall wash every cup before sunset! Bye."), (2, "x " * 90 + own["Long"] + " y" * 90), (3, "Whoever washes a cup")]
+    got = licenses.scan(documents(spark, rows), templates=own).collect()
+    assert sorted((r.doc_id, r.license, r.exact) for r in got) == [(1, "Tea", False), (2, "Long", True)]
+
+
+def test_licenses_match_every_template_at_every_stretch(spark):
+    rng = random.Random(8)
+    fixed = {k: licenses.words_of(v) for k, v in licenses.TEMPLATES.items()}
+
+    def held(text, want):
+        words, most, n = licenses.words_of(text), 0, len(want)
+        for i in range(len(words)):  # every stretch that is about as long
+            runs = difflib.SequenceMatcher(None, want, words[i : i + n + 3], autojunk=False).get_matching_blocks()
+            most = max(most, sum(r.size for r in runs))
+        return most / n
+
+    rows = []
+    for doc in range(45):
+        name = sorted(fixed)[doc % len(fixed)]
+        words = licenses.TEMPLATES[name].split()
+        for _ in range(round(rng.choice((0, 0.1, 0.5)) * len(words))):
+            words[rng.randrange(len(words))] = rng.choice(WORDS)
+        fill = lambda: " ".join(rng.choice([*WORDS, "license", "software"]) for _ in range(rng.randint(0, 40)))
+        rows.append((doc, f"{fill()} {' '.join(words)} {fill()}"))
+    got = {}
+    for r in licenses.scan(documents(spark, rows)).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    for doc, text in rows:
+        share = {name: held(text, want) for name, want in fixed.items()}
+        sure = {name for name, x in share.items() if x >= 0.8}
+        assert got.get(doc, set()) <= sure and bool(got.get(doc)) == bool(sure), (doc, share)
+        if sure:
+            best = max(sure, key=lambda name: share[name] ** 2 * len(fixed[name]))
+            assert best in got[doc], (doc, got[doc], sure)
+
+
 def test_licenses_in_overlapping_windows_count_once(spark):
     notice = licenses.TEMPLATES["GPL-notice"].replace(" ", "\n", 20)
     text = ("Copyright holders " + "word " * 37) * 40
