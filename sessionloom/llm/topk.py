@@ -3,13 +3,15 @@
 All scores are integers. Each round counts, for every query, the scores that fall in the bins of an
 interval known to hold its k-th best; the interval shrinks to one bin each time until its width is
 one. Then all rows at or above that score are kept and ties go to the smaller id. Vectors move in
-blocks: candidates lie in ``lanes`` lanes, and each query block is sent to every lane once a round.
+blocks: candidate blocks lie in lanes, whose number grows with the blocks, and each query block is
+sent to every lane once a round.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,6 +22,8 @@ from sessionloom.llm.common import stored
 EXACT = 2.0**53
 #: Bits by which each round narrows the bins.
 STEP = 9
+#: Blocks of candidates in a lane at most, and lanes at least where there are as many blocks.
+LANE_BLOCKS, LANES = 8, 24
 BLOCK = {"dim": "int", "block": "long", "ids": "binary", "vectors": "binary", "n": "int"}
 
 
@@ -55,8 +59,11 @@ def _histogram(q_ids, q_vectors, n_q, c_ids, c_vectors, n_c, low, high, shift):
     if low is not None:
         keep &= (scores >= np.frombuffer(low, np.int64)[:, None]) & (scores < np.frombuffer(high, np.int64)[:, None])
     row, col = np.nonzero(keep)
-    pairs, n = np.unique(np.stack([row, scores[row, col] >> shift]), axis=1, return_counts=True)
-    return [(int(qi[r]), int(b), int(k)) for r, b, k in zip(pairs[0], pairs[1], n, strict=True)]
+    bins = scores[row, col] >> shift
+    order = np.lexsort((bins, row))
+    row, bins = row[order], bins[order]
+    first = np.nonzero(np.append(True, (np.diff(row) != 0) | (np.diff(bins) != 0)))[0] if len(row) else np.empty(0, np.int64)
+    return qi[row[first]], bins[first], np.diff(np.append(first, len(row)))
 
 
 def _at_or_above(q_ids, q_vectors, n_q, c_ids, c_vectors, n_c, low, k):
@@ -64,12 +71,25 @@ def _at_or_above(q_ids, q_vectors, n_q, c_ids, c_vectors, n_c, low, k):
     qi, ci = np.frombuffer(q_ids, np.int64), np.frombuffer(c_ids, np.int64)
     scores = _scores(q_vectors, n_q, c_vectors, n_c)
     keep = (scores >= np.frombuffer(low, np.int64)[:, None]) & (qi[:, None] != ci[None, :])
-    out = []
+    rows, cols = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for r in np.nonzero(keep.any(axis=1))[0].tolist():
         at = np.nonzero(keep[r])[0]
         at = at[np.lexsort((ci[at], -scores[r, at]))[:k]]
-        out += [(int(qi[r]), int(ci[c]), int(scores[r, c])) for c in at.tolist()]
-    return out
+        rows.append(np.full(len(at), r))
+        cols.append(at)
+    row, col = np.concatenate(rows), np.concatenate(cols)
+    return qi[row], ci[col], scores[row, col]
+
+
+def _each(pairs: DataFrame, work, names: list[str]) -> DataFrame:
+    """Three columns of whole numbers from each row of ``pairs``: a query block, a candidate block and bounds."""
+    def task(batches):
+        for batch in batches:
+            for row in range(len(batch)):
+                found = work(*(c[row].as_py() for c in batch.columns))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names)
+
+    return pairs.mapInArrow(task, ", ".join(f"{n} long" for n in names))
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -82,13 +102,15 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     )
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 10, *, rows_per_block: int = 1024, queries_per_block: int = 256, lanes: int = 24) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 10, *, rows_per_block: int = 1024, queries_per_block: int = 256, lanes: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of every query.
 
     ``vectors``: vec_id, dim, v (whole numbers as doubles). ``is_query``: a condition on vec_id. Rows
     of another dimension than the query's score nothing. Fewer than k candidates: all of them. Of
     repeated ids each row is a candidate, the least vector is the query, and no row meets its own id.
-    Empty tables give no rows.
+    Empty tables give no rows. Components are whole numbers within 64 bits (``quantised`` saturates
+    beyond); a score beyond 64 bits raises. ``lanes``: the number of keys that pairs of blocks are
+    dealt by; by default one for ``LANE_BLOCKS`` blocks of candidates, or for each while they are few.
     """
     vectors = stored(vectors)
     n = vectors.count()
@@ -97,20 +119,18 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, *, rows_per_block: int = 10
     n_queries = vectors.filter(is_query).count()
     asked = vectors.filter(is_query).groupBy("vec_id", "dim").agg(F.min("v").alias("v"))
     queries = stored(_blocks(asked, queries_per_block, max(1, n_queries // queries_per_block + 1)))
-    lanes = max(1, min(lanes, tasks))
+    lanes = lanes or max(min(LANES, tasks), -(-tasks // LANE_BLOCKS))
     c = candidates.select("dim", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int").alias("lane"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"), F.col("n").alias("c_n"))
     most = vectors.agg(F.max(F.col("dim") * F.pow(F.array_max(F.transform("v", F.abs)), F.lit(2.0)))).first()[0] or 1.0
     bits = min(62, int(np.log2(max(most, 1.0))) + 1)
-    histogram = F.udf(_histogram, "array<struct<query_id:long,bin:long,n:long>>", useArrow=False)
-    at_or_above = F.udf(_at_or_above, "array<struct<query_id:long,vec_id:long,score:long>>", useArrow=False)
+    both = ["ids", "vectors", "n", "c_ids", "c_vectors", "c_n"]
     low = high = above = None
     for shift in range((bits - 1) // STEP * STEP, -1, -STEP):
         q = queries if low is None else queries.join(low, ["dim", "block"]).join(high, ["dim", "block"])
         q = q.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).drop("block")
-        bounds = [F.lit(None).cast("binary")] * 2 if low is None else [F.col("low"), F.col("high")]
+        bounds = [F.lit(None).cast("binary").alias(b) if low is None else F.col(b) for b in ("low", "high")]
         counts = (
-            c.join(q, ["dim", "lane"])
-            .select(F.inline(histogram("ids", "vectors", "n", "c_ids", "c_vectors", "c_n", *bounds, F.lit(shift))))
+            _each(c.join(q, ["dim", "lane"]).select(*both, *bounds, F.lit(shift)), _histogram, ["query_id", "bin", "n"])
             .groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         )
         down = Window.partitionBy("query_id").orderBy(F.desc("bin"))
@@ -132,7 +152,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, *, rows_per_block: int = 10
         above = chosen.select("query_id", "above")
         low, high = (_bounds(queries, chosen, name) for name in ("low", "high"))
     q = queries.join(low, ["dim", "block"]).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).drop("block")
-    found = c.join(q, ["dim", "lane"]).select(F.inline(at_or_above("ids", "vectors", "n", "c_ids", "c_vectors", "c_n", "low", F.lit(k))))
+    found = _each(c.join(q, ["dim", "lane"]).select(*both, "low", F.lit(k)), _at_or_above, ["query_id", "vec_id", "score"])
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
