@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,12 +49,31 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str = "_found") -> str:
+    """A name that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def by_size(batch: pa.RecordBatch, column: int, size: int = 1 << 20, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch by slices whose texts have about ``size`` bytes at most; a longer text comes alone."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for row, n in enumerate(lengths.tolist()):
+        if row > start and (held + n > size or row - start >= rows):
+            yield batch.slice(start, row - start)
+            start, held = row, 0
+        held += n
+    if start < len(batch):
+        yield batch.slice(start)
+
+
 def give_back() -> None:
     """At the end of a task: unused memory of this Python worker goes back to the machine, which the JVM shares."""
     import ctypes
 
-    import pyarrow as pa
-
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:

@@ -23,12 +23,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import give_back, stored
+from sessionloom.llm.common import by_size, give_back, stored
 from sessionloom.llm.graph import components
 
 WORDS, BANDS, ROWS = 5, 32, 6
 #: Most ids that are sent to every executor to pick out texts; above, ids and texts are joined by shuffle.
 BROADCAST_IDS = 2_000_000
+#: Parts into which the texts of a bucket are dealt, so that one bucket is not one task's.
+SALTS = 16
+#: Bytes of texts that are signed together; a longer text is signed alone.
+SIGNED_BYTES = 1 << 19
 _WORD = re.compile(r"\w+")
 _CACHE: dict[str, int] = {}
 _CACHE_ROWS = 100_000
@@ -123,8 +127,7 @@ def sign(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, words: int =
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), 64):
-                part = batch.slice(start, 64)
+            for part in by_size(batch, 1, SIGNED_BYTES, 64):
                 hashes = [word_hashes(t) for t in part.column(1).to_pylist()]
                 some = [i for i, h in enumerate(hashes) if len(h)]
                 sets = [shingles(hashes[i], words) for i in some]
@@ -141,6 +144,17 @@ def sign(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, words: int =
     return docs.select("doc_id", "text").mapInArrow(task, f"doc_id {kind}, same binary, total int, bands array<long>")
 
 
+def _dealt(texts: DataFrame, by: DataFrame, how: str = "inner") -> DataFrame:
+    """``texts`` (key, rep, ...) joined to ``by`` (one row a key).
+
+    The texts of a bucket are dealt to ``SALTS`` parts by their hash and each part meets its own copy
+    of the bucket's row, so a bucket that holds a third of all texts is not one task's.
+    """
+    salted = texts.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(SALTS)).cast("int"))
+    copies = by.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["key", "salt"], how).drop("salt")
+
+
 def _similarity(a: bytes, b: bytes) -> float:
     """Weighted Jaccard similarity of two shingle sets: sum of the lesser counts by sum of the greater."""
     (ha, na), (hb, nb) = ((np.frombuffer(x[: len(x) * 2 // 3], np.uint64), np.frombuffer(x[len(x) * 2 // 3 :], np.uint32).astype(np.int64)) for x in (a, b))
@@ -155,8 +169,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), 512):
-                part = batch.slice(start, 512)
+            for part in by_size(batch, 1):
                 sets = [shingles(word_hashes(t), words) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h.tobytes() + n.astype(np.uint32).tobytes() for h, n in sets], pa.binary())], ["doc_id", "shingles"])
         _CACHE.clear()
@@ -171,9 +184,15 @@ def verify(docs: DataFrame, pairs: DataFrame, threshold: float, words: int = WOR
     """The pairs (a, b) whose whole texts have at least that similarity."""
     pairs = stored(pairs)
     sets = stored(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), words))
-    similarity = F.udf(_similarity, "double", useArrow=False)
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    return stored(both.select("a", "b", similarity("sa", "sb").alias("similarity")).filter(F.col("similarity") >= threshold))
+    kinds = [pairs.schema[c].dataType.simpleString() for c in ("a", "b")]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_similarity(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["a", "b", "similarity"])
+
+    return stored(both.select("a", "b", "sa", "sb").mapInArrow(task, f"a {kinds[0]}, b {kinds[1]}, similarity double").filter(F.col("similarity") >= threshold))
 
 
 def _pack(frame: pd.DataFrame) -> pd.DataFrame:
@@ -229,7 +248,7 @@ def _links_across(docs: DataFrame, members: DataFrame, threshold: float, words:
     block of texts for each pair of blocks, not a row for each pair of texts.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
-    homes = members.join(sizes, "key").groupBy("rep").agg(F.max_by("key", F.struct("size", "key")).alias("home"), F.first("c").alias("c"))
+    homes = _dealt(members, sizes).groupBy("rep").agg(F.max_by("key", F.struct("size", "key")).alias("home"), F.first("c").alias("c"))
     homes = stored(homes)
     parts = homes.groupBy("home").agg(F.ceil(F.count("*") / block).alias("parts"))
     placed = stored(homes.join(parts, "home").select("rep", "c", "home", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part")))
@@ -268,12 +287,12 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, bands: int = BAN
     texts = stored(signed.filter("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("total").alias("total"), F.first("bands").alias("bands")))
     keys = texts.select(F.explode("bands").alias("key"), "rep", "total")
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    buckets = stored(keys.join(shared, "key"))
+    buckets = stored(_dealt(keys, shared))
     # the text that shares buckets with most others is the likeliest centre of a group
     centrality = buckets.groupBy("rep").agg(F.sum("size").alias("met"))
     central = stored(buckets.select("key", "rep", "total").join(centrality, "rep"))
     hubs = central.groupBy("key").agg(F.max_by(F.struct("rep", "total"), F.struct("met", -F.col("rep"))).alias("h")).select("key", F.col("h.rep").alias("hub"), F.col("h.total").alias("hub_total"))
-    buckets = stored(central.drop("met").join(hubs, "key"))
+    buckets = stored(_dealt(central.drop("met"), hubs))
     alike = lambda m, n: F.least(m, n) >= F.lit(threshold) * F.greatest(m, n)  # noqa: E731  else the lengths alone rule a link out
     first = buckets.filter("rep <> hub").filter(alike("total", "hub_total")).select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
     links = verify(source, first, threshold, words)
@@ -281,10 +300,12 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, bands: int = BAN
     # what the hubs did not bring together
     members = buckets.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "hub", "rep", "total", F.coalesce("component", "rep").alias("c"))
     split = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    members = stored(members.join(split, "key", "left_semi"))
+    members = stored(_dealt(members, split, "left_semi"))
     more = _links_across(source, members, threshold, words)
     if not more.isEmpty():
         found = stored(components(links.select("a", "b").union(more.select("a", "b"))))
     classes = texts.select("same", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("same", F.coalesce("component", "rep").alias("class_id"))
-    joined = signed.select("doc_id", "same").join(stored(classes), "same", "left")
+    # texts without words have no class to find: each gets a key of its own, so that they don't meet in one task
+    alone = F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string")).cast("binary")
+    joined = signed.select("doc_id", F.coalesce("same", alone).alias("same")).join(stored(classes), "same", "left")
     return joined.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))

@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sessionloom.llm.common import give_back, small_batches
+from sessionloom.llm.common import free_name, give_back, small_batches
 
 BUCKET_BITS = 13
 #: Steepness of the bits' votes, and the least lead of the best language over the next.
@@ -139,17 +140,30 @@ def fit(docs: DataFrame, learnable: Column, *, id_col: str = "doc_id", text_col:
     return LanguageModel(languages, codes, w.astype(np.float32), b.astype(np.float32), trust)
 
 
+FOUND = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
+
+
 def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and ambiguous; all its rows and columns stay.
+    """``docs`` with lang_pred, score and ambiguous as further columns; ``predict`` with plain columns.
 
-    A null text or one without letters is ``und`` with score 0, not ambiguous. Columns of those names
-    are replaced. The model (a few hundred KB) goes to the tasks with their code.
+    Columns of those names are replaced.
     """
-    small_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
-    from pyspark.sql import types as T
+    kept = [c for c in docs.columns if c not in FOUND.names]
+    into = free_name(docs)
+    return predict(docs.select(*[F.col(f"`{c}`") for c in kept]), model, into, text_col=text_col).select(*[F.col(f"`{c}`") for c in kept], f"{into}.*")
+
 
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
+def predict(docs: DataFrame, model: LanguageModel, into: str, *, text_col: str = "text") -> DataFrame:
+    """``docs`` with a struct ``into`` of lang_pred, score and ambiguous; all its rows and columns stay.
+
+    A null text or one without letters is ``und`` with score 0, not ambiguous. ``into`` must be no
+    column of ``docs``. The model (a few hundred KB) goes to the tasks with their code.
+    """
+    if into in docs.columns:
+        raise ValueError(f"{into} is a column already")
+    small_batches(docs.sparkSession)
+    kept = docs.columns
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, FOUND)])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -162,10 +176,11 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -
                     best, share, lead = model.predict(np.stack([counts[i] for i in at]))
                     for i, b, s, d in zip(at, best, share, lead, strict=True):
                         names[i], scores[i], unsure[i] = model.languages[b], s, d < LEAD
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names), pa.array(scores), pa.array(unsure)], [*kept, "lang_pred", "score", "ambiguous"])
+                found = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores), pa.array(unsure)], FOUND.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, found], [*kept, into])
         give_back()
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(task, schema)
+    return docs.mapInArrow(task, schema)
 
 
 def fold(id_col: str = "doc_id", parts: int = 4) -> Column:

@@ -22,13 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import give_back, small_batches
+from sessionloom.llm.common import by_size, give_back, small_batches
 
 SPACE = "▁"
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 #: Longest chunk that takes a column, columns of an array, and characters of chunks that are worked on at once.
 PLACES, COLUMNS, POINTS = 32, 4096, 1 << 18
-#: Characters of texts that are gathered before they are encoded; a longer text comes alone.
+#: Bytes of texts that are gathered before they are encoded; a longer text comes alone.
 GATHERED = 1 << 20
 _PLACE_BITS = 5
 _NONE = np.int32(2**31 - 1)
@@ -315,18 +315,6 @@ def encoder(model: str, dropout: float, seed: int) -> DropoutEncoder:
     return DropoutEncoder(model, dropout, seed)
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows of a batch (id, text), by about GATHERED characters."""
-    start = size = 0
-    for row, n in enumerate(map(len, batch.column(1).cast(pa.binary()).fill_null(b"").to_pylist())):
-        if size and size + n > GATHERED:
-            yield batch.slice(start, row - start)
-            start, size = row, 0
-        size += n
-    if start < len(batch):
-        yield batch.slice(start)
-
-
 def encode_documents(docs: DataFrame, model: str, *, dropout: float = 0.1, seed: int = 1) -> DataFrame:
     """doc_id, ids, n_ids, ids_crc32, lossless for every row of ``docs`` (doc_id, text).
 
@@ -341,7 +329,7 @@ def encode_documents(docs: DataFrame, model: str, *, dropout: float = 0.1, seed:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model, dropout, seed)
         for batch in batches:
-            for part in _parts(batch):
+            for part in by_size(batch, 1, GATHERED):
                 names = [xxhash.xxh3_64_intdigest(str(d), seed=seed) for d in part.column(0).to_pylist()]
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 ids, each = own.encode_all(texts, names)
