@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm import dartminhash, langid, packing, pii
-from sessionloom.llm.common import read, shared_dir, stored
+from sessionloom.llm.common import free_name, read, shared_dir, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; one without text or letters goes. Ambiguous ones stay as they are."""
     model = langid.fit(docs, langid.fold("id") != 2)
-    found = langid.identify(docs, model)
-    return found.filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    into = free_name(docs)
+    return langid.predict(docs, model, into).filter(F.col(f"{into}.lang_pred") != langid.UNKNOWN).drop(into)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
