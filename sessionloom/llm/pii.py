@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import give_back, small_batches, stored
+from sessionloom.llm.common import by_size, give_back, small_batches, stored
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("name", "number", "secret")
@@ -33,10 +33,30 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
 # Fixed values of the labelers.
-GIVEN_NAMES = {
-    "Anna", "Ben", "Carlos", "Claire", "David", "Elena", "Emma", "Hans", "Jack", "James", "Jane", "Jean", "John", "Juan", "Julia",
-    "Karl", "Laura", "Louis", "Lucas", "Maria", "Marie", "Mark", "Martin", "Mary", "Michael", "Paul", "Peter", "Pierre", "Robert", "Sarah", "Thomas",
-}
+#: Given and family names that are common in the four languages; a caller may give longer lists.
+GIVEN_NAMES = frozenset("""
+Aaron Adam Adrian Agnes Alain Albert Alejandra Alejandro Alexander Alice Alicia Amelia Ana Andrea Andreas Andrew Angela Anna Anne Anthony Antoine
+Antonio Arthur Astrid Barbara Beatriz Ben Benjamin Bernard Bernd Birgit Brigitte Camille Carlos Carmen Caroline Catherine Charles Charlotte Christian
+Christine Christopher Claire Claudia Cristina Daniel David Diego Dieter Dominique Edward Elena Elizabeth Emily Emma Eric Erika Ernst Eva Fernando
+Florian Francisco François Frank Franz Friedrich Gabriel Georg George Gérard Gisela Grace Guillaume Hannah Hans Heike Heinrich Helen Helga Helmut
+Henri Henry Ignacio Inés Ingrid Isabel Isabelle Jack Jacques James Jane Javier Jean Jennifer Jessica Jesús Joachim Johannes John Jonas Jörg José
+Joseph Juan Julia Julie Julien Jürgen Karen Karin Karl Katharina Kevin Klaus Laura Laurent Léa Linda Lisa Louis Louise Luca Lucas Lucía Luis Luise
+Lukas Manuel Marc Margaret María Maria Marie Mario Mark Markus Marta Martin Mary Matthew Matthias Maximilian Michael Michel Miguel Mónica Monika
+Nathalie Nicolas Nicole Olivier Oscar Pablo Patricia Patrick Paul Pedro Peter Philippe Pierre Pilar Rachel Rafael Raúl Rebecca Renate Robert Rosa
+Sabine Samuel Sandra Sarah Sebastian Sergio Sofía Sophie Stefan Stephanie Susan Susanne Teresa Thierry Thomas Ursula Ute Valérie Véronique Vicente
+Victor Victoria William Wolfgang Xavier Yves
+""".split())
+FAMILY_NAMES = frozenset("""
+Alonso Álvarez Anderson Bailey Baker Bauer Becker Bell Bernard Bertrand Blanc Bonnet Braun Brown Campbell Carter Castillo Castro Clark Collins Cooper
+Cruz David Davis Delgado Díaz Domínguez Dubois Dupont Durand Edwards Evans Fernández Fischer Flores Fournier François Frank Fuchs García Garnier Gil
+Girard Gómez González Green Guérin Gutiérrez Hall Harris Hartmann Hernández Herrera Hill Hoffmann Howard Hughes Huber Jackson Jiménez Johnson Jones
+Kaiser Kelly Klein Koch Köhler König Krause Krüger Lambert Lange Laurent Lefebvre Legrand Lehmann Leroy Lewis López Maier Marín Martin Martínez
+Mercier Meyer Miller Mitchell Moore Morales Moreau Morel Moreno Morgan Morris Müller Muñoz Murphy Navarro Nelson Neumann Ortega Ortiz Parker Pérez
+Perrin Peters Petit Phillips Ramírez Ramos Reed Richard Richter Rivera Robert Roberts Robinson Rodríguez Rogers Romero Rousseau Roux Rubio Ruiz
+Sánchez Sanders Santos Sanz Schäfer Schmid Schmidt Schmitt Schmitz Schneider Scholz Schröder Schubert Schulz Schulze Schwarz Scott Serrano Simon Smith
+Stewart Suárez Taylor Thomas Thompson Torres Turner Vargas Vázquez Vincent Vogel Wagner Walker Walter Ward Watson Weber Weiß Werner White Williams
+Wilson Winkler Wolf Wood Wright Young Zimmermann
+""".split())
 COMMON_WORDS = {"The", "And", "Of", "In", "On", "For", "It", "Is", "Was", "This", "That", "With", "As", "Der", "Die", "Das", "Und", "Le", "La", "Les", "El", "Los", "Las", "Un", "De", "New", "North", "South", "United"}
 SECRET_PREFIXES = ("AKIA", "ghp_", "gho_", "sk_live", "sk-", "xox", "eyJ", "AIza")
 CUES = {
@@ -49,7 +69,11 @@ _NATIONAL = re.compile(r"\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}|\d{3}-\d{2}-\d{4}")
 _DATE = re.compile(r"\d{4}-\d{2}-\d{2}|\d{1,2}[./-]\d{1,2}[./-]\d{2,4}")
 _HEX = re.compile(r"[0-9a-f]{32,}|[0-9A-F]{32,}")
 _DIGITS = re.compile(r"\(?\d[\d().\x20-]{5,}\d")
-_PAIR = re.compile(r"\b[A-Z][a-z]{1,20} [A-Z][a-z]{1,20}\b")
+_UP, _LOW = "A-ZÀ-ÖØ-ÞŒŠŽ", "a-zß-öø-ÿœšž"
+_TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame"
+_WORD = rf"[{_UP}][{_LOW}]{{1,20}}(?:-[{_UP}][{_LOW}]{{1,20}})?"
+#: Two words with capitals; pairs may share a word, so that a title or rank before a name hides nothing.
+_PAIR = re.compile(rf"\b(?=((?!(?:{_TITLES})\b){_WORD} {_WORD})\b)")
 _TOKEN = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/=-")
 LABELERS = ("shape", "check", "gazetteer", "context", "against")
 FEATURES = ("one", *KINDS, "long", "longer", "some digits", "mostly digits", "mixed case", "cue", "listed", "shape", "against")
@@ -99,7 +123,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _tokens_with_digits(text: str) -> Iterator[tuple[int, int]]:
-    """Maximal runs of token characters of 20 or more that hold digits and letters."""
+    """Maximal runs of token characters of 16 or more that hold digits and letters; of ``key=value`` the value."""
     end, n = 0, len(text)
     for m in _DIGIT.finditer(text):
         if m.start() < end:
@@ -110,7 +134,11 @@ def _tokens_with_digits(text: str) -> Iterator[tuple[int, int]]:
         end = m.end()
         while end < n and text[end] in _TOKEN:
             end += 1
-        if end - start >= 20 and any(c.isalpha() for c in text[start:end]):
+        inner = text.rfind("=", start, end)
+        while inner >= 0 and not text[inner + 1 : end].strip("="):  # padding at the end
+            inner = text.rfind("=", start, inner)
+        start = max(start, inner + 1)
+        if end - start >= 16 and any(c.isalpha() for c in text[start:end]) and _DIGIT.search(text, start, end):
             yield start, end
 
 
@@ -135,12 +163,12 @@ def _not_within(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> I
             yield start, end
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+def candidates(text: str, base: list[tuple[int, int, int]], names: tuple[frozenset, frozenset] = (GIVEN_NAMES, FAMILY_NAMES)) -> list[tuple[int, int, int, int, int]]:
     """(kind, start, end, votes, features) of base spans and further candidates; codes are small whole numbers."""
     found = [(kind, start, end) for kind, start, end in base]
     taken = sorted((s, e) for _, s, e in base)
     has_digit = _DIGIT.search(text)
-    pairs = [m.span() for m in _PAIR.finditer(text)]
+    pairs = [m.span(1) for m in _PAIR.finditer(text)]
     numbers = [m.span() for m in _DIGITS.finditer(text) if 7 <= len(_only_digits(m[0])) <= 20] if has_digit else []
     secrets = list(_tokens_with_digits(text)) if has_digit else []
     secrets = list(_not_within(secrets, taken))  # a card number may lie in a longer secret
@@ -156,15 +184,17 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             shape = 1 if _NATIONAL.fullmatch(span) else -1 if _DATE.search(span) else 0
             check = -1 if len(set(_only_digits(span))) <= 2 or span.isdigit() and len(span) < 9 else 0
         elif name == "secret":
-            shape = 1 if _HEX.fullmatch(span) else 0
-            digits = sum(c.isdigit() for c in span)
-            check = 1 if digits >= 4 and len(set(span)) >= 10 else -1
+            shape = -1 if AGAINST.search(before) else 1 if _HEX.fullmatch(span) else 0  # a checksum looks like a key
+            check = 1 if len(set(span)) >= 10 else -1 if len(set(span)) < 8 else 0
             listed = 1 if span.startswith(SECRET_PREFIXES) else 0
         else:
             first, second = span.split(" ")
-            listed = 1 if first in GIVEN_NAMES else -1 if first in COMMON_WORDS or second in COMMON_WORDS else 0
-            shape = -1 if start == 0 or before.rstrip()[-1:] in (".", "!", "?", "") else 0
+            listed = 1 if first.split("-")[0] in names[0] else -1 if first in COMMON_WORDS or second in COMMON_WORDS else 0
+            check = 1 if second.split("-")[0] in names[1] else -1 if first == second else 0
+            shape = -1 if (start == 0 or before.rstrip()[-1:] in (".", "!", "?", "")) and listed + check < 2 else 0
         cue = CUES[name].search(before) if kind >= 4 else None
+        if name == "name" and check > 0 and listed > 0:
+            shape = 1
         against = AGAINST.search(before)
         votes = 0
         for v in (shape, check, listed, 1 if cue else 0 if kind < 4 else -1, -1 if against else 0):
@@ -179,7 +209,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, names: tuple[frozenset, frozenset] = (GIVEN_NAMES, FAMILY_NAMES)) -> DataFrame:
     """doc_id, and the spans of each whole text with their votes and features: one pass over the texts."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -190,7 +220,7 @@ def scan(docs: DataFrame) -> DataFrame:
             rows = []
             for text in batch.column(1):
                 text = text.as_py() or ""
-                rows.append([dict(zip(("kind", "start", "end", "votes", "features"), c, strict=True)) for c in candidates(text, base_spans(text))])
+                rows.append([dict(zip(("kind", "start", "end", "votes", "features"), c, strict=True)) for c in candidates(text, base_spans(text), names)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, span)], ["doc_id", "spans"])
         give_back()
 
@@ -276,53 +306,55 @@ def _decided(spans: list, model: SpanModel, cache: dict) -> list[tuple[int, int,
 
 
 def report(scanned: DataFrame, model: SpanModel) -> DataFrame:
-    """doc_id, counts of base spans, base_sha256 and spans; a row for each row scanned."""
+    """doc_id, counts of base spans, base_sha256, spans, counts of added spans and of all; a row for each row scanned."""
     kind = scanned.schema["doc_id"].dataType.simpleString()
+    columns = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", *(f"n_{k}" for k in ADDED), "n_spans"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
-            counts, digests, texts = [[] for _ in BASE], [], []
+            counts, digests, texts, total = [[] for _ in KINDS], [], [], []
             for row in batch.column(1).to_pylist():
                 spans = _decided([(s["kind"], s["start"], s["end"], s["features"]) for s in row], model, cache)
                 base = [s for s in spans if s[0] < len(BASE)]
                 for i, c in enumerate(counts):
-                    c.append(sum(s[0] == i for s in base))
+                    c.append(sum(s[0] == i for s in spans))
+                total.append(len(spans))
                 write = lambda some: ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in some)
                 digests.append(hashlib.sha256(write(base).encode()).hexdigest())
                 texts.append(write(spans))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(texts, pa.string())], ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts[: len(BASE)]), pa.array(digests, pa.string()), pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in (*counts[len(BASE) :], total))], columns)
 
-    return scanned.mapInArrow(task, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return scanned.mapInArrow(task, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_name long, n_number long, n_secret long, n_spans long")
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """Personal data of every text of ``docs`` (doc_id, text).
+def find(docs: DataFrame, names: tuple[frozenset, frozenset] = (GIVEN_NAMES, FAMILY_NAMES)) -> DataFrame:
+    """Personal data of every text of ``docs`` (doc_id, text). ``names``: gazetteers of given and family names.
 
     A null text is empty and gives no spans; repeated rows each get a row; other columns are ignored;
     an empty table gives none.
     """
-    scanned = stored(scan(docs))
+    scanned = stored(scan(docs, names))
     return report(scanned, fit(scanned))
 
 
-def redact(docs: DataFrame, model: SpanModel, text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, model: SpanModel, text_col: str = "text", names: tuple[frozenset, frozenset] = (GIVEN_NAMES, FAMILY_NAMES)) -> DataFrame:
     """``docs`` with each span replaced by its kind in brackets; null texts stay null, all columns stay.
 
     Spans that overlap or touch inside one another become one, named by the first.
     """
     small_batches(docs.sparkSession)
-    names = docs.columns
+    columns_of = docs.columns
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
-        at = names.index(text_col)
-        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, len(whole), 512)):
+        at = columns_of.index(text_col)
+        for batch in (part for whole in batches for part in by_size(whole, at)):
             texts = []
             for value in batch.column(at):
                 text = value.as_py()
                 if text:
-                    spans = _decided([(k, s, e, f) for k, s, e, _, f in candidates(text, base_spans(text))], model, cache)
+                    spans = _decided([(k, s, e, f) for k, s, e, _, f in candidates(text, base_spans(text), names)], model, cache)
                     parts, done, last = [], 0, 0
                     for start, end, kind in sorted((s, e, k) for k, s, e in spans):
                         if start >= last:
@@ -333,7 +365,7 @@ def redact(docs: DataFrame, model: SpanModel, text_col: str = "text") -> DataFra
                 texts.append(text)
             columns = list(batch.columns)
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays(columns, columns_of)
         give_back()
 
     return docs.mapInArrow(task, docs.schema)

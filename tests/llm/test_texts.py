@@ -106,6 +106,42 @@ def test_weak_supervision_adds_secrets_and_leaves_decoys(spark):
     assert "[SECRET]" in text[0].text and "[EMAIL]" in text[0].text and "@" not in text[0].text and text[1].text is None and text[2].text == ""
 
 
+def test_added_kinds_have_precision_and_recall(spark):
+    rng = random.Random(6)
+    given, family = sorted(pii.GIVEN_NAMES), sorted(pii.FAMILY_NAMES)
+    token = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    digits = lambda n: token(n, "0123456789")
+    planted = {
+        "name": lambda: (rng.choice(["we met ", "a letter from Dr. ", "mit Frau ", "le livre de "]), f"{rng.choice(given)} {rng.choice(family)}"),
+        "number": lambda: (rng.choice(["phone: ", "Tel. ", "call ", "SSN "]), f"{digits(3)}-{digits(3)}-{digits(4)}"),
+        "secret": lambda: rng.choice([("password=", token(18, "0123456789abcdef")), ('token = "', token(40, "0123456789abcdef")), ("using ", "AKIA" + token(16, "ABCDEFGHJKLMNPQRSTUVWXYZ234567"))]),
+    }
+    decoys = [
+        lambda: f"at {rng.choice(['The', 'Der', 'Las', 'New'])} {token(1, 'ABCD')}{token(6, 'aeioulmn')} ", lambda: f"on page {digits(9)} of it", lambda: f"dated 20{digits(2)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)} then",
+        lambda: f"in version {digits(1)}.{digits(2)}.{digits(3)} now", lambda: f"{token(1, 'STRW')}{token(7, 'aeioulmn')} {token(1, 'STRW')}{token(7, 'aeioulmn')} went on", lambda: "isbn 978-3-16-148410-0 ", lambda: f"commit {token(40, '0123456789abcdef')} ",
+    ]
+    rows, want = [], {}
+    for doc in range(900):
+        text, want[doc] = "", set()
+        for _ in range(rng.randint(2, 5)):
+            text += rng.choice(["some plain words ", "einige Wörter ", "unas palabras, "])
+            if rng.random() < 0.4:
+                kind = rng.choice(sorted(planted))
+                before, span = planted[kind]()
+                want[doc].add((kind, len(text + before), len(text + before + span)))
+                text += before + span + ('" ' if before.endswith('"') else " ")
+            else:
+                text += rng.choice(decoys)()
+        rows.append((doc, text))
+    got = {r.doc_id: r for r in pii.find(documents(spark, rows)).collect()}
+    for kind in pii.ADDED:
+        found = {(i, *map(int, s.split(":")[1:])) for i, r in got.items() for s in r.spans.split(",") if s.startswith(kind)}
+        real = {(i, a, b) for i, spans in want.items() for k, a, b in spans if k == kind}
+        assert len(found & real) >= 0.9 * len(real) and len(found & real) >= 0.9 * len(found), (kind, len(found), len(real), len(found & real))
+        assert sum(r[f"n_{kind}"] for r in got.values()) == len(found)
+    assert all(r.n_spans == len([x for x in r.spans.split(",") if x]) for r in got.values())
+
+
 def test_personal_data_of_nothing(spark):
     assert pii.find(documents(spark, [])).count() == 0
     assert pii.find(documents(spark)).count() == documents(spark).count()
