@@ -61,4 +61,17 @@ def transfer(steps: DataFrame, verified: DataFrame) -> DataFrame:
     return seen.select("route_id", "session_id", F.aggregate("s", start, move)["n"].alias("matched")).join(n, "route_id")
 
 
-__all__ = ["floor_sweep", "fusion", "key_stability", "known_answers", "rrf_sweep", "transfer"]
+def transfer_report(steps: DataFrame, verified: DataFrame, controls: DataFrame) -> DataFrame:
+    """route_id, held_out, n, whole, mean_share: how routes carry over to held-out sessions and to controls.
+
+    ``controls``: session_id of the sessions that must not show a route. A session without any state
+    of a route counts with a share of 0: such pairs are counted, not made.
+    """
+    marked = verified.select("session_id").distinct().join(controls.select("session_id", F.lit(False).alias("held_out")).distinct(), "session_id", "left").withColumn("held_out", F.coalesce("held_out", F.lit(True)))
+    totals = marked.groupBy("held_out").agg(F.count("*").alias("n"))  # two rows at most
+    seen = transfer(steps, verified).join(marked, "session_id").groupBy("route_id", "held_out").agg(F.count_if(F.col("matched") == F.col("n_steps")).alias("whole"), F.sum(F.col("matched") / F.col("n_steps")).alias("share"))
+    every = steps.select("route_id").distinct().withColumn("held_out", F.explode(F.array(F.lit(True), F.lit(False)))).join(F.broadcast(totals), "held_out")
+    return every.join(seen, ["route_id", "held_out"], "left").select("route_id", "held_out", "n", F.coalesce("whole", F.lit(0)).alias("whole"), (F.coalesce("share", F.lit(0.0)) / F.col("n")).alias("mean_share"))
+
+
+__all__ = ["floor_sweep", "fusion", "key_stability", "known_answers", "rrf_sweep", "transfer", "transfer_report"]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,17 +73,21 @@ def _distinct_in_order(pairs: str, field: str) -> Column:
     return F.array_distinct(F.filter(F.transform(F.array_sort(pairs), lambda p: p[field]), lambda v: v.isNotNull()))
 
 
-def digest(ev: DataFrame, segs: DataFrame, *, width: float, focus: DataFrame | None = None, typed: DataFrame | None = None, max_typed: int = 280) -> DataFrame:
+def digest(ev: DataFrame, segs: DataFrame, *, width: float, focus: DataFrame | None = None, typed: DataFrame | None = None, clicked: DataFrame | None = None, max_typed: int = 280) -> DataFrame:
     """session_id, seg_no, digest: what happened in each segment, in words.
 
-    ``focus``: session_id, seg_no, app, url in force at a segment's start. ``typed``: session_id,
-    seg_no, typed. Order: apps, URLs, typed text, counts, a phrase for each app; ``idle segment`` if
-    there is nothing to say.
+    ``ev`` may have a title of focus changes. ``focus``: session_id, seg_no, app, url and perhaps title
+    in force at a segment's start. ``typed``: session_id, seg_no, typed. ``clicked``: session_id,
+    event_id, label of clicks that hit something with a name. Order: apps and titles, URLs, typed text,
+    labels clicked, counts, a phrase for each app; ``idle segment`` if there is nothing to say.
     """
     keys = ["session_id", "seg_no"]
-    rows = events_in_segments(ev, segs.select(*keys, "t_start", "t_end"), width=width).select(*keys, "t", "event_id", "kind", F.when(F.col("kind") == "focus_change", F.col("app")).alias("app"), F.when(F.col("kind").isin("focus_change", "url_change"), F.col("url")).alias("url"))
+    none = F.lit(None).cast("string")
+    ev = ev.withColumn("title", F.nullif("title", F.lit("")) if "title" in ev.columns else none)
+    ev = ev.withColumn("label", none) if clicked is None else ev.drop("label").join(clicked.select("session_id", "event_id", "label").dropDuplicates(["session_id", "event_id"]), ["session_id", "event_id"], "left")
+    rows = events_in_segments(ev, segs.select(*keys, "t_start", "t_end"), width=width).select(*keys, "t", "event_id", "kind", F.when(F.col("kind") == "focus_change", F.col("app")).alias("app"), F.when(F.col("kind").isin("focus_change", "url_change"), F.col("url")).alias("url"), F.when(F.col("kind") == "focus_change", F.col("title")).alias("title"), F.when(F.col("kind") == "mouse_down", F.col("label")).alias("label"))
     if focus is not None:
-        rows = rows.unionByName(focus.select(*keys, F.lit(-1.0).alias("t"), F.lit(-1).cast("long").alias("event_id"), F.lit("inherited").alias("kind"), "app", "url"))
+        rows = rows.unionByName(focus.select(*keys, F.lit(-1.0).alias("t"), F.lit(-1).cast("long").alias("event_id"), F.lit("inherited").alias("kind"), "app", "url", F.col("title") if "title" in focus.columns else none.alias("title"), none.alias("label")))
     w = Window.partitionBy(*keys).orderBy("t", "event_id")
     rows = rows.withColumns({"_app": F.last("app", ignorenulls=True).over(w), "_changed": F.col("app").isNotNull() & ~F.col("app").eqNullSafe(F.last("app", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))})
     n = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
@@ -91,18 +97,23 @@ def digest(ev: DataFrame, segs: DataFrame, *, width: float, focus: DataFrame | N
     tally = rows.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.when(F.col("_changed"), F.struct("t", "event_id", "app")))).alias("apps"),
         F.sort_array(F.collect_list(F.when(F.col("url").isNotNull(), F.struct("t", "event_id", "url")))).alias("urls"),
+        F.collect_list(F.when(F.col("title").isNotNull(), F.struct("t", "event_id", "title"))).alias("titles"),
+        F.collect_list(F.when(F.length("label") > 0, F.struct("t", "event_id", "label"))).alias("labels"),
         n("mouse_down").alias("c"), n("key_down").alias("k"), n("scroll").alias("s"), n("mouse_move").alias("m"),
     )
     every = segs.select(*keys).join(tally, keys, "left").join(phrases, keys, "left")
     every = every.join(typed.select(*keys, "typed"), keys, "left") if typed is not None else every.withColumn("typed", F.lit(None).cast("string"))
     plural = lambda c, unit: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {unit}"), F.when(F.col(c) == 1, "").otherwise("s")))
     apps = F.array_join(F.transform("apps", lambda a: a["app"]), " → ")
-    where = F.when(F.size("apps") > 1, F.concat(F.lit("app focus: "), apps)).when(F.size("apps") == 1, apps)
+    titles = F.array_join(_distinct_in_order("titles", "title"), ", ")
+    named = F.concat_ws(" — ", F.nullif(apps, F.lit("")), F.nullif(titles, F.lit("")))
+    where = F.nullif(F.when(F.size("apps") > 1, F.concat(F.lit("app focus: "), named)).otherwise(named), F.lit(""))
+    hit = F.array_join(F.transform(_distinct_in_order("labels", "label"), lambda x: F.concat(F.lit('clicked "'), x, F.lit('"'))), ", ")
     urls = F.array_distinct(F.flatten(F.transform("urls", lambda u: text.url_terms(u["url"]))))
     said = F.when(F.length("typed") > max_typed, F.concat(F.rtrim(F.substring("typed", 1, max_typed)), F.lit("…"))).otherwise(F.col("typed"))
     busy = F.concat_ws(", ", plural("c", "click"), F.when(F.col("s") > 5, "heavy scrolling").when(F.col("s") > 0, "light scrolling"), plural("k", "keystroke"))
     activity = F.when(busy != "", busy).when(F.col("m") > 0, "mouse movement")
-    parts = F.concat_ws(". ", where, F.when(F.size("urls") > 0, F.array_join(urls, " ")), F.when(F.length("typed") > 0, F.concat(F.lit('typed "'), said, F.lit('"'))), activity, F.col("phrases"))
+    parts = F.concat_ws(". ", where, F.when(F.size("urls") > 0, F.array_join(urls, " ")), F.when(F.length("typed") > 0, F.concat(F.lit('typed "'), said, F.lit('"'))), F.nullif(hit, F.lit("")), activity, F.col("phrases"))
     return every.select(*keys, F.when(parts == "", "idle segment").otherwise(F.concat(parts, F.lit("."))).alias("digest"))
 
 
@@ -224,20 +235,108 @@ def tallies(ev: DataFrame) -> DataFrame:
     return ev.groupBy("session_id").agg(n("key_down").alias("keys"), n("mouse_down").alias("clicks"), n("focus_change").alias("focus_changes"), F.max_by("app", F.when(F.col("app").isNotNull(), F.struct("t", "event_id"))).alias("latest_app"))
 
 
-def path_features(points: DataFrame, samples: int = 16) -> DataFrame:
+# Fixed values of the path fit: points of the velocity profile, the residual that is small enough, how often a span is halved.
+VELOCITY_POINTS, FIT_TOLERANCE, FIT_DEPTH = 16, 0.01, 4
+
+
+def path_features(points: DataFrame) -> DataFrame:
     """Per drag: chord, length, straightness and the sums of the least-squares cubic in arc length.
 
-    ``points``: drag_id, i, x, y, t. ``u`` is the share of the path's length reached at a point.
+    ``points``: drag_id, i, x, y, t. ``u`` is the share of the path's length reached at a point. In the
+    frame in which the drag leads from (0, 0) to (1, 0), the ends weigh (1 - u)^3 and u^3, and the two
+    control points in between solve [s11 s12; s12 s22] c = (r1, r2) for x and for y; ``c1x`` to ``c2y``
+    are that solution, or the straight line where there is none.
     """
     w = Window.partitionBy("drag_id").orderBy("i")
     step = F.coalesce(F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2)), F.lit(0.0))
-    rows = points.withColumn("step", step).withColumns({"s": F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)), "length": F.sum("step").over(Window.partitionBy("drag_id"))})
-    u = F.when(F.col("length") > 0, F.col("s") / F.col("length")).otherwise(0.0)
-    rows = rows.withColumn("u", u)
-    b1, b2 = 3 * F.pow(1 - F.col("u"), 2) * F.col("u"), 3 * (1 - F.col("u")) * F.pow("u", 2)
+    drag = Window.partitionBy("drag_id")
+    rows = points.withColumns({"step": step, "_a": F.min_by(F.struct("x", "y"), "i").over(drag), "_z": F.max_by(F.struct("x", "y"), "i").over(drag), "_n": F.count("*").over(drag), "_k": F.row_number().over(w)})
+    rows = rows.withColumns({"s": F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)), "length": F.sum("step").over(drag), "chord": F.hypot(F.col("_z.x") - F.col("_a.x"), F.col("_z.y") - F.col("_a.y"))})
+    ox, oy, cx, cy = F.col("x") - F.col("_a.x"), F.col("y") - F.col("_a.y"), F.col("_z.x") - F.col("_a.x"), F.col("_z.y") - F.col("_a.y")
+    along, across = F.when(F.col("chord") > 1e-6, (ox * cx + oy * cy) / F.pow("chord", 2)), F.when(F.col("chord") > 1e-6, (oy * cx - ox * cy) / F.pow("chord", 2))
+    rows = rows.withColumns({"u": F.when(F.col("length") > 0, F.col("s") / F.col("length")).otherwise(0.0), "along": along, "across": across})
+    u, inner = F.col("u"), (F.col("_k") > 1) & (F.col("_k") < F.col("_n"))
+    b1, b2 = 3 * F.pow(1 - u, 2) * u, 3 * (1 - u) * F.pow(u, 2)
+    total = lambda v: F.coalesce(F.sum(F.when(inner, v)), F.lit(0.0))
+    rx, ry = F.col("along") - F.pow(u, 3), F.col("across")
     ends = rows.groupBy("drag_id").agg(
-        F.min_by(F.struct("x", "y"), "i").alias("a"), F.max_by(F.struct("x", "y"), "i").alias("z"), F.max("length").alias("length"), F.count("*").alias("n"),
-        F.sum(b1 * b1).alias("s11"), F.sum(b1 * b2).alias("s12"), F.sum(b2 * b2).alias("s22"),
+        F.max("chord").alias("chord"), F.max("length").alias("length"), F.count("*").alias("n"), (F.max_by("t", "i") - F.min_by("t", "i")).alias("duration"),
+        total(b1 * b1).alias("s11"), total(b1 * b2).alias("s12"), total(b2 * b2).alias("s22"),
+        total(b1 * rx).alias("r1x"), total(b2 * rx).alias("r2x"), total(b1 * ry).alias("r1y"), total(b2 * ry).alias("r2y"),
     )
-    chord = F.sqrt(F.pow(F.col("z.x") - F.col("a.x"), 2) + F.pow(F.col("z.y") - F.col("a.y"), 2))
-    return ends.select("drag_id", "n", "length", chord.alias("chord"), F.when(F.col("length") > 0, chord / F.col("length")).otherwise(1.0).alias("straightness"), "s11", "s12", "s22")
+    det = F.col("s11") * F.col("s22") - F.col("s12") * F.col("s12")
+    solved = lambda r1, r2, straight: F.when(F.abs(det) < 1e-12, straight).otherwise(((F.col("s22") * F.col(f"r1{r1}") - F.col("s12") * F.col(f"r2{r1}")) if r2 == 1 else (F.col("s11") * F.col(f"r2{r1}") - F.col("s12") * F.col(f"r1{r1}"))) / det)
+    return ends.select(
+        "drag_id", "n", "duration", "length", "chord", F.when(F.col("length") > 0, F.col("chord") / F.col("length")).otherwise(1.0).alias("straightness"), "s11", "s12", "s22",
+        solved("x", 1, 1 / 3).alias("c1x"), solved("y", 1, 0.0).alias("c1y"), solved("x", 2, 2 / 3).alias("c2x"), solved("y", 2, 0.0).alias("c2y"),
+    )
+
+
+def _cubic(t: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Points at ``t`` of the cubic with the four control points ``p``."""
+    t = t[:, None]
+    return (1 - t) ** 3 * p[0] + 3 * t * (1 - t) ** 2 * p[1] + 3 * t**2 * (1 - t) * p[2] + t**3 * p[3]
+
+
+def _fit(points: np.ndarray, u: np.ndarray, depth: int) -> list[np.ndarray]:
+    """Cubics through the first and the last of ``points``, halved by index until all points lie near."""
+    a, z = points[0], points[-1]
+    t = u[1:-1, None]
+    basis = np.hstack([3 * t * (1 - t) ** 2, 3 * t**2 * (1 - t)])
+    rest = points[1:-1] - (1 - t) ** 3 * a - t**3 * z
+    normal = basis.T @ basis
+    control = np.linalg.solve(normal, basis.T @ rest) if abs(np.linalg.det(normal)) >= 1e-12 else np.stack([a + (z - a) / 3, a + 2 * (z - a) / 3])
+    own = np.stack([a, *control, z])
+    off = np.linalg.norm(_cubic(u[1:-1], own) - points[1:-1], axis=1).max(initial=0.0)
+    if off <= FIT_TOLERANCE or depth == 0 or len(points) < 4:
+        return [own]
+    half = len(points) // 2
+    again = lambda v: (v - v[0]) / (v[-1] - v[0]) if v[-1] > v[0] else np.linspace(0, 1, len(v))
+    return _fit(points[: half + 1], again(u[: half + 1]), depth - 1) + _fit(points[half:], again(u[half:]), depth - 1)
+
+
+def path_curve(xy: np.ndarray, t: np.ndarray) -> tuple[list[np.ndarray], float, np.ndarray, float]:
+    """Cubics in the frame of the chord, duration, progress at 16 even times, and confidence of one drag."""
+    straight = [np.array([[0, 0], [1 / 3, 0], [2 / 3, 0], [1, 0]])]
+    lasted = float(t[-1] - t[0]) if len(t) > 1 else 0.0
+    chord = xy[-1] - xy[0]
+    size = float(np.hypot(*chord))
+    if len(xy) < 2 or size < 1e-6:
+        return straight, lasted, np.linspace(0, 1, VELOCITY_POINTS), 0.0
+    unit = (xy - xy[0]) @ np.array([[chord[0], -chord[1]], [chord[1], chord[0]]]) / size**2
+    reached = np.concatenate([[0.0], np.cumsum(np.hypot(*np.diff(unit, axis=0).T))])
+    u = reached / reached[-1]
+    unit[0], unit[-1] = (0, 0), (1, 0)
+    curve = _fit(unit, u, FIT_DEPTH)
+    # the chain at u: spans in proportion to their chords
+    spans = np.array([np.hypot(*(c[3] - c[0])) for c in curve])
+    ends = np.cumsum(spans)
+    at = np.searchsorted(ends, u[1:-1] * ends[-1]).clip(0, len(curve) - 1)
+    local = np.where(spans[at] > 0, (u[1:-1] * ends[-1] - ends[at] + spans[at]) / np.where(spans[at] > 0, spans[at], 1), 0).clip(0, 1)
+    near = np.array([_cubic(local[i : i + 1], curve[c])[0] for i, c in enumerate(at)]).reshape(-1, 2)
+    rms = float(np.sqrt(((near - unit[1:-1]) ** 2).sum() / max(1, len(unit) - 2)))
+    confidence = round(min(1.0, (len(unit) - 1) / 8) / (1 + 10 * rms), 6)
+    times = t[0] + lasted * np.arange(VELOCITY_POINTS) / (VELOCITY_POINTS - 1)
+    right = np.searchsorted(t, times).clip(1, len(t) - 1)
+    gap = t[right] - t[right - 1]
+    share = np.where(gap > 0, (times - t[right - 1]) / np.where(gap > 0, gap, 1), 0)
+    velocity = (u[right - 1] + share * (u[right] - u[right - 1])).round(6).clip(0, 1)
+    velocity[0], velocity[-1] = 0, 1
+    return curve, lasted, velocity, confidence
+
+
+def paths(points: DataFrame) -> DataFrame:
+    """drag_id, duration, confidence, velocity (16 shares) and curve (control points of each cubic) of every drag.
+
+    ``points``: drag_id, i, x, y, t. A drag is one group: what one press of a button holds.
+    """
+    kind = points.schema["drag_id"].dataType.simpleString()
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("i")
+        curve, lasted, velocity, confidence = path_curve(frame[["x", "y"]].to_numpy(float), frame["t"].to_numpy(float))
+        cubics = [dict(zip(("c1x", "c1y", "c2x", "c2y", "ex", "ey"), c[1:].reshape(-1).tolist(), strict=True)) for c in curve]
+        return pd.DataFrame({"drag_id": frame["drag_id"].iloc[:1], "duration": [lasted], "confidence": [confidence], "velocity": [velocity.tolist()], "curve": [cubics]})
+
+    cubic = ",".join(f"{c}:double" for c in ("c1x", "c1y", "c2x", "c2y", "ex", "ey"))
+    return points.select("drag_id", "i", "x", "y", "t").groupBy("drag_id").applyInPandas(fit, f"drag_id {kind}, duration double, confidence double, velocity array<double>, curve array<struct<{cubic}>>")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sessionloom.operators import spatial, temporal
+from sessionloom.sources import tables
 
 # Modifiers that make a key a command, and the virtual key of each scancode.
 COMMANDS = ("cmd", "ctrl")
@@ -107,20 +108,38 @@ def region_job(frames: DataFrame, segs: DataFrame, ev: DataFrame, elements: Data
     return spatial.fuse(every, most=most)
 
 
+def element_paths(elements: DataFrame) -> DataFrame:
+    """elements with ``path``, ``role[i]>role[j]`` from the root. One join a level, as deep as the deepest element.
+
+    Elements that hang on a circle of parents, or on one that is absent, have no path.
+    """
+    tables.ensure_checkpoint_dir(elements.sparkSession)
+    w = Window.partitionBy("snapshot_id", "parent", "role").orderBy("idx")
+    step = F.concat(F.col("role"), F.lit("["), (F.row_number().over(w) - 1).cast("string"), F.lit("]"))
+    steps = elements.select("snapshot_id", "idx", "parent", step.alias("step")).checkpoint()
+    front = steps.filter("parent is null").select("snapshot_id", "idx", F.col("step").alias("path"))
+    out = front
+    while True:
+        above = front.select("snapshot_id", F.col("idx").alias("parent"), F.col("path").alias("above"))
+        front = steps.join(above, ["snapshot_id", "parent"]).select("snapshot_id", "idx", F.concat_ws(">", "above", "step").alias("path")).checkpoint()
+        if front.isEmpty():
+            return elements.join(out, ["snapshot_id", "idx"], "left")
+        out = out.unionByName(front)
+
+
 def build_anchors(points: DataFrame, elements: DataFrame, regions: DataFrame, windows: DataFrame) -> DataFrame:
-    """point_id with the element hit (role, label, path), the smallest region, and the point relative to its window.
+    """point_id with the element hit (role, label, identifier, path), the smallest region, and the point relative to its window.
 
     ``points``: point_id, snapshot_id, frame_id, session_id, event_id, t, x, y; ``elements``: snapshot_id, idx,
-    parent, depth, role, label and box; ``windows``: session_id, event_id, t, wx, wy. A path is the
-    element's role and place among siblings of its parent.
+    parent, depth, role, label, identifier and box; ``windows``: session_id, event_id, t, wx, wy. A path
+    leads from the root: each step is a role and its place (from 0) among siblings of that role.
     """
-    w = Window.partitionBy("snapshot_id", "parent", "role").orderBy("idx")
-    placed = elements.withColumn("path", F.concat(F.lit("/"), F.col("role"), F.lit("["), F.row_number().over(w).cast("string"), F.lit("]")))
+    placed = element_paths(elements)
     hit = spatial.deepest_hit(points, elements)
-    hit = points.select("point_id", "snapshot_id").join(hit, "point_id").join(placed.select("snapshot_id", "idx", "role", "label", "path"), ["snapshot_id", "idx"])
+    hit = points.select("point_id", "snapshot_id").join(hit, "point_id").join(placed.select("snapshot_id", "idx", "role", F.nullif("label", F.lit("")).alias("label"), F.nullif("identifier", F.lit("")).alias("identifier"), "path"), ["snapshot_id", "idx"])
     region = spatial.smallest_hit(points.select("frame_id", "point_id", "x", "y"), regions)
-    rows = temporal.asof(points, windows, ["wx", "wy"]).join(hit.select("point_id", "role", "label", "path"), "point_id", "left").join(region, "point_id", "left")
-    return rows.select("point_id", "role", "label", "path", "region_id", (F.col("x") - F.col("wx")).alias("rel_x"), (F.col("y") - F.col("wy")).alias("rel_y"))
+    rows = temporal.asof(points, windows, ["wx", "wy"]).join(hit.select("point_id", "role", "label", "identifier", "path"), "point_id", "left").join(region, "point_id", "left")
+    return rows.select("point_id", "role", "label", "identifier", "path", "region_id", (F.col("x") - F.col("wx")).alias("rel_x"), (F.col("y") - F.col("wy")).alias("rel_y"))
 
 
 def rebuild_report(marked: DataFrame, edges: DataFrame) -> DataFrame:

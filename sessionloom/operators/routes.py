@@ -61,20 +61,39 @@ def similarity(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     })
 
 
+def shortened(places: Column, budget: int) -> Column:
+    """All distinct forms of an array with one to ``budget`` elements left out between its first and its last.
+
+    Of one that begins and ends alike the single element is a form too, where the budget reaches it.
+    """
+    def without_one(a: Column) -> Column:
+        inner = F.when(F.size(a) > 2, F.sequence(F.lit(2), F.size(a) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(inner, lambda i: F.concat(F.slice(a, 1, i - 1), F.slice(a, i + 1, F.size(a))))
+
+    level = every = without_one(places)
+    for _ in range(budget - 1):
+        level = F.array_distinct(F.flatten(F.transform(level, without_one)))
+        every = F.concat(every, level)
+    alike = (F.size(places) > 1) & (F.size(places) - 1 <= budget) & (F.element_at(places, 1) == F.element_at(places, -1))
+    return F.array_distinct(F.concat(every, F.when(alike, F.array(F.slice(places, 1, 1))).otherwise(F.array().cast("array<array<string>>"))))
+
+
 def compatible_pairs(routes: DataFrame, *, rule: str = "insertions", budget: int = 2, least: float = 0.8) -> DataFrame:
     """a_key, b_key of routes that a rule calls the same work.
 
-    Insertions need equal first and last places, so pairs meet on both; the other rules need some
-    place in common, so they meet on places.
+    Insertions need equal first and last places: the longer route, with as many places left out in
+    between as the budget allows, is the shorter one, so pairs meet by an equal join on what is left.
+    A route of n places has about n ** budget such forms. The other rules need some place in common,
+    so they meet on places.
     """
     one = routes.select("route_key", "places")
     side = lambda p, *extra: one.select(F.col("route_key").alias(f"{p}_key"), F.col("places").alias(p), *extra)
     if rule == "exact":
         return routes.select(F.col("route_key").alias("a_key"), F.col("route_key").alias("b_key")).filter(F.lit(False))
     if rule == "insertions":
-        ends = (F.element_at("places", 1).alias("first"), F.element_at("places", -1).alias("last"))
-        met = side("a", *ends).join(side("b", *ends), ["first", "last"]).filter((F.col("a_key") < F.col("b_key")) & (F.abs(F.size("a") - F.size("b")) <= budget))
-        return similarity(met).filter(F.col("gap") <= budget).select("a_key", "b_key")
+        held = one.select(F.col("route_key").alias("long"), F.explode(shortened(F.col("places"), budget)).alias("form"))
+        met = held.join(one.select(F.col("route_key").alias("short"), F.col("places").alias("form")), "form").filter("long <> short")
+        return met.select(F.least("long", "short").alias("a_key"), F.greatest("long", "short").alias("b_key")).distinct()
     met = side("a", F.explode(F.array_distinct("places")).alias("p")).join(side("b", F.explode(F.array_distinct("places")).alias("p")), "p").filter("a_key < b_key").dropDuplicates(["a_key", "b_key"])
     return similarity(met).filter(F.col("lcs_ratio" if rule == "lcs" else "jaccard") >= least).select("a_key", "b_key")
 
@@ -94,17 +113,51 @@ def _families(keys: DataFrame, pairs: DataFrame) -> DataFrame:
     return label.withColumnRenamed("x", "route_key")
 
 
-def cluster_routes(routes: DataFrame, **rule) -> DataFrame:
+def _assigned_in_rounds(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``cluster_routes`` for families of any size: each round settles all routes before which nothing near is open.
+
+    ``rows``: route_key, n_sessions, length; ``links``: x, y in both directions. A route's place depends
+    on the clusters of its partners, hence on routes up to two links away; it is settled when it is the
+    first open one among these. A cluster takes it if all members so far are its partners.
+    """
+    order = F.struct((-F.col("n_sessions")).alias("n"), "length", "route_key")
+    state = rows.select("route_key", order.alias("o"), F.lit(None).cast("string").alias("canonical"), F.lit(None).cast("boolean").alias("declined")).checkpoint()
+    while True:
+        open_ = state.filter("canonical is null").select("route_key", "o")
+        if open_.isEmpty():
+            return state.select("route_key", "canonical", "declined")
+        near = lambda of: links.join(of.select(F.col("route_key").alias("y"), "first"), "y").groupBy(F.col("x").alias("route_key")).agg(F.min("first").alias("by"))
+        one = state.select("route_key", F.when(F.col("canonical").isNull(), F.col("o")).alias("own")).join(near(open_.withColumnRenamed("o", "first")), "route_key", "left").select("route_key", F.least("own", "by").alias("first"))
+        two = open_.join(near(one.filter("first is not null")), "route_key", "left").join(one, "route_key").filter((F.coalesce("by", "o") >= F.col("o")) & (F.col("first") >= F.col("o"))).select("route_key").checkpoint()
+        known = state.filter("canonical is not null").select(F.col("route_key").alias("y"), "canonical")
+        sizes = known.groupBy("canonical").agg(F.count("*").alias("size"))
+        beside = links.join(two.withColumnRenamed("route_key", "x"), "x").join(known, "y").groupBy("x", "canonical").agg(F.count("*").alias("met"))
+        takes = beside.join(sizes, "canonical").filter("met = size").groupBy(F.col("x").alias("route_key")).agg(F.count("*").alias("n"), F.min("canonical").alias("c"))
+        settled = two.join(takes, "route_key", "left").select("route_key", F.when(F.col("n") == 1, F.col("c")).otherwise(F.col("route_key")).alias("new"), F.coalesce(F.col("n") > 1, F.lit(False)).alias("more"))
+        state = state.join(settled, "route_key", "left").select("route_key", "o", F.coalesce("canonical", "new").alias("canonical"), F.coalesce("declined", "more").alias("declined")).checkpoint()
+
+
+#: Most routes of a family that one task assigns; larger families are assigned in rounds.
+FAMILY_ROWS = 5_000
+
+
+def cluster_routes(routes: DataFrame, *, family_rows: int = FAMILY_ROWS, **rule) -> DataFrame:
     """route_key, canonical, declined: routes in order of sessions, length and key, each joining a cluster only if
     compatible with all its members and no other cluster would take it too.
 
-    Only routes linked by compatible pairs can meet, so each family of them is assigned on its own.
+    Only routes linked by compatible pairs can meet, so each family of them is assigned on its own: in
+    one task up to ``family_rows`` routes, in rounds of joins above.
     """
     ensure_checkpoint_dir(routes.sparkSession)
     routes = routes.checkpoint()  # each round below reads it again
     pairs = compatible_pairs(routes, **rule).checkpoint()
-    both = pairs.union(pairs.select("b_key", "a_key")).groupBy(F.col("a_key").alias("route_key")).agg(F.collect_set("b_key").alias("fits"))
-    rows = routes.select("route_key", "n_sessions", F.size("places").alias("length")).join(_families(routes, pairs), "route_key").join(both, "route_key", "left")
+    families = _families(routes, pairs)
+    rows = routes.select("route_key", "n_sessions", F.size("places").alias("length")).join(families, "route_key").checkpoint()
+    large = rows.groupBy("family").agg(F.count("*").alias("n")).filter(F.col("n") > family_rows).select("family").checkpoint()
+    whole = rows.join(large, "family", "left_anti")
+    links = pairs.select(F.col("a_key").alias("x"), F.col("b_key").alias("y")).union(pairs.select("b_key", "a_key"))
+    both = links.join(whole.select(F.col("route_key").alias("x")), "x", "left_semi").groupBy(F.col("x").alias("route_key")).agg(F.collect_set("y").alias("fits"))
+    whole = whole.join(both, "route_key", "left")
 
     def assign(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.assign(neg=-frame["n_sessions"]).sort_values(["neg", "length", "route_key"])
@@ -120,7 +173,11 @@ def cluster_routes(routes: DataFrame, **rule) -> DataFrame:
                 out.append((key, key, bool(take)))
         return pd.DataFrame(out, columns=["route_key", "canonical", "declined"])
 
-    return rows.groupBy("family").applyInPandas(assign, "route_key string, canonical string, declined boolean")
+    small = whole.groupBy("family").applyInPandas(assign, "route_key string, canonical string, declined boolean")
+    if large.isEmpty():
+        return small
+    rest = rows.join(large, "family", "left_semi")
+    return small.unionByName(_assigned_in_rounds(rest, links.join(rest.select(F.col("route_key").alias("x")), "x", "left_semi").checkpoint()))
 
 
 def route_names(spans: DataFrame, summaries: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sessionloom.operators import temporal
+
 #: Which reason stands where several fall on one instant (fixed values).
 PRIORITY = {"session_start": 101, "session_end": 100, "bookmark": 30, "focus_change": 20, "scene_change": 15, "dwell_gap": 10, "burst_gap": 5, "window": 0}
 #: Input that means that somebody did something (fixed values).
@@ -120,6 +123,19 @@ def pauses(ev: DataFrame, *, dwell_ms: float = DWELL_MS, burst_ms: float = BURST
     return rows.select("session_id", start.alias("t_start"), F.col("t").alias("t_end"), pause.alias("pause")).filter("pause is not null")
 
 
+def boundary_triggers(ev: DataFrame, *, settle_ms: float = 250.0, dwell_ms: float = 3000.0) -> DataFrame:
+    """session_id, event_id, t, reason of the moments that ask for a snapshot.
+
+    A focus change, a bookmark, or input at least ``dwell_ms`` after the input before it; what follows
+    one of them within ``settle_ms`` folds into it.
+    """
+    w = Window.partitionBy("session_id").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    useful = F.col("kind").isin(*MEANINGFUL)
+    before = F.last(F.when(useful, F.col("t")), ignorenulls=True).over(w)
+    reason = F.when(F.col("kind").isin("focus_change", "bookmark"), F.col("kind")).when(useful & (F.col("t") - before >= dwell_ms), "dwell_resume")
+    return temporal.min_gap(ev.withColumn("reason", reason).filter("reason is not null"), F.lit(settle_ms)).select("session_id", "event_id", "t", "reason")
+
+
 def app_spans(ev: DataFrame, ends: DataFrame) -> DataFrame:
     """session_id, app, t_start, t_end from each focus change to the next, the last to the session's end; empty ones go."""
     w = Window.partitionBy("session_id").orderBy("t", "event_id")
@@ -136,99 +152,145 @@ def clicks(ev: DataFrame, *, drag_px: float = 4.0) -> DataFrame:
     return downs.select("session_id", "event_id", "t", F.col("_up.t").alias("up_t"), F.when(moved > drag_px, "drag").otherwise("click").alias("gesture"))
 
 
+# Limits of what makes one gesture.
 GESTURES = {"multi_click_ms": 400.0, "multi_click_px": 6.0, "drag_px": 4.0, "hover_ms": 800.0, "scroll_gap_ms": 250.0, "idle_ms": 1500.0}
+_POINTER = ("mouse_down", "mouse_up", "mouse_move")
+_KEYS = ("key_down", "key_up")
+
+
+def _apart(a, b) -> float:
+    return ((a.x - b.x) ** 2 + (a.y - b.y) ** 2) ** 0.5
+
+
+def _presses(rows: list, drag_px: float) -> Iterator[tuple]:
+    """Clicks, drags and buttons without their other half, each with the place of the event that ends it."""
+    held, moves = None, []
+    for i, e in enumerate(rows):
+        if e.kind == "mouse_down":
+            if held is not None:
+                yield i, {"gesture": "warning", "t_start": held.t, "detail": "press without release"}
+            held, moves = e, []
+        elif e.kind == "mouse_move" and held is not None:
+            moves.append(e)
+        elif e.kind == "mouse_up" and held is None:
+            yield i, {"gesture": "warning", "t_start": e.t, "detail": "release without press"}
+        elif e.kind == "mouse_up":
+            found = {"gesture": "click", "t_start": held.t, "t_end": e.t, "x": held.x, "y": held.y, "button": held.button}
+            if _apart(held, e) > drag_px:
+                found |= {"gesture": "drag", "to_x": e.x, "to_y": e.y, "path": [{"x": p.x, "y": p.y, "t": p.t} for p in (held, *moves, e)]}
+            yield i, found
+            held = None
+    if held is not None:
+        yield len(rows), {"gesture": "warning", "t_start": held.t, "detail": "press without release"}
+
+
+def _hovers(rows: list, still_px: float, least_ms: float) -> Iterator[tuple]:
+    """The pointer's last stay before a press, a scroll or anything that is neither pointer nor key.
+
+    A stay begins at the first free move and anew at each move that leaves its beginning; it lasts to
+    the last move, so a pause in which nothing moves is none.
+    """
+    pressed, start, last = False, None, None
+    for i, e in enumerate([*rows, None]):
+        if e is None or e.kind == "mouse_down" or e.kind not in (*_POINTER, *_KEYS):
+            if start is not None and last.t - start.t >= least_ms:
+                yield i, {"gesture": "hover", "t_start": start.t, "t_end": last.t, "x": start.x, "y": start.y}
+            start = last = None
+        elif e.kind == "mouse_move" and not pressed:
+            start, last = e if start is None or _apart(start, e) > still_px else start, e
+        if e is not None and e.kind in ("mouse_down", "mouse_up"):
+            pressed = e.kind == "mouse_down"
+
+
+def _scrolls(rows: list, gap_ms: float) -> Iterator[tuple]:
+    """Runs of scrolls with nothing else and no long gap between them."""
+    for i, e in enumerate(rows):
+        if e.kind != "scroll":
+            continue
+        if i and rows[i - 1].kind == "scroll" and e.t - rows[i - 1].t <= gap_ms:
+            run |= {"t_end": e.t, "n": run["n"] + 1, "dx": run["dx"] + e.dx, "dy": run["dy"] + e.dy}
+        else:
+            run = {"gesture": "scroll", "t_start": e.t, "t_end": e.t, "n": 1, "x": e.x, "y": e.y, "dx": e.dx, "dy": e.dy}
+        ends = i + 1 == len(rows) or rows[i + 1].kind != "scroll" or rows[i + 1].t - e.t > gap_ms
+        if ends:
+            yield i + 1, run
+
+
+def _typing(rows: list) -> Iterator[tuple]:
+    """Text between which only keys come, chords, and keys without a character; a release prolongs what it ends."""
+    run = None
+    for i, e in enumerate([*rows, None]):
+        chord = e is not None and e.kind == "key_down" and bool(e.chord)
+        if run and (chord or e is None or e.kind not in _KEYS):
+            yield i, run | {"n": len(run["detail"])}
+            run = None
+        if e is None or e.kind not in _KEYS:
+            continue
+        if chord:
+            yield i, {"gesture": "chord", "t_start": e.t, "t_end": e.t, "detail": e.chord}
+        elif e.kind == "key_up" and run:
+            run["t_end"] = e.t
+        elif e.kind == "key_up":
+            yield i, {"gesture": "release", "t_start": e.t}
+        elif not e.char:
+            yield i, {"gesture": "warning", "t_start": e.t, "detail": "key without a character"}
+        else:
+            run = run or {"gesture": "text", "t_start": e.t, "detail": ""}
+            run |= {"t_end": e.t, "detail": run["detail"] + e.char}
 
 
 def gestures(ev: DataFrame, options: dict[str, float] | None = None) -> DataFrame:
-    """session_id, gesture_no, gesture, t_start, t_end, n, detail.
-
-    ``ev``: session_id, t, event_id, kind, x, y, char, chord (null where the kind has none). Clicks
-    that follow within 400 ms and 6 px are one; a press that moves over 4 px is a drag; a pointer at
-    rest for 800 ms a hover; scrolls within 250 ms one run; keys make text, chords stand alone, a key
-    without a character warns. A pause of 1500 ms between gestures is idle. The rules carry several
-    states, so each session's rows are folded in order in one group.
+    """session_id, gesture_no, gesture, t_start, t_end, n, detail, x, y, to_x, to_y, button, dx, dy, path.
+
+    ``ev``: session_id, t, event_id, kind, x, y, char, chord (null where the kind has none), and if
+    there are any button, dx, dy. Clicks of one button that follow within 400 ms and 6 px of the first
+    are one; a press that ends over 4 px away is a drag, with its ``path``; a pointer that moves within
+    6 px for 800 ms hovers; scrolls within 250 ms are one run and add up; keys make text, chords stand
+    alone. A press or release without the other, and a key without a character, warn. From one gesture
+    to the next 1500 ms or more are idle. Each rule runs over a session's rows in order, so a session
+    is one group: what one person does in one recording.
     """
     o = GESTURES | (options or {})
+    extra = {c: F.col(c) if c in ev.columns else F.lit(v) for c, v in (("button", 1), ("dx", 0.0), ("dy", 0.0))}
+    columns = ["gesture_no", "gesture", "t_start", "t_end", "n", "detail", "x", "y", "to_x", "to_y", "button", "dx", "dy", "path"]
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["t", "event_id"])
-        out: list[list] = []
-        press = scroll = text = move = None
-
-        def emit(kind, t0, t1, n=1, detail=None):
-            out.append([kind, float(t0), float(t1), int(n), detail])
-
-        def flush_scroll():
-            nonlocal scroll
-            if scroll:
-                emit("scroll", *scroll)
-            scroll = None
-
-        def flush_text():
-            nonlocal text
-            if text and text[2]:
-                emit("text", text[0], text[1], len(text[2]), text[2])
-            text = None
-
-        def flush_hover(t):
-            nonlocal move
-            if move and t - move >= o["hover_ms"]:
-                emit("hover", move, t)
-            move = None
-
-        for e in frame.itertuples(index=False):
-            if e.kind != "scroll":
-                flush_scroll()
-            if e.kind not in ("key_down", "key_up"):
-                flush_text()
-            if e.kind == "mouse_move":
-                if press is None:
-                    flush_hover(e.t)
-                    move = e.t
-            elif e.kind == "mouse_down":
-                flush_hover(e.t)
-                press = (e.t, e.x, e.y)
-            elif e.kind == "mouse_up":
-                if press:
-                    t0, x0, y0 = press
-                    if ((e.x - x0) ** 2 + (e.y - y0) ** 2) ** 0.5 > o["drag_px"]:
-                        emit("drag", t0, e.t)
-                    elif out and out[-1][0] == "click" and t0 - out[-1][2] <= o["multi_click_ms"] and ((x0 - last[0]) ** 2 + (y0 - last[1]) ** 2) ** 0.5 <= o["multi_click_px"]:
-                        out[-1][2], out[-1][3] = float(e.t), out[-1][3] + 1
-                        last = (x0, y0)
-                    else:
-                        emit("click", t0, e.t)
-                        last = (x0, y0)
-                press = None
-            elif e.kind == "scroll":
-                flush_hover(e.t)
-                if scroll and e.t - scroll[1] <= o["scroll_gap_ms"]:
-                    scroll = (scroll[0], e.t, scroll[2] + 1)
-                else:
-                    flush_scroll()
-                    scroll = (e.t, e.t, 1)
-            elif e.kind == "key_down":
-                if e.chord:
-                    flush_text()
-                    emit("chord", e.t, e.t, 1, e.chord)
-                elif not e.char:
-                    emit("warning", e.t, e.t, 1, "key without a character")
-                else:
-                    text = (text[0], e.t, text[2] + e.char) if text else (e.t, e.t, e.char)
-            else:
-                flush_hover(e.t)
-        flush_scroll()
-        flush_text()
-        rows, before = [], None
-        for g in sorted(out, key=lambda g: g[1]):
-            if before is not None and g[1] - before >= o["idle_ms"]:
-                rows.append(["idle", before, g[1], 1, None])
-            rows.append(g)
-            before = max(before or 0, g[2])
-        result = pd.DataFrame(rows, columns=["gesture", "t_start", "t_end", "n", "detail"])
-        result.insert(0, "gesture_no", range(1, len(result) + 1))
+        frame[["x", "y"]] = frame[["x", "y"]].fillna(0.0)
+        rows = list(frame.itertuples(index=False))
+        found = [*_scrolls(rows, o["scroll_gap_ms"]), *_typing(rows), *_hovers(rows, o["multi_click_px"], o["hover_ms"]), *_presses(rows, o["drag_px"])]
+        order = ("scroll", "text", "hover")  # what an event ends comes before what it is
+        found.sort(key=lambda f: (f[0], order.index(f[1]["gesture"]) if f[1]["gesture"] in order else 3))
+        told: list[dict] = []
+        last: dict | None = None
+        for _, g in found:
+            if g["gesture"] == "release":
+                if last and last["gesture"] == "chord":
+                    last["t_end"] = g["t_start"]
+                continue
+            if g["gesture"] == "warning":
+                told.append(g | {"t_end": g["t_start"], "n": 1})
+                continue
+            if last and g["gesture"] == last["gesture"] == "click" and g["button"] == last["button"] and g["t_start"] - last["t_end"] <= o["multi_click_ms"]:
+                if ((g["x"] - last["x"]) ** 2 + (g["y"] - last["y"]) ** 2) ** 0.5 <= o["multi_click_px"]:
+                    last |= {"t_end": g["t_end"], "n": last["n"] + 1}
+                    continue
+            last = {"n": 1} | g
+            told.append(last)
+        out, before = [], None
+        for g in told:
+            if g["gesture"] != "warning":
+                if before is not None and g["t_start"] - before >= o["idle_ms"]:
+                    out.append({"gesture": "idle", "t_start": before, "t_end": g["t_start"], "n": 1})
+                before = g["t_end"]
+            out.append(g)
+        result = pd.DataFrame([g | {"gesture_no": i} for i, g in enumerate(out, 1)], columns=columns)
+        result["button"] = result["button"].astype("Int32")
         result.insert(0, "session_id", frame["session_id"].iloc[0])
+        for c in ("gesture", "detail", "path"):  # as plain objects, whatever type pandas takes them for
+            result[c] = result[c].astype(object).where(result[c].notna(), None)
         return result
 
     kind = ev.schema["session_id"].dataType.simpleString()
-    return ev.select("session_id", "t", "event_id", "kind", "x", "y", "char", "chord").groupBy("session_id").applyInPandas(fold, f"session_id {kind}, gesture_no int, gesture string, t_start double, t_end double, n int, detail string")
+    rows = ev.select("session_id", F.col("t").cast("double").alias("t"), "event_id", "kind", "x", "y", "char", "chord", extra["button"].cast("int").alias("button"), *[F.coalesce(extra[c].cast("double"), F.lit(0.0)).alias(c) for c in ("dx", "dy")])
+    return rows.groupBy("session_id").applyInPandas(fold, f"session_id {kind}, gesture_no int, gesture string, t_start double, t_end double, n int, detail string, x double, y double, to_x double, to_y double, button int, dx double, dy double, path array<struct<x:double,y:double,t:double>>")

@@ -6,6 +6,7 @@ second ordering column, since a DataFrame has no input order.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -95,21 +96,20 @@ def min_gap(df: DataFrame, gap: Column, *, session: str = "session_id", t: str =
     """The rows kept by a throttle: the first of a session, and each that is ``gap`` or more after the last kept.
 
     A time that goes back is kept. What is kept depends on what was kept before, so each session is
-    folded in order; the state is one time.
+    folded in order, in one pass; the state is one time.
     """
-    names = df.columns
-    row = F.struct(F.col(t).alias("_t"), F.col(seq).alias("_seq"), gap.alias("_gap"), F.struct(*names).alias("_row"))
-    ordered = df.groupBy(session).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    kind = ordered.schema["rows"].dataType.simpleString()
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.expr(f"cast(array() as {kind})").alias("kept"))
-
-    def step(s: Column, r: Column) -> Column:
-        since = r["_t"] - s["last"]
-        keep = s["last"].isNull() | (since >= r["_gap"]) | (since < 0)
-        return F.struct(F.when(keep, r["_t"]).otherwise(s["last"]).alias("last"), F.when(keep, F.concat(s["kept"], F.array(r))).otherwise(s["kept"]).alias("kept"))
-
-    kept = ordered.select(F.explode(F.aggregate("rows", start, step)["kept"]).alias("r"))
-    return kept.select("r._row.*")
+    rows = df.withColumn("_gap", gap.cast("double"))
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values([t, seq])
+        last, kept = None, []
+        for at, least in zip(frame[t].astype(float).tolist(), frame["_gap"].tolist(), strict=True):
+            kept.append(last is None or at - last >= least or at < last)
+            if kept[-1]:
+                last = at
+        return frame[kept].drop(columns="_gap")
+
+    return rows.groupBy(session).applyInPandas(fold, df.schema)
 
 
 def last_n(df: DataFrame, n: int, *, session: str = "session_id", order: list[str]) -> DataFrame:

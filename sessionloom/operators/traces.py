@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +29,11 @@ def element_predicates(elements: DataFrame, most: int = 64) -> DataFrame:
     ``elements``: snapshot_id, idx, parent, role, label, identifier, depth. Ordered by depth, role and
     descriptor, without repeats, at most ``most`` a snapshot.
     """
+    return _listed(_described(elements), most)
+
+
+def _described(elements: DataFrame) -> DataFrame:
+    """Elements of stable role outside tab strips, with the arguments of their predicate."""
     ensure_checkpoint_dir(elements.sparkSession)
     role = F.regexp_replace("role", "^AX", "")
     rows = elements.withColumn("role", role)
@@ -37,13 +44,42 @@ def element_predicates(elements: DataFrame, most: int = 64) -> DataFrame:
         inside = inside.union(front)
     lasting = (F.length("label") > 0) & ~text.volatile(F.coalesce("label", F.lit("")))
     args = F.when(F.length("identifier") > 0, F.create_map(F.lit("role"), F.col("role"), F.lit("identifier"), F.col("identifier"))).when(lasting, F.create_map(F.lit("role"), F.col("role"), F.lit("label"), F.col("label")))
-    kept = rows.filter(F.col("role").isin(*STABLE_ROLES)).join(inside.distinct(), ["snapshot_id", "idx"], "left_anti").withColumn("args", args).filter("args is not null")
+    return rows.filter(F.col("role").isin(*STABLE_ROLES)).join(inside.distinct(), ["snapshot_id", "idx"], "left_anti").withColumn("args", args).filter("args is not null")
+
+
+def _listed(kept: DataFrame, most: int) -> DataFrame:
     named = kept.select("snapshot_id", "depth", "role", F.coalesce(F.when(F.length("identifier") > 0, F.col("identifier")), F.col("label")).alias("descriptor"), predicate_key(F.lit("ax_exists"), F.col("args")).alias("key"))
     first = named.groupBy("snapshot_id", "key").agg(F.min(F.struct("depth", "role", "descriptor")).alias("o"))
     ranked = first.withColumn("ord", F.row_number().over(Window.partitionBy("snapshot_id").orderBy("o", "key")))
     return ranked.filter(F.col("ord") <= most).select("snapshot_id", "key", "ord")
 
 
+def predicates(elements: DataFrame, context: DataFrame, most: int = 64) -> DataFrame:
+    """snapshot_id, kind, key, ord: all that a snapshot asserts, in order.
+
+    App, URL place, displays and files of ``context`` (snapshot_id, app, url, displays: an array of
+    structs of id, w, h, files: an array of paths), then the focused element and the others by
+    ``element_predicates``. An element in focus counts if its role is stable, it has a descriptor and
+    lies outside tab strips; of several in focus the first is it.
+    """
+    one = lambda name, value: F.create_map(F.lit(name), value)
+    place = text.url_prefix(F.col("url"))
+    display = lambda s: F.create_map(*[x for c in ("id", "w", "h") for x in (F.lit(c), s[c].cast("string"))])
+    told = lambda kind, args: F.struct(F.lit(kind).alias("kind"), predicate_key(F.lit(kind), args).alias("key"))
+    said = F.concat(
+        F.array(F.when(F.length("app") > 0, told("app", one("app", F.col("app")))), F.when(F.length(place) > 0, told("url", one("prefix", place)))),
+        F.transform(F.coalesce("displays", F.expr("array()")), lambda s: told("display", display(s))),
+        F.transform(F.coalesce("files", F.array().cast("array<string>")), lambda p: told("file", one("path", p))),
+    )
+    around = context.select("snapshot_id", F.posexplode(F.filter(said, lambda s: s.isNotNull())).alias("i", "s")).select("snapshot_id", F.lit(0).alias("part"), "i", "s.kind", "s.key")
+    first = elements.filter("focused").groupBy("snapshot_id").agg(F.min("idx").alias("idx"))
+    described = _described(elements)
+    focus = described.join(first, ["snapshot_id", "idx"], "left_semi").select("snapshot_id", F.lit(1).alias("part"), F.lit(0).alias("i"), F.lit("ax_focused").alias("kind"), predicate_key(F.lit("ax_focused"), F.col("args")).alias("key"))
+    rest = _listed(described, most).select("snapshot_id", F.lit(2).alias("part"), F.col("ord").alias("i"), F.lit("ax_exists").alias("kind"), "key")
+    every = around.unionByName(focus).unionByName(rest)
+    return every.select("snapshot_id", "kind", "key", F.row_number().over(Window.partitionBy("snapshot_id").orderBy("part", "i")).alias("ord"))
+
+
 def anchor_key(path: Column, label: Column, display: Column, x: Column, y: Column, step: float = 16.0) -> Column:
     """``ax:path:label`` where there is a path, else the display and the point in steps of 16 px."""
     cell = lambda v: F.floor(v / step + 0.5).cast("string")
@@ -151,7 +187,7 @@ def node_label(predicates: DataFrame) -> DataFrame:
     return g.select("node_id", F.coalesce(F.nullif(F.concat_ws(" — ", "app", F.coalesce("sheet", "url", "focus")), F.lit("")), F.concat(F.col("node_id").cast("string"), F.lit(" — no state"))).alias("label"))
 
 
-def ranks(edges: DataFrame, entries: DataFrame, most: int = 1000) -> DataFrame:
+def ranks(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """node, rank by breadth-first search from the entries and the nodes that nothing leads to; the rest have none.
 
     ``edges``: from_node, to_node; ``entries``: node.
@@ -161,7 +197,7 @@ def ranks(edges: DataFrame, entries: DataFrame, most: int = 1000) -> DataFrame:
     starts = pairs.select(F.col("from_node").alias("node")).distinct().join(pairs.filter("from_node <> to_node").select(F.col("to_node").alias("node")).distinct(), "node", "left_anti")
     front = entries.select("node").union(starts).distinct().withColumn("rank", F.lit(0)).checkpoint()
     out = front
-    for rank in range(1, most):
+    for rank in itertools.count(1):  # each round reaches nodes that no round before has, or is the last
         front = front.join(pairs, F.col("node") == F.col("from_node")).select(F.col("to_node").alias("node")).distinct().join(out.select("node"), "node", "left_anti").withColumn("rank", F.lit(rank)).checkpoint()
         if front.isEmpty():
             break
@@ -189,10 +225,13 @@ def verify(expected: DataFrame, observed: DataFrame) -> DataFrame:
 def locate(nodes: DataFrame, observed: DataFrame) -> DataFrame:
     """snapshot_id, node_id, verdict: of the states that are wholly observed the one with most predicates; a tie is ambiguous.
 
-    ``nodes``: node_id, key; ``observed``: snapshot_id, key.
+    ``nodes``: node_id, key; ``observed``: snapshot_id, key. A state is posted under its rarest
+    predicate alone, so one that most states share (an app) brings hardly any of them together.
     """
-    size = nodes.groupBy("node_id").agg(F.count("*").alias("size"))
-    met = observed.distinct().join(nodes, "key").groupBy("snapshot_id", "node_id").agg(F.count("*").alias("met")).join(size, "node_id").filter("met = size")
+    frequency = nodes.groupBy("key").agg(F.count("*").alias("n"))
+    posted = nodes.join(frequency, "key").groupBy("node_id").agg(F.min(F.struct("n", "key")).alias("rare"), F.collect_set("key").alias("keys")).select("node_id", "keys", F.col("rare.key").alias("key"), F.size("keys").alias("size"))
+    seen = observed.groupBy("snapshot_id").agg(F.collect_set("key").alias("seen"))
+    met = seen.withColumn("key", F.explode("seen")).join(posted, "key").filter(F.size(F.array_except("keys", "seen")) == 0).select("snapshot_id", "node_id", "size")
     best = met.withColumn("r", F.rank().over(Window.partitionBy("snapshot_id").orderBy(F.desc("size")))).filter("r = 1").groupBy("snapshot_id").agg(F.count("*").alias("n"), F.min("node_id").alias("node_id"))
     every = observed.select("snapshot_id").distinct().join(best, "snapshot_id", "left")
     return every.select("snapshot_id", F.when(F.col("n") == 1, F.col("node_id")).alias("node_id"), F.when(F.col("n").isNull(), "nowhere").when(F.col("n") == 1, "located").otherwise("ambiguous").alias("verdict"))

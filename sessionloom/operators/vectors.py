@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+import itertools
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, HashingTF, Normalizer
+from pyspark.ml.feature import IDF, HashingTF, IDFModel, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Ways in which the rows are dealt, each of which gets every query.
-LANES = 32
+#: Ways at least in which the rows are dealt, each of which gets every query, and rows of one at most.
+LANES, LANE_ROWS = 32, 50_000
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -27,9 +30,10 @@ def cosine(a: str | Column, b: str | Column) -> Column:
 
 
 def against_all(queries: DataFrame, base: DataFrame, key: str = "id") -> DataFrame:
-    """Every query beside every row, by an equal join: rows are dealt to lanes and each lane gets all queries."""
-    dealt = base.withColumn("_lane", F.pmod(F.xxhash64(key), F.lit(LANES)))
-    return dealt.join(queries.withColumn("_lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LANES - 1).cast("long")))), "_lane").drop("_lane")
+    """Every query beside every row, by an equal join: rows are dealt to lanes, more where there are more, and each lane gets all queries."""
+    lanes = max(LANES, base.count() // LANE_ROWS + 1)
+    dealt = base.withColumn("_lane", F.pmod(F.xxhash64(key), F.lit(lanes)))
+    return dealt.join(queries.withColumn("_lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long")))), "_lane").drop("_lane")
 
 
 def top(df: DataFrame, k: int, *order: Column, group: str = "query_id") -> DataFrame:
@@ -104,52 +108,83 @@ def maxsim(queries: DataFrame, base: DataFrame, k: int, *, scope: DataFrame | No
 def hash_radius(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
     """left_id, right_id, bits: pairs of 64-bit hashes that differ in at most ``radius`` bits.
 
-    Cut in radius + 1 bands, two such hashes are equal in one at least; so pairs meet by equal joins
-    on a band, and those who meet are checked. ``left``: left_id, h; ``right``: right_id, h.
+    Cut in m bands, two such hashes differ in at most radius // m bits of one of them. The left hash
+    of a band is sent in all forms with so few bits flipped, so pairs meet by equal joins on wide,
+    selective bands, and those who meet are checked. ``left``: left_id, h; ``right``: right_id, h.
     """
-    n = radius + 1
+    n = max(2, radius // 3 + 1)  # no band of all 64 bits, whose flips would have a sign
     edges = [round(i * 64 / n) for i in range(n + 1)]
 
-    def bands(h: str) -> Column:
-        parts = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.shiftleft(h, 64 - b), 64 - b + a).alias("part")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
-        return F.inline(F.array(*parts))
+    def flipped(band: int, part: Column, masks: Column) -> Column:
+        return F.transform(masks, lambda m: F.struct(F.lit(band).alias("band"), part.bitwiseXOR(m).alias("part")))
+
+    def bands(h: str, flips: int) -> Column:
+        parts = []
+        for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            part = F.shiftrightunsigned(F.shiftleft(h, 64 - b), 64 - b + a)
+            masks = [sum(1 << j for j in some) for k in range(flips + 1) for some in itertools.combinations(range(b - a), k)]
+            parts.append(flipped(i, part, F.expr(f"array({','.join(f'{m}L' for m in masks)})")))
+        return F.inline(F.concat(*parts))
 
-    x = left.select("left_id", F.col("h").alias("lh"), bands("h"))
-    y = right.select("right_id", F.col("h").alias("rh"), bands("h"))
+    x = left.select("left_id", F.col("h").alias("lh"), bands("h", radius // n))
+    y = right.select("right_id", F.col("h").alias("rh"), bands("h", 0))
     bits = F.bit_count(F.col("lh").bitwiseXOR(F.col("rh")))
     return x.join(y, ["band", "part"]).withColumn("bits", bits).filter(F.col("bits") <= radius).select("left_id", "right_id", "bits").distinct()
 
 
-def embed_text(docs: DataFrame, *, id_col: str, text_tokens: Column, dims: int = 256) -> DataFrame:
-    """id, v: tf-idf of hashed tokens at unit length; the whole table teaches the idf."""
-    rows = docs.select(F.col(id_col).alias("id"), text_tokens.alias("tokens"))
-    pipeline = Pipeline(stages=[HashingTF(inputCol="tokens", outputCol="tf", numFeatures=dims), IDF(inputCol="tf", outputCol="w"), Normalizer(inputCol="w", outputCol="unit")])
-    return pipeline.fit(rows).transform(rows).select("id", vector_to_array("unit").alias("v"))
+def text_lane(docs: DataFrame, text_tokens: Column, dims: int = 256) -> IDFModel:
+    """The idf of hashed tokens over all of ``docs``, which both roles of ``embed_text`` share."""
+    tf = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=dims)
+    return IDF(inputCol="tf", outputCol="w").fit(tf.transform(docs.select(text_tokens.alias("tokens"))))
+
+
+def embed_text(rows: DataFrame, lane: IDFModel, *, id_col: str, text_tokens: Column, role: str = "document") -> DataFrame:
+    """id, v at unit length (zero without tokens) of texts in a role.
+
+    A document weighs a token by how often it occurs, a query by whether it does; both by the idf.
+    """
+    if role not in ("document", "query"):
+        raise ValueError(f"no role {role}")
+    tf = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=lane.idf.size, binary=role == "query")
+    weighed = lane.transform(tf.transform(rows.select(F.col(id_col).alias("id"), text_tokens.alias("tokens"))))
+    return Normalizer(inputCol="w", outputCol="unit").transform(weighed).select("id", vector_to_array("unit").alias("v"))
 
 
 def highlights(scores: DataFrame, *, floor: float = 0.8, most: int = 8) -> DataFrame:
     """Boxes of cells that answer a query: query_id, frame_id, r0, c0, r1, c1, strength.
 
     ``scores``: query_id, frame_id, r, c, score. Cells at or below 0 or under ``floor`` of the frame's
-    best go; the rest join side by side; the strongest ``most`` boxes stay. Labels spread to the least
-    neighbour, and on to that one's own label, until nothing changes.
+    best go; the rest join side by side, whatever the region's shape; the strongest ``most`` boxes
+    stay. A group is the grid of one frame, which a screen bounds.
     """
     frame = ["query_id", "frame_id"]
     best = F.max("score").over(Window.partitionBy(*frame))
-    cells = scores.withColumn("_best", best).filter((F.col("score") > 0) & (F.col("score") >= floor * F.col("_best"))).withColumn("label", F.col("r") * 100_000 + F.col("c")).drop("_best")
-    while True:
-        around = cells.select(*frame, "r", "c", "label", F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((0, 0), (0, 1), (1, 0), (0, -1), (-1, 0))])).alias("s"))
-        spread = around.groupBy(*frame, (F.col("r") + F.col("s.dr")).alias("r"), (F.col("c") + F.col("s.dc")).alias("c")).agg(F.min("label").alias("near"))
-        hop = cells.join(spread, [*frame, "r", "c"]).withColumn("label", F.least("label", "near")).drop("near")
-        own = cells.select(*frame, (F.col("r") * 100_000 + F.col("c")).alias("at"), F.col("label").alias("far"))
-        moved = hop.withColumn("at", F.col("label")).join(own, [*frame, "at"]).withColumn("label", F.least("label", "far")).drop("at", "far").checkpoint()
-        changed = moved.join(cells.select(*frame, "r", "c", F.col("label").alias("was")), [*frame, "r", "c"]).filter("label <> was").isEmpty()
-        cells = moved
-        if changed:
-            break
-    boxes = cells.groupBy(*frame, "label").agg(F.min("r").alias("r0"), F.min("c").alias("c0"), F.max("r").alias("r1"), F.max("c").alias("c1"), F.max("score").alias("strength"))
-    w = Window.partitionBy(*frame).orderBy(F.desc("strength"), "r0", "c0")
-    return boxes.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n", "label")
+    cells = scores.withColumn("_best", best).filter((F.col("score") > 0) & (F.col("score") >= floor * F.col("_best")))
+    grids = cells.groupBy(*frame).agg(F.collect_list(F.struct("r", "c", "score")).alias("cells"))
+
+    def regions(cells) -> list[tuple]:
+        left = {(int(x["r"]), int(x["c"])): float(x["score"]) for x in cells}
+        found = []
+        while left:
+            start = next(iter(left))
+            region, todo = [(*start, left.pop(start))], [start]
+            while todo:
+                r, c = todo.pop()
+                for at in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)):
+                    if at in left:
+                        region.append((*at, left.pop(at)))
+                        todo.append(at)
+            rs, cs, strengths = zip(*region, strict=True)
+            found.append((min(rs), min(cs), max(rs), max(cs), max(strengths)))
+        return sorted(found, key=lambda f: (-f[4], f[0], f[1]))[:most]
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for grid in frames:
+            rows = [(q, f, *box) for q, f, cells in grid.itertuples(index=False) for box in regions(cells)]
+            yield pd.DataFrame(rows, columns=[*frame, "r0", "c0", "r1", "c1", "strength"])
+
+    kinds = [scores.schema[c].dataType.simpleString() for c in frame]
+    return grids.mapInPandas(task, f"query_id {kinds[0]}, frame_id {kinds[1]}, r0 int, c0 int, r1 int, c1 int, strength double")
 
 
 def tile_boxes(cells: DataFrame, rows: int, cols: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,18 +16,22 @@ from sessionloom.sources import fixtures as fx
 from sessionloom.sources import tables
 
 
-@query("s3_media_bytes")
+@query("s3_media_bytes", "SELECT page_id, octet_length(encode(html))::INTEGER AS length, sha256(html) AS digest FROM pages WHERE length(html) > 0")
 def media(spark, d):
-    """Byte ranges of a table's own file."""
-    names = spark.read.format("binaryFile").load(f"{d}/region.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name")).distinct()
-    ranges = names.withColumns({"offset": F.lit(0), "length": F.lit(4)})
-    return tables.media_bytes(spark, f"{d}/region.parquet", ranges).select("offset", "length", F.decode("bytes", "utf-8").alias("magic"))
+    """Pages laid end to end in a media file for every 64 of them, and each page read back as a byte range."""
+    pages = fx.table(spark, d, "pages").filter("length(html) > 0").select("page_id", "html", F.floor(F.col("page_id") / 64).alias("bucket"), F.octet_length("html").alias("length"))
+    path = f"{tables.shared_dir(spark)}/media-{uuid.uuid4().hex}"
+    files = pages.groupBy("bucket").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "html"))), lambda p: p["html"]), "").alias("value"))
+    files.write.partitionBy("bucket").text(path)
+    before = Window.partitionBy("bucket").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = pages.select("page_id", F.concat(F.lit("bucket="), F.col("bucket").cast("string")).alias("name"), F.coalesce(F.sum("length").over(before), F.lit(0)).cast("int").alias("offset"), "length")
+    return tables.media_bytes(spark, path, ranges, folder=True).select("page_id", "length", F.sha2("bytes", 256).alias("digest"))
 
 
 @query("f13_coerce_elements")
 def coerce(spark, d):
     tables.ensure_checkpoint_dir(spark)
-    b = _boxes(spark, d).filter("frame_id % 10 = 0")
+    b = _boxes(spark, d)
     role = F.when(F.col("region_id") % 6 == 0, F.lit(None)).otherwise(F.col("role"))
     e = F.struct(role.alias("role"), "label", F.lit("").alias("identifier"), "x", "y", "w", "h", "focused", F.when(F.col("idx") > 1, (F.col("idx") - 2).cast("int")).alias("parent"))
     snaps = b.groupBy(F.col("frame_id").alias("snapshot_id")).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("idx", e.alias("e")))), lambda s: s["e"])).alias("elements"))
@@ -68,10 +74,10 @@ def recall(spark, d):
     return library.frame_recall(None, scope, frames.select(F.col("session_id").alias("segment_id"), "frame_id"), 30)
 
 
-@query("t20_enriched_hits", f"WITH {fx.EV}, e AS (SELECT session_id, max(us) AS e FROM ev GROUP BY session_id) SELECT session_id % 9 AS query_id, event_id AS frame_id, session_id, round(session_id * 1000 + us / 1000.0::DOUBLE, 3) AS wall_ms, round(us / 1000000.0::DOUBLE, 6) AS offset_sec, round(e / 1000000.0::DOUBLE, 6) AS session_sec, (SELECT max_by(f.app, (f.us, f.event_id)) FROM ev f WHERE f.session_id = ev.session_id AND f.us <= ev.us AND f.kind = 'focus_change') AS app FROM ev JOIN e USING (session_id) WHERE event_id % 50 = 0")
+@query("t20_enriched_hits", f"WITH {fx.EV}, e AS (SELECT session_id, max(us) AS e FROM ev GROUP BY session_id) SELECT session_id % 9 AS query_id, event_id AS frame_id, session_id, round(session_id * 1000 + us / 1000.0::DOUBLE, 3) AS wall_ms, round(us / 1000000.0::DOUBLE, 6) AS offset_sec, round(e / 1000000.0::DOUBLE, 6) AS session_sec, (SELECT max_by(f.app, (f.us, f.event_id)) FROM ev f WHERE f.session_id = ev.session_id AND f.us <= ev.us AND f.kind = 'focus_change') AS app FROM ev JOIN e USING (session_id) WHERE event_id % 5 = 0")
 def enriched(spark, d):
     ev = fx.events(spark, d)
-    frames = fx.frames(ev).filter("frame_id % 50 = 0")
+    frames = fx.frames(ev)
     sessions = segments.session_ends(ev).select("session_id", (F.col("session_id") * 1000).alias("started_at"), "t_end")
     out = library.enrich_hits(frames.select((F.col("session_id") % 9).alias("query_id"), "frame_id"), frames.select("frame_id", "session_id", "t"), sessions, ev.filter("kind = 'focus_change'"))
     return out.withColumns({"wall_ms": F.round("wall_ms", 3), "offset_sec": F.round("offset_sec", 6), "session_sec": F.round("session_sec", 6)})
@@ -96,12 +102,23 @@ def region_job(spark, d):
     return library.region_job(frames, segs, ev, elements.drop("i"), width=W, size=(1920.0, 1080.0)).select("frame_id", "region_id", "source", F.round("priority", 6).alias("priority"))
 
 
-@query("m1_element_predicates")
-def predicates(spark, d):
+def _elements(spark, d):
     b = _boxes(spark, d)
     role = F.when(F.col("idx") % 5 == 0, "AXTabGroup").otherwise("AXButton")
-    el = b.select(F.col("frame_id").alias("snapshot_id"), "idx", F.when(F.col("idx") > 1, F.col("idx") - 1).alias("parent"), role.alias("role"), "label", F.when(F.col("idx") % 4 == 0, F.concat(F.lit("id"), F.col("idx").cast("string"))).otherwise("").alias("identifier"), F.col("idx").alias("depth"))
-    return traces.element_predicates(el)
+    return b.select(F.col("frame_id").alias("snapshot_id"), "idx", F.when(F.col("idx") > 1, F.col("idx") - 1).alias("parent"), role.alias("role"), "label", F.when(F.col("idx") % 4 == 0, F.concat(F.lit("id"), F.col("idx").cast("string"))).otherwise("").alias("identifier"), F.col("idx").alias("depth"), "focused")
+
+
+@query("m1_element_predicates")
+def element_predicates(spark, d):
+    return traces.element_predicates(_elements(spark, d))
+
+
+@query("m1_predicates")
+def predicates(spark, d):
+    el = _elements(spark, d)
+    frame = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("snapshot_id"), F.concat(F.lit("app"), (F.col("o_custkey") % 9).cast("string")).alias("app"), F.concat(F.lit("https://www.site"), (F.col("o_custkey") % 7).cast("string"), F.lit(".example/docs/"), F.col("o_orderkey").cast("string")).alias("url"))
+    frame = frame.withColumns({"displays": F.array(F.struct(F.lit("d1").alias("id"), F.lit(1920).alias("w"), F.lit(1080).alias("h"))), "files": F.when(F.col("snapshot_id") % 5 == 0, F.array(F.concat(F.lit("/f/"), F.col("snapshot_id").cast("string"))))})
+    return traces.predicates(el, frame)
 
 
 @query("m3_anchors")
@@ -109,7 +126,7 @@ def anchors(spark, d):
     b = _boxes(spark, d)
     points = b.filter("idx = 1").select(F.col("region_id").alias("point_id"), F.col("frame_id").alias("snapshot_id"), "frame_id", (F.col("frame_id") % 150).alias("session_id"), F.col("region_id").alias("event_id"), (F.col("frame_id") * 1000.0).alias("t"), (F.col("x") + F.col("w") / 2).alias("x"), (F.col("y") + F.col("h") / 2).alias("y"))
     windows = fx.events(spark, d).filter("kind = 'focus_change'").select("session_id", "event_id", "t", F.col("x").alias("wx"), F.col("y").alias("wy"))
-    return library.build_anchors(points, b.withColumns({"snapshot_id": F.col("frame_id"), "parent": F.col("idx") % 2, "depth": F.col("idx") % 3}), b, windows)
+    return library.build_anchors(points, b.withColumns({"snapshot_id": F.col("frame_id"), "parent": F.when(F.col("idx") > 1, F.floor(F.col("idx") / 2)), "depth": F.floor(F.log2(F.col("idx").cast("double"))), "identifier": F.when(F.col("idx") % 4 == 0, F.concat(F.lit("id"), F.col("idx").cast("string"))).otherwise("")}), b, windows)
 
 
 @query("m5_waits", f"WITH {_ST}, s AS (SELECT sess AS session_id, row_number() OVER (PARTITION BY sess ORDER BY t, ord) AS n, f, g, t - lag(t) OVER (PARTITION BY sess ORDER BY t, ord) AS gap FROM st) SELECT session_id, n::INTEGER AS n, CASE WHEN f <> g THEN 'app(' || g || ')' ELSE 'warning: nothing to wait for' END AS wait, greatest(3000, round(3 * coalesce(gap, 0) / 1000.0::DOUBLE)) AS timeout FROM s")

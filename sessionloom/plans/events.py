@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sessionloom.functions import text
-from sessionloom.operators import features, segments, temporal, vectors
+from sessionloom.operators import segments, temporal
 from sessionloom.plans.registry import query
 from sessionloom.sources import fixtures as fx
-from sessionloom.sources.tables import ensure_checkpoint_dir
 
 W = 24 * 3_600_000.0
 
@@ -23,18 +22,6 @@ def _with_end(segs):
     return segs.withColumn("session_end", F.max("t_end").over(Window.partitionBy("session_id")))
 
 
-@query("entry_sessions_like_this")
-def sessions_like_this(spark, d):
-    """Behaviour vectors of all segments, averaged by session, and each session's five nearest."""
-    ev = fx.events(spark, d)
-    segs, _ = _segments(ev)
-    vecs = features.behaviour(ev, segs, width=W)
-    mean = vecs.groupBy("session_id").agg(F.array(*[F.round(F.avg(F.col("v")[i]), 6) for i in range(12)]).alias("v")).select(F.col("session_id").alias("id"), "v")
-    ensure_checkpoint_dir(spark)
-    mean = mean.checkpoint()  # both sides of the search read it
-    return vectors.knn(mean.withColumnRenamed("id", "query_id"), mean, 5, skip_self=True)
-
-
 @query("s1_scan_session", f"WITH {fx.EV} SELECT event_id, session_id, us, kind FROM ev WHERE session_id = 7")
 def scan(spark, d):
     return fx.events(spark, d).filter("session_id = 7").select("event_id", "session_id", "us", "kind")
@@ -110,11 +97,10 @@ def exclusion_report(spark, d):
     return temporal.exclusion_report(temporal.exclude_focused(fx.events(spark, d), ["App1 ", "app4"]))
 
 
-@query("f9_volatile_labels", r"SELECT doc_id, head FROM (SELECT doc_id, substr(text, 1, 60) AS head FROM documents) WHERE NOT (regexp_matches(head, '[0-9]{1,2}:[0-9]{2}') OR regexp_matches(head, '\([ ]*[0-9]+[ ]*\)') OR regexp_matches(head, '^\s*[0-9.,]+\s*%?\s*$') OR regexp_matches(head, '\b[0-9]+\s+(unread|items?|messages?|results?|files?|photos?|selected)\b', 'i') OR regexp_matches(head, '\b(just now|[0-9]+\s+(seconds?|minutes?|hours?|days?)\s+ago)\b', 'i') OR regexp_matches(head, '\b[0-9]+\s*(KB|MB|GB|TB)\b', 'i') OR regexp_matches(head, '^\s*(Edited|Modified)\s*$'))")
+@query("f9_volatile_labels", r"SELECT doc_id FROM (SELECT doc_id, text AS head FROM documents) WHERE NOT (regexp_matches(head, '[0-9]{1,2}:[0-9]{2}') OR regexp_matches(head, '\([ ]*[0-9]+[ ]*\)') OR regexp_matches(head, '^\s*[0-9.,]+\s*%?\s*$') OR regexp_matches(head, '\b[0-9]+\s+(unread|items?|messages?|results?|files?|photos?|selected)\b', 'i') OR regexp_matches(head, '\b(just now|[0-9]+\s+(seconds?|minutes?|hours?|days?)\s+ago)\b', 'i') OR regexp_matches(head, '\b[0-9]+\s*(KB|MB|GB|TB)\b', 'i') OR regexp_matches(head, '^\s*(Edited|Modified)\s*$'))")
 def volatile(spark, d):
-    """Heads of texts as labels: those that last."""
-    docs = fx.table(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("head"))
-    return docs.filter(~text.volatile(F.col("head")))
+    """Whole texts as labels: those that last."""
+    return fx.table(spark, d, "documents").filter(~text.volatile(F.col("text"))).select("doc_id")
 
 
 @query("f10_speech", r"SELECT conv_id, turn FROM conversations WHERE NOT regexp_full_match(text, '\s*[(\[*][^)\]*]*[)\]*]\s*')")
@@ -259,11 +245,16 @@ def typed(spark, d):
     return segments.typed_runs(keys, gap_ms=fx.DWELL_MS * 4)
 
 
+@query("g11_boundary_triggers", _greedy(f"SELECT *, CASE WHEN kind IN ('focus_change', 'bookmark') THEN kind WHEN kind IN ('mouse_down', 'key_down', 'scroll') AND t - last_value(CASE WHEN kind IN ('mouse_down', 'key_down', 'scroll') THEN t END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= {fx.DWELL_MS} THEN 'dwell_resume' END AS reason FROM ev QUALIFY reason IS NOT NULL", f"{fx.BURST_MS}"))
+def triggers(spark, d):
+    return segments.boundary_triggers(fx.events(spark, d), settle_ms=fx.BURST_MS, dwell_ms=fx.DWELL_MS).select("event_id", "session_id")
+
+
 @query("g7_gestures")
 def gestures(spark, d):
-    ev = fx.events(spark, d).withColumns({"char": F.when(F.col("kind") == "key_down", F.chr(F.lit(97) + F.col("k") % 26)), "chord": F.when(F.col("k") % 17 == 0, F.lit("cmd+s"))})
+    ev = fx.events(spark, d).withColumns({"char": F.when(F.col("kind") == "key_down", F.chr(F.lit(97) + F.col("k") % 26)), "chord": F.when(F.col("k") % 17 == 0, F.lit("cmd+s")), "button": 1 + F.col("k") % 2, "dx": F.lit(0), "dy": F.col("k") % 5 - 2})
     hour = 3_600_000.0
-    return segments.gestures(ev, {"multi_click_ms": 6 * hour, "hover_ms": 8 * hour, "scroll_gap_ms": 12 * hour, "idle_ms": 48 * hour})
+    return segments.gestures(ev, {"multi_click_ms": 6 * hour, "hover_ms": 8 * hour, "scroll_gap_ms": 12 * hour, "idle_ms": 48 * hour}).drop("path")
 
 
 @query("g8_pauses", f"""WITH {fx.EV}, l AS (SELECT *, lag(us) OVER (PARTITION BY session_id ORDER BY us, event_id) AS b, last_value(CASE WHEN kind IN ('mouse_down', 'key_down', 'scroll') THEN us END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM ev),

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from sessionloom.operators import features, segments, temporal
+from sessionloom.operators import features, segments, temporal, vectors
 from sessionloom.plans.events import W, _segments
 from sessionloom.plans.registry import query
 from sessionloom.sources import fixtures as fx
+from sessionloom.sources.tables import ensure_checkpoint_dir
 
 B = 48
 _TOTAL = f"{fx.EV}, tot AS (SELECT session_id, max(us) / 1000000.0::DOUBLE AS total FROM ev GROUP BY session_id)"
@@ -23,7 +25,7 @@ def _samples(ev, value=None):
     return ev.select("session_id", "event_id", (F.col("t") / 1000).alias("sec"), (F.col(value) if value else F.lit(1.0)).alias("value"))
 
 
-@query("a1_behaviour", f"""WITH {fx.EV}, {fx.SEG}, e AS (SELECT session_id, max(end_us) AS e FROM seg GROUP BY session_id),
+_BEHAVIOUR = f"""{fx.EV}, {fx.SEG}, e AS (SELECT session_id, max(end_us) AS e FROM seg GROUP BY session_id),
 j AS (SELECT ev.*, seg_no, start_us, seg.end_us, (seg.end_us - start_us) / 1000.0::DOUBLE AS dur, (ev.us - start_us) / 1000.0::DOUBLE AS rel FROM ev JOIN seg USING (session_id) JOIN e USING (session_id) WHERE ev.us >= start_us AND (ev.us < seg.end_us OR (seg.end_us = e.e AND ev.us = e.e))),
 mv AS (SELECT *, t - lag(t) OVER w AS dt, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM j WHERE kind = 'mouse_move' WINDOW w AS (PARTITION BY session_id, seg_no ORDER BY us, event_id)),
 mg AS (SELECT session_id, seg_no, avg(CASE WHEN dt > 0 THEN sqrt(dx * dx + dy * dy) / dt END) AS speed FROM mv GROUP BY ALL),
@@ -34,21 +36,37 @@ g AS (SELECT session_id, seg_no, count(*) FILTER (WHERE kind = 'mouse_down')::DO
   FROM (SELECT *, least(3, floor(rel / (dur / 4))) AS q FROM j) GROUP BY ALL),
 f AS (SELECT seg.session_id, seg.seg_no, greatest((end_us - start_us) / 1000.0::DOUBLE / 1000, 0.001) AS sec, (end_us - start_us) / 1000.0::DOUBLE AS dur, coalesce(c, 0) AS c, coalesce(k, 0) AS k, coalesce(s, 0) AS s, coalesce(m, 0) AS m, coalesce(act, 0) AS act, qs, coalesce(speed, 0) AS speed, coalesce(ent, 0) AS ent FROM seg LEFT JOIN g USING (session_id, seg_no) LEFT JOIN mg USING (session_id, seg_no) LEFT JOIN en USING (session_id, seg_no)),
 v AS (SELECT session_id, seg_no, [c / sec / 5, k / sec / 10, s / sec / 10, m / sec / 60, speed / 5, ent, CASE WHEN c + k > 0 THEN c / (c + k) ELSE 0 END, act / greatest(1, ceil(dur / 250))] AS a, CASE WHEN c + k + s + m > 0 THEN list_transform(qs, lambda z: z / (c + k + s + m)) ELSE [0.0, 0.0, 0.0, 0.0] END AS b FROM f),
-o AS (SELECT session_id, seg_no, unnest(list_concat(a, b)) AS val, generate_subscripts(list_concat(a, b), 1) - 1 AS dim FROM v)
-SELECT session_id, seg_no::INTEGER AS seg_no, dim::INTEGER AS dim, round(least(greatest(coalesce(val, 0), 0), 1), 6) + 0.0 AS value FROM o""")
+o AS (SELECT session_id, seg_no, unnest(list_concat(a, b)) AS val, generate_subscripts(list_concat(a, b), 1) - 1 AS dim FROM v),
+bh AS (SELECT session_id, seg_no::INTEGER AS seg_no, dim::INTEGER AS dim, round(least(greatest(coalesce(val, 0), 0), 1), 6) + 0.0 AS value FROM o)"""
+
+
+@query("a1_behaviour", f"WITH {_BEHAVIOUR} SELECT * FROM bh")
 def behaviour(spark, d):
     ev = fx.events(spark, d)
     out = features.behaviour(ev, _segments(ev)[0], width=W)
     return out.select("session_id", "seg_no", F.posexplode("v").alias("dim", "value")).select("session_id", "seg_no", "dim", (F.round("value", 6) + 0.0).alias("value"))
 
 
+@query("entry_sessions_like_this", f"WITH {_BEHAVIOUR}, mn AS (SELECT session_id, dim, round(avg(value), 5) AS v FROM bh GROUP BY ALL), ds AS (SELECT q.session_id AS query_id, b.session_id AS id, round(sqrt(sum((q.v - b.v) ** 2)), 6) AS distance FROM mn q JOIN mn b ON q.session_id % 50 = 0 AND q.dim = b.dim AND q.session_id <> b.session_id GROUP BY ALL) SELECT query_id, n::INTEGER AS rank, id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS n FROM ds) WHERE n <= 5")
+def sessions_like_this(spark, d):
+    """Behaviour vectors of all segments, averaged by session, and the five nearest of every session whose id divides by 50."""
+    ev = fx.events(spark, d)
+    vecs = features.behaviour(ev, _segments(ev)[0], width=W)
+    mean = vecs.groupBy("session_id").agg(F.array(*[F.round(F.avg(F.round(F.col("v")[i], 6)), 5) for i in range(12)]).alias("v")).select(F.col("session_id").alias("id"), "v")
+    ensure_checkpoint_dir(spark)
+    mean = mean.checkpoint()  # both sides of the search read it
+    return vectors.knn(mean.filter("id % 50 = 0").withColumnRenamed("id", "query_id"), mean, 5, skip_self=True)
+
+
 @query("a2_digest")
 def digest(spark, d):
     ev = fx.events(spark, d)
     segs, _ = _segments(ev)
     starts = segs.select("session_id", "seg_no", F.col("t_start").alias("t"), F.col("seg_no").cast("long").alias("event_id"))
     context = temporal.focus_context(ev).select("session_id", "t", "event_id", F.col("focus_app").alias("app"), F.col("focus_url").alias("url"))
-    return features.digest(ev, segs, width=W, focus=temporal.asof(starts, context, ["app", "url"], strict=True))
+    ev = ev.withColumn("title", F.when(F.col("k") % 3 == 0, F.concat(F.lit("Page "), (F.col("k") % 7).cast("string"))))
+    labels = ev.filter("kind = 'mouse_down' and k % 4 = 0").select("session_id", "event_id", F.concat(F.lit("Button "), (F.col("k") % 5).cast("string")).alias("label"))
+    return features.digest(ev, segs, width=W, focus=temporal.asof(starts, context, ["app", "url"], strict=True), clicked=labels)
 
 
 @query("a3_bucket_counts", f"WITH {_TOTAL}, {_AXIS}, n AS (SELECT session_id, {_IDX} AS bucket, count(*) AS n FROM ev JOIN tot USING (session_id) GROUP BY ALL) SELECT session_id, bucket, coalesce(n, 0) AS n FROM ax LEFT JOIN n USING (session_id, bucket)")
@@ -155,8 +173,9 @@ def stage_shares(spark, d):
 @query("a21_paths")
 def paths(spark, d):
     ev = fx.events(spark, d).filter("kind in ('mouse_move', 'scroll')")
-    out = features.path_features(ev.select(F.col("session_id").alias("drag_id"), F.col("event_id").alias("i"), "x", "y", "t"))
-    return out.select("drag_id", "n", *[F.round(c, 4).alias(c) for c in ("length", "chord", "straightness", "s11", "s12", "s22")])
+    points = ev.select(F.col("session_id").alias("drag_id"), F.row_number().over(Window.partitionBy("session_id").orderBy("t", "event_id")).alias("i"), "x", "y", "t")
+    sums = features.path_features(points).select("drag_id", "n", *[F.round(c, 4).alias(c) for c in ("length", "chord", "straightness", "s11", "s12", "s22", "c1x", "c1y", "c2x", "c2y")])
+    return sums.join(features.paths(points).select("drag_id", "confidence", F.size("curve").alias("cubics"), F.round(F.col("velocity")[8], 4).alias("halfway")), "drag_id")
 
 
 @query("a23_lane_axis", f"WITH {fx.EV}, e AS (SELECT session_id, max(us) / 1000.0::DOUBLE AS dur FROM ev GROUP BY session_id), v AS (SELECT session_id, min(t) AS v0, max(t) AS v1 FROM ev WHERE event_id % 5 = 0 AND session_id % 2 = 0 GROUP BY session_id) SELECT session_id, round(coalesce(v0, 0), 6) AS origin_ms, round(coalesce(v1 - v0, dur) / 1000, 6) AS total_sec FROM e LEFT JOIN v USING (session_id)")

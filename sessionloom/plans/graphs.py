@@ -47,17 +47,19 @@ def _routes(spark, d):
     return routes.frequent_routes(_walks(spark, d))
 
 
-@query("m17_similarity", f"WITH {_RT}, p AS (SELECT a.k AS a_key, b.k AS b_key, a.places AS x, b.places AS y FROM rt a JOIN rt b ON a.k < b.k AND a.places[1] = b.places[1] AND a.places[-1] = b.places[-1] AND a.n > 1 AND b.n > 1) SELECT a_key, b_key, round(len(list_intersect(list_distinct(x), list_distinct(y)))::DOUBLE / len(list_distinct(list_concat(x, y))), 6) AS jaccard FROM p")
+@query("m17_similarity", f"WITH {_RT}, p AS (SELECT a.k AS a_key, b.k AS b_key, a.places AS x, b.places AS y FROM rt a JOIN rt b ON a.k <> b.k AND a.places[1] = b.places[1] AND a.places[-1] = b.places[-1] AND length(a.k) % 50 = 0) SELECT a_key, b_key, round(len(list_intersect(list_distinct(x), list_distinct(y)))::DOUBLE / len(list_distinct(list_concat(x, y))), 6) AS jaccard FROM p")
 def similar(spark, d):
-    r = _routes(spark, d).filter("n_sessions > 1").select("route_key", "places", F.element_at("places", 1).alias("f"), F.element_at("places", -1).alias("l"))
-    met = r.select(F.col("route_key").alias("a_key"), F.col("places").alias("a"), "f", "l").join(r.select(F.col("route_key").alias("b_key"), F.col("places").alias("b"), "f", "l"), ["f", "l"]).filter("a_key < b_key")
+    """Routes whose key has a length divisible by 50, against all that begin and end alike."""
+    r = _routes(spark, d).select("route_key", "places", F.element_at("places", 1).alias("f"), F.element_at("places", -1).alias("l"))
+    met = r.filter("length(route_key) % 50 = 0").select(F.col("route_key").alias("a_key"), F.col("places").alias("a"), "f", "l").join(r.select(F.col("route_key").alias("b_key"), F.col("places").alias("b"), "f", "l"), ["f", "l"]).filter("a_key <> b_key")
     return routes.similarity(met).select("a_key", "b_key", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query("m17_lcs")
 def lcs(spark, d):
-    r = _routes(spark, d).filter("n_sessions > 1").select("route_key", "places", F.element_at("places", 1).alias("f"))
-    met = r.select(F.col("route_key").alias("a_key"), F.col("places").alias("a"), "f").join(r.select(F.col("route_key").alias("b_key"), F.col("places").alias("b"), "f"), "f").filter("a_key < b_key")
+    """Routes whose key has a length divisible by 50, against all that begin alike."""
+    r = _routes(spark, d).select("route_key", "places", F.element_at("places", 1).alias("f"))
+    met = r.filter("length(route_key) % 50 = 0").select(F.col("route_key").alias("a_key"), F.col("places").alias("a"), "f").join(r.select(F.col("route_key").alias("b_key"), F.col("places").alias("b"), "f"), "f").filter("a_key <> b_key")
     return routes.similarity(met).select("a_key", "b_key", "lcs", "gap", F.round("lcs_ratio", 6).alias("lcs_ratio"))
 
 
@@ -92,10 +94,12 @@ def stability(spark, d):
 
 @query("e6_transfer")
 def transfer(spark, d):
+    """Routes that two sessions share (of others no session is left to hold out) in all sessions; every third is a control."""
     r = _routes(spark, d).filter("n_sessions > 1")
     steps = r.select(F.col("route_key").alias("route_id"), F.posexplode("places").alias("step", "node"))
-    ev = fx.events(spark, d).filter("session_id < 20").select("session_id", F.col("kind").alias("node"), "t")
-    return evaluate.transfer(steps, ev)
+    ev = fx.events(spark, d).select("session_id", F.col("kind").alias("node"), "t")
+    out = evaluate.transfer_report(steps, ev, ev.filter("session_id % 3 = 0").select("session_id"))
+    return out.withColumn("mean_share", F.round("mean_share", 6))
 
 
 @query("m20_route_names", f"WITH {_WK}, sm AS (SELECT session_id || '-' || (us // {4 * DAY}) AS sess, k % 3 AS level, us - 2 * {DAY} AS s0, us + 2 * {DAY} AS s1, 'task ' || (k % 5) AS name FROM ev WHERE kind = 'bookmark'), v AS (SELECT k, sess, name, row_number() OVER (PARTITION BY k, sess ORDER BY level, -(least(t1, s1) - greatest(t0, s0)), name) AS r FROM wk JOIN sm USING (sess) WHERE 2 * (least(t1, s1) - greatest(t0, s0)) > t1 - t0), n AS (SELECT k, name, count(*) AS votes, min(sess) AS first FROM v WHERE r = 1 GROUP BY ALL) SELECT k AS route_key, name, votes FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY votes DESC, first) AS r FROM n) WHERE r = 1")
@@ -124,16 +128,23 @@ def _habits(spark, d):
     """Habits are the routes of the first half of users' sessions; live routes those of all."""
     w = _walks(spark, d)
     early = routes.frequent_routes(w.filter(F.col("t_start") < 15 * DAY)).filter("n_sessions > 1")
-    habit = early.select(F.col("route_key").alias("habit_id"), F.when(F.crc32(F.col("route_key").cast("binary")) % 3 == 0, F.concat(F.col("route_key"), F.lit(" → gone"))).otherwise(F.col("route_key")).alias("route_key"), "sessions")
+    habit = early.select(F.col("route_key").alias("habit_id"), F.when(F.length("route_key") % 3 == 0, F.concat(F.col("route_key"), F.lit(" → gone"))).otherwise(F.col("route_key")).alias("route_key"), "sessions")
     return habit, routes.frequent_routes(w).select("route_key", "sessions")
 
 
-@query("m25_bind_habits")
+_HB = f"""{_WK}, ea AS (SELECT k, list(DISTINCT sess) AS s FROM wk WHERE t0 < {15 * DAY} GROUP BY k HAVING count(DISTINCT sess) > 1), hb AS (SELECT k AS habit_id, CASE WHEN length(k) % 3 = 0 THEN k || ' → gone' ELSE k END AS key, s FROM ea),
+lv AS (SELECT k, list(DISTINCT sess) AS live FROM wk GROUP BY k), ex AS (SELECT habit_id, 'exact' AS state, key AS bound_key, s, live FROM hb JOIN lv ON key = k), ot AS (SELECT * FROM hb WHERE habit_id NOT IN (SELECT habit_id FROM ex)),
+ov AS (SELECT habit_id, s, k, live FROM ot JOIN lv ON 2 * len(list_intersect(s, live)) > len(s)), oc AS (SELECT habit_id, count(*) AS c, min(k) AS k FROM ov GROUP BY habit_id),
+rs AS (SELECT habit_id, CASE WHEN c IS NULL THEN 'orphaned' WHEN c = 1 THEN 'rebound' ELSE 'ambiguous' END AS state, CASE WHEN c = 1 THEN lv.k END AS bound_key, s, CASE WHEN c = 1 THEN live END AS live FROM ot LEFT JOIN oc USING (habit_id) LEFT JOIN lv ON lv.k = oc.k),
+bd AS (SELECT * FROM ex UNION ALL SELECT * FROM rs)"""
+
+
+@query("m25_bind_habits", f"WITH {_HB} SELECT habit_id, state, bound_key, (len(s) - coalesce(len(list_intersect(s, live)), 0))::INTEGER AS lost, coalesce(len(live) - len(list_intersect(s, live)), 0)::INTEGER AS gained FROM bd")
 def bind(spark, d):
     return routes.bind_habits(*_habits(spark, d))
 
 
-@query("m26_habit_conflicts")
+@query("m26_habit_conflicts", f"WITH {_HB}, cl AS (SELECT bound_key AS k, count(*) AS n FROM bd WHERE bound_key IS NOT NULL GROUP BY ALL) SELECT k AS route_key, 'duplicate' AS issue FROM cl WHERE n > 1 UNION ALL SELECT k, 'unclaimed' FROM lv WHERE k NOT IN (SELECT k FROM cl)")
 def conflicts(spark, d):
     habit, live = _habits(spark, d)
     return routes.habit_conflicts(routes.bind_habits(habit, live), live)
@@ -240,12 +251,12 @@ def signatures(spark, d):
     return traces.edge_signature(acts)
 
 
-@query("m10_near_match", "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(q.e, b.e), 6) AS score FROM v q JOIN v b ON q.vec_id % 25 = 0 AND b.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM s), t AS (SELECT query_id, max(CASE WHEN n = 1 THEN id END) AS id, max(score) AS b, max(CASE WHEN n = 2 THEN score END) AS c FROM r WHERE n <= 2 GROUP BY query_id) SELECT query_id, CASE WHEN b >= 0.4 AND b - c >= 0.03 THEN id END AS match, CASE WHEN b < 0.4 THEN 'none' WHEN b - c >= 0.03 THEN 'match' ELSE 'ambiguous' END AS verdict FROM t")
+@query("m10_near_match", "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(q.e, b.e), 6) AS score FROM v q JOIN v b ON q.vec_id % 50 = 0 AND b.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM s), t AS (SELECT query_id, max(CASE WHEN n = 1 THEN id END) AS id, max(score) AS b, max(CASE WHEN n = 2 THEN score END) AS c FROM r WHERE n <= 2 GROUP BY query_id) SELECT query_id, CASE WHEN b >= 0.4 AND b - c >= 0.03 THEN id END AS match, CASE WHEN b < 0.4 THEN 'none' WHEN b - c >= 0.03 THEN 'match' ELSE 'ambiguous' END AS verdict FROM t")
 def near_match(spark, d):
     from sessionloom.operators import vectors
 
     base = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    pairs = vectors.against_all(base.filter("id % 25 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("qv")), base).filter("id <> query_id")
+    pairs = vectors.against_all(base.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("qv")), base).filter("id <> query_id")
     return traces.near_match(pairs.select("query_id", "id", F.round(vectors.cosine("qv", "v"), 6).alias("score")), least=0.4)
 
 
@@ -257,10 +268,10 @@ def labels(spark, d):
 
 
 
-@query("m14_ranks", "WITH RECURSIVE e AS (SELECT DISTINCT 's' || (o_custkey % 97) AS f, 's' || (o_orderkey % 101) AS g FROM orders WHERE o_orderkey % 40 = 0), en AS (SELECT 's1' AS node UNION SELECT f FROM e WHERE f NOT IN (SELECT g FROM e WHERE f <> g)), rr AS (SELECT node, 0 AS h FROM en UNION SELECT g, h + 1 FROM rr JOIN e ON f = node WHERE h < 30) SELECT node, min(h)::INTEGER AS rank FROM rr GROUP BY node")
+@query("m14_ranks", "WITH RECURSIVE e AS (SELECT DISTINCT 's' || o_custkey AS f, 's' || (o_orderkey // 10) AS g FROM orders), en AS (SELECT 's1' AS node UNION SELECT f FROM e WHERE f NOT IN (SELECT g FROM e WHERE f <> g)), rr AS (SELECT node, 0 AS h FROM en UNION SELECT g, h + 1 FROM rr JOIN e ON f = node WHERE h < 30) SELECT node, min(h)::INTEGER AS rank FROM rr GROUP BY node")
 def ranks(spark, d):
-    o = fx.table(spark, d, "orders").filter("o_orderkey % 40 = 0")
-    e = o.select(F.concat(F.lit("s"), (F.col("o_custkey") % 97).cast("string")).alias("from_node"), F.concat(F.lit("s"), (F.col("o_orderkey") % 101).cast("string")).alias("to_node")).distinct()
+    o = fx.table(spark, d, "orders")
+    e = o.select(F.concat(F.lit("s"), F.col("o_custkey").cast("string")).alias("from_node"), F.concat(F.lit("s"), F.floor(F.col("o_orderkey") / 10).cast("string")).alias("to_node")).distinct()
     return traces.ranks(e, spark.createDataFrame([("s1",)], "node string"))
 
 
@@ -278,22 +289,22 @@ def verify(spark, d):
     return traces.verify(p, p.filter("node_id % 100 = 0 and key not like '%supp=4%'").select("key"))
 
 
-@query("j19_locate", f"WITH {_PR}, nd AS (SELECT node_id, key FROM pr WHERE node_id % 60 = 0), ob AS (SELECT node_id AS snapshot_id, key FROM pr WHERE node_id % 7 = 0), sz AS (SELECT node_id, count(*) AS size FROM nd GROUP BY node_id), mt AS (SELECT snapshot_id, nd.node_id, size, rank() OVER (PARTITION BY snapshot_id ORDER BY size DESC) AS r FROM (SELECT snapshot_id, nd.node_id, count(*) AS c FROM ob JOIN nd USING (key) GROUP BY ALL) nd JOIN sz USING (node_id) WHERE c = size), b AS (SELECT snapshot_id, count(*) AS n, min(node_id) AS node_id FROM mt WHERE r = 1 GROUP BY snapshot_id) SELECT DISTINCT ob.snapshot_id, CASE WHEN n = 1 THEN b.node_id END AS node_id, CASE WHEN n IS NULL THEN 'nowhere' WHEN n = 1 THEN 'located' ELSE 'ambiguous' END AS verdict FROM ob LEFT JOIN b USING (snapshot_id)")
+@query("j19_locate", f"WITH {_PR}, nd AS (SELECT node_id, key FROM pr), ob AS (SELECT node_id AS snapshot_id, key FROM pr WHERE node_id % 50 = 0), sz AS (SELECT node_id, count(*) AS size FROM nd GROUP BY node_id), mt AS (SELECT snapshot_id, nd.node_id, size, rank() OVER (PARTITION BY snapshot_id ORDER BY size DESC) AS r FROM (SELECT snapshot_id, nd.node_id, count(*) AS c FROM ob JOIN nd USING (key) GROUP BY ALL) nd JOIN sz USING (node_id) WHERE c = size), b AS (SELECT snapshot_id, count(*) AS n, min(node_id) AS node_id FROM mt WHERE r = 1 GROUP BY snapshot_id) SELECT DISTINCT ob.snapshot_id, CASE WHEN n = 1 THEN b.node_id END AS node_id, CASE WHEN n IS NULL THEN 'nowhere' WHEN n = 1 THEN 'located' ELSE 'ambiguous' END AS verdict FROM ob LEFT JOIN b USING (snapshot_id)")
 def locate(spark, d):
     p = _predicates(spark, d)
-    return traces.locate(p.filter("node_id % 60 = 0").select("node_id", "key"), p.filter("node_id % 7 = 0").select(F.col("node_id").alias("snapshot_id"), "key"))
+    return traces.locate(p.select("node_id", "key"), p.filter("node_id % 50 = 0").select(F.col("node_id").alias("snapshot_id"), "key"))
 
 
-_EL = "el AS (SELECT l_orderkey % 200 AS snapshot_id, l_orderkey * 10 + l_linenumber AS idx, CASE WHEN l_partkey % 4 = 0 THEN 'id' || (l_partkey % 50) ELSE '' END AS identifier, '/w/' || (l_partkey % 30) AS path, 'r' || (l_suppkey % 3) AS role, 'L' || (l_partkey % 11) AS label FROM lineitem), wa AS (SELECT l_orderkey * 10 + l_linenumber AS want_id, l_orderkey % 200 AS snapshot_id, CASE WHEN l_partkey % 3 = 0 THEN 'id' || (l_partkey % 60) ELSE '' END AS identifier, CASE WHEN l_partkey % 2 = 0 THEN '/w/' || (l_partkey % 45) ELSE '' END AS path, 'r' || (l_suppkey % 4) AS role, 'L' || (l_partkey % 13) AS label FROM lineitem WHERE l_orderkey % 30 = 0)"
+_EL = "el AS (SELECT l_orderkey // 100 AS snapshot_id, l_orderkey * 10 + l_linenumber AS idx, CASE WHEN l_partkey % 4 = 0 THEN 'id' || (l_partkey % 50) ELSE '' END AS identifier, '/w/' || (l_partkey % 30) AS path, 'r' || (l_suppkey % 3) AS role, 'L' || (l_partkey % 11) AS label FROM lineitem), wa AS (SELECT l_orderkey * 10 + l_linenumber AS want_id, l_orderkey // 100 AS snapshot_id, CASE WHEN l_partkey % 3 = 0 THEN 'id' || (l_partkey % 60) ELSE '' END AS identifier, CASE WHEN l_partkey % 2 = 0 THEN '/w/' || (l_partkey % 45) ELSE '' END AS path, 'r' || (l_suppkey % 4) AS role, 'L' || (l_partkey % 13) AS label FROM lineitem)"
 
 
 @query("j20_lookup", f"WITH {_EL}, a AS (SELECT want_id, min(idx) AS a FROM wa JOIN el USING (snapshot_id, identifier) WHERE identifier <> '' GROUP BY want_id), b AS (SELECT want_id, min(idx) AS b FROM wa JOIN el USING (snapshot_id, path) WHERE path <> '' GROUP BY want_id), c AS (SELECT want_id, min(idx) AS c FROM wa JOIN el USING (snapshot_id, role, label) GROUP BY want_id) SELECT want_id, coalesce(a, b, c) AS idx, CASE WHEN a IS NOT NULL THEN 'identifier' WHEN b IS NOT NULL THEN 'path' WHEN c IS NOT NULL THEN 'label' END AS rung FROM wa LEFT JOIN a USING (want_id) LEFT JOIN b USING (want_id) LEFT JOIN c USING (want_id)")
 def lookup(spark, d):
     li = fx.table(spark, d, "lineitem")
     s = lambda prefix, c, n: F.concat(F.lit(prefix), (F.col(c) % n).cast("string"))
-    key, snap = F.col("l_orderkey") * 10 + F.col("l_linenumber"), (F.col("l_orderkey") % 200).alias("snapshot_id")
+    key, snap = F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.floor(F.col("l_orderkey") / 100).alias("snapshot_id")
     el = li.select(snap, key.alias("idx"), F.when(F.col("l_partkey") % 4 == 0, s("id", "l_partkey", 50)).otherwise("").alias("identifier"), s("/w/", "l_partkey", 30).alias("path"), s("r", "l_suppkey", 3).alias("role"), s("L", "l_partkey", 11).alias("label"))
-    wanted = li.filter("l_orderkey % 30 = 0").select(key.alias("want_id"), snap, F.when(F.col("l_partkey") % 3 == 0, s("id", "l_partkey", 60)).otherwise("").alias("identifier"), F.when(F.col("l_partkey") % 2 == 0, s("/w/", "l_partkey", 45)).otherwise("").alias("path"), s("r", "l_suppkey", 4).alias("role"), s("L", "l_partkey", 13).alias("label"))
+    wanted = li.select(key.alias("want_id"), snap, F.when(F.col("l_partkey") % 3 == 0, s("id", "l_partkey", 60)).otherwise("").alias("identifier"), F.when(F.col("l_partkey") % 2 == 0, s("/w/", "l_partkey", 45)).otherwise("").alias("path"), s("r", "l_suppkey", 4).alias("role"), s("L", "l_partkey", 13).alias("label"))
     return traces.lookup(wanted, el)
 
 

@@ -24,9 +24,10 @@ def upsert(spark, d):
     return tables.upsert(old, new, ["doc_id"], "version")
 
 
-@query("s6_reconcile", "SELECT doc_id, 'missing' AS problem FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id % 2 = 0 UNION ALL SELECT doc_id, 'orphan' FROM labels WHERE doc_id % 2 <> 0")
+@query("s6_reconcile", "SELECT doc_id, 'missing' AS problem FROM documents WHERE doc_id NOT IN (SELECT 2 * doc_id FROM labels) UNION ALL SELECT 2 * doc_id, 'orphan' FROM labels WHERE 2 * doc_id NOT IN (SELECT doc_id FROM documents)")
 def reconcile(spark, d):
-    return tables.reconcile(fx.table(spark, d, "documents").filter("doc_id % 2 = 0").select("doc_id"), fx.table(spark, d, "labels").select("doc_id"), "doc_id")
+    """Labels under twice their number: some name no document, some documents have none."""
+    return tables.reconcile(fx.table(spark, d, "documents").select("doc_id"), fx.table(spark, d, "labels").select((2 * F.col("doc_id")).alias("doc_id")), "doc_id")
 
 
 @query("s7_reembed_missing", "SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS n_tokens FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

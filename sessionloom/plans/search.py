@@ -40,40 +40,42 @@ def _patches(spark, d):
     return rows.select("id", F.transform("p", lambda x: x["embedding"]).alias("patches"), "segment_ids")
 
 
-_SIM = f"{_V}, s AS (SELECT q.vec_id // 5 AS query_id, q.vec_id AS qv, b.vec_id // 5 AS id, max(list_cosine_similarity(q.e, b.e)) AS m FROM v q JOIN v b ON (q.vec_id // 5) % 20 = 0 AND q.vec_id % 5 < 2 GROUP BY ALL), sc AS (SELECT query_id, id, round(sum(m), 6) AS score FROM s GROUP BY ALL)"
+_SIM = f"{_V}, s AS (SELECT q.vec_id // 5 AS query_id, q.vec_id AS qv, b.vec_id // 5 AS id, max(list_cosine_similarity(q.e, b.e)) AS m FROM v q JOIN v b ON (q.vec_id // 5) % 50 = 0 GROUP BY ALL), sc AS (SELECT query_id, id, round(sum(m), 6) AS score FROM s GROUP BY ALL)"
 
 
 @query("t3_maxsim", f"WITH {_SIM} SELECT query_id, n::INTEGER AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM sc) WHERE n <= 5")
 def maxsim(spark, d):
     base = _patches(spark, d)
-    return vectors.maxsim(base.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.slice("patches", 1, 2).alias("patches")), base, 5)
+    return vectors.maxsim(base.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "patches"), base, 5)
 
 
 @query("t4_scoped_maxsim", f"WITH {_SIM}, ok AS (SELECT DISTINCT vec_id // 5 AS id FROM embeddings WHERE label IN (1, 2)) SELECT query_id, n::INTEGER AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM sc WHERE id IN (SELECT id FROM ok)) WHERE n <= 5")
 def scoped(spark, d):
     base = _patches(spark, d)
     scope = spark.createDataFrame([("s1",), ("s2",)], "segment_id string")
-    return vectors.maxsim(base.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.slice("patches", 1, 2).alias("patches")), base, 5, scope=scope)
+    return vectors.maxsim(base.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "patches"), base, 5, scope=scope)
 
 
 def _cells(spark, d):
-    rows = fx.table(spark, d, "embeddings").filter("vec_id % 10 = 0")
+    rows = fx.table(spark, d, "embeddings")
     return rows.select((F.col("vec_id") % 30).alias("query_id"), F.col("vec_id").alias("frame_id"), F.posexplode("embedding").alias("i", "score")).select("query_id", "frame_id", F.floor(F.col("i") / 8).cast("int").alias("r"), (F.col("i") % 8).alias("c"), F.round(F.col("score").cast("double"), 6).alias("score"))
 
 
 @query("t5_highlights")
 def highlights(spark, d):
-    from sessionloom.sources.tables import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
     return vectors.highlights(_cells(spark, d), floor=0.5)
 
 
 @query("t6_embed_text")
 def embed(spark, d):
-    docs = fx.table(spark, d, "documents").select("doc_id", "text")
-    out = vectors.embed_text(docs, id_col="doc_id", text_tokens=text.tokens(F.coalesce("text", F.lit(""))))
-    return out.select("id", F.round(vectors.dot("v", "v"), 6).alias("norm"), F.size("v").alias("dims"))
+    """Benchmark passages as queries, documents as documents of one lane: each query's three nearest."""
+    docs, items = fx.table(spark, d, "documents"), fx.table(spark, d, "benchmark")
+    tokens = text.tokens(F.coalesce("text", F.lit("")))
+    lane = vectors.text_lane(docs, tokens)
+    asked = vectors.embed_text(items, lane, id_col="item_id", text_tokens=tokens, role="query")
+    rows = vectors.embed_text(docs, lane, id_col="doc_id", text_tokens=tokens)
+    near = vectors.against_all(asked.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), rows).select("query_id", "id", F.round(vectors.dot("qv", "v"), 6).alias("score"))
+    return vectors.top(near, 3, F.desc("score"), F.asc("id")).select("query_id", "rank", "id", "score")
 
 
 @query("t7_tiles", "SELECT vec_id AS id, (vec_id % 12)::INTEGER AS i, (vec_id % 12 % 4) * 1920 / 4.0::DOUBLE AS x, floor(vec_id % 12 / 4.0::DOUBLE) * 1080 / 3.0::DOUBLE AS y, 480.0::DOUBLE AS w, 360.0::DOUBLE AS h FROM embeddings")
@@ -92,14 +94,14 @@ def hashes(spark, d):
 _TOK = "list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda t: t <> '')"
 _BM = f"""tok AS (SELECT doc_id AS id, unnest({_TOK.format('text')}) AS token FROM documents), len AS (SELECT doc_id AS id, len({_TOK.format('text')}) AS l FROM documents), avg_l AS (SELECT avg(l) AS a, count(*) AS n FROM len),
 post AS (SELECT id, token, count(*) AS tf FROM tok GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM post GROUP BY token),
-q AS (SELECT DISTINCT item_id AS query_id, unnest(list_slice({_TOK.format('text')}, 1, 6)) AS token FROM benchmark),
+q AS (SELECT DISTINCT item_id AS query_id, unnest({_TOK.format('text')}) AS token FROM benchmark),
 sc AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / a))), 6) AS score FROM q JOIN post USING (token) JOIN df USING (token) JOIN len USING (id), avg_l GROUP BY ALL),
 bm AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank, id, score FROM sc)"""
 
 
 def _lexical(spark, d):
     docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    asked = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(text.tokens(F.col("text")), 1, 6), " ?! ").alias("text"))
+    asked = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return docs, asked
 
 
@@ -108,14 +110,22 @@ def bm25(spark, d):
     return lexical.bm25(*_lexical(spark, d), 10)
 
 
-@query("t9_label_search")
+_NAME = "lower(concat_ws(' ', p_brand, p_name))"
+_LABELS = f"""nm AS (SELECT {_NAME} AS name, {_TOK.format(_NAME)} AS toks FROM part), dn AS (SELECT DISTINCT name, toks FROM nm), st AS (SELECT count(*) AS n, avg(len(toks)) AS a FROM dn),
+po AS (SELECT name, token, count(*) AS tf FROM (SELECT name, unnest(toks) AS token FROM dn) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM po GROUP BY token),
+qt AS (SELECT DISTINCT p_partkey AS query_id, unnest({_TOK.format(_NAME)}) AS token FROM part WHERE p_partkey % 50 = 0),
+sc AS (SELECT query_id, name, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(toks) / a))), 6) AS score FROM qt JOIN po USING (token) JOIN df USING (token) JOIN dn USING (name), st GROUP BY ALL),
+rk AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY score DESC, name) AS rank FROM sc)"""
+
+
+@query("t9_label_search", f"WITH {_LABELS} SELECT query_id, p_partkey AS region_id, p_partkey % 50 AS frame_id, rank::INTEGER AS rank, score FROM rk JOIN part ON {_NAME} = name WHERE rank <= 5")
 def labels(spark, d):
-    """Regions are parts (role = brand-like type, label = name), frames their size."""
+    """Regions are parts (role = brand, label = name), both in lower case."""
     part = fx.table(spark, d, "part")
     cols = part.columns
-    regions = part.select(F.col(cols[0]).alias("id"), (F.col(cols[0]) % 50).alias("frame_id"), F.col(cols[2]).cast("string").alias("role"), F.col(cols[1]).cast("string").alias("label"))
-    asked = regions.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.concat_ws(" ", "role", "label").alias("text"))
-    return lexical.label_search(regions, asked, regions.filter("frame_id < 20").select("frame_id"), 5)
+    regions = part.select(F.col(cols[0]).alias("id"), (F.col(cols[0]) % 50).alias("frame_id"), F.lower(F.col(cols[2])).alias("role"), F.lower(F.col(cols[1])).alias("label"))
+    asked = regions.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.concat_ws(" ", "role", "label").alias("text"))
+    return lexical.label_search(regions, asked, regions.select("frame_id"), 5)
 
 
 _LISTS = f"{_BM}, lens AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY l, id)::INTEGER AS rank, id FROM bm JOIN len USING (id) WHERE rank <= 30), lists AS (SELECT query_id, 'words' AS lane, id, rank FROM bm WHERE rank <= 30 UNION ALL SELECT query_id, 'short', id, rank FROM lens)"
@@ -197,6 +207,6 @@ def sweep(spark, d):
     return evaluate.rrf_sweep(lists, lists.filter("lane = 'words' and rank = 1").select("query_id", "id"), [5, 10, 20, 60])
 
 
-@query("e3_floor_sweep", "WITH c AS (SELECT vec_id % 30 AS query_id, vec_id AS frame_id, round(unnest(embedding)::DOUBLE, 6) AS score FROM embeddings WHERE vec_id % 10 = 0), b AS (SELECT *, max(score) OVER (PARTITION BY frame_id) AS best FROM c) SELECT f AS floor, count(*) AS cells, count(DISTINCT query_id) AS answered FROM b, (VALUES (0.5::DOUBLE), (0.8::DOUBLE), (0.95::DOUBLE)) v(f) WHERE score > 0 AND score >= f * best GROUP BY f")
+@query("e3_floor_sweep", "WITH c AS (SELECT vec_id % 30 AS query_id, vec_id AS frame_id, round(unnest(embedding)::DOUBLE, 6) AS score FROM embeddings), b AS (SELECT *, max(score) OVER (PARTITION BY frame_id) AS best FROM c) SELECT f AS floor, count(*) AS cells, count(DISTINCT query_id) AS answered FROM b, (VALUES (0.5::DOUBLE), (0.8::DOUBLE), (0.95::DOUBLE)) v(f) WHERE score > 0 AND score >= f * best GROUP BY f")
 def floors(spark, d):
     return evaluate.floor_sweep(_cells(spark, d), [0.5, 0.8, 0.95])

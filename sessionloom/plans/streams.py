@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionloom.plans.events import _greedy as greedy
 from sessionloom.plans.registry import query
+from sessionloom.sources import fixtures as fx
 from sessionloom.sources import tables
 from sessionloom.streaming import streams
 
@@ -27,10 +29,11 @@ def _folder(spark: SparkSession) -> str:
     return f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def _last(spark: SparkSession, df: DataFrame) -> DataFrame:
+def _last(spark: SparkSession, df: DataFrame, mode: str = "complete") -> DataFrame:
     """What a stream's result table holds when all its input has been read."""
     path = _folder(spark)
-    writer = df.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out"))
+    write = "overwrite" if mode == "complete" else "append"
+    writer = df.writeStream.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode(write).parquet(f"{path}/out"))
     writer.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/out")
 
@@ -50,6 +53,23 @@ def gaps(spark, d):
     return out.select("session_id", F.unix_micros("window.start").alias("start_us"), "n")
 
 
+@query("x3_throttled", greedy("SELECT event_id, user_id AS session_id, epoch_us(ts) / 1000.0::DOUBLE AS t FROM events", "86400000.0"))
+def throttled(spark, d):
+    return _last(spark, streams.throttle(_events(spark, d), 86_400_000.0, idle_ms=None), "append").select("event_id", "session_id")
+
+
+_LIVE = f"ev AS (SELECT event_id, user_id AS session_id, epoch_us(ts) AS us, {_KIND} AS kind FROM events)"
+
+
+@query("x6_segments", f"WITH {_LIVE}, {fx.SEG} SELECT session_id, seg_no::INTEGER AS seg_no, start_us, end_us, reason FROM seg")
+def segments_so_far(spark, d):
+    path = _folder(spark)
+    q = streams.incremental_segments(_events(spark, d), f"{path}/log", f"{path}/out", f"{path}/checkpoint", buckets=8, dwell_ms=fx.DWELL_MS, burst_ms=fx.BURST_MS)
+    q.trigger(availableNow=True).start().awaitTermination()
+    us = lambda c: F.round(F.col(c) * 1000).cast("long")
+    return spark.read.parquet(f"{path}/out").select("session_id", "seg_no", us("t_start").alias("start_us"), us("t_end").alias("end_us"), "reason")
+
+
 @query("x5_live_tallies", f"WITH e AS (SELECT *, {_KIND} AS kind, regexp_extract(props, '[0-9]+')::INTEGER AS k FROM events) SELECT user_id AS session_id, count(*) FILTER (WHERE kind = 'key_down') AS keys, count(*) FILTER (WHERE kind = 'mouse_down') AS clicks, count(*) FILTER (WHERE kind = 'focus_change') AS focus_changes, max_by('app' || (k % 8), (ts, event_id)) FILTER (WHERE kind = 'focus_change') AS latest_app FROM e GROUP BY user_id")
 def tallies(spark, d):
     return _last(spark, streams.live_tallies(_events(spark, d)))
@@ -58,7 +78,6 @@ def tallies(spark, d):
 @query("s2_event_sink", f"SELECT user_id AS session_id, {_KIND} AS kind, count(*) AS n FROM events GROUP BY ALL")
 def sink(spark, d):
     path = _folder(spark)
-    rows = _events(spark, d).withColumn("part", F.col("session_id") % 8)
-    q = streams.event_sink(rows, f"{path}/out", f"{path}/checkpoint", partition="part", once=True)
+    q = streams.event_sink(_events(spark, d), f"{path}/out", f"{path}/checkpoint", buckets=8, once=True)
     q.awaitTermination()
     return spark.read.parquet(f"{path}/out").groupBy("session_id", "kind").agg(F.count("*").alias("n"))

@@ -21,10 +21,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(found)
 
 
-def media_bytes(spark: SparkSession, path: str, ranges: DataFrame) -> DataFrame:
-    """ranges (name, offset, length) with ``bytes`` of that range of the named file under ``path``."""
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return files.join(ranges, "name").select("name", "offset", "length", F.expr("substring(content, offset + 1, length)").alias("bytes"))
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of checkpoints, which driver and executors share."""
+    ensure_checkpoint_dir(spark)
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
+def media_bytes(spark: SparkSession, path: str, ranges: DataFrame, folder: bool = False) -> DataFrame:
+    """ranges (name, offset, length, ...) with ``bytes`` of that range of the named file under ``path``.
+
+    ``folder``: a file goes by the name of its folder. A file's ranges are gathered before they meet
+    its bytes, so the bytes move once.
+    """
+    name = F.element_at(F.split("path", "/"), -2 if folder else -1).alias("name")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(name, "content")
+    asked = ranges.groupBy("name").agg(F.collect_list(F.struct(*ranges.columns)).alias("r"))
+    each = F.transform("r", lambda r: r.withField("bytes", F.substring(F.col("content"), r["offset"] + 1, r["length"])))
+    return files.join(asked, "name").select(F.inline(each))
 
 
 def namespace(view: Column, provider: Column, model: Column, dims: Column) -> Column:

@@ -1,8 +1,10 @@
 """Folds and iterative operators against plain loops, and hand-computed cases."""
 
 import itertools
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,9 +80,108 @@ def test_gestures_by_hand(spark):
         ("a", 0, "mouse_down", 10.0, 10.0), ("a", 50, "mouse_up", 10.0, 10.0), ("a", 300, "mouse_down", 12.0, 10.0), ("a", 350, "mouse_up", 12.0, 10.0),
         ("a", 1000, "mouse_down", 0.0, 0.0), ("a", 1200, "mouse_up", 30.0, 0.0), ("a", 1300, "scroll", 0.0, 0.0), ("a", 1500, "scroll", 0.0, 0.0), ("a", 1800, "scroll", 0.0, 0.0),
         ("a", 5000, "key_down", None, None, None, None, "h"), ("a", 5100, "key_down", None, None, None, None, "i"), ("a", 5200, "key_down", None, None, None, None, None, "cmd+s"), ("a", 5300, "key_down"),
+        # a jump and then a pause is no hover; moves about one spot are
+        ("b", 0, "mouse_move", 0.0, 0.0), ("b", 1000, "mouse_move", 500.0, 0.0), ("b", 6000, "mouse_down", 500.0, 0.0), ("b", 6100, "mouse_up", 500.0, 0.0),
+        ("c", 0, "mouse_move", 5.0, 5.0), ("c", 900, "mouse_move", 7.0, 5.0), ("c", 1000, "key_up"), ("c", 2000, "bookmark"), ("c", 2100, "mouse_up", 1.0, 1.0),
     ]
-    got = [(r.gesture, r.n, r.detail) for r in segments.gestures(events(spark, rows)).orderBy("gesture_no").collect()]
-    assert got == [("click", 2, None), ("drag", 1, None), ("scroll", 2, None), ("scroll", 1, None), ("idle", 1, None), ("text", 2, "hi"), ("chord", 1, "cmd+s"), ("warning", 1, "key without a character")]
+    got = {}
+    for r in segments.gestures(events(spark, rows)).orderBy("gesture_no").collect():
+        got.setdefault(r.session_id, []).append((r.gesture, r.n, r.detail))
+    assert got["a"] == [("click", 2, None), ("drag", 1, None), ("scroll", 2, None), ("scroll", 1, None), ("idle", 1, None), ("text", 2, "hi"), ("chord", 1, "cmd+s"), ("warning", 1, "key without a character")]
+    assert got["b"] == [("click", 1, None)] and got["c"] == [("hover", 1, None), ("warning", 1, "release without press")]
+
+
+def step_by_step(rows):
+    """Gestures of (t, kind, x, y, char, chord, button, dy), one event at a time, all states in one place."""
+    out, warned = [], 0
+    down = text = scroll = stay = None  # press; [start, end, text]; [start, end, n, dy]; [start event, last event]
+    for t, kind, x, y, char, chord, button, dy in [*rows, (None,) * 8]:
+        end = t is None
+        if scroll and kind != "scroll":
+            out.append(["scroll", *scroll])
+            scroll = None
+        if text and kind not in ("key_down", "key_up"):
+            out.append(["text", *text])
+            text = None
+        if stay and (end or kind not in ("mouse_up", "mouse_move", "key_down", "key_up")):
+            if stay[1][0] - stay[0][0] >= 800:
+                out.append(["hover", stay[0][0], stay[1][0]])
+            stay = None
+        if end:
+            break
+        if kind == "mouse_down":
+            warned += down is not None
+            down = (t, x, y, button)
+        elif kind == "mouse_move" and down is None:
+            if stay and math.hypot(stay[0][1] - x, stay[0][2] - y) <= 6:
+                stay = [stay[0], (t, x, y)]
+            else:
+                stay = [(t, x, y), (t, x, y)]
+        elif kind == "mouse_up":
+            if down is None:
+                warned += 1
+                continue
+            last = out[-1] if out else [None]
+            if math.hypot(x - down[1], y - down[2]) > 4:
+                out.append(["drag", down[0], t])
+            elif last[0] == "click" and last[5] == down[3] and down[0] - last[2] <= 400 and math.hypot(last[3] - down[1], last[4] - down[2]) <= 6:
+                last[2], last[6] = t, last[6] + 1
+            else:
+                out.append(["click", down[0], t, down[1], down[2], down[3], 1])
+            down = None
+        elif kind == "scroll":
+            if scroll and t - scroll[1] <= 250:
+                scroll = [scroll[0], t, scroll[2] + 1, scroll[3] + dy]
+            else:
+                if scroll:
+                    out.append(["scroll", *scroll])
+                scroll = [t, t, 1, dy]
+        elif kind == "key_down" and chord:
+            if text:
+                out.append(["text", *text])
+                text = None
+            out.append(["chord", t, t])
+        elif kind == "key_down" and not char:
+            warned += 1
+        elif kind == "key_down":
+            text = [text[0] if text else t, t, (text[2] if text else "") + char]
+        elif kind == "key_up" and text:
+            text[1] = t
+        elif kind == "key_up" and out and out[-1][0] == "chord":
+            out[-1][2] = t
+    told = []
+    for g in out:
+        if told and g[1] - told[-1][2] >= 1500:
+            told.append(["idle", told[-1][2], g[1]])
+        told.append(g)
+    what = {"click": lambda g: (g[6], g[5]), "scroll": lambda g: (g[3], g[4]), "text": lambda g: (len(g[3]), g[3])}
+    return [(g[0], g[1], g[2], *what.get(g[0], lambda g: ())(g)) for g in told], warned + (down is not None)
+
+
+def test_gestures_match_one_event_at_a_time(spark):
+    rng = random.Random(12)
+    kinds = ["mouse_move"] * 5 + ["mouse_down"] * 3 + ["mouse_up"] * 3 + ["scroll"] * 3 + ["key_down"] * 4 + ["key_up"] * 2 + ["bookmark"]
+    sessions = {}
+    for name in "abcdefghijkl":
+        t, rows = 0.0, []
+        for _ in range(400):
+            t += rng.choice([20, 100, 240, 260, 410, 900, 1600])
+            kind = rng.choice(kinds)
+            key = kind == "key_down"
+            rows.append((t, kind, float(rng.choice([0, 2, 5, 40])), float(rng.choice([0, 3])), rng.choice("ab") if key and rng.random() < 0.7 else None, "cmd+s" if key and rng.random() < 0.2 else None, rng.choice([1, 1, 2]), rng.choice([-1.0, 1.0])))
+        sessions[name] = rows
+    df = spark.createDataFrame([(s, i, *r) for s, rows in sessions.items() for i, r in enumerate(rows)], "session_id string, event_id long, t double, kind string, x double, y double, char string, chord string, button int, dy double")
+    got, warned = {s: [] for s in sessions}, dict.fromkeys(sessions, 0)
+    for r in segments.gestures(df).orderBy("session_id", "gesture_no").collect():
+        if r.gesture == "warning":
+            warned[r.session_id] += 1
+            continue
+        more = {"click": (r.n, r.button), "scroll": (r.n, r.dy), "text": (r.n, r.detail)}.get(r.gesture, ())
+        got[r.session_id].append((r.gesture, r.t_start, r.t_end, *more))
+        if r.gesture == "drag":
+            assert (r.path[0].x, r.path[0].t, r.path[-1].x, r.path[-1].t) == (r.x, r.t_start, r.to_x, r.t_end)
+    for s, rows in sessions.items():
+        assert (got[s], warned[s]) == step_by_step(rows)
 
 
 def test_min_gap_matches_a_loop(spark):
@@ -196,6 +297,11 @@ def test_route_similarity_and_clusters_match_loops(spark):
             clusters.append([(key, places)])
             want[key] = key
     assert {r.route_key: r.canonical for r in routes.cluster_routes(df).collect()} == want
+    in_rounds = {(r.route_key, r.canonical, r.declined) for r in routes.cluster_routes(df, family_rows=0).collect()}
+    assert in_rounds == {tuple(r) for r in routes.cluster_routes(df).collect()}
+    for budget in (1, 2, 3):
+        near = lambda a, b: naive_lcs(a, b) == min(len(a), len(b)) and abs(len(a) - len(b)) <= budget and a[0] == b[0] and a[-1] == b[-1]
+        assert {tuple(r) for r in routes.compatible_pairs(df, budget=budget).collect()} == {(min(a[0], b[0]), max(a[0], b[0])) for a, b in itertools.combinations(rows, 2) if near(a[1], b[1])}
 
 
 def test_habits_by_hand(spark):
@@ -251,6 +357,149 @@ def test_structural_groups_match_the_greedy_loop(spark):
     assert got == want
 
 
+def test_digest_matches_a_loop(spark):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for s in range(30):
+        apps, titles, urls, hit, n, by_app, app, typed = [], [], [], [], {}, {}, None, "x" * rng.choice([0, 5, 300])
+        if s % 3 == 0:
+            app, apps, titles, urls = "App0", ["App0"], ["Start"], ["https://a.example/x", "a.example"]
+        for i in range(rng.randint(0, 9)):
+            kind = rng.choice(["focus_change", "mouse_down", "key_down", "scroll", "mouse_move", "url_change"])
+            new, title, url, label = rng.choice([None, "App1", "App2"]), rng.choice([None, "T1", "T2"]), rng.choice([None, "https://b.example/y"]), rng.choice([None, "", "Save", "Open"])
+            rows.append((f"s{s}", 10 * s + i, float(i), kind, new if kind == "focus_change" else None, url if kind in ("focus_change", "url_change") else None, title if kind == "focus_change" else None, label if kind == "mouse_down" else None))
+            n[kind] = n.get(kind, 0) + 1
+            if kind == "focus_change":
+                if new and apps[-1:] != [new]:
+                    apps.append(new)
+                app = new or app
+                titles += [title] if title and title not in titles else []
+            if kind in ("focus_change", "url_change") and url and url not in urls:
+                urls += [url, "b.example"]
+            if kind == "mouse_down" and label and label not in hit:
+                hit.append(label)
+            if app and kind in ("mouse_down", "key_down", "scroll"):
+                by_app.setdefault(app, set()).add(kind)
+        where = " — ".join(x for x in (" → ".join(apps), ", ".join(titles)) if x)
+        count = lambda k, unit: [f"{n[k]} {unit}{'' if n[k] == 1 else 's'}"] if n.get(k) else []
+        busy = [*count("mouse_down", "click"), *([] if not n.get("scroll") else ["light scrolling" if n["scroll"] <= 5 else "heavy scrolling"]), *count("key_down", "keystroke")] or (["mouse movement"] if n.get("mouse_move") else [])
+        phrases = [f"{'typed' if 'key_down' in k else 'clicked' if 'mouse_down' in k else 'scrolled'} in {a}" for a, k in by_app.items()]
+        said = [f'typed "{typed if len(typed) <= 280 else typed[:280] + "…"}"'] if typed else []
+        parts = [x for x in [("app focus: " if len(apps) > 1 else "") + where, " ".join(urls), *said, ", ".join(f'clicked "{x}"' for x in hit), ", ".join(busy), ", ".join(phrases)] if x]
+        want[f"s{s}"] = (". ".join(parts) + "." if parts else "idle segment", typed)
+    ev = spark.createDataFrame(rows, "session_id string, event_id long, t double, kind string, app string, url string, title string, label string")
+    segs = spark.createDataFrame([(s, 1, 0.0, 100.0) for s in want], "session_id string, seg_no int, t_start double, t_end double")
+    focus = spark.createDataFrame([(f"s{s}", 1, "App0", "https://a.example/x", "Start") for s in range(0, 30, 3)], "session_id string, seg_no int, app string, url string, title string")
+    typed = spark.createDataFrame([(s, 1, t) for s, (_, t) in want.items() if t], "session_id string, seg_no int, typed string")
+    got = features.digest(ev.drop("label"), segs, width=50.0, focus=focus, typed=typed, clicked=ev.filter("label is not null").select("session_id", "event_id", "label")).collect()
+    assert {r.session_id: r.digest for r in got} == {s: d for s, (d, _) in want.items()}
+
+
+def test_paths_of_known_curves(spark):
+    bow = lambda t: (3 * t * (1 - t) ** 2 * 0.2 + 3 * t**2 * (1 - t) * 0.8 + t**3, 3 * t * (1 - t) ** 2 * 0.5 + 3 * t**2 * (1 - t) * 0.5)
+    shapes = {
+        "line": [(float(i), 0.0) for i in range(9)], "bow": [bow(i / 40) for i in range(41)], "wave": [(i / 60, math.sin(i / 60 * math.pi)) for i in range(61)],
+        "back": [(0.0, 0.0), (5.0, 5.0), (0.0, 0.0)], "two": [(0.0, 0.0), (1.0, 1.0)], "one": [(2.0, 2.0)],
+    }
+    shapes["turned"] = [(100 + 30 * (0.6 * x - 0.8 * y), 7 + 30 * (0.8 * x + 0.6 * y)) for x, y in shapes["wave"]]
+    points = spark.createDataFrame([(k, i, x, y, 10.0 * i) for k, xy in shapes.items() for i, (x, y) in enumerate(xy)], "drag_id string, i int, x double, y double, t double")
+    got = {r.drag_id: r for r in features.paths(points).collect()}
+    assert set(got) == set(shapes) and all(len(r.velocity) == 16 and r.velocity[0] == 0 and r.velocity[-1] == 1 for r in got.values())
+    for k, r in got.items():
+        # the chain passes near every point, and its parts join
+        assert all(abs(a.ex - b.ex) > 0 or abs(a.ey - b.ey) > 0 for a, b in itertools.pairwise(r.curve)) and (r.curve[-1].ex, r.curve[-1].ey) == (1, 0)
+        assert r.duration == 10.0 * (len(shapes[k]) - 1)
+    assert got["line"].velocity == pytest.approx([i / 15 for i in range(16)], abs=1e-6) and len(got["line"].curve) == 1 and got["line"].confidence == pytest.approx(1.0, abs=1e-6)
+    assert len(got["bow"].curve) <= 2 < len(got["wave"].curve) <= 16 and got["wave"].confidence > 0.85
+    assert got["back"].confidence == got["one"].confidence == 0 and got["two"].confidence == pytest.approx(1 / 8)
+    assert [c.c1x for c in got["turned"].curve] == pytest.approx([c.c1x for c in got["wave"].curve], abs=1e-6) and got["turned"].confidence == pytest.approx(got["wave"].confidence, abs=1e-5)
+    sums = {r.drag_id: r for r in features.path_features(points).collect()}
+    first = features._fit(np.array(shapes["bow"]), np.concatenate([[0], np.cumsum(np.hypot(*np.diff(np.array(shapes["bow"]), axis=0).T))]) / sums["bow"].length, 0)[0]
+    assert (sums["bow"].c1x, sums["bow"].c1y, sums["bow"].c2x, sums["bow"].c2y) == pytest.approx(tuple(first[1:3].reshape(-1)), abs=1e-9)
+    assert (sums["two"].c1x, sums["two"].c2x, sums["two"].straightness) == pytest.approx((1 / 3, 2 / 3, 1.0))
+
+
+def test_predicates_of_a_snapshot(spark):
+    rows = [(1, 0, None, "AXWindow", "Main", "", 0, False), (1, 1, 0, "AXTextArea", "Inbox (14)", "box", 1, True), (1, 2, 0, "AXButton", "12:30", "", 1, False), (1, 3, 0, "AXButton", "Save", "", 1, True), (2, 0, None, "AXTabGroup", "", "", 0, False), (2, 1, 0, "AXButton", "Tab", "", 1, True)]
+    el = spark.createDataFrame(rows, "snapshot_id int, idx int, parent int, role string, label string, identifier string, depth int, focused boolean")
+    about = "snapshot_id int, app string, url string, displays array<struct<id:string,w:int,h:int>>, files array<string>"
+    context = spark.createDataFrame([(1, "Mail", "https://www.mail.example/in/box?x", [("d", 10, 20)], ["/a", "/b"]), (2, "", None, None, None), (3, "Only", "about:blank", [], None)], about)
+    got = {}
+    for r in traces.predicates(el, context).orderBy("snapshot_id", "ord").collect():
+        got.setdefault(r.snapshot_id, []).append(r.key)
+    assert got[1] == ["app(app=Mail)", "url(prefix=mail.example/in/box)", "display(h=20,id=d,w=10)", "file(path=/a)", "file(path=/b)", "ax_focused(identifier=box,role=TextArea)", "ax_exists(label=Save,role=Button)", "ax_exists(identifier=box,role=TextArea)"]
+    assert 2 not in got and got[3] == ["app(app=Only)"]
+
+
+def test_anchors_have_paths_from_the_root(spark):
+    rows = [(1, 0, None, "AXWindow", "W", "", 0, 0.0, 0.0, 100.0, 100.0), (1, 1, 0, "AXGroup", "", "g", 1, 0.0, 0.0, 50.0, 100.0), (1, 2, 0, "AXGroup", "", "", 1, 50.0, 0.0, 50.0, 100.0), (1, 3, 2, "AXButton", "Save", "save", 2, 60.0, 10.0, 10.0, 10.0), (1, 4, 2, "AXButton", "", "", 2, 60.0, 30.0, 10.0, 10.0)]
+    el = spark.createDataFrame(rows, "snapshot_id int, idx int, parent int, role string, label string, identifier string, depth int, x double, y double, w double, h double").withColumns({"frame_id": F.lit(1), "region_id": F.col("idx")})
+    assert [r.path for r in library.element_paths(el).orderBy("idx").collect()] == ["AXWindow[0]", "AXWindow[0]>AXGroup[0]", "AXWindow[0]>AXGroup[1]", "AXWindow[0]>AXGroup[1]>AXButton[0]", "AXWindow[0]>AXGroup[1]>AXButton[1]"]
+    points = spark.createDataFrame([(1, 1, 1, "s", 9, 5.0, 65.0, 15.0), (2, 1, 1, "s", 10, 6.0, 65.0, 35.0), (3, 1, 1, "s", 11, 7.0, 500.0, 5.0)], "point_id int, snapshot_id int, frame_id int, session_id string, event_id long, t double, x double, y double")
+    windows = spark.createDataFrame([("s", 1, 0.0, 20.0, 5.0)], "session_id string, event_id long, t double, wx double, wy double")
+    got = [(r.role, r.label, r.identifier, r.path, r.rel_x, r.rel_y) for r in library.build_anchors(points, el, el, windows).orderBy("point_id").collect()]
+    assert got == [("AXButton", "Save", "save", "AXWindow[0]>AXGroup[1]>AXButton[0]", 45.0, 10.0), ("AXButton", None, None, "AXWindow[0]>AXGroup[1]>AXButton[1]", 45.0, 30.0), (None, None, None, None, 480.0, 0.0)]
+
+
+def test_text_roles(spark):
+    docs = spark.createDataFrame([(1, "red red blue"), (2, "red blue"), (3, "green"), (4, ""), (5, None)], "id int, text string")
+    tokens = text.tokens(F.coalesce("text", F.lit("")))
+    lane = vectors.text_lane(docs, tokens)
+    of = lambda role: {r.id: r.v for r in vectors.embed_text(docs, lane, id_col="id", text_tokens=tokens, role=role).collect()}
+    d, q = of("document"), of("query")
+    assert q[1] == q[2] == d[2] != d[1] and all(math.hypot(*v) == pytest.approx(1.0) for i, v in (*d.items(), *q.items()) if i < 4) and not any(d[4]) and not any(q[5])
+    with pytest.raises(ValueError):
+        of("passage")
+
+
+def test_transfer_counts_sessions_that_share_nothing(spark):
+    steps = spark.createDataFrame([("r", 0, "a"), ("r", 1, "b"), ("q", 0, "z")], "route_id string, step int, node string")
+    seen = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (2, "b", 1.0), (2, "a", 2.0), (3, "x", 1.0), (4, "x", 1.0), (5, "b", 1.0)], "session_id int, node string, t double")
+    out = {(r.route_id, r.held_out): (r.n, r.whole, r.mean_share) for r in evaluate.transfer_report(steps, seen, spark.createDataFrame([(4,), (5,)], "session_id int")).collect()}
+    assert out == {("r", True): (3, 1, 0.5), ("r", False): (2, 0, 0.25), ("q", True): (3, 0, 0.0), ("q", False): (2, 0, 0.0)}
+
+
+def test_highlights_match_a_flood_fill(spark):
+    rng = random.Random(3)
+    rows = [(q, f, r, c, rng.choice([-0.2, 0.3, 0.55, 0.9, 1.0])) for q in range(2) for f in range(3) for r in range(7) for c in range(9)]
+    got = sorted(tuple(x) for x in vectors.highlights(spark.createDataFrame(rows, "query_id int, frame_id int, r int, c int, score double"), floor=0.5).collect())
+    want = []
+    for q, f in itertools.product(range(2), range(3)):
+        best = max(s for a, b, _, _, s in rows if (a, b) == (q, f))
+        group = {(r, c): {(r, c)} for a, b, r, c, s in rows if (a, b) == (q, f) and s > 0 and s >= 0.5 * best}
+        score = {(r, c): s for a, b, r, c, s in rows if (a, b) == (q, f)}
+        for (r, c), (x, y) in itertools.combinations(group, 2):
+            if abs(r - x) + abs(c - y) == 1 and group[r, c] is not group[x, y]:
+                group[r, c] |= group[x, y]
+                for at in group[r, c]:
+                    group[at] = group[r, c]
+        boxes = {(min(r for r, _ in g), min(c for _, c in g), max(r for r, _ in g), max(c for _, c in g), max(score[at] for at in g)) for g in group.values()}
+        assert len(boxes) == len({id(g) for g in group.values()})
+        want += [(q, f, *b) for b in sorted(boxes, key=lambda b: (-b[4], b[0], b[1]))[:8]]
+    assert got == sorted(want)
+
+
+def test_all_lanes_are_the_lanes(spark):
+    a, b = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.7)], "session_id int, bucket int, value double"), spark.createDataFrame([(1, "x")], "session_id int, text string")
+    got = sorted((r.lane_no, r.lane, r.session_id, r.bucket, r.value, r.text) for r in features.all_lanes([("typing", a), ("said", b)]).collect())
+    assert got == [(0, "typing", 1, 0, 0.5, None), (0, "typing", 1, 1, 0.7, None), (1, "said", 1, None, None, "x")]
+
+
+def test_region_jobs_fuse_their_sources(spark):
+    frames = spark.createDataFrame([(1, "s", 500.0), (2, "s", 5000.0)], "frame_id long, session_id string, t double")
+    segs = spark.createDataFrame([("s", "long", 0.0, 9000.0), ("s", "short", 400.0, 600.0)], "session_id string, segment_id string, t_start double, t_end double")
+    ev = spark.createDataFrame([("s", i, 450.0 + i, "mouse_down", 700.0 + i, 500.0, None, None) for i in range(12)], "session_id string, event_id long, t double, kind string, x double, y double, app string, url string")
+    el = spark.createDataFrame([(1, 7, "button", "Save", True, 100.0, 100.0, 200.0, 100.0)], "frame_id long, region_id long, role string, label string, focused boolean, x double, y double, w double, h double")
+    assert {r.frame_id: r.segment_id for r in library.primary_segments(frames, segs, width=1000.0).collect()} == {1: "short", 2: "long"}
+    out = library.region_job(frames, segs, ev, el, width=1000.0, size=(1920.0, 1080.0)).collect()
+    seen = {f: {r.region_id.split(":")[0] for r in out if r.frame_id == f} for f in (1, 2)}
+    assert "ax:7" in {r.region_id for r in out if r.frame_id == 1} and "hot" in seen[1] and "grid" in seen[2] and "ax" not in seen[2]
+    boxes = [(r.frame_id, r.x, r.y, r.w, r.h) for r in out]
+    assert len(set(boxes)) == len(boxes) and all(sum(b[0] == f for b in boxes) <= 14 for f in (1, 2))
+    hot = next(r for r in out if r.region_id.startswith("hot") and r.frame_id == 1)
+    assert hot.x <= 700 and hot.x + hot.w >= 711 and hot.y <= 500 <= hot.y + hot.h
+
+
 def test_collapse_keeps_siblings_and_drops_relatives(spark):
     closure = hierarchy.closure(spark.createDataFrame([("p", "a"), ("p", "b"), ("a", "x")], "parent_id string, child_id string"))
     hits = lambda *r: spark.createDataFrame([("q", i, n) for n, i in enumerate(r, 1)], "query_id string, id string, rank int")

@@ -85,9 +85,8 @@ def test_boundary_trigger_fires_the_first(spark, rows):
     _, s = stream_of(spark, rows, 1)
     out = until(spark, streams.boundary_trigger(s, 200), "x4", 3)
     first = {}
-    for r in rows:
-        if r[4] in ("focus_change", "bookmark"):
-            first.setdefault(r[1], (r[0], r[4]))
+    for r in segments.boundary_triggers(spark.createDataFrame(rows, SCHEMA)).orderBy("t", "event_id").collect():
+        first.setdefault(r.session_id, (r.event_id, r.reason))
     assert {r.session_id: (r.event_id, r.reason) for r in out} == first
 
 
