@@ -259,7 +259,8 @@ def near_duplicates(
     """vec_id, n_links, component_id, kept for every row.
 
     Rows are compared within a label and a dimension. A null label or vector, a zero vector, and one
-    with null or non-finite components link with nothing and are components of their own. Equal
+    with null or non-finite components link with nothing and are components of their own; so is a row
+    without an id, which has no component_id and is kept. Equal
     vectors are one in the tree and count as often as they occur. Repeated ids are separate rows of
     one vector each. Other columns are ignored; an empty table gives no rows.
     """
@@ -297,6 +298,8 @@ def near_duplicates(
         distinct.join(partners.withColumnRenamed("id", "rep"), "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
         .select("label", "e", (F.col("n") - 1 + F.coalesce("partners", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
     )
-    joined = every.join(known, ["label", "e"], "left")
+    # a row that takes no part has a key of its own, so that such rows don't meet in one task
+    own = F.when(~F.col("ok"), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    joined = every.withColumn("own", own).join(known.withColumn("own", F.lit(-1).cast("long")), ["label", "e", "own"], "left")
     out = joined.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

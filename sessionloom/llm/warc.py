@@ -10,14 +10,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import shared_dir, small_batches, stored
+from sessionloom.llm.common import scratch, small_batches, stored
 
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -301,7 +300,7 @@ def deduplicate_archives(spark: SparkSession, source: str, target: str, *, least
 def round_trip(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
     """Writes ``pages`` to archives in the shared folder, reads them back and resolves the revisits."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    path = scratch(spark, "warc")
     write_archives(pages, path, least_bytes=least_bytes)
     if pages.isEmpty():
         return spark.createDataFrame([], "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long")

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sessionloom.llm import covertree, graph, topk
+from sessionloom.llm import common, covertree, graph, topk
 
 SCHEMA = "vec_id long, embedding array<float>, label int, v string, n int"
 
@@ -45,6 +45,17 @@ def test_near_duplicates_match_all_pairs(spark, leaf_rows):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (len(links[i]), min(seen), min(seen) == i), i
 
 
+def test_rows_without_an_id_and_scratch_tables(spark):
+    rows = [(None, [1.0, 0.0], 0), (None, [1.0, 0.0], None), (3, [1.0, 0.0], 0), (4, [1.0, 0.001], 0), (5, None, 0)]
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in covertree.near_duplicates(table(spark, rows)).collect())
+    assert got == [("3", 1, "3", True), ("4", 1, "3", False), ("5", 0, "5", True), ("None", 0, "None", True), ("None", 0, "None", True)]
+    kept = common.stored(spark.range(3))
+    assert kept.count() == 3
+    common.clear_scratch(spark)
+    with pytest.raises(Exception, match="(?i)not exist|PATH_NOT_FOUND|FileNotFound"):
+        spark.read.parquet(kept.inputFiles()[0]).count()
+
+
 def test_near_duplicates_of_nothing(spark):
     assert covertree.near_duplicates(table(spark, [])).count() == 0
 
