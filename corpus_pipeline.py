@@ -6,14 +6,12 @@ Parquet before the next one reads it.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm import dartminhash, langid, packing, pii
-from sessionloom.llm.common import free_name, read, shared_dir, stored
+from sessionloom.llm.common import free_name, read, scratch, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +55,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{shared_dir(spark).rstrip('/')}/stage-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+        path = scratch(spark, f"stage-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
