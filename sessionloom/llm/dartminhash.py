@@ -280,7 +280,8 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, bands: int = BAN
     is capped, and none gives a row for each of its pairs. With 32 bands of 6 a pair of similarity 0.8 is
     found with probability 0.9999 by its own buckets, and more in a group. A text without words (null,
     empty, punctuation) is a class of its own; rows repeated with one id share its class; an id stands
-    for one text; a row without id gets no class.
+    for one text (of several under one id any is taken), and ids are whole numbers; a row without id
+    gets no class.
     """
     source = docs.select("doc_id", "text")
     signed = stored(sign(source, bands=bands, rows=rows, words=words))

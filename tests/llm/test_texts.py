@@ -1,5 +1,6 @@
 import difflib
 import itertools
+import math
 import random
 import re
 import time
@@ -58,6 +59,16 @@ def test_near_duplicates_match_all_pairs(spark):
     assert [r.class_id for r in got if r.doc_id is None] == [None]
 
 
+def test_near_duplicates_of_very_long_texts(spark):
+    rng = random.Random(9)
+    words = [str(rng.randrange(10**6)) for _ in range(200_000)]
+    near, far = list(words), words[:120_000] + [str(rng.randrange(10**6)) for _ in range(80_000)]
+    for _ in range(3000):
+        near[rng.randrange(len(near))] = "changed"
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, None)]
+    assert {r.doc_id: r.class_id for r in dartminhash.near_duplicates(documents(spark, rows)).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert dartminhash.near_duplicates(documents(spark, [])).count() == 0
 
@@ -154,6 +165,20 @@ def test_language_held_out_accuracy(spark, sf):
     assert sum(r.lang_pred == r.truth for r in found) >= 0.97 * len(found)
 
 
+def test_decoding_matches_a_plain_one():
+    rng = np.random.default_rng(2)
+    codes = langid.codewords(4)
+    model = langid.LanguageModel(list("abcd"), codes, rng.normal(size=(1 << langid.BUCKET_BITS, codes.shape[1])), rng.normal(size=codes.shape[1]), rng.random(codes.shape[1]))
+    counts = rng.integers(0, 3, (20, 1 << langid.BUCKET_BITS))
+    for row, best, share, lead in zip(counts, *model.predict(counts), strict=True):
+        x = [math.sqrt(n) for n in row.tolist()]
+        size = math.sqrt(sum(v * v for v in x))
+        margin = [sum(v / size * w for v, w in zip(x, model.weights[:, b].tolist())) + model.bias[b] for b in range(codes.shape[1])]
+        lost = [sum(t * math.log1p(math.exp(-langid.SLOPE * m * c)) for t, m, c in zip(model.trust, margin, code)) for code in codes]
+        shares = sorted((math.exp(-v) / sum(math.exp(-u) for u in lost), i) for i, v in enumerate(lost))
+        assert best == shares[-1][1] and abs(share - shares[-1][0]) < 1e-4 and abs(lead - (shares[-1][0] - shares[-2][0])) < 1e-4
+
+
 def test_language_of_odd_texts(spark):
     rows = [(1, "the cat and the dog"), (2, None), (3, "123 ..."), (4, "der hund und die katze"), (5, "the " * 50_000), (None, "the end")]
     model = langid.fit(documents(spark, [(i, t) for i, t in rows if t]).selectExpr("doc_id", "text", "if(text like 'der%', 'de', 'en') AS lang"), langid.fold("id") >= 0)

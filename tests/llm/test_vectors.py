@@ -94,3 +94,17 @@ def test_components_match_union_find(spark):
             parent[max(x, y)] = min(x, y)
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in parent}
+
+
+def test_top_k_of_wide_vectors(spark):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(600, 768)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist(), 0, "", 1) for i, x in enumerate(v)], SCHEMA)
+    got = {}
+    for r in topk.top_k(topk.quantised(df), F.col("vec_id") % 100 == 0, 3, rows_per_block=128, queries_per_block=2).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    whole = np.floor(1024 * v.astype(float)).astype(np.int64)
+    for q in range(0, 600, 100):
+        scores = whole @ whole[q]
+        best = sorted((i for i in range(600) if i != q), key=lambda i: (-scores[i], i))[:3]
+        assert got[q] == [(i, int(scores[i])) for i in best]
