@@ -91,23 +91,27 @@ def typed_runs(keys: DataFrame, *, gap_ms: float = DWELL_MS) -> DataFrame:
     cut = (F.col("kind") == "focus_change") | ((F.col("kind") == "key_down") & F.coalesce("chord", F.lit(False)))
     parts = keys.withColumn("_part", F.sum(cut.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter((F.col("kind") == "key_down") & ~F.coalesce("chord", F.lit(False)))
     typed = parts.filter(F.col("backspace") | (F.length(F.coalesce("char", F.lit(""))) > 0))
-    run = "struct<text:string,t0:double,t1:double>"
-    row = F.struct("t", "event_id", F.coalesce("char", F.lit("")).alias("c"), F.coalesce("backspace", F.lit(False)).alias("back"))
-    start = F.struct(F.lit(None).cast(run).alias("now"), F.expr(f"cast(array() as array<{run}>)").alias("done"))
-    make = lambda text, t0, t1: F.struct(text.alias("text"), t0.alias("t0"), t1.alias("t1"))
-
-    def step(s, r):
-        now = s["now"]
-        has = now.isNotNull() & (F.length(now["text"]) > 0)
-        erased = make(F.substring(now["text"], F.lit(1), F.length(now["text"]) - 1), now["t0"], r["t"])
-        late = now.isNotNull() & (r["t"] - now["t1"] > gap_ms)
-        fresh = make(r["c"], r["t"], r["t"])
-        longer = make(F.concat(now["text"], r["c"]), now["t0"], r["t"])
-        current = F.when(r["back"], F.when(has, erased).otherwise(now)).when(now.isNull() | late, fresh).otherwise(longer)
-        return F.struct(current.alias("now"), F.when(~r["back"] & late, F.concat(s["done"], F.array(now))).otherwise(s["done"]).alias("done"))
-
-    folded = typed.groupBy("session_id", "_part").agg(F.array_sort(F.collect_list(row)).alias("rows")).select("session_id", F.aggregate("rows", start, step).alias("s"))
-    runs = folded.select("session_id", F.explode(F.concat("s.done", F.array("s.now"))).alias("r")).filter("r is not null")
+    kind = keys.schema["session_id"].dataType.simpleString()
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["t", "event_id"])
+        runs: list[list] = []  # text, start and end; the last is open
+        part = None
+        for t, own, char, back in zip(frame["t"].tolist(), frame["_part"].tolist(), frame["char"].tolist(), frame["backspace"].tolist(), strict=True):
+            fresh, part = own != part, own
+            if back:
+                if runs and not fresh and runs[-1][0]:
+                    runs[-1][0], runs[-1][2] = runs[-1][0][:-1], t
+                elif fresh:
+                    runs.append(["", t, float("-inf")])  # nothing to take away: the part begins without a run
+            elif not runs or fresh or t - runs[-1][2] > gap_ms:
+                runs.append([char, t, t])
+            else:
+                runs[-1][0], runs[-1][2] = runs[-1][0] + char, t
+        return pd.DataFrame([(frame["session_id"].iloc[0], *r) for r in runs], columns=["session_id", "text", "t0", "t1"])
+
+    held = typed.select("session_id", "_part", F.col("t").cast("double").alias("t"), "event_id", F.coalesce("char", F.lit("")).alias("char"), F.coalesce("backspace", F.lit(False)).alias("backspace"))
+    runs = held.groupBy("session_id").applyInPandas(fold, f"session_id {kind}, text string, t0 double, t1 double").select("session_id", F.struct("text", "t0", "t1").alias("r"))
     text = F.trim(F.regexp_replace("r.text", r"\s+", " "))
     out = runs.select("session_id", text.alias("text"), F.col("r.t0").alias("t_start"), F.col("r.t1").alias("t_end")).filter("text <> ''")
     return out.withColumn("run_no", F.row_number().over(Window.partitionBy("session_id").orderBy("t_start")))

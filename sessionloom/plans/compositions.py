@@ -28,7 +28,7 @@ def media(spark, d):
     return tables.media_bytes(spark, path, ranges, folder=True).select("page_id", "length", F.sha2("bytes", 256).alias("digest"))
 
 
-@query("f13_coerce_elements")
+@query("f13_coerce_elements", f"WITH {_BOX}, k AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY idx)::INTEGER AS n FROM bx WHERE region_id % 6 <> 0) SELECT frame_id AS snapshot_id, n - 1 AS idx, CASE WHEN n > 1 THEN n - 2 END AS parent, n - 1 AS depth, role FROM k")
 def coerce(spark, d):
     tables.ensure_checkpoint_dir(spark)
     b = _boxes(spark, d)
@@ -108,12 +108,21 @@ def _elements(spark, d):
     return b.select(F.col("frame_id").alias("snapshot_id"), "idx", F.when(F.col("idx") > 1, F.col("idx") - 1).alias("parent"), role.alias("role"), "label", F.when(F.col("idx") % 4 == 0, F.concat(F.lit("id"), F.col("idx").cast("string"))).otherwise("").alias("identifier"), F.col("idx").alias("depth"), "focused")
 
 
-@query("m1_element_predicates")
+_ARGS = "CASE WHEN idx % 4 = 0 THEN 'identifier=id' || idx WHEN label <> '' THEN 'label=' || label END"
+_LISTED = f"""{_BOX}, st AS (SELECT *, {_ARGS} AS a, CASE WHEN idx % 4 = 0 THEN 'id' || idx ELSE label END AS descriptor FROM bx WHERE idx < 5 AND {_ARGS} IS NOT NULL),
+ls AS (SELECT frame_id, 'ax_exists(' || a || ',role=Button)' AS key, row_number() OVER (PARTITION BY frame_id ORDER BY min((idx, descriptor)), a) AS ord FROM st GROUP BY frame_id, a)"""
+
+
+@query("m1_element_predicates", f"WITH {_LISTED} SELECT frame_id AS snapshot_id, key, ord::INTEGER AS ord FROM ls WHERE ord <= 64")
 def element_predicates(spark, d):
     return traces.element_predicates(_elements(spark, d))
 
 
-@query("m1_predicates")
+@query("m1_predicates", f"""WITH {_LISTED}, fo AS (SELECT frame_id, min(idx) AS idx FROM bx WHERE focused GROUP BY frame_id), o AS (SELECT o_orderkey AS id, o_custkey AS c FROM orders), e AS (
+SELECT id, 0 AS part, 0 AS i, 'app' AS kind, 'app(app=app' || (c % 9) || ')' AS key FROM o UNION ALL SELECT id, 0, 1, 'url', 'url(prefix=site' || (c % 7) || '.example/docs)' FROM o
+UNION ALL SELECT id, 0, 2, 'display', 'display(h=1080,id=d1,w=1920)' FROM o UNION ALL SELECT id, 0, 3, 'file', 'file(path=/f/' || id || ')' FROM o WHERE id % 5 = 0
+UNION ALL SELECT frame_id, 1, 0, 'ax_focused', 'ax_focused(' || a || ',role=Button)' FROM st JOIN fo USING (frame_id, idx) UNION ALL SELECT frame_id, 2, ord, 'ax_exists', key FROM ls WHERE ord <= 64)
+SELECT id AS snapshot_id, kind, key, row_number() OVER (PARTITION BY id ORDER BY part, i)::INTEGER AS ord FROM e""")
 def predicates(spark, d):
     el = _elements(spark, d)
     frame = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("snapshot_id"), F.concat(F.lit("app"), (F.col("o_custkey") % 9).cast("string")).alias("app"), F.concat(F.lit("https://www.site"), (F.col("o_custkey") % 7).cast("string"), F.lit(".example/docs/"), F.col("o_orderkey").cast("string")).alias("url"))
@@ -121,7 +130,12 @@ def predicates(spark, d):
     return traces.predicates(el, frame)
 
 
-@query("m3_anchors")
+@query("m3_anchors", f"""WITH {fx.EV}, {_BOX}, p AS (SELECT region_id AS point_id, frame_id, frame_id % 150 AS session_id, frame_id * 1000 * 1000 AS us, x + w / 2 AS px, y + h / 2 AS py FROM bx WHERE idx = 1),
+s AS (SELECT frame_id, idx, role || '[' || (row_number() OVER (PARTITION BY frame_id, idx // 2, role ORDER BY idx) - 1) || ']' AS s FROM bx),
+h AS (SELECT point_id, bx.*, row_number() OVER (PARTITION BY point_id ORDER BY floor(log2(idx)) DESC, w * h, idx) AS r FROM p JOIN bx USING (frame_id) WHERE px BETWEEN x AND x + w AND py BETWEEN y AND y + h),
+n AS (SELECT point_id, max_by(ev.x, (ev.us, event_id)) AS wx, max_by(ev.y, (ev.us, event_id)) AS wy FROM p JOIN ev ON ev.session_id = p.session_id AND kind = 'focus_change' AND ev.us <= p.us GROUP BY point_id)
+SELECT p.point_id, h.role, nullif(h.label, '') AS label, CASE WHEN h.idx % 4 = 0 THEN 'id' || h.idx END AS identifier, concat_ws('>', s3.s, s2.s, s1.s, s0.s) AS path, g.region_id, px - wx AS rel_x, py - wy AS rel_y
+FROM p JOIN h ON h.point_id = p.point_id AND r = 1 LEFT JOIN (SELECT point_id, min_by(region_id, (w * h, region_id)) AS region_id FROM h WHERE label <> '' GROUP BY point_id) g ON g.point_id = p.point_id JOIN s s0 ON s0.frame_id = h.frame_id AND s0.idx = h.idx LEFT JOIN s s1 ON s1.frame_id = h.frame_id AND s1.idx = h.idx // 2 LEFT JOIN s s2 ON s2.frame_id = h.frame_id AND s2.idx = h.idx // 4 LEFT JOIN s s3 ON s3.frame_id = h.frame_id AND s3.idx = h.idx // 8 LEFT JOIN n ON n.point_id = p.point_id""")
 def anchors(spark, d):
     b = _boxes(spark, d)
     points = b.filter("idx = 1").select(F.col("region_id").alias("point_id"), F.col("frame_id").alias("snapshot_id"), "frame_id", (F.col("frame_id") % 150).alias("session_id"), F.col("region_id").alias("event_id"), (F.col("frame_id") * 1000.0).alias("t"), (F.col("x") + F.col("w") / 2).alias("x"), (F.col("y") + F.col("h") / 2).alias("y"))

@@ -63,7 +63,11 @@ def lcs(spark, d):
     return routes.similarity(met).select("a_key", "b_key", "lcs", "gap", F.round("lcs_ratio", 6).alias("lcs_ratio"))
 
 
-@query("m18_compatible")
+_CP = f"""{_RT}, l1 AS (SELECT k, list_concat(list_slice(places, 1, i - 1), list_slice(places, i + 1, len(places))) AS p FROM rt, range(2, len(places)) r(i)), l2 AS (SELECT k, list_concat(list_slice(p, 1, i - 1), list_slice(p, i + 1, len(p))) AS p FROM l1, range(2, len(p)) r(i)),
+fm AS (SELECT * FROM l1 UNION SELECT * FROM l2 UNION SELECT k, places[1:1] FROM rt WHERE len(places) IN (2, 3) AND places[1] = places[-1])"""
+
+
+@query("m18_compatible", f"WITH {_CP} SELECT DISTINCT least(fm.k, rt.k) AS a_key, greatest(fm.k, rt.k) AS b_key FROM fm JOIN rt ON fm.p = rt.places AND fm.k <> rt.k")
 def compatible(spark, d):
     return routes.compatible_pairs(_routes(spark, d))
 
