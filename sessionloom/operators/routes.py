@@ -153,8 +153,10 @@ def cluster_routes(routes: DataFrame, *, family_rows: int = FAMILY_ROWS, **rule)
     pairs = compatible_pairs(routes, **rule).checkpoint()
     families = _families(routes, pairs)
     rows = routes.select("route_key", "n_sessions", F.size("places").alias("length")).join(families, "route_key").checkpoint()
-    large = rows.groupBy("family").agg(F.count("*").alias("n")).filter(F.col("n") > family_rows).select("family").checkpoint()
-    whole = rows.join(large, "family", "left_anti")
+    sizes = rows.groupBy("family").agg(F.count("*").alias("n")).checkpoint()
+    large = sizes.filter(F.col("n") > family_rows).select("family")
+    alone = rows.join(sizes.filter("n = 1"), "family", "left_semi").select("route_key", F.col("route_key").alias("canonical"), F.lit(False).alias("declined"))
+    whole = rows.join(sizes.filter((F.col("n") > 1) & (F.col("n") <= family_rows)), "family", "left_semi")
     links = pairs.select(F.col("a_key").alias("x"), F.col("b_key").alias("y")).union(pairs.select("b_key", "a_key"))
     both = links.join(whole.select(F.col("route_key").alias("x")), "x", "left_semi").groupBy(F.col("x").alias("route_key")).agg(F.collect_set("y").alias("fits"))
     whole = whole.join(both, "route_key", "left")
@@ -173,10 +175,10 @@ def cluster_routes(routes: DataFrame, *, family_rows: int = FAMILY_ROWS, **rule)
                 out.append((key, key, bool(take)))
         return pd.DataFrame(out, columns=["route_key", "canonical", "declined"])
 
-    small = whole.groupBy("family").applyInPandas(assign, "route_key string, canonical string, declined boolean")
+    small = alone.unionByName(whole.groupBy("family").applyInPandas(assign, "route_key string, canonical string, declined boolean"))
     if large.isEmpty():
         return small
-    rest = rows.join(large, "family", "left_semi")
+    rest = rows.join(large, "family", "left_semi").join(sizes.filter("n = 1"), "family", "left_anti")
     return small.unionByName(_assigned_in_rounds(rest, links.join(rest.select(F.col("route_key").alias("x")), "x", "left_semi").checkpoint()))
 
 

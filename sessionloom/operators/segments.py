@@ -93,25 +93,28 @@ def typed_runs(keys: DataFrame, *, gap_ms: float = DWELL_MS) -> DataFrame:
     typed = parts.filter(F.col("backspace") | (F.length(F.coalesce("char", F.lit(""))) > 0))
     kind = keys.schema["session_id"].dataType.simpleString()
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["t", "event_id"])
-        runs: list[list] = []  # text, start and end; the last is open
-        part = None
-        for t, own, char, back in zip(frame["t"].tolist(), frame["_part"].tolist(), frame["char"].tolist(), frame["backspace"].tolist(), strict=True):
-            fresh, part = own != part, own
-            if back:
-                if runs and not fresh and runs[-1][0]:
-                    runs[-1][0], runs[-1][2] = runs[-1][0][:-1], t
-                elif fresh:
-                    runs.append(["", t, float("-inf")])  # nothing to take away: the part begins without a run
-            elif not runs or fresh or t - runs[-1][2] > gap_ms:
-                runs.append([char, t, t])
-            else:
-                runs[-1][0], runs[-1][2] = runs[-1][0] + char, t
-        return pd.DataFrame([(frame["session_id"].iloc[0], *r) for r in runs], columns=["session_id", "text", "t0", "t1"])
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_, done, at = None, [], None  # session, text, start and end of the run that goes on
+        for frame in frames:
+            for session, t, part, char, back in zip(*(frame[c].tolist() for c in ("session_id", "t", "_part", "char", "backspace")), strict=True):
+                if (session, part) != at or (open_ and not back and t - open_[3] > gap_ms):
+                    done += [open_] if open_ else []
+                    open_, at = None, (session, part)
+                if back:
+                    if open_ and open_[1]:
+                        open_[1], open_[3] = open_[1][:-1], t
+                elif open_:
+                    open_[1], open_[3] = open_[1] + char, t
+                else:
+                    open_ = [session, char, t, t]
+            yield pd.DataFrame(done, columns=["session_id", "text", "t0", "t1"])
+            done = []
+        if open_:
+            yield pd.DataFrame([open_], columns=["session_id", "text", "t0", "t1"])
 
     held = typed.select("session_id", "_part", F.col("t").cast("double").alias("t"), "event_id", F.coalesce("char", F.lit("")).alias("char"), F.coalesce("backspace", F.lit(False)).alias("backspace"))
-    runs = held.groupBy("session_id").applyInPandas(fold, f"session_id {kind}, text string, t0 double, t1 double").select("session_id", F.struct("text", "t0", "t1").alias("r"))
+    dealt = held.repartition("session_id").sortWithinPartitions("session_id", "_part", "t", "event_id")
+    runs = dealt.mapInPandas(fold, f"session_id {kind}, text string, t0 double, t1 double").select("session_id", F.struct("text", "t0", "t1").alias("r"))
     text = F.trim(F.regexp_replace("r.text", r"\s+", " "))
     out = runs.select("session_id", text.alias("text"), F.col("r.t0").alias("t_start"), F.col("r.t1").alias("t_end")).filter("text <> ''")
     return out.withColumn("run_no", F.row_number().over(Window.partitionBy("session_id").orderBy("t_start")))

@@ -6,6 +6,8 @@ second ordering column, since a DataFrame has no input order.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,21 +97,23 @@ def overlap_join(a: DataFrame, b: DataFrame, *, session: str = "session_id", a_s
 def min_gap(df: DataFrame, gap: Column, *, session: str = "session_id", t: str = "t", seq: str = "event_id") -> DataFrame:
     """The rows kept by a throttle: the first of a session, and each that is ``gap`` or more after the last kept.
 
-    A time that goes back is kept. What is kept depends on what was kept before, so each session is
-    folded in order, in one pass; the state is one time.
+    A time that goes back is kept. What is kept depends on what was kept before: rows are dealt and
+    sorted by session and folded in one pass, with one time as the state; no session is held as a whole.
     """
-    rows = df.withColumn("_gap", gap.cast("double"))
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([t, seq])
-        last, kept = None, []
-        for at, least in zip(frame[t].astype(float).tolist(), frame["_gap"].tolist(), strict=True):
-            kept.append(last is None or at - last >= least or at < last)
-            if kept[-1]:
-                last = at
-        return frame[kept].drop(columns="_gap")
-
-    return rows.groupBy(session).applyInPandas(fold, df.schema)
+    dealt = df.withColumn("_gap", gap.cast("double")).repartition(session).sortWithinPartitions(session, t, seq)
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, last = None, None
+        for frame in frames:
+            kept = []
+            for own, at, least in zip(frame[session].tolist(), frame[t].tolist(), frame["_gap"].tolist(), strict=True):
+                keep = own != of or at - last >= least or at < last
+                kept.append(keep)
+                if keep:
+                    of, last = own, at
+            yield frame[kept].drop(columns="_gap")
+
+    return dealt.mapInPandas(fold, df.schema)
 
 
 def last_n(df: DataFrame, n: int, *, session: str = "session_id", order: list[str]) -> DataFrame:
