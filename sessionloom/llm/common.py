@@ -30,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def small_batches(spark: SparkSession, size: str = "8m") -> None:
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
     """Rows go to Python in Arrow batches of at most ``size``, so long texts need little memory in either process.
 
     The session's own choice stays, where it has made one.
