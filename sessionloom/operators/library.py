@@ -9,12 +9,12 @@ from pyspark.sql.window import Window
 from sessionloom.operators import spatial, temporal
 from sessionloom.sources import tables
 
-# Modifiers that make a key a command, and the virtual key of each scancode.
+# Modifiers that make a key a command, and the virtual key of each scancode: letters A to Z, digits 1 to 0, then punctuation and space.
 COMMANDS = ("cmd", "ctrl")
 VIRTUAL_KEYS = {
-    2: 18, 3: 19, 4: 20, 5: 21, 6: 23, 7: 22, 8: 26, 9: 28, 10: 25, 11: 29, 12: 27, 13: 24, 16: 12, 17: 13, 18: 14, 19: 15, 20: 17, 21: 16, 22: 32, 23: 34,
-    24: 31, 25: 35, 26: 33, 27: 30, 30: 0, 31: 1, 32: 2, 33: 3, 34: 5, 35: 4, 36: 38, 37: 40, 38: 37, 39: 41, 40: 39, 41: 50, 43: 42, 44: 6, 45: 7, 46: 8,
-    47: 9, 48: 11, 49: 45, 50: 46, 51: 43, 52: 47, 53: 44, 57: 49,
+    30: 0, 48: 11, 46: 8, 32: 2, 18: 14, 33: 3, 34: 5, 35: 4, 23: 34, 36: 38, 37: 40, 38: 37, 50: 46, 49: 45, 24: 31, 25: 35, 16: 12, 19: 15, 31: 1, 20: 17, 22: 32, 47: 9, 17: 13, 45: 7, 21: 16, 44: 6,
+    2: 18, 3: 19, 4: 20, 5: 21, 6: 23, 7: 22, 8: 26, 9: 28, 10: 25, 11: 29,
+    12: 27, 13: 24, 26: 33, 27: 30, 43: 42, 39: 41, 40: 39, 41: 50, 51: 43, 52: 47, 53: 44, 57: 49,
 }
 
 
