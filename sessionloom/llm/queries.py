@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import covertree, dartminhash, langid, licenses, mergedropout, packing, pii, topk, urlrules, warc
+from sessionloom.llm import covertree, dartminhash, langid, licenses, merkle, mergedropout, packing, pii, topk, urlrules, warc
 from sessionloom.llm.common import read
 
 
@@ -68,7 +68,12 @@ def op2_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(read(spark, sf_dir, "documents")).drop("n_copied")
+
+
 QUERIES = {
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op2_vector_duplicates": op2_vector_duplicates,
     "op4_licenses": op4_licenses,
     "op3_merge_dropout": op3_merge_dropout,
@@ -82,6 +87,50 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op11_merkle_manifest": """
+WITH RECURSIVE said AS (
+  SELECT doc_id, source, text,
+    coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+      || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), lambda acc, x:
+      list_reduce(list_prepend(xor(acc, x), range(8)), lambda s, i: xor(s >> 1, 3988292384 * (s & 1)))) AS crc
+  FROM documents
+), d AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx,
+    sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+    CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN
+      sha256(head || coalesce(octet_length(encode(replace(text, chr(10), ''))) || ':' || replace(text, chr(10), ''), '-')) END AS changed
+  FROM said
+), up AS (
+  SELECT 0 AS level, source, idx, leaf AS digest, count(*) OVER (PARTITION BY source) AS n FROM d
+  UNION ALL
+  SELECT level + 1, source, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (n + 2) // 3 FROM up WHERE n > 1 GROUP BY level, source, n, idx // 3
+), subroots AS (SELECT source, digest, level, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS level, idx, digest, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY level, n, idx // 3
+), sides AS (
+  SELECT a.source, a.level, a.idx, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+    coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM up a JOIN up b ON a.source IS NOT DISTINCT FROM b.source AND a.level = b.level AND a.idx // 3 = b.idx // 3 WHERE a.n > 1 GROUP BY ALL
+), top_sides AS (
+  SELECT a.level, a.idx, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+    coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM top a JOIN top b ON a.level = b.level AND a.idx // 3 = b.idx // 3 WHERE a.n > 1 GROUP BY ALL
+), climb AS (
+  SELECT doc_id, source, 0 AS level, idx, coalesce(changed, leaf) AS digest, '' AS sides FROM d
+  UNION ALL
+  SELECT doc_id, c.source, c.level + 1, c.idx // 3, sha256(l || digest || r), sides || l || r
+  FROM climb c JOIN sides s ON c.source IS NOT DISTINCT FROM s.source AND c.level = s.level AND c.idx = s.idx
+), on_top AS (
+  SELECT c.doc_id, c.source, 0 AS level, s.idx, c.digest, c.sides FROM climb c JOIN subroots s ON c.source IS NOT DISTINCT FROM s.source AND c.level = s.level
+  UNION ALL
+  SELECT doc_id, source, c.level + 1, c.idx // 3, sha256(l || digest || r), sides || l || r FROM on_top c JOIN top_sides s ON c.level = s.level AND c.idx = s.idx
+)
+SELECT d.doc_id, d.leaf, s.digest AS subroot, t.digest AS root, sha256(o.sides) AS proof_sha256, o.digest AS folded_root, o.digest = t.digest AS verified
+FROM d JOIN subroots s ON d.source IS NOT DISTINCT FROM s.source JOIN top t ON t.n = 1 JOIN on_top o ON o.doc_id = d.doc_id AND o.level = t.level
+""",
     "op2_vector_duplicates": """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
