@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import covertree, dartminhash, langid, licenses, merkle, mergedropout, packing, pii, topk, urlrules, warc
+from sessionloom.llm import covertree, dartminhash, langid, licenses, merkle, mergedropout, packing, periods, pii, topk, urlrules, warc
 from sessionloom.llm.common import read
 
 
@@ -72,7 +72,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_manifest(read(spark, sf_dir, "documents")).drop("n_copied")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digests(periods.find(read(spark, sf_dir, "documents"), plant=True))
+
+
 QUERIES = {
+    "op13_periodic_runs": op13_periodic_runs,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op2_vector_duplicates": op2_vector_duplicates,
     "op4_licenses": op4_licenses,
