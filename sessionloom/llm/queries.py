@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import covertree, dartminhash, langid, licenses, merkle, mergedropout, packing, periods, pii, topk, urlrules, warc
+from sessionloom.llm import bwtmerge, covertree, dartminhash, langid, licenses, merkle, mergedropout, packing, periods, pii, topk, urlrules, warc
 from sessionloom.llm.common import read
 
 
@@ -76,7 +76,14 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digests(periods.find(read(spark, sf_dir, "documents"), plant=True))
 
 
+def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bwtmerge.remove_repeats(read(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return found.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op12_repeated_passages": op12_repeated_passages,
     "op13_periodic_runs": op13_periodic_runs,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op2_vector_duplicates": op2_vector_duplicates,
@@ -92,6 +99,22 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op12_repeated_passages": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(len(x) // 2 - 49)) AS i FROM d)),
+low AS (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s),
+f AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true) AS opens FROM w JOIN low USING (s) WHERE first_id < doc_id),
+g AS (SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM f),
+spans AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, k),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+kept AS (
+  SELECT d.doc_id, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS y,
+    sum(b - a) AS n_removed, count(*) AS n_spans FROM gaps JOIN d USING (doc_id) GROUP BY d.doc_id
+)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(y, x))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+""",
     "op11_merkle_manifest": """
 WITH RECURSIVE said AS (
   SELECT doc_id, source, text,
