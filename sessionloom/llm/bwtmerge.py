@@ -5,33 +5,37 @@ A byte goes where a string of ``LENGTH`` bytes around it also starts in a docume
 1. Texts are dealt to blocks of some MB. Every string of ``LENGTH`` bytes has an anchor, the least hash of
    the ``SEED``-byte strings in it; a block sends each anchor once, with the number of its documents that
    have it, and learns which anchors two documents or more have. Equal strings have equal anchors.
-2. A stretch of strings with one such anchor is a piece. Equal pieces of a block are sent once, equal
-   pieces of all blocks are grouped, with the smallest id that has them. An anchor in very many documents
-   is split: each of its strings is a piece of its own, so no anchor's pieces outgrow a task.
-3. Pieces meet by anchor. Shards of them are suffix-sorted once, each with its transform, and the shards'
-   transforms are merged: suffixes start in the interleave of their first bytes, and each round takes
-   one byte more into account by walking the interleave in order and sending each suffix's predecessor
-   (the transform's own step back) to the next place of its range. A range that has suffixes of one shard
-   only is settled, since the shard knows their order and common prefixes; no suffix is sorted again.
-   Ranges left at ``LENGTH`` bytes are the repeated intervals that shards share, and each takes the
-   smallest id in it; those within a shard follow from the shard's common prefixes.
-4. The answer goes back to the blocks that have the piece, where spans are joined and cut.
-
-The texts' exchange is used three times and written once. Nothing is a function of a group's size but the
-list of blocks that an equal piece has.
+2. A stretch of strings with one such anchor is a piece. A block sends each of its pieces once, with the
+   smallest id that has it, so a piece that is everywhere comes once a block. An anchor in very many
+   documents is split: each of its strings is a piece of its own.
+3. Pieces meet by anchor. Where an anchor has equal pieces only, they are each other's repeats. Shards of
+   the others are suffix-sorted once, each with its transform, and the shards' transforms are merged:
+   suffixes start in the interleave of their first bytes, and each round takes one byte more into account
+   by walking the interleave in order and sending each suffix's predecessor (the transform's own step
+   back) to the next place of its range. A range that has suffixes of one shard only is settled, since the
+   shard knows their order and common prefixes; no suffix is sorted again. Ranges left at ``LENGTH`` bytes
+   are the repeated intervals that shards share, and each takes the smallest id in it; those within a
+   shard follow from the shard's common prefixes.
+4. The answer goes back to the blocks that asked, where spans are joined and cut.
+
+The texts' exchange is used three times and written once. What a key gathers is one entry a block.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import small_batches
+from sessionloom.llm.common import give_back, small_batches
 
 LENGTH, SEED = 50, 20
-BLOCK, BUFFER = 4 << 20, 1 << 18
+#: A block has at most so many bytes (or one text); small tables have FEWEST blocks.
+BLOCK, FEWEST, BUFFER = 4 << 20, 64, 1 << 18
+#: A hash's bytes that are sent; its part follows from the others, so parts of millions of anchors hardly confuse two, and confused ones only cost time.
+SENT = 5
 #: An anchor of so many documents is split by its strings.
 HOT = 100_000
 #: Bytes of pieces merged at once (more if one anchor has more), and of a shard.
@@ -116,7 +120,7 @@ def anchors(texts: list[bytes], seed: int | None = None) -> tuple[np.ndarray, np
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _distinct(values: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _distinct(values: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct values, the number of texts of each, and for each row of ``values`` its place among them."""
     order = np.argsort(values, kind="stable")
     v, o = values[order], of[order]
@@ -127,13 +131,20 @@ def _distinct(values: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarra
     group = np.cumsum(new) - 1
     place = np.empty(len(v), np.int64)
     place[order] = group
-    return v[new], np.bincount(group[other], minlength=int(new.sum())), place, new
+    return v[new], np.bincount(group[other], minlength=int(new.sum())), place
 
 
-def _cuts(values: np.ndarray, parts: int) -> np.ndarray:
-    """Where each part's values begin, by their upper bits."""
-    bounds = np.asarray([(i << 64) // parts for i in range(parts)] , dtype=object)
-    return np.append(np.searchsorted(values, np.asarray([int(b) for b in bounds], np.uint64)), len(values))
+def _part(values: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each value, by its upper bits, so ascending with the value."""
+    return ((values >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _cuts(values: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(part, from, to) of the parts that sorted ``values`` have."""
+    own = _part(values, parts)
+    edges = np.flatnonzero(np.diff(own, prepend=-1, append=-1 if len(own) else -1))
+    edges = np.append(edges[edges < len(own)], len(own))
+    return [(int(own[a]), a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
 
 
 def _texts(table: pa.Table) -> tuple[list[int | None], list[bytes]]:
@@ -144,77 +155,114 @@ def _texts(table: pa.Table) -> tuple[list[int | None], list[bytes]]:
     return [ids[i] for i in order], [texts[i] for i in order]
 
 
+def _binary(rows: list) -> pa.Array:
+    return pa.array([None if x is None else x.tobytes() for x in rows], pa.binary())
+
+
 def _ask(parts: int):
     def ask(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
         values, of, _, _ = anchors(_texts(table)[1])
-        values, n, _, _ = _distinct(values, of)
+        values, n, _ = _distinct(values, of)
         cuts = _cuts(values, parts)
-        rows = [(p, a, b) for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
+        sent = values.view(np.uint8).reshape(-1, 8)[:, :SENT]
         n = np.minimum(n, 65_535).astype(np.uint16)
+        give_back()
         return pa.table({
-            "part": pa.array([p for p, _, _ in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int64()),
-            "hashes": pa.array([values[a:b].tobytes() for _, a, b in rows], pa.binary()), "n": pa.array([n[a:b].tobytes() for _, a, b in rows], pa.binary()),
+            "part": pa.array([p for p, _, _ in cuts], pa.int64()), "block": pa.array([block] * len(cuts), pa.int64()),
+            "hashes": _binary([sent[a:b] for _, a, b in cuts]), "n": _binary([n[a:b] for _, a, b in cuts]),
         })
 
     return ask
 
 
 def _answer(hot: int):
+    """For each block of a part: 0 for an anchor of one document, 1 of more, 2 of very many."""
+
     def answer(table: pa.Table) -> pa.Table:
-        hashes = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
-        n = np.concatenate([np.frombuffer(x, np.uint16) for x in table["n"].to_pylist()])
-        sizes = np.asarray([len(x) for x in hashes])
-        every = np.concatenate(hashes)
+        sent = np.frombuffer(b"".join(table["hashes"].to_pylist()), np.uint8).reshape(-1, SENT)
+        every = np.zeros((len(sent), 8), np.uint8)
+        every[:, :SENT] = sent
+        every = every.view(np.uint64).ravel()
+        n = np.frombuffer(b"".join(table["n"].to_pylist()), np.uint16)
         order = np.argsort(every)
         new = np.ones(len(every), bool)
-        new[1:] = every[order][1:] != every[order][:-1]
+        new[1:] = np.diff(every[order]) != 0
         total = np.add.reduceat(n[order].astype(np.int64), np.flatnonzero(new))
         said = np.empty(len(every), np.uint8)
-        said[order] = ((total > 1) + (total >= hot).astype(np.uint8)).astype(np.uint8)[np.cumsum(new) - 1]
-        ends = np.cumsum(sizes)
-        flags = [said[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist())]
-        return pa.table({"block": table["block"], "part": table["part"], "flags": pa.array([f.tobytes() if f.any() else None for f in flags], pa.binary())}).filter(pa.array([bool(f.any()) for f in flags]))
+        said[order] = ((total > 1).astype(np.uint8) + (total >= max(2, hot)).astype(np.uint8))[np.cumsum(new) - 1]
+        ends = np.cumsum([len(x) // SENT for x in table["hashes"].to_pylist()])
+        flags = np.split(said, ends[:-1])
+        some = [bool(f.any()) for f in flags]
+        give_back()
+        return pa.table({"block": table["block"], "part": table["part"], "flags": _binary(flags)}).filter(pa.array(some, pa.bool_()))
 
     return answer
 
 
-PIECES = "anchor long, piece binary, least long, most long, block long, places binary"
+def _pack(*parts: np.ndarray | bytes) -> bytes:
+    """Arrays and bytes as one compressed value: pieces overlap and ids repeat, which the shuffle's own codec hardly uses."""
+    said = [x if isinstance(x, bytes) else x.tobytes() for x in parts]
+    return zstandard.ZstdCompressor(level=1).compress(np.asarray([len(x) for x in said], np.int64).tobytes() + b"".join(said))
+
+
+def _unpack(value: bytes, *kinds: type) -> list:
+    """What ``_pack`` took; None as a kind for bytes."""
+    data = zstandard.ZstdDecompressor().decompress(value)
+    at, out = 8 * len(kinds), []
+    for size, kind in zip(np.frombuffer(data, np.int64, len(kinds)).tolist(), kinds):
+        out.append(data[at : at + size] if kind is None else np.frombuffer(data[at : at + size], kind))
+        at += size
+    return out
+
 
+PLACE = 40  # a place is a text's number in its block, above so many bits of the offset
+PIECES = "bucket long, block long, asked binary"
+#: Anchors, sizes, texts, least and greatest ids of pieces, their numbers of places, and the places.
+ASKED = (np.uint64, np.int32, None, np.int64, np.int64, np.int32, np.int64)
+#: Places of whole pieces with their sizes and smallest ids, and places of spans with their starts and ends in the piece.
+TOLD = (np.int64,) * 6
 
-def _pieces(parts: int):
+
+def _pieces(parts: int, buckets: int):
     def pieces(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: tuple[list, ...] = ([], [], [], [], [])
-        block = 0
+        found: dict[bytes, list[int]] = {}
+        own: list[int] = []
+        ids, block = [], 0
         if len(left) and len(right):
             block = left["block"][0].as_py()
             ids, texts = _texts(left)
             values, of, start, n = anchors(texts)
-            distinct, _, place, _ = _distinct(values, of)
-            cuts = _cuts(distinct, parts)
+            distinct, _, place = _distinct(values, of)
+            cuts = {p: (a, b) for p, a, b in _cuts(distinct, parts)}
             flags = np.zeros(len(distinct), np.uint8)
             for p, f in zip(right["part"].to_pylist(), right["flags"].to_pylist()):
-                flags[cuts[p] : cuts[p + 1]] = np.frombuffer(f, np.uint8)
+                flags[slice(*cuts[p])] = np.frombuffer(f, np.uint8)
             flags = flags[place]
             some = np.flatnonzero(flags)
-            seen: dict[bytes, tuple[int, list[int]]] = {}
-            for v, i, s, k, flag in zip(values[some].view(np.int64).tolist(), of[some].tolist(), start[some].tolist(), n[some].tolist(), flags[some].tolist()):
+            some = some[np.argsort(values[some], kind="stable")]  # by bucket
+            for v, i, s, k, flag in zip(values[some].tolist(), of[some].tolist(), start[some].tolist(), n[some].tolist(), flags[some].tolist()):
                 text = texts[i]
-                for a, b in ((s, s + k),) if flag == 1 else ((x, x + 1) for x in range(s, s + k)):
-                    piece = text[a : b + LENGTH - 1]
-                    had = seen.get(piece)
+                for a in (s,) if flag == 1 else range(s, s + k):
+                    piece = text[a : (s + k if flag == 1 else a + 1) + LENGTH - 1]
+                    had = found.get(piece)
                     if had is None:
-                        seen[piece] = (v, [i, a])
+                        found[piece] = [i << PLACE | a]
+                        own.append(v)
                     else:
-                        had[1].extend((i, a))
-            for piece, (v, places) in seen.items():
-                own = [ids[i] for i in places[::2]]
-                for column, x in zip(out, (v, piece, min(own), max(own), np.asarray(places, np.int64).tobytes())):
-                    column.append(x)
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
-        made = dict(zip(("anchor", "piece", "least", "most", "places"), (pa.array(x, t) for x, t in zip(out, kinds))))
-        made["block"] = pa.array([block] * len(out[0]), pa.int64())
-        return pa.table({c: made[c] for c in ("anchor", "piece", "least", "most", "block", "places")})
+                        had.append(i << PLACE | a)
+        texts = list(found)
+        places = np.asarray([x for its in found.values() for x in its], np.int64)
+        counts = np.asarray([len(x) for x in found.values()], np.int32)
+        at = np.concatenate(([0], np.cumsum(counts)))
+        of_place = np.asarray(ids, np.int64)[places >> PLACE]
+        least, most = (f.reduceat(of_place, at[:-1]) if len(at) > 1 else of_place for f in (np.minimum, np.maximum))
+        values = np.asarray(own, np.uint64)
+        cuts = _cuts(values, buckets)
+        size = np.asarray([len(x) for x in texts], np.int32)
+        rows = [_pack(values[a:b], size[a:b], b"".join(texts[a:b]), least[a:b], most[a:b], counts[a:b], places[at[a] : at[b]]) for _, a, b in cuts]
+        give_back()
+        return pa.table({"bucket": pa.array([p for p, _, _ in cuts], pa.int64()), "block": pa.array([block] * len(cuts), pa.int64()), "asked": pa.array(rows, pa.binary())})
 
     return pieces
 
@@ -332,9 +380,9 @@ def merge(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
     return order[at], np.flatnonzero(np.diff(f, prepend=np.int32(-1)))
 
 
-def least_ids(pieces: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
-    """For each string of LENGTH bytes of each piece, the smallest of the ids of the pieces that have it."""
-    shards, starts, held = [], [], []
+def least_ids(pieces: list[bytes], ids: np.ndarray) -> np.ndarray:
+    """For each string of LENGTH bytes of all pieces, one after the other, the smallest of the ids of the pieces that have it."""
+    shards, held, inner = [], [], []
     at = 0
     while at < len(pieces):
         size, end = 0, at
@@ -343,13 +391,16 @@ def least_ids(pieces: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
             end += 1
         data = np.zeros(size, np.uint8)
         sizes = np.asarray([len(p) + 1 for p in pieces[at:end]])
-        inner = np.ones(size, bool)
-        inner[np.cumsum(sizes) - 1] = False
+        ends = np.cumsum(sizes) - 1
+        text, whole = np.ones(size, bool), np.zeros(size, np.int8)
+        text[ends] = False
         # no byte of UTF-8 is above 0xF4, so symbols from 1 fit in a byte
-        data[inner] = np.frombuffer(b"".join(pieces[at:end]), np.uint8) + np.uint8(1)
+        data[text] = np.frombuffer(b"".join(pieces[at:end]), np.uint8) + np.uint8(1)
+        whole[ends - sizes + 1] = 1
+        whole[ends - LENGTH + 1] -= 1
         shards.append(Shard(data))
         held.append(np.repeat(ids[at:end], sizes))
-        starts.append(np.cumsum(sizes) - sizes)
+        inner.append(np.cumsum(whole) > 0)  # where a string of LENGTH bytes begins
         at = end
     own = np.concatenate([i[s.order] for s, i in zip(shards, held)])
     # within a shard its own common prefixes say which are alike; across shards the merged intervals do
@@ -358,48 +409,84 @@ def least_ids(pieces: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
     shared, new = merge(shards)
     if len(new):
         by_rank[shared] = np.repeat(np.minimum.reduceat(own[shared], new), np.diff(np.append(new, len(shared))))
-    out, shift, piece = [], 0, 0
-    for s, first in zip(shards, starts):
+    out, shift = [], 0
+    for s, starts in zip(shards, inner):
         n = len(s.order)
         by_place = np.empty(n, np.int64)
         by_place[s.order] = by_rank[shift : shift + n]
-        for f in first.tolist():
-            out.append(by_place[f : f + len(pieces[piece]) - LENGTH + 1])
-            piece += 1
+        out.append(by_place[starts])
         shift += n
-    return out
+    return np.concatenate(out)
+
+
+ANSWERS = "block long, told binary"
 
 
 def _repeats(table: pa.Table) -> pa.Table:
-    """Answers for all pieces of some anchors: the smallest id of the piece, and the strings in it that a smaller one has."""
-    anchor = table["anchor"].to_numpy()
-    order = np.argsort(anchor, kind="stable")
-    anchor = anchor[order]
-    pieces, ids = table["piece"].take(pa.array(order)).to_pylist(), table["least"].to_numpy()[order]
-    spans: list[bytes | None] = [None] * len(pieces)
-    edges = np.flatnonzero(np.append(np.diff(anchor, prepend=anchor[:1] - 1) != 0, True)).tolist()
-    unit: list[int] = []
+    """Answers to each block for its pieces of some anchors: the smallest id of the piece, and the spans in it that a smaller one has."""
+    number: dict[bytes, int] = {}
+    asked, anchor, ids, rest = [], [], [], []
+    for row in table["asked"]:
+        own, sizes, text, least, *more = _unpack(row.as_py(), *ASKED)
+        ends = np.cumsum(sizes).tolist()
+        mine = [number.setdefault(text[e - n : e], len(number)) for e, n in zip(ends, sizes.tolist())]
+        asked.append(np.asarray(mine, np.int64))
+        anchor.append(own)
+        ids.append(least)
+        rest.append(more)
+    pieces = list(number)
+    every = np.concatenate(asked)
+    least = np.full(len(pieces), LAST, np.int64)
+    np.minimum.at(least, every, np.concatenate(ids))
+    anchors_of = np.empty(len(pieces), np.uint64)
+    anchors_of[every] = np.concatenate(anchor)
+    size = np.asarray([len(p) for p in pieces], np.int64)
+    order = np.argsort(anchors_of, kind="stable")
+    edges = np.append(np.flatnonzero(np.diff(anchors_of[order], prepend=~anchors_of[order][:1])), len(order))
+    cuts: dict[int, list[tuple[int, int]]] = {}
+
+    def settle(some: np.ndarray) -> None:
+        windows = size[some] - LENGTH + 1
+        own = np.repeat(least[some], windows)
+        less = least_ids([pieces[i] for i in some.tolist()], least[some]) < own
+        first = np.cumsum(windows) - windows
+        edge = np.zeros(len(less) + 1, bool)
+        edge[1:-1] = less[1:] != less[:-1]
+        edge[first] = edge[-1] = True
+        edge = np.flatnonzero(edge)
+        a, b = edge[:-1], edge[1:]
+        hit = less[a]
+        a, b = a[hit], b[hit]
+        piece = np.searchsorted(first, a, "right") - 1
+        for i, x, y in zip(some[piece].tolist(), (a - first[piece]).tolist(), (b - first[piece]).tolist()):
+            cuts.setdefault(i, []).append((x, y + LENGTH - 1))
+
+    unit: list[np.ndarray] = []
     held = 0
-
-    def settle() -> None:
-        for i, least in zip(unit, least_ids([pieces[i] for i in unit], ids[unit])):
-            cut = np.flatnonzero(np.diff((least < ids[i]).view(np.int8), prepend=np.int8(0), append=np.int8(0)))
-            if len(cut):
-                spans[i] = cut.astype(np.int64).tobytes()
-        unit.clear()
-
-    for a, b in zip(edges[:-1], edges[1:]):
-        if b - a == 1:  # equal pieces only, and they are one row
-            continue
-        size = sum(len(pieces[i]) for i in range(a, b))
-        if held + size > UNIT and unit:
-            settle()
-            held = 0
-        unit.extend(range(a, b))
-        held += size
+    counts = np.diff(edges)
+    bytes_of = np.add.reduceat(size[order], edges[:-1])
+    for k in np.flatnonzero(counts > 1).tolist():  # an anchor of one piece has nothing to compare it with
+        if held and held + bytes_of[k] > UNIT:
+            settle(np.concatenate(unit))
+            unit, held = [], 0
+        unit.append(order[edges[k] : edges[k + 1]])
+        held += int(bytes_of[k])
     if unit:
-        settle()
-    return pa.table({"piece": pa.array(pieces, pa.binary()), "first_id": pa.array(ids, pa.int64()), "spans": pa.array(spans, pa.binary())})
+        settle(np.concatenate(unit))
+    has = np.zeros(len(pieces), bool)
+    has[list(cuts)] = True
+    out = []
+    for mine, (most, n, places) in zip(asked, rest):
+        wanted = (most > least[mine]) | has[mine]
+        keep = np.repeat(wanted, n)
+        its = np.repeat(mine, n)[keep]
+        places = places[keep]
+        inside = np.flatnonzero(has[its])
+        spans = [(p, x, y) for p, i in zip(places[inside].tolist(), its[inside].tolist()) for x, y in cuts[i]]
+        spans = np.ascontiguousarray(np.asarray(spans, np.int64).reshape(-1, 3).T)
+        out.append(_pack(places, size[its], least[its], *spans) if len(places) else None)
+    give_back()
+    return pa.table({"block": table["block"], "told": pa.array(out, pa.binary())}).filter(pa.array([x is not None for x in out], pa.bool_()))
 
 
 OUT = "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
@@ -407,24 +494,22 @@ OUT = "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept bin
 
 def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
     ids, texts = _texts(left)
-    of, start, end = [], [], []
-    for places, size, first, spans in zip(*(right[c].to_pylist() for c in ("places", "size", "first_id", "spans"))):
-        places = np.frombuffer(places, np.int64).reshape(-1, 2)
-        cut = np.frombuffer(spans, np.int64).reshape(-1, 2) if spans else None
-        for i, s in places.tolist():
-            if ids[i] > first:
-                of.append(i), start.append(s), end.append(s + size)
-            elif cut is not None:
-                for a, b in cut.tolist():
-                    of.append(i), start.append(s + a), end.append(s + b + LENGTH - 1)
+    rows = [_unpack(x.as_py(), *TOLD) for x in right["told"]]
+    places, sizes_of, first_id, part, cut_start, cut_end = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*rows) if rows else [[]] * 6))
+    low = np.int64((1 << PLACE) - 1)
+    # a piece that a smaller id has goes whole; in the smallest one's own, what other pieces repeat
+    whole = np.asarray(ids, np.int64)[places >> PLACE] > first_id
+    place, size = places[whole], sizes_of[whole]
+    of = np.concatenate((place >> PLACE, part >> PLACE))
+    start = np.concatenate((place & low, (part & low) + cut_start))
+    end = np.concatenate(((place & low) + size, (part & low) + cut_end))
     sizes = np.asarray([len(t) + 1 for t in texts], np.int64)  # one apart, so that spans of two texts never touch
     base = np.cumsum(sizes) - sizes
     found: list[list[tuple[int, int]]] = [[] for _ in texts]
-    if of:
-        o = np.asarray(of)
-        s, e = base[o] + np.asarray(start), base[o] + np.asarray(end)
+    if len(of):
+        s, e = base[of] + start, base[of] + end
         by = np.argsort(s)
-        s, e, o = s[by], np.maximum.accumulate(e[by]), o[by]
+        s, e, o = s[by], np.maximum.accumulate(e[by]), of[by]
         new = np.ones(len(s), bool)
         new[1:] = s[1:] > e[:-1]
         last = np.append(np.flatnonzero(new)[1:] - 1, len(s) - 1)
@@ -436,11 +521,12 @@ def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
             edges = [0, *[x for span in spans for x in span], len(text)]
             text = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
         kept.append(text)
+    give_back()
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     return pa.table({"id": pa.array(ids, pa.int64()), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "spans": pa.array([[{"start": a, "end": b} for a, b in x] for x in found], kind), "kept": pa.array(kept, pa.binary())})
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int | None = None, hot: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int | None = None, hot: int = HOT) -> DataFrame:
     """key, n_bytes, spans (start, end in bytes, maximal, ascending) and kept (the other bytes): a row for each row.
 
     A null text is empty. Rows with equal keys don't take from one another; a row without a key counts as
@@ -450,22 +536,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", blo
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema[key].dataType
-    block, hot = block or BLOCK, hot or HOT
     data = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), data.alias("data"))
     total = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    blocks = max(1, -(-total // block))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # about a million anchors a part
-    parts = max(parts, total // (16 << 20))
+    blocks = max(1, -(-total // (block or max(1, min(BLOCK, total // FEWEST)))))
+    # about two million anchors a part, and some MB of pieces a bucket
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total >> 25)
+    buckets = max(parts, total >> 22)
     # equal rows get different blocks as well
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "data", F.monotonically_increasing_id()), F.lit(blocks))).repartition(max(parts, 1), "block")
-    asked = dealt.groupBy("block").applyInArrow(_ask(parts), "part int, block long, hashes binary, n binary")
-    told = asked.groupBy("part").applyInArrow(_answer(hot), "block long, part int, flags binary")
-    pieces = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_pieces(parts), PIECES).repartition(max(parts, 1), "piece")
-    distinct = pieces.groupBy("piece", "anchor").agg(F.min("least").alias("least"))
-    buckets = max(1, total // (4 << 20))
-    found = distinct.withColumn("bucket", F.pmod("anchor", F.lit(buckets))).groupBy("bucket").applyInArrow(_repeats, "piece binary, first_id long, spans binary")
-    back = pieces.join(found, "piece").filter("most > first_id or spans is not null").select("block", "places", F.octet_length("piece").cast("long").alias("size"), "first_id", "spans")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "data", F.monotonically_increasing_id()), F.lit(blocks))).repartition(parts, "block")
+    asked = dealt.groupBy("block").applyInArrow(_ask(parts), "part long, block long, hashes binary, n binary")
+    told = asked.groupBy("part").applyInArrow(_answer(hot), "block long, part long, flags binary")
+    pieces = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_pieces(parts, buckets), PIECES)
+    back = pieces.groupBy("bucket").applyInArrow(_repeats, ANSWERS)
     out = dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_cut, OUT)
     return out.select(F.when(F.col("id") != LAST, F.col("id")).cast(kind).alias(key), "n_bytes", "spans", "kept")
