@@ -20,20 +20,20 @@ def _clamp(c: Column) -> Column:
     return F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
 
 
-def events_in_segments(ev: DataFrame, segs: DataFrame, *, width: float) -> DataFrame:
+def events_in_segments(ev: DataFrame, segs: DataFrame) -> DataFrame:
     """Every (event, segment) pair, a session's last segment holding its right end."""
     last = segs.withColumn("_session_end", F.max("t_end").over(Window.partitionBy("session_id")))
-    return interval_join(ev, last, width=width, closed_at="_session_end").drop("_session_end")
+    return interval_join(ev, last, closed_at="_session_end").drop("_session_end")
 
 
-def behaviour(ev: DataFrame, segs: DataFrame, *, width: float, bucket_ms: float = 250.0) -> DataFrame:
+def behaviour(ev: DataFrame, segs: DataFrame, *, bucket_ms: float = 250.0) -> DataFrame:
     """session_id, seg_no, v: twelve shares and rates of each segment, all in 0..1, zeros where nothing happened.
 
     Rates of clicks, keys, scrolls and moves a second over 5, 10, 10 and 60; mean pointer speed over
     5 px/ms; evenness of eight directions; clicks among clicks and keys; share of active buckets; and
     the share of each quarter of the time.
     """
-    rows = events_in_segments(ev, segs.select("session_id", "seg_no", "t_start", "t_end"), width=width)
+    rows = events_in_segments(ev, segs.select("session_id", "seg_no", "t_start", "t_end"))
     w = Window.partitionBy("session_id", "seg_no").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     move = F.col("kind") == "mouse_move"
     before = F.last(F.when(move, F.struct("t", "x", "y")), ignorenulls=True).over(w)
@@ -73,7 +73,7 @@ def _distinct_in_order(pairs: str, field: str) -> Column:
     return F.array_distinct(F.filter(F.transform(F.array_sort(pairs), lambda p: p[field]), lambda v: v.isNotNull()))
 
 
-def digest(ev: DataFrame, segs: DataFrame, *, width: float, focus: DataFrame | None = None, typed: DataFrame | None = None, clicked: DataFrame | None = None, max_typed: int = 280) -> DataFrame:
+def digest(ev: DataFrame, segs: DataFrame, *, focus: DataFrame | None = None, typed: DataFrame | None = None, clicked: DataFrame | None = None, max_typed: int = 280) -> DataFrame:
     """session_id, seg_no, digest: what happened in each segment, in words.
 
     ``ev`` may have a title of focus changes. ``focus``: session_id, seg_no, app, url and perhaps title
@@ -85,7 +85,7 @@ def digest(ev: DataFrame, segs: DataFrame, *, width: float, focus: DataFrame | N
     none = F.lit(None).cast("string")
     ev = ev.withColumn("title", F.nullif("title", F.lit("")) if "title" in ev.columns else none)
     ev = ev.withColumn("label", none) if clicked is None else ev.drop("label").join(clicked.select("session_id", "event_id", "label").dropDuplicates(["session_id", "event_id"]), ["session_id", "event_id"], "left")
-    rows = events_in_segments(ev, segs.select(*keys, "t_start", "t_end"), width=width).select(*keys, "t", "event_id", "kind", F.when(F.col("kind") == "focus_change", F.col("app")).alias("app"), F.when(F.col("kind").isin("focus_change", "url_change"), F.col("url")).alias("url"), F.when(F.col("kind") == "focus_change", F.col("title")).alias("title"), F.when(F.col("kind") == "mouse_down", F.col("label")).alias("label"))
+    rows = events_in_segments(ev, segs.select(*keys, "t_start", "t_end")).select(*keys, "t", "event_id", "kind", F.when(F.col("kind") == "focus_change", F.col("app")).alias("app"), F.when(F.col("kind").isin("focus_change", "url_change"), F.col("url")).alias("url"), F.when(F.col("kind") == "focus_change", F.col("title")).alias("title"), F.when(F.col("kind") == "mouse_down", F.col("label")).alias("label"))
     if focus is not None:
         rows = rows.unionByName(focus.select(*keys, F.lit(-1.0).alias("t"), F.lit(-1).cast("long").alias("event_id"), F.lit("inherited").alias("kind"), "app", "url", F.col("title") if "title" in focus.columns else none.alias("title"), none.alias("label")))
     w = Window.partitionBy(*keys).orderBy("t", "event_id")

@@ -83,21 +83,21 @@ def moment(frames: DataFrame, links: DataFrame, segs: DataFrame, elements: DataF
     return frames.select("frame_id").join(said, "frame_id", "left").join(seen, "frame_id", "left")
 
 
-def primary_segments(frames: DataFrame, segs: DataFrame, *, width: float) -> DataFrame:
+def primary_segments(frames: DataFrame, segs: DataFrame) -> DataFrame:
     """frame_id, segment_id: the shortest segment that holds a frame, ends included."""
-    held = temporal.interval_join(frames, segs.withColumn("_end", F.col("t_end")), width=width, closed_at="_end")
+    held = temporal.interval_join(frames, segs.withColumn("_end", F.col("t_end")), closed_at="_end")
     return held.groupBy("frame_id").agg(F.min_by("segment_id", F.struct(F.col("t_end") - F.col("t_start"), "segment_id")).alias("segment_id"))
 
 
-def region_job(frames: DataFrame, segs: DataFrame, ev: DataFrame, elements: DataFrame, *, width: float, size: tuple[float, float], most: int = 14) -> DataFrame:
+def region_job(frames: DataFrame, segs: DataFrame, ev: DataFrame, elements: DataFrame, *, size: tuple[float, float], most: int = 14) -> DataFrame:
     """frame_id, region_id, source, priority and box: elements, hotspots of the frame's segment, and a grid, fused.
 
     ``frames``: frame_id, session_id, t; ``segs``: session_id, segment_id, t_start, t_end;
     ``elements``: frame_id, region_id, role, label, focused and box.
     """
-    first = primary_segments(frames, segs, width=width).join(segs, "segment_id")
+    first = primary_segments(frames, segs).join(segs, "segment_id")
     span = frames.select("frame_id", "session_id").join(first.select("frame_id", "t_start", "t_end"), "frame_id").withColumn("_end", F.col("t_end"))
-    inside = temporal.interval_join(spatial.weighted_points(ev), span, width=width, closed_at="_end")
+    inside = temporal.interval_join(spatial.weighted_points(ev), span, closed_at="_end")
     points = inside.select("frame_id", F.col("event_id").alias("point_id"), "x", "y", "weight")
     hot = spatial.hotspots(points, spatial.dbscan(points), *size)
     box = ["frame_id", "source", "priority", "x", "y", "w", "h"]

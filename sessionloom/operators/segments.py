@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sessionloom.operators import temporal
+from sessionloom.operators import slices, temporal
 
 #: Which reason stands where several fall on one instant (fixed values).
 PRIORITY = {"session_start": 101, "session_end": 100, "bookmark": 30, "focus_change": 20, "scene_change": 15, "dwell_gap": 10, "burst_gap": 5, "window": 0}
@@ -30,16 +30,15 @@ def session_ends(ev: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     return both.select("session_id", F.coalesce(F.greatest("t_end", "_wall"), F.lit(0.0)).alias("t_end"))
 
 
-def boundaries(ev: DataFrame, ends: DataFrame, scenes: DataFrame | None = None, *, dwell_ms: float = DWELL_MS, burst_ms: float = BURST_MS) -> DataFrame:
+def boundaries(ev: DataFrame, ends: DataFrame, scenes: DataFrame | None = None, *, dwell_ms: float = DWELL_MS, burst_ms: float = BURST_MS, slice: float | None = None) -> DataFrame:
     """session_id, t, reason: one reason an instant, within [0, t_end].
 
     Gaps count where they exceed their threshold; a dwell gap is measured between any two events, a
     burst gap between meaningful ones.
     """
-    w = Window.partitionBy("session_id").orderBy("t", "event_id")
     useful = F.col("kind").isin(*MEANINGFUL)
-    before = F.last(F.when(useful, F.col("t")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    gaps = ev.withColumns({"_any": F.col("t") - F.lag("t").over(w), "_burst": F.when(useful, F.col("t") - before)})
+    rows = slices.carried(ev, {"_before": F.col("t"), "_useful": F.when(useful, F.col("t"))}, ["event_id"], session="session_id", t="t", slice=slice, own=False)
+    gaps = rows.withColumns({"_any": F.col("t") - F.col("_before"), "_burst": F.when(useful, F.col("t") - F.col("_useful"))})
     at = lambda df, when, reason: df.filter(when).select("session_id", "t", F.lit(reason).alias("reason"))
     found = [
         ends.select("session_id", F.lit(0.0).alias("t"), F.lit("session_start").alias("reason")),
@@ -54,12 +53,12 @@ def boundaries(ev: DataFrame, ends: DataFrame, scenes: DataFrame | None = None,
     return every.groupBy("session_id", "t").agg(F.max_by("reason", weight[F.col("reason")]).alias("reason"))
 
 
-def segments(bounds: DataFrame, cuts: tuple[str, ...] = CUTS) -> DataFrame:
+def segments(bounds: DataFrame, cuts: tuple[str, ...] = CUTS, *, slice: float | None = None) -> DataFrame:
     """session_id, seg_no, t_start, t_end, reason: one segment from each kept boundary to the next."""
-    w = Window.partitionBy("session_id").orderBy("t")
     kept = bounds.filter(F.col("reason").isin("session_start", "session_end", *cuts))
-    spans = kept.select("session_id", F.col("t").alias("t_start"), F.lead("t").over(w).alias("t_end"), "reason").filter("t_end is not null")
-    return spans.withColumn("seg_no", F.row_number().over(Window.partitionBy("session_id").orderBy("t_start")))
+    spans = slices.carried(kept, {"t_end": F.col("t")}, [], session="session_id", t="t", slice=slice, own=False, ahead=True)
+    spans = spans.select("session_id", F.col("t").alias("t_start"), "t_end", "reason").filter("t_end is not null")
+    return slices.numbered(spans, "seg_no", [], session="session_id", t="t_start", slice=slice)
 
 
 def subdivide(spans: DataFrame, target: float, stride: float) -> DataFrame:
@@ -120,27 +119,26 @@ def typed_runs(keys: DataFrame, *, gap_ms: float = DWELL_MS) -> DataFrame:
     return out.withColumn("run_no", F.row_number().over(Window.partitionBy("session_id").orderBy("t_start")))
 
 
-def pauses(ev: DataFrame, *, dwell_ms: float = DWELL_MS, burst_ms: float = BURST_MS) -> DataFrame:
+def pauses(ev: DataFrame, *, dwell_ms: float = DWELL_MS, burst_ms: float = BURST_MS, slice: float | None = None) -> DataFrame:
     """session_id, t_start, t_end, pause: dwell gaps, else burst gaps, each ending at the event that ends it."""
-    w = Window.partitionBy("session_id").orderBy("t", "event_id")
     useful = F.col("kind").isin(*MEANINGFUL)
-    rows = ev.withColumns({"_b": F.lag("t").over(w), "_m": F.last(F.when(useful, F.col("t")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    rows = slices.carried(ev, {"_b": F.col("t"), "_m": F.when(useful, F.col("t"))}, ["event_id"], session="session_id", t="t", slice=slice, own=False)
     pause = F.when(F.col("t") - F.col("_b") > dwell_ms, "dwell_gap").when(useful & (F.col("t") - F.col("_m") > burst_ms), "burst_gap")
     start = F.when(F.col("t") - F.col("_b") > dwell_ms, F.col("_b")).otherwise(F.col("_m"))
     return rows.select("session_id", start.alias("t_start"), F.col("t").alias("t_end"), pause.alias("pause")).filter("pause is not null")
 
 
-def boundary_triggers(ev: DataFrame, *, settle_ms: float = 250.0, dwell_ms: float = 3000.0) -> DataFrame:
+def boundary_triggers(ev: DataFrame, *, settle_ms: float = 250.0, dwell_ms: float = 3000.0, slice: float | None = None) -> DataFrame:
     """session_id, event_id, t, reason of the moments that ask for a snapshot.
 
     A focus change, a bookmark, or input at least ``dwell_ms`` after the input before it; what follows
     one of them within ``settle_ms`` folds into it.
     """
-    w = Window.partitionBy("session_id").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     useful = F.col("kind").isin(*MEANINGFUL)
-    before = F.last(F.when(useful, F.col("t")), ignorenulls=True).over(w)
-    reason = F.when(F.col("kind").isin("focus_change", "bookmark"), F.col("kind")).when(useful & (F.col("t") - before >= dwell_ms), "dwell_resume")
-    return temporal.min_gap(ev.withColumn("reason", reason).filter("reason is not null"), F.lit(settle_ms)).select("session_id", "event_id", "t", "reason")
+    rows = slices.carried(ev, {"_useful": F.when(useful, F.col("t"))}, ["event_id"], session="session_id", t="t", slice=slice, own=False)
+    reason = F.when(F.col("kind").isin("focus_change", "bookmark"), F.col("kind")).when(useful & (F.col("t") - F.col("_useful") >= dwell_ms), "dwell_resume")
+    asked = rows.withColumn("reason", reason).drop("_useful").filter("reason is not null")
+    return temporal.min_gap(asked, F.lit(settle_ms), slice=slice).select("session_id", "event_id", "t", "reason")
 
 
 def app_spans(ev: DataFrame, ends: DataFrame) -> DataFrame:

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sessionloom.functions import boxes
+from sessionloom.operators.density import dbscan  # noqa: F401
 
 # Fixed values.
 DROP_ROLES = ("window", "application", "group", "unknown", "layout-area", "splitter", "scrollarea")
 EVENT_WEIGHTS = {"mouse_down": 3.0, "mouse_up": 1.0, "scroll": 1.0, "mouse_move": 0.2}
 BOX = ("x", "y", "w", "h")
 
+#: So many kept boxes of a frame are compared one by one.
+FEW = 24
+
 
 def element_regions(elements: DataFrame, width: float, height: float, *, min_area: float = 64, max_share: float = 0.5) -> DataFrame:
     """Elements of useful size and role as regions: priority 2, one more with a label, two more in focus."""
@@ -23,21 +32,102 @@ def element_regions(elements: DataFrame, width: float, height: float, *, min_are
     return kept.withColumns({"source": F.lit("ax"), "priority": priority})
 
 
-def _fold(regions: DataFrame, order: list[Column], threshold: float, boost: float) -> DataFrame:
-    """Per frame, in order: a region that overlaps a kept one more than ``threshold`` goes; another source lifts that one."""
-    names = [c for c in regions.columns if c != "frame_id"]
-    row = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], *names)
-    grouped = regions.groupBy("frame_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    kind = grouped.schema["rows"].dataType.simpleString()
+class _Kept:
+    """Boxes kept so far, by the powers of two of their sides and their corner's cell there.
 
-    def step(kept: Column, r: Column) -> Column:
-        hits = F.filter(F.transform(kept, lambda k, i: F.struct(i.alias("i"), boxes.iou(k, r).alias("iou"))), lambda h: h["iou"] > threshold)
-        first = F.try_element_at(hits, F.lit(1))["i"]
-        lifted = F.transform(kept, lambda k, i: F.when((i == first) & (k["source"] != r["source"]), k.withField("priority", k["priority"] + boost)).otherwise(k))
-        return F.when(F.size(hits) == 0, F.concat(kept, F.array(r))).otherwise(lifted if boost else kept)
+    Two boxes overlap by more than ``threshold`` only if their widths, and their heights, are within that
+    ratio of each other, so a box asks few cells, however many boxes there are.
+    """
 
-    folded = grouped.select("frame_id", F.explode(F.aggregate("rows", F.expr(f"cast(array() as {kind})"), step)).alias("r"))
-    return folded.select("frame_id", *[F.col(f"r.{c}").alias(c) for c in names])
+    def __init__(self, threshold: float):
+        self.levels = math.ceil(-math.log2(threshold)) if 0 < threshold < 1 else 0 if threshold >= 1 else None
+        self.cells: dict[tuple[int, int], dict[tuple[int, int], list[int]]] = {}
+        self.boxes: list[tuple[float, float, float, float]] = []
+
+    def add(self, box: tuple[float, float, float, float]) -> None:
+        x, y, w, h = box
+        if w > 0 and h > 0:  # an empty box overlaps nothing
+            level = math.frexp(w)[1], math.frexp(h)[1]
+            self.cells.setdefault(level, {}).setdefault((math.floor(x / 2.0 ** level[0]), math.floor(y / 2.0 ** level[1])), []).append(len(self.boxes))
+        self.boxes.append(box)
+
+    def near(self, box: tuple[float, float, float, float]) -> Iterable[int]:
+        if self.levels is None or len(self.boxes) <= FEW:
+            return range(len(self.boxes))
+        x, y, w, h = box
+        if not (w > 0 and h > 0):
+            return ()
+        found: list[int] = []
+        lw, lh = math.frexp(w)[1], math.frexp(h)[1]
+        for (a, b), cells in self.cells.items():
+            if abs(a - lw) > self.levels or abs(b - lh) > self.levels:
+                continue
+            sx, sy = 2.0**a, 2.0**b
+            for cx in range(math.floor((x - sx) / sx), math.floor((x + w) / sx) + 1):
+                for cy in range(math.floor((y - sy) / sy), math.floor((y + h) / sy) + 1):
+                    found += cells.get((cx, cy), ())
+        return sorted(found)
+
+    def first_hit(self, box: tuple[float, float, float, float], threshold: float) -> int | None:
+        x, y, w, h = box
+        size = max(w, 0.0) * max(h, 0.0)
+        for i in self.near(box):
+            kx, ky, kw, kh = self.boxes[i]
+            iw, ih = min(kx + kw, x + w) - max(kx, x), min(ky + kh, y + h) - max(ky, y)
+            both = iw * ih if iw > 0 and ih > 0 else 0.0
+            union = max(kw, 0.0) * max(kh, 0.0) + size - both
+            if (both / union if union > 0 else 0.0) > threshold:
+                return i
+        return None
+
+
+def _fold(regions: DataFrame, order: list[Column], threshold: float, boost: float) -> DataFrame:
+    """Per frame, in order: a region that overlaps a kept one more than ``threshold`` goes; another source lifts that one.
+
+    Rows are dealt by frame and sorted; a task reads frame after frame and holds the kept boxes of one.
+    """
+    keys = {f"_o{i}": o for i, o in enumerate(order)}
+    dealt = regions.withColumns(keys).repartition("frame_id").sortWithinPartitions("frame_id", *keys).select(*regions.columns)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, kept = None, _Kept(threshold)
+        held: list[list] = []  # row, source and priority of the kept regions of the frame that goes on
+        rest: list[pa.RecordBatch] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                table = pa.concat_tables([pa.Table.from_batches([r]) for r in rest]).combine_chunks()
+                kind = table.schema.field("priority").type
+                table = table.set_column(table.schema.get_field_index("priority"), "priority", pa.array([p for _, p in held], kind))
+                yield from table.to_batches()
+            held.clear()
+            rest.clear()
+
+        for batch in batches:
+            frames = batch.column("frame_id").to_pylist()
+            boxes = list(zip(*(pc.fill_null(batch.column(c).cast(pa.float64()), math.nan).to_pylist() for c in BOX)))
+            taken: list[int] = []
+            for row, (frame, box, source, priority) in enumerate(zip(frames, boxes, batch.column("source").to_pylist() if boost else frames, batch.column("priority").to_pylist())):
+                if frame != at:
+                    if taken:
+                        rest.append(batch.take(pa.array(taken)))
+                        taken = []
+                    # many small frames go out together
+                    if len(held) > 4096:
+                        yield from done()
+                    at, kept, base = frame, _Kept(threshold), len(held)
+                hit = kept.first_hit(box, threshold)
+                if hit is None:
+                    kept.add(box)
+                    taken.append(row)
+                    held.append([source, priority])
+                elif boost and held[base + hit][0] != source and held[base + hit][1] is not None:
+                    held[base + hit][1] += boost
+            if taken:
+                rest.append(batch.take(pa.array(taken)))
+        yield from done()
+
+    return dealt.mapInArrow(fold, regions.schema)
 
 
 def collapse(regions: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -59,38 +149,6 @@ def weighted_points(ev: DataFrame) -> DataFrame:
     return ev.filter(F.col("kind").isin(*EVENT_WEIGHTS) & F.col("x").isNotNull() & F.col("y").isNotNull()).withColumn("weight", weight[F.col("kind")])
 
 
-def dbscan(points: DataFrame, *, eps: float = 80.0, min_weight: float = 3.0) -> DataFrame:
-    """frame_id, point_id, cluster (-1 for noise) by weighted density.
-
-    ``points``: frame_id, point_id, x, y, weight. Neighbours meet by cells of ``eps``. A point is core
-    if the weight within eps, its own included, reaches ``min_weight``. Cores that are neighbours
-    share the least core id; clusters are numbered by it, and a border point takes the least number.
-    """
-    cell = lambda c: F.floor(F.col(c) / eps).cast("long")
-    near = points.withColumns({"cx": cell("x"), "cy": cell("y")})
-    shifts = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    around = near.select("frame_id", F.col("point_id").alias("p"), F.col("x").alias("px"), F.col("y").alias("py"), "cx", "cy", shifts.alias("s")).select("frame_id", "p", "px", "py", (F.col("cx") + F.col("s.a")).alias("cx"), (F.col("cy") + F.col("s.b")).alias("cy"))
-    d2 = (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))
-    pairs = around.join(near, ["frame_id", "cx", "cy"]).filter(d2 <= eps * eps).select("frame_id", "p", F.col("point_id").alias("q"), "weight").checkpoint()
-    core = pairs.groupBy("frame_id", "p").agg(F.sum("weight").alias("w")).filter(F.col("w") >= min_weight - 1e-9).select("frame_id", "p")
-    edges = pairs.join(core, ["frame_id", "p"], "left_semi").select("frame_id", "p", "q")
-    inner = edges.join(core.withColumnRenamed("p", "q"), ["frame_id", "q"], "left_semi").select("frame_id", "p", "q").checkpoint()
-    label = core.select("frame_id", "p", F.col("p").alias("label"))
-    while True:  # labels only fall, so this ends
-        spread = inner.join(label.withColumnRenamed("p", "q"), ["frame_id", "q"]).groupBy("frame_id", "p").agg(F.min("label").alias("near"))
-        # one hop to the least neighbour, one more to that neighbour's own label
-        hop = label.join(spread, ["frame_id", "p"]).select("frame_id", "p", F.col("label").alias("was"), F.least("label", "near").alias("m"))
-        jump = hop.join(label.select("frame_id", F.col("p").alias("m"), F.col("label").alias("far")), ["frame_id", "m"], "left").select("frame_id", "p", "was", F.least("m", F.coalesce("far", "m")).alias("label")).checkpoint()
-        label = jump.select("frame_id", "p", "label")
-        if jump.filter("was <> label").isEmpty():
-            break
-    numbers = label.select("frame_id", "label").distinct().withColumn("cluster", F.dense_rank().over(Window.partitionBy("frame_id").orderBy("label")) - 1)
-    cores = label.join(numbers, ["frame_id", "label"]).select("frame_id", "p", "cluster")
-    border = edges.join(cores, ["frame_id", "p"]).groupBy("frame_id", F.col("q").alias("p")).agg(F.min("cluster").alias("border"))
-    out = points.select("frame_id", F.col("point_id").alias("p")).join(cores, ["frame_id", "p"], "left").join(border, ["frame_id", "p"], "left")
-    return out.select("frame_id", F.col("p").alias("point_id"), F.coalesce("cluster", "border", F.lit(-1)).alias("cluster"))
-
-
 def hotspots(points: DataFrame, clusters: DataFrame, width: float, height: float, *, pad: float = 48.0, scale: float = 9.0) -> DataFrame:
     """A padded box around each cluster, in the frame; priority 1 to 2 by its weight."""
     rows = points.join(clusters.filter("cluster >= 0"), ["frame_id", "point_id"])

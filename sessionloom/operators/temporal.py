@@ -1,7 +1,8 @@
 """Joins and folds along time: as-of, nearest, interval and overlap joins, forward fills, throttles.
 
-Each works on all sessions at once and moves rows by session, never globally. Ties in time need a
-second ordering column, since a DataFrame has no input order.
+Each works on all sessions at once and moves rows by session, never globally; with ``slice``, a length
+of time, they move by (session, slice), so that a long session is many tasks' work (see ``slices``). Ties
+in time need a second ordering column, since a DataFrame has no input order.
 """
 
 from __future__ import annotations
@@ -13,6 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sessionloom.operators import slices
+
+#: Levels of the time tree that intervals are kept on: lengths up to 2 ** 62, down to 2 ** -20, every second one.
+LEVELS = range(-20, 63, 2)
+
 
 def merge_timelines(streams: list[DataFrame], *, session: str = "session_id", t: str = "t", seq: str = "seq") -> DataFrame:
     """All rows in one table with ``stream`` and their place in the session; equal times keep the order of streams."""
@@ -29,77 +35,96 @@ def monotonic(df: DataFrame, *, session: str = "session_id", t: str = "t", seq:
     return df.select(session, F.coalesce(back, F.lit(False)).alias("b")).groupBy(session).agg((~F.max("b")).alias("monotonic"), F.sum(F.col("b").cast("long")).alias("n_backward"))
 
 
-def asof(left: DataFrame, right: DataFrame, values: list[str], *, session: str = "session_id", t: str = "t", seq: str = "event_id", forward: bool = False, strict: bool = False) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, values: list[str], *, session: str = "session_id", t: str = "t", seq: str = "event_id", forward: bool = False, strict: bool = False, slice: float | None = None) -> DataFrame:
     """``left`` with the right row's values that are latest at or before its time (or earliest at or after).
 
-    One shuffle by session: both sides are stacked and the last right row is carried along. Among
-    right rows of one time the one of greatest ``seq`` counts. ``strict`` leaves out equal times.
+    One shuffle: both sides are stacked and the last right row is carried along. Among right rows of one
+    time the one of greatest ``seq`` counts, going forward the one of least. ``strict`` leaves out equal times.
     """
-    carried = F.struct(*[F.col(v) for v in values])
-    blank = F.lit(None).cast(right.select(carried.alias("c")).schema["c"].dataType)
-    marks = right.select(F.col(session).alias("_s"), F.col(t).alias("_t"), F.lit(0 if not strict else 1).alias("_side"), F.col(seq).cast("long").alias("_seq"), carried.alias("_mark"), F.lit(None).cast(left.select(F.struct("*").alias("l")).schema["l"].dataType).alias("_row"))
-    rows = left.select(F.col(session).alias("_s"), F.col(t).alias("_t"), F.lit(1 if not strict else 0).alias("_side"), F.lit(0).cast("long").alias("_seq"), blank.alias("_mark"), F.struct("*").alias("_row"))
-    order = [F.desc("_t") if forward else F.asc("_t"), F.asc("_side"), F.desc("_seq") if forward else F.asc("_seq")]
-    w = Window.partitionBy("_s").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    # going forward, the first of the equal rows met last is the least of them
-    found = marks.unionByName(rows).withColumn("_found", F.last("_mark", ignorenulls=True).over(w)).filter("_row is not null")
+    carry = F.struct(*[F.col(v) for v in values])
+    blank = F.lit(None).cast(right.select(carry.alias("c")).schema["c"].dataType)
+    # of equal times, marks come before the rows that may see them; going forward the order is turned round
+    mark_side = 0 if strict == forward else 1
+    marks = right.select(F.col(session).alias("_s"), F.col(t).alias("_t"), F.lit(mark_side).alias("_side"), F.col(seq).cast("long").alias("_seq"), carry.alias("_mark"), F.lit(None).cast(left.select(F.struct("*").alias("l")).schema["l"].dataType).alias("_row"))
+    rows = left.select(F.col(session).alias("_s"), F.col(t).alias("_t"), F.lit(1 - mark_side).alias("_side"), F.lit(0).cast("long").alias("_seq"), blank.alias("_mark"), F.struct("*").alias("_row"))
+    found = slices.carried(marks.unionByName(rows), {"_found": F.col("_mark")}, ["_side", "_seq"], session="_s", t="_t", slice=slice, ahead=forward).filter("_row is not null")
     return found.select("_row.*", *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
-def nearest(left: DataFrame, right: DataFrame, value: str, *, session: str = "session_id", t: str = "t", seq: str = "event_id", prefer_later: bool = False) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, value: str, *, session: str = "session_id", t: str = "t", seq: str = "event_id", prefer_later: bool = False, slice: float | None = None) -> DataFrame:
     """``left`` with the ``value`` of the right row nearest in time, and ``dt`` from it.
 
     At equal distance the earlier row, or the later one with ``prefer_later``. A session without
     right rows gives nulls.
     """
     r = right.select(session, t, seq, F.col(value).alias("_v"), F.col(t).alias("_vt"))
-    before = asof(left, r.select(session, t, seq, F.struct("_v", "_vt").alias("_b")), ["_b"], session=session, t=t, seq=seq)
-    both = asof(before, r.select(session, t, seq, F.struct("_v", "_vt").alias("_a")), ["_a"], session=session, t=t, seq=seq, forward=True)
+    before = asof(left, r.select(session, t, seq, F.struct("_v", "_vt").alias("_b")), ["_b"], session=session, t=t, seq=seq, slice=slice)
+    both = asof(before, r.select(session, t, seq, F.struct("_v", "_vt").alias("_a")), ["_a"], session=session, t=t, seq=seq, forward=True, slice=slice)
     db, da = F.col(t) - F.col("_b._vt"), F.col("_a._vt") - F.col(t)
     take_after = F.col("_b").isNull() | (F.col("_a").isNotNull() & ((da <= db) if prefer_later else (da < db)))
     pick = F.when(take_after, F.col("_a")).otherwise(F.col("_b"))
     return both.withColumn("_p", pick).select(*left.columns, F.col("_p._v").alias(value), F.abs(F.col(t) - F.col("_p._vt")).alias("dt"))
 
 
-def _buckets(start: Column, end: Column, width: float) -> Column:
-    return F.explode(F.sequence(F.floor(start / width).cast("long"), F.floor(end / width).cast("long")))
+def _levels(intervals: DataFrame, start: str, end: str) -> tuple[DataFrame, list[int]]:
+    """``intervals`` with ``_level``, that of the least tree nodes they are no longer than, and the levels that there are."""
+    length = (F.col(end) - F.col(start)).cast("double")
+    level = F.greatest(F.lit(LEVELS[0]), F.ceil(F.log2(F.when(length > 0, length)) / 2) * 2).cast("int")
+    known = intervals.filter(F.col(end) >= F.col(start)).withColumn("_level", F.coalesce(level, F.lit(LEVELS[0])))
+    return known, sorted(r["_level"] for r in known.select("_level").distinct().collect())  # as many as LEVELS at most
+
+
+def stab(points: DataFrame, intervals: DataFrame, on: Column, *, session: str, t: str, start: str, end: str) -> DataFrame:
+    """Every (point, interval) of a session with start <= t <= end and ``on``, joined by equal nodes of a time tree.
+
+    A node of level l spans 2 ** l of time. An interval stands at the level of its length, on the two nodes
+    (three, where rounding moves one) that it reaches; a point asks its node of each level that intervals
+    stand on, a part of its path to the root. So rows of both sides are bounded by the number of levels
+    and not by length, and intervals of all lengths meet points close by only.
+    """
+    known, levels = _levels(intervals, start, end)
+    node = lambda c: F.floor(F.col(c).cast("double") / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
+    spread = known.withColumn("_node", F.explode(F.sequence(node(start), node(end)))).withColumnsRenamed({session: "_session", "_level": "_at", "_node": "_of"})
+    path = F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>"))
+    asked = points.withColumn("_level", path).withColumn("_node", node(t))
+    meet = (F.col(session) == F.col("_session")) & (F.col("_level") == F.col("_at")) & (F.col("_node") == F.col("_of"))
+    return asked.join(spread, meet & (F.col(t) >= F.col(start)) & (F.col(t) <= F.col(end)) & on).drop("_level", "_node", "_session", "_at", "_of")
 
 
-def interval_join(points: DataFrame, intervals: DataFrame, *, session: str = "session_id", t: str = "t", start: str = "t_start", end: str = "t_end", width: float, closed_at: str | None = None) -> DataFrame:
+def interval_join(points: DataFrame, intervals: DataFrame, *, session: str = "session_id", t: str = "t", start: str = "t_start", end: str = "t_end", closed_at: str | None = None) -> DataFrame:
     """Every (point, interval) of a session with start <= t < end.
 
-    ``closed_at`` names the column with the session's end: an interval that ends there holds its end
-    too. Intervals are spread over time buckets of ``width`` (about their usual length), so that the
-    join has equal keys and a long session does not meet itself row by row.
+    ``closed_at`` names the column with the session's end: an interval that ends there holds its end too.
     """
-    spread = intervals.withColumn("_bucket", _buckets(F.col(start), F.col(end), width)).withColumnRenamed(session, "_session")
-    held = points.withColumn("_bucket", F.floor(F.col(t) / width).cast("long"))
     right = F.col(t) < F.col(end)
     if closed_at:
         right = right | ((F.col(end) == F.col(closed_at)) & (F.col(t) == F.col(end)))
-    on = (F.col(session) == F.col("_session")) & (held["_bucket"] == spread["_bucket"]) & (F.col(t) >= F.col(start)) & right
-    return held.join(spread, on).drop("_bucket", "_session")
+    return stab(points, intervals, right, session=session, t=t, start=start, end=end)
 
 
-def overlap_join(a: DataFrame, b: DataFrame, *, session: str = "session_id", a_span: tuple[str, str], b_span: tuple[str, str], width: float, strict: bool = True) -> DataFrame:
+def overlap_join(a: DataFrame, b: DataFrame, *, session: str = "session_id", a_span: tuple[str, str], b_span: tuple[str, str], strict: bool = True) -> DataFrame:
     """Every pair of intervals of a session that overlap; touching ends count unless ``strict``.
 
-    Pairs meet in the bucket where the later of both starts lies, so each is found once.
+    The later of both starts lies in the other interval, so a pair is found once, as a point in an interval.
     """
     (a0, a1), (b0, b1) = a_span, b_span
-    x = a.withColumn("_bucket", _buckets(F.col(a0), F.col(a1), width))
-    y = b.withColumnRenamed(session, "_session").withColumn("_other", _buckets(F.col(b0), F.col(b1), width))
     meet = (F.col(a0) < F.col(b1)) & (F.col(b0) < F.col(a1)) if strict else (F.col(a0) <= F.col(b1)) & (F.col(b0) <= F.col(a1))
-    on = (F.col(session) == F.col("_session")) & (F.col("_bucket") == F.col("_other")) & meet & (F.col("_bucket") == F.floor(F.greatest(F.col(a0), F.col(b0)) / width))
-    return x.join(y, on).drop("_bucket", "_other", "_session")
+    meet = meet & (F.col(a0) <= F.col(a1)) & (F.col(b0) <= F.col(b1))
+    columns = [*a.columns, *[c for c in b.columns if c != session]]
+    later_a = stab(a, b, meet, session=session, t=a0, start=b0, end=b1).select(*columns)
+    later_b = stab(b, a, meet & (F.col(a0) < F.col(b0)), session=session, t=b0, start=a0, end=a1).select(*columns)
+    return later_a.unionByName(later_b)
 
 
-def min_gap(df: DataFrame, gap: Column, *, session: str = "session_id", t: str = "t", seq: str = "event_id") -> DataFrame:
+def min_gap(df: DataFrame, gap: Column, *, session: str = "session_id", t: str = "t", seq: str = "event_id", slice: float | None = None) -> DataFrame:
     """The rows kept by a throttle: the first of a session, and each that is ``gap`` or more after the last kept.
 
-    A time that goes back is kept. What is kept depends on what was kept before: rows are dealt and
-    sorted by session and folded in one pass, with one time as the state; no session is held as a whole.
+    What is kept depends on what was kept before: rows are dealt and sorted by session and folded in one
+    pass, with one time as the state; no session is held as a whole. With ``slice`` they are dealt by
+    (session, slice), and the state that enters a slice is found first; gaps should be well below it.
     """
+    if slice is not None:
+        return slices.throttled(df, gap, session=session, t=t, seq=seq, slice=slice)
     dealt = df.withColumn("_gap", gap.cast("double")).repartition(session).sortWithinPartitions(session, t, seq)
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,18 +160,17 @@ def sample_evenly(df: DataFrame, k: int, *, session: str = "session_id", order:
     return rows.filter((F.col("_n") <= k) | hit).drop("_at", "_n")
 
 
-def exclude_focused(ev: DataFrame, apps: list[str], *, session: str = "session_id", t: str = "t", seq: str = "event_id") -> DataFrame:
+def exclude_focused(ev: DataFrame, apps: list[str], *, session: str = "session_id", t: str = "t", seq: str = "event_id", slice: float | None = None) -> DataFrame:
     """Every row with ``excluded`` and ``unattributable``: whether an excluded app had focus at its time.
 
     Rows before a session's first focus change take that one's state; a session without any focus
     change is kept whole and marked.
     """
-    w = Window.partitionBy(session).orderBy(t, seq)
     focus = F.when(F.col("kind") == "focus_change", F.coalesce(F.lower("app").isin([a.strip().lower() for a in apps]), F.lit(False)))
-    so_far = F.last(focus, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(focus, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    state = F.coalesce(so_far, ahead)
-    return ev.withColumns({"excluded": F.coalesce(state, F.lit(False)), "unattributable": state.isNull()})
+    so_far = slices.carried(ev, {"_so_far": focus}, [seq], session=session, t=t, slice=slice)
+    both = slices.carried(so_far, {"_ahead": focus}, [seq], session=session, t=t, slice=slice, ahead=True)
+    state = F.coalesce("_so_far", "_ahead")
+    return both.withColumns({"excluded": F.coalesce(state, F.lit(False)), "unattributable": state.isNull()}).drop("_so_far", "_ahead")
 
 
 def exclusion_report(marked: DataFrame, *, session: str = "session_id") -> DataFrame:
@@ -158,22 +182,23 @@ def exclusion_report(marked: DataFrame, *, session: str = "session_id") -> DataF
     )
 
 
-def focus_context(ev: DataFrame, *, session: str = "session_id", t: str = "t", seq: str = "event_id") -> DataFrame:
+def _context(ev: DataFrame, url: Column, session: str, t: str, seq: str, slice: float | None) -> DataFrame:
+    focus = F.col("kind") == "focus_change"
+    rows = slices.carried(ev, {"focus_app": F.when(focus, F.col("app")), "_url": url}, [seq], session=session, t=t, slice=slice)
+    return rows.withColumn("focus_url", F.col("_url.url")).drop("_url")
+
+
+def focus_context(ev: DataFrame, *, session: str = "session_id", t: str = "t", seq: str = "event_id", slice: float | None = None) -> DataFrame:
     """Every row with ``focus_app`` and ``focus_url``: a focus change forgets the URL of the app before."""
-    w = Window.partitionBy(session).orderBy(t, seq).rowsBetween(Window.unboundedPreceding, 0)
-    era = F.sum((F.col("kind") == "focus_change").cast("int")).over(w)
-    rows = ev.withColumns({"focus_app": F.last(F.when(F.col("kind") == "focus_change", F.col("app")), ignorenulls=True).over(w), "_era": era})
-    inner = Window.partitionBy(session, "_era").orderBy(t, seq).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("focus_url", F.last(F.when(F.col("kind") == "url_change", F.col("url")), ignorenulls=True).over(inner)).drop("_era")
+    forgotten = F.struct(F.lit(None).cast("string").alias("url"))
+    url = F.when(F.col("kind") == "focus_change", forgotten).when((F.col("kind") == "url_change") & F.col("url").isNotNull(), F.struct("url"))
+    return _context(ev, url, session, t, seq, slice)
 
 
-def digest_context(ev: DataFrame, *, session: str = "session_id", t: str = "t", seq: str = "event_id") -> DataFrame:
+def digest_context(ev: DataFrame, *, session: str = "session_id", t: str = "t", seq: str = "event_id", slice: float | None = None) -> DataFrame:
     """As ``focus_context``, but a focus change may bring a URL, and a URL change inherits the app."""
-    w = Window.partitionBy(session).orderBy(t, seq).rowsBetween(Window.unboundedPreceding, 0)
-    focus = F.col("kind") == "focus_change"
-    rows = ev.withColumns({"focus_app": F.last(F.when(focus, F.col("app")), ignorenulls=True).over(w), "_era": F.sum(focus.cast("int")).over(w)})
-    inner = Window.partitionBy(session, "_era").orderBy(t, seq).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("focus_url", F.last(F.when(focus | (F.col("kind") == "url_change"), F.col("url")), ignorenulls=True).over(inner)).drop("_era")
+    url = F.when((F.col("kind") == "focus_change") | ((F.col("kind") == "url_change") & F.col("url").isNotNull()), F.struct("url"))
+    return _context(ev, url, session, t, seq, slice)
 
 
 def align_clocks(df: DataFrame, clocks: DataFrame, *, session: str = "session_id", device_t: str = "device_ms") -> DataFrame:
@@ -183,8 +208,8 @@ def align_clocks(df: DataFrame, clocks: DataFrame, *, session: str = "session_id
     return joined.withColumns({"t": F.col(device_t) + F.col("_offset"), "calibrated": F.col("_offset").isNotNull()}).drop("_offset")
 
 
-def exact_or_asof(left: DataFrame, exact: DataFrame, right: DataFrame, value: str, *, keys: list[str], session: str = "session_id", t: str = "t", seq: str = "event_id") -> DataFrame:
+def exact_or_asof(left: DataFrame, exact: DataFrame, right: DataFrame, value: str, *, keys: list[str], session: str = "session_id", t: str = "t", seq: str = "event_id", slice: float | None = None) -> DataFrame:
     """The value recorded for the very key, else the latest at or before."""
     own = left.join(exact.select(*keys, F.col(value).alias("_exact")), keys, "left")
-    found = asof(own, right, [value], session=session, t=t, seq=seq)
+    found = asof(own, right, [value], session=session, t=t, seq=seq, slice=slice)
     return found.select(*left.columns, F.coalesce("_exact", value).alias(value), F.col("_exact").isNotNull().alias("exact"))

@@ -260,7 +260,10 @@ def resolve(candidates: DataFrame, least: float = 0.25) -> DataFrame:
     """
     ceiling = F.create_map(*[F.lit(v) for pair in CEILINGS.items() for v in pair])
     trust = F.when(F.col("rung") == "path", F.least(F.lit(1.0), F.greatest(F.lit(0.55), 0.95 - 0.035 * (F.col("depth") - 1)))).otherwise(ceiling[F.col("rung")])
-    agree = F.when(F.col("recorded_area").isNull(), 1.0).otherwise(F.least("area", "recorded_area") / F.greatest("area", "recorded_area") * F.greatest(F.lit(0.0), 1 - F.col("centre_distance") / F.col("recorded_diagonal")))
+    # a box without area or diagonal agrees with nothing
+    shared = F.when(F.least("area", "recorded_area") > 0, F.least("area", "recorded_area") / F.greatest("area", "recorded_area"))
+    close = F.when(F.col("recorded_diagonal") > 0, F.greatest(F.lit(0.0), 1 - F.col("centre_distance") / F.col("recorded_diagonal")))
+    agree = F.when(F.col("recorded_area").isNull(), 1.0).otherwise(F.coalesce(shared * close, F.lit(0.0)))
     rows = candidates.withColumns({"ceiling": trust, "confidence": F.round(trust * agree, 6)}).filter(F.col("confidence") >= least)
     w = Window.partitionBy("want_id").orderBy(F.desc("ceiling"), F.desc("confidence"), "idx")
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("want_id", "rung", "idx", "confidence")

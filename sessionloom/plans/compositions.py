@@ -99,7 +99,7 @@ def region_job(spark, d):
     frames = fx.frames(ev)
     n = frames.select("frame_id", F.row_number().over(Window.partitionBy(F.col("session_id")).orderBy("frame_id")).alias("i"))
     elements = _boxes(spark, d).withColumnRenamed("frame_id", "i").join(n.withColumn("i", F.col("frame_id")), "i")
-    return library.region_job(frames, segs, ev, elements.drop("i"), width=W, size=(1920.0, 1080.0)).select("frame_id", "region_id", "source", F.round("priority", 6).alias("priority"))
+    return library.region_job(frames, segs, ev, elements.drop("i"), size=(1920.0, 1080.0)).select("frame_id", "region_id", "source", F.round("priority", 6).alias("priority"))
 
 
 def _elements(spark, d):

@@ -15,7 +15,7 @@ W = 24 * 3_600_000.0
 
 def _segments(ev):
     ends = segments.session_ends(ev)
-    return segments.segments(segments.boundaries(ev, ends, dwell_ms=fx.DWELL_MS, burst_ms=fx.BURST_MS)), ends
+    return segments.segments(segments.boundaries(ev, ends, dwell_ms=fx.DWELL_MS, burst_ms=fx.BURST_MS, slice=fx.SLICE_MS), slice=fx.SLICE_MS), ends
 
 
 def _with_end(segs):
@@ -66,13 +66,13 @@ SELECT event_id, session_id FROM f WHERE keep"""
 def throttle(spark, d):
     """Moves with a button down (here: k divides by three) pass the short gap, others the long one."""
     moves = fx.events(spark, d).filter("kind in ('mouse_move', 'scroll')")
-    return temporal.min_gap(moves, F.when(F.col("k") % 3 == 0, F.lit(12.0)).otherwise(F.lit(86400000.0))).select("event_id", "session_id")
+    return temporal.min_gap(moves, F.when(F.col("k") % 3 == 0, F.lit(12.0)).otherwise(F.lit(86400000.0)), slice=fx.SLICE_MS).select("event_id", "session_id")
 
 
 @query("f6_keyframe_budget", _greedy("SELECT * FROM ev WHERE event_id % 5 = 0", "172800000.0"))
 def keyframes(spark, d):
     frames = fx.frames(fx.events(spark, d)).withColumnRenamed("frame_id", "event_id")
-    return temporal.min_gap(frames, F.lit(172800000.0)).select("event_id", "session_id")
+    return temporal.min_gap(frames, F.lit(172800000.0), slice=fx.SLICE_MS).select("event_id", "session_id")
 
 
 @query("f7_even_sample", f"""WITH {fx.EV}, o AS (SELECT event_id, session_id, row_number() OVER (PARTITION BY session_id ORDER BY us, event_id) - 1 AS a, count(*) OVER (PARTITION BY session_id) AS n FROM ev),
@@ -88,13 +88,13 @@ m AS (SELECT *, coalesce(last_value(hit IGNORE NULLS) OVER (PARTITION BY session
 
 @query("f8_exclude_apps", f"WITH {_EXCLUDE} SELECT event_id, session_id FROM m WHERE NOT coalesce(s, false)")
 def exclude(spark, d):
-    return temporal.exclude_focused(fx.events(spark, d), ["App1 ", "app4"]).filter("not excluded").select("event_id", "session_id")
+    return temporal.exclude_focused(fx.events(spark, d), ["App1 ", "app4"], slice=fx.SLICE_MS).filter("not excluded").select("event_id", "session_id")
 
 
 @query("f8_exclusion_report", f"""WITH {_EXCLUDE} SELECT session_id, count(*) FILTER (WHERE NOT coalesce(s, false)) AS kept, count(*) FILTER (WHERE s) AS dropped,
   coalesce(string_agg(DISTINCT CASE WHEN s AND kind = 'focus_change' THEN app END, ',' ORDER BY CASE WHEN s AND kind = 'focus_change' THEN app END), '') AS apps, bool_or(s IS NULL) AS unattributable FROM m GROUP BY session_id""")
 def exclusion_report(spark, d):
-    return temporal.exclusion_report(temporal.exclude_focused(fx.events(spark, d), ["App1 ", "app4"]))
+    return temporal.exclusion_report(temporal.exclude_focused(fx.events(spark, d), ["App1 ", "app4"], slice=fx.SLICE_MS))
 
 
 @query("f9_volatile_labels", r"SELECT doc_id FROM (SELECT doc_id, text AS head FROM documents) WHERE NOT (regexp_matches(head, '[0-9]{1,2}:[0-9]{2}') OR regexp_matches(head, '\([ ]*[0-9]+[ ]*\)') OR regexp_matches(head, '^\s*[0-9.,]+\s*%?\s*$') OR regexp_matches(head, '\b[0-9]+\s+(unread|items?|messages?|results?|files?|photos?|selected)\b', 'i') OR regexp_matches(head, '\b(just now|[0-9]+\s+(seconds?|minutes?|hours?|days?)\s+ago)\b', 'i') OR regexp_matches(head, '\b[0-9]+\s*(KB|MB|GB|TB)\b', 'i') OR regexp_matches(head, '^\s*(Edited|Modified)\s*$'))")
@@ -126,7 +126,7 @@ SELECT event_id AS frame_id, seg_no::INTEGER AS seg_no FROM ev JOIN seg USING (s
 def frames_in_segments(spark, d):
     ev = fx.events(spark, d)
     segs, _ = _segments(ev)
-    return temporal.interval_join(fx.frames(ev), _with_end(segs), width=W, closed_at="session_end").select("frame_id", "seg_no")
+    return temporal.interval_join(fx.frames(ev), _with_end(segs), closed_at="session_end").select("frame_id", "seg_no")
 
 
 @query("j2_events_in_segments", f"""WITH {fx.EV}, {fx.SEG}, e AS (SELECT session_id, max(end_us) AS e FROM seg GROUP BY session_id)
@@ -134,7 +134,7 @@ SELECT session_id, seg_no::INTEGER AS seg_no, kind, count(*) AS n FROM ev JOIN s
 def events_in_segments(spark, d):
     ev = fx.events(spark, d)
     segs, _ = _segments(ev)
-    return temporal.interval_join(ev, _with_end(segs), width=W, closed_at="session_end").groupBy("session_id", "seg_no", "kind").agg(F.count("*").alias("n"))
+    return temporal.interval_join(ev, _with_end(segs), closed_at="session_end").groupBy("session_id", "seg_no", "kind").agg(F.count("*").alias("n"))
 
 
 @query("j3_asof", f"""WITH {fx.EV}, r AS (SELECT session_id, us, event_id AS mark FROM ev WHERE kind = 'focus_change')
@@ -142,7 +142,7 @@ SELECT event_id, (SELECT max_by(mark, (r.us, mark)) FROM r WHERE r.session_id =
 def asof(spark, d):
     ev = fx.events(spark, d)
     marks = ev.filter("kind = 'focus_change'").withColumn("mark", F.col("event_id"))
-    return temporal.asof(ev.filter("kind = 'key_down'").select("event_id", "session_id", "t"), marks, ["mark"]).select("event_id", "mark")
+    return temporal.asof(ev.filter("kind = 'key_down'").select("event_id", "session_id", "t"), marks, ["mark"], slice=fx.SLICE_MS).select("event_id", "mark")
 
 
 _FOCUS = f"""{fx.EV}, e AS (SELECT *, count(*) FILTER (WHERE kind = 'focus_change') OVER (PARTITION BY session_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS era FROM ev)
@@ -152,12 +152,12 @@ SELECT event_id, last_value(app IGNORE NULLS) OVER (PARTITION BY session_id ORDE
 
 @query("j4_focus_context", f"WITH {_FOCUS}")
 def focus_context(spark, d):
-    return temporal.focus_context(fx.events(spark, d)).select("event_id", "focus_app", "focus_url")
+    return temporal.focus_context(fx.events(spark, d), slice=fx.SLICE_MS).select("event_id", "focus_app", "focus_url")
 
 
 @query("j5_digest_context", f"WITH {_FOCUS}")
 def digest_context(spark, d):
-    return temporal.digest_context(fx.events(spark, d)).select("event_id", "focus_app", "focus_url")
+    return temporal.digest_context(fx.events(spark, d), slice=fx.SLICE_MS).select("event_id", "focus_app", "focus_url")
 
 
 @query("j6_window_bounds", f"""WITH {fx.EV} SELECT event_id, (SELECT max_by(x, (f.us, f.event_id)) FROM ev f WHERE f.session_id = ev.session_id AND f.us <= ev.us AND f.kind = 'focus_change' AND f.k % 2 = 0) AS bounds_x FROM ev WHERE event_id % 5 = 0""")
@@ -165,7 +165,7 @@ def window_bounds(spark, d):
     """The last focus change that has bounds (here: k is even)."""
     ev = fx.events(spark, d)
     bounds = ev.filter("kind = 'focus_change' and k % 2 = 0").withColumn("bounds_x", F.col("x"))
-    return temporal.asof(ev.filter("event_id % 5 = 0").select("event_id", "session_id", "t"), bounds, ["bounds_x"]).select("event_id", "bounds_x")
+    return temporal.asof(ev.filter("event_id % 5 = 0").select("event_id", "session_id", "t"), bounds, ["bounds_x"], slice=fx.SLICE_MS).select("event_id", "bounds_x")
 
 
 def _nearest(order: str) -> str:
@@ -177,7 +177,7 @@ SELECT event_id, frame_id, du / 1000.0::DOUBLE AS dt FROM (SELECT *, row_number(
 def nearest_frame(spark, d):
     ev = fx.events(spark, d)
     frames = fx.frames(ev).withColumn("event_id", F.col("frame_id"))
-    out = temporal.nearest(ev.filter("kind = 'bookmark'").select("event_id", "session_id", "t"), frames, "frame_id")
+    out = temporal.nearest(ev.filter("kind = 'bookmark'").select("event_id", "session_id", "t"), frames, "frame_id", slice=fx.SLICE_MS)
     return out.select("event_id", "frame_id", F.round("dt", 3).alias("dt"))
 
 
@@ -185,7 +185,7 @@ def nearest_frame(spark, d):
 def nearest_later(spark, d):
     ev = fx.events(spark, d)
     frames = fx.frames(ev).withColumn("event_id", F.col("frame_id"))
-    out = temporal.nearest(ev.filter("kind = 'bookmark'").select("event_id", "session_id", "t"), frames, "frame_id", prefer_later=True)
+    out = temporal.nearest(ev.filter("kind = 'bookmark'").select("event_id", "session_id", "t"), frames, "frame_id", prefer_later=True, slice=fx.SLICE_MS)
     return out.select("event_id", "frame_id", F.round("dt", 3).alias("dt"))
 
 
@@ -195,7 +195,7 @@ def exact_or_asof(spark, d):
     left = ev.filter("kind = 'bookmark'").select("event_id", "session_id", "t")
     exact = left.filter("event_id % 10 = 0").select("event_id", (-F.col("event_id")).alias("snap"))
     right = ev.filter("kind = 'scroll'").select("event_id", "session_id", "t", F.col("event_id").alias("snap"))
-    return temporal.exact_or_asof(left, exact, right, "snap", keys=["event_id"]).select("event_id", "snap", "exact")
+    return temporal.exact_or_asof(left, exact, right, "snap", keys=["event_id"], slice=fx.SLICE_MS).select("event_id", "snap", "exact")
 
 
 _CLIPS = "clip AS (SELECT conv_id AS session_id, turn AS clip_no, turn * 1000 AS c0, turn * 1000 + 1500 AS c1 FROM conversations), span AS (SELECT conv_id AS session_id, turn AS span_no, turn * 1300 AS s0, turn * 1300 + 1300 AS s1 FROM conversations)"
@@ -206,13 +206,13 @@ def overlap(spark, d):
     turns = fx.table(spark, d, "conversations")
     clip = turns.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("clip_no"), (F.col("turn") * 1000).alias("c0"), (F.col("turn") * 1000 + 1500).alias("c1"))
     span = turns.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("span_no"), (F.col("turn") * 1300).alias("s0"), (F.col("turn") * 1300 + 1300).alias("s1"))
-    return temporal.overlap_join(clip, span, a_span=("c0", "c1"), b_span=("s0", "s1"), width=2000.0).select("session_id", "clip_no", "span_no")
+    return temporal.overlap_join(clip, span, a_span=("c0", "c1"), b_span=("s0", "s1")).select("session_id", "clip_no", "span_no")
 
 
 @query("g1_boundaries", f"WITH {fx.EV}, {fx.SEG} SELECT session_id, us / 1000.0::DOUBLE AS t, reason FROM bnd")
 def bounds(spark, d):
     ev = fx.events(spark, d)
-    return segments.boundaries(ev, segments.session_ends(ev), dwell_ms=fx.DWELL_MS, burst_ms=fx.BURST_MS)
+    return segments.boundaries(ev, segments.session_ends(ev), dwell_ms=fx.DWELL_MS, burst_ms=fx.BURST_MS, slice=fx.SLICE_MS)
 
 
 @query("g2_session_ends", f"WITH {fx.EV} SELECT session_id, max(us) / 1000.0::DOUBLE AS t_end FROM ev GROUP BY session_id")
@@ -247,7 +247,7 @@ def typed(spark, d):
 
 @query("g11_boundary_triggers", _greedy(f"SELECT *, CASE WHEN kind IN ('focus_change', 'bookmark') THEN kind WHEN kind IN ('mouse_down', 'key_down', 'scroll') AND t - last_value(CASE WHEN kind IN ('mouse_down', 'key_down', 'scroll') THEN t END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= {fx.DWELL_MS} THEN 'dwell_resume' END AS reason FROM ev QUALIFY reason IS NOT NULL", f"{fx.BURST_MS}"))
 def triggers(spark, d):
-    return segments.boundary_triggers(fx.events(spark, d), settle_ms=fx.BURST_MS, dwell_ms=fx.DWELL_MS).select("event_id", "session_id")
+    return segments.boundary_triggers(fx.events(spark, d), settle_ms=fx.BURST_MS, dwell_ms=fx.DWELL_MS, slice=fx.SLICE_MS).select("event_id", "session_id")
 
 
 @query("g7_gestures")
@@ -261,7 +261,7 @@ def gestures(spark, d):
 p AS (SELECT *, CASE WHEN us - b > 86400000000 THEN 'dwell_gap' WHEN kind IN ('mouse_down', 'key_down', 'scroll') AND us - m > 28800000000 THEN 'burst_gap' END AS pause FROM l)
 SELECT session_id, CASE pause WHEN 'dwell_gap' THEN b ELSE m END / 1000.0::DOUBLE AS t_start, us / 1000.0::DOUBLE AS t_end, pause FROM p WHERE pause IS NOT NULL""")
 def pauses(spark, d):
-    return segments.pauses(fx.events(spark, d), dwell_ms=fx.DWELL_MS, burst_ms=fx.BURST_MS)
+    return segments.pauses(fx.events(spark, d), dwell_ms=fx.DWELL_MS, burst_ms=fx.BURST_MS, slice=fx.SLICE_MS)
 
 
 @query("g9_app_spans", f"""WITH {fx.EV}, e AS (SELECT session_id, max(us) AS e FROM ev GROUP BY session_id), f AS (SELECT session_id, app, us, lead(us) OVER (PARTITION BY session_id ORDER BY us, event_id) AS n FROM ev WHERE kind = 'focus_change')

@@ -43,7 +43,7 @@ bh AS (SELECT session_id, seg_no::INTEGER AS seg_no, dim::INTEGER AS dim, round(
 @query("a1_behaviour", f"WITH {_BEHAVIOUR} SELECT * FROM bh")
 def behaviour(spark, d):
     ev = fx.events(spark, d)
-    out = features.behaviour(ev, _segments(ev)[0], width=W)
+    out = features.behaviour(ev, _segments(ev)[0])
     return out.select("session_id", "seg_no", F.posexplode("v").alias("dim", "value")).select("session_id", "seg_no", "dim", (F.round("value", 6) + 0.0).alias("value"))
 
 
@@ -51,7 +51,7 @@ def behaviour(spark, d):
 def sessions_like_this(spark, d):
     """Behaviour vectors of all segments, averaged by session, and the five nearest of every session whose id divides by 50."""
     ev = fx.events(spark, d)
-    vecs = features.behaviour(ev, _segments(ev)[0], width=W)
+    vecs = features.behaviour(ev, _segments(ev)[0])
     mean = vecs.groupBy("session_id").agg(F.array(*[F.round(F.avg(F.round(F.col("v")[i], 6)), 5) for i in range(12)]).alias("v")).select(F.col("session_id").alias("id"), "v")
     ensure_checkpoint_dir(spark)
     mean = mean.checkpoint()  # both sides of the search read it
@@ -66,7 +66,7 @@ def digest(spark, d):
     context = temporal.focus_context(ev).select("session_id", "t", "event_id", F.col("focus_app").alias("app"), F.col("focus_url").alias("url"))
     ev = ev.withColumn("title", F.when(F.col("k") % 3 == 0, F.concat(F.lit("Page "), (F.col("k") % 7).cast("string"))))
     labels = ev.filter("kind = 'mouse_down' and k % 4 = 0").select("session_id", "event_id", F.concat(F.lit("Button "), (F.col("k") % 5).cast("string")).alias("label"))
-    return features.digest(ev, segs, width=W, focus=temporal.asof(starts, context, ["app", "url"], strict=True), clicked=labels)
+    return features.digest(ev, segs, focus=temporal.asof(starts, context, ["app", "url"], strict=True), clicked=labels)
 
 
 @query("a3_bucket_counts", f"WITH {_TOTAL}, {_AXIS}, n AS (SELECT session_id, {_IDX} AS bucket, count(*) AS n FROM ev JOIN tot USING (session_id) GROUP BY ALL) SELECT session_id, bucket, coalesce(n, 0) AS n FROM ax LEFT JOIN n USING (session_id, bucket)")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 DWELL_MS, BURST_MS = 24 * 3_600_000.0, 8 * 3_600_000.0
+#: Sessions are folded by slices of thirty days.
+SLICE_MS = 30 * 24 * 3_600_000.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +23,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, session_id, us, t, kind, app, url, x, y, k of every event; a session is a user."""
     k = F.get_json_object("props", "$.k").cast("int")
     rows = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("session_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_type", "value", k.alias("k"))
-    us = F.col("at") - F.min("at").over(Window.partitionBy("session_id"))
+    rows = rows.join(rows.groupBy("session_id").agg(F.min("at").alias("first_at")), "session_id")
+    us = F.col("at") - F.col("first_at")
     kind = (
         F.when(F.col("event_type") == "view", "focus_change")
         .when(F.col("event_type") == "signup", "bookmark")

@@ -3,13 +3,14 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.functions import text
-from sessionloom.operators import evaluate, features, fusion, hierarchy, library, routes, segments, spatial, temporal, traces, vectors
+from sessionloom.operators import density, evaluate, features, fusion, hierarchy, library, routes, segments, spatial, temporal, traces, vectors
 from sessionloom.plans.catalog import QUERIES as PLANS
 from sessionloom.sources import tables
 
@@ -33,7 +34,7 @@ def test_boundaries_by_hand(spark):
 def test_last_segment_holds_its_end(spark):
     ev = events(spark, [("a", 0, "focus_change"), ("a", 10, "bookmark"), ("a", 20, "scroll")])
     segs = segments.segments(segments.boundaries(ev, segments.session_ends(ev)))
-    got = sorted((r.event_id, r.seg_no) for r in features.events_in_segments(ev, segs, width=7.0).collect())
+    got = sorted((r.event_id, r.seg_no) for r in features.events_in_segments(ev, segs).collect())
     assert got == [(0, 1), (1, 2), (2, 2)]
 
 
@@ -210,7 +211,7 @@ def test_overlap_join_finds_each_pair_once(spark):
     spans = lambda n: [("s", i, *sorted((rng.randint(0, 60), rng.randint(0, 60)))) for i in range(n)]
     a, b = spans(25), spans(25)
     for strict in (True, False):
-        got = sorted((r.i, r.j) for r in temporal.overlap_join(spark.createDataFrame(a, "session_id string, i int, a0 int, a1 int"), spark.createDataFrame(b, "session_id string, j int, b0 int, b1 int"), a_span=("a0", "a1"), b_span=("b0", "b1"), width=9.0, strict=strict).collect())
+        got = sorted((r.i, r.j) for r in temporal.overlap_join(spark.createDataFrame(a, "session_id string, i int, a0 int, a1 int"), spark.createDataFrame(b, "session_id string, j int, b0 int, b1 int"), a_span=("a0", "a1"), b_span=("b0", "b1"), strict=strict).collect())
         assert got == sorted((i, j) for _, i, x, y in a for _, j, u, v in b if (x < v and u < y if strict else x <= v and u <= y))
 
 
@@ -239,6 +240,51 @@ def test_fuse_matches_a_loop(spark):
     assert {(r.frame_id, r.region_id, r.priority) for r in spatial.fuse(df, threshold=0.3, most=4).collect()} == want
 
 
+def test_a_frame_of_many_regions_is_folded_by_cells(spark):
+    rng = random.Random(15)
+    rows = [(0, i, rng.choice(["ax", "grid"]), float(rng.randint(0, 3)), float(rng.randint(-50, 1500)), float(rng.randint(0, 900)), rng.choice([0.0, 5.0, 30.0, 31.0, 200.0]), rng.choice([3.0, 28.0, 160.0])) for i in range(900)]
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r[3], r[1])):
+        hit = next((k for k in kept if iou(k[4:], r[4:]) > 0.3), None)
+        if hit is None:
+            kept.append(list(r))
+        elif hit[2] != r[2]:
+            hit[3] += 1.5
+    df = spark.createDataFrame(rows, "frame_id int, region_id int, source string, priority double, x double, y double, w double, h double")
+    assert sorted((r.region_id, r.priority) for r in spatial.fuse(df, threshold=0.3, most=10_000).collect()) == sorted((k[1], k[3]) for k in kept)
+    many = spark.range(50_000).select(F.lit(1).alias("frame_id"), F.col("id").alias("region_id"), F.lit("ax").alias("source"), F.lit(1.0).alias("priority"), (F.col("id") % 250 * 8.0).alias("x"), (F.floor(F.col("id") / 250) * 6.0).alias("y"), F.lit(8.5).alias("w"), F.lit(6.5).alias("h"))
+    began = time.time()
+    assert spatial.collapse(many, 0.5).count() == 50_000 and time.time() - began < 60
+
+
+def test_a_dense_cell_makes_no_pairs(spark):
+    # 100,000 points in one cell and 30,000 in the next one, none of which is near; a light point between two clusters
+    dense = spark.range(100_000).select(F.lit(1).alias("frame_id"), F.col("id").alias("point_id"), (F.rand(3) * 5).alias("x"), (F.rand(4) * 5).alias("y"), F.lit(1.0).alias("weight"))
+    apart = spark.range(30_000).select(F.lit(1).alias("frame_id"), (F.col("id") + 200_000).alias("point_id"), (12.6 + F.rand(5)).alias("x"), (F.rand(6) * 5).alias("y"), F.lit(1.0).alias("weight"))
+    single = spark.createDataFrame([(1, 900_000, 14.5, 14.9, 0.1), (1, 900_001, 99.0, 99.0, 0.1)], "frame_id int, point_id long, x double, y double, weight double")
+    began = time.time()
+    found = density.dbscan(dense.unionByName(apart).unionByName(single), eps=10.0).groupBy("cluster").count().collect()
+    assert time.time() - began < 60 and {r.cluster: r["count"] for r in found} in ({0: 130_000, -1: 2}, {0: 130_001, -1: 1})
+    far = apart.withColumn("x", F.col("x") + 10)
+    found = density.dbscan(dense.unionByName(far), eps=10.0).groupBy("cluster").count().collect()
+    assert {r.cluster: r["count"] for r in found} == {0: 100_000, 1: 30_000}
+
+
+def test_tree_search_between_cells_matches_all_pairs():
+    rng = np.random.default_rng(3)
+    for i in range(60):
+        a, b = rng.integers(0, 100, (rng.integers(1, 300), 2)).astype(float), rng.integers(0, 100, (rng.integers(1, 300), 2)).astype(float) + [rng.integers(60, 200), 0]
+        d = ((a[:, None] - b[None]) ** 2).sum(2).min()
+        for eps2 in (d - 1, d, d + 1):
+            assert density.any_within(a, b, eps2) == (d <= eps2)
+
+
+def test_boxes_without_area_agree_with_nothing(spark):
+    rows = [(1, "identifier", 7, 1, 0.0, 0.0, 0.0, 0.0), (1, "point", 8, 1, 5.0, None, 0.0, 1.0), (2, "label", 9, 1, 5.0, 5.0, 0.0, 0.0), (3, "label", 4, 1, 5.0, 5.0, 0.0, 10.0)]
+    df = spark.createDataFrame(rows, "want_id int, rung string, idx int, depth int, area double, recorded_area double, centre_distance double, recorded_diagonal double")
+    assert {r.want_id: r.rung for r in traces.resolve(df).collect()} == {1: "point", 3: "label"}
+
+
 def test_dbscan_matches_a_loop(spark):
     rng, rows = random.Random(6), []
     for f in range(6):
@@ -391,7 +437,7 @@ def test_digest_matches_a_loop(spark):
     segs = spark.createDataFrame([(s, 1, 0.0, 100.0) for s in want], "session_id string, seg_no int, t_start double, t_end double")
     focus = spark.createDataFrame([(f"s{s}", 1, "App0", "https://a.example/x", "Start") for s in range(0, 30, 3)], "session_id string, seg_no int, app string, url string, title string")
     typed = spark.createDataFrame([(s, 1, t) for s, (_, t) in want.items() if t], "session_id string, seg_no int, typed string")
-    got = features.digest(ev.drop("label"), segs, width=50.0, focus=focus, typed=typed, clicked=ev.filter("label is not null").select("session_id", "event_id", "label")).collect()
+    got = features.digest(ev.drop("label"), segs, focus=focus, typed=typed, clicked=ev.filter("label is not null").select("session_id", "event_id", "label")).collect()
     assert {r.session_id: r.digest for r in got} == {s: d for s, (d, _) in want.items()}
 
 
@@ -490,8 +536,8 @@ def test_region_jobs_fuse_their_sources(spark):
     segs = spark.createDataFrame([("s", "long", 0.0, 9000.0), ("s", "short", 400.0, 600.0)], "session_id string, segment_id string, t_start double, t_end double")
     ev = spark.createDataFrame([("s", i, 450.0 + i, "mouse_down", 700.0 + i, 500.0, None, None) for i in range(12)], "session_id string, event_id long, t double, kind string, x double, y double, app string, url string")
     el = spark.createDataFrame([(1, 7, "button", "Save", True, 100.0, 100.0, 200.0, 100.0)], "frame_id long, region_id long, role string, label string, focused boolean, x double, y double, w double, h double")
-    assert {r.frame_id: r.segment_id for r in library.primary_segments(frames, segs, width=1000.0).collect()} == {1: "short", 2: "long"}
-    out = library.region_job(frames, segs, ev, el, width=1000.0, size=(1920.0, 1080.0)).collect()
+    assert {r.frame_id: r.segment_id for r in library.primary_segments(frames, segs).collect()} == {1: "short", 2: "long"}
+    out = library.region_job(frames, segs, ev, el, size=(1920.0, 1080.0)).collect()
     seen = {f: {r.region_id.split(":")[0] for r in out if r.frame_id == f} for f in (1, 2)}
     assert "ax:7" in {r.region_id for r in out if r.frame_id == 1} and "hot" in seen[1] and "grid" in seen[2] and "ax" not in seen[2]
     boxes = [(r.frame_id, r.x, r.y, r.w, r.h) for r in out]
