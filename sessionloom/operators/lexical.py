@@ -1,4 +1,4 @@
-"""Lexical search: postings and BM25 (k1 = 1.2, b = 0.75)."""
+"""Lexical search: postings and BM25 (k1 = 1.2, b = 0.75) over a table; ``inverted`` has the same over a stored index."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sessionloom.functions import text
+from sessionloom.operators.inverted import InvertedIndex
 from sessionloom.operators.vectors import top
 
 
@@ -38,15 +39,21 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, *, k1: float = 1.2, b: flo
     return top(scored, k, F.desc("score"), F.asc("id")).select("query_id", "rank", "id", "score")
 
 
-def label_search(regions: DataFrame, queries: DataFrame, frames: DataFrame, k: int) -> DataFrame:
+def label_names(regions: DataFrame, frames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The given frames' regions with ``name`` (role and label), and id, text of each distinct name."""
+    names = regions.join(frames.select("frame_id").distinct(), "frame_id", "left_semi").withColumn("name", F.concat_ws(" ", "role", "label"))
+    return names, names.groupBy("name").agg(F.min("id").alias("id")).select("id", F.col("name").alias("text"))
+
+
+def label_search(regions: DataFrame, queries: DataFrame, frames: DataFrame, k: int, index: InvertedIndex | None = None) -> DataFrame:
     """query_id, region_id, rank: regions of the given frames whose role and label match, by BM25.
 
-    Regions of one role and label share a rank. ``regions``: id, frame_id, role, label.
+    Regions of one role and label share a rank. ``regions``: id, frame_id, role, label. ``index`` has the
+    distinct names, if they were stored before.
     """
-    inside = regions.join(frames.select("frame_id").distinct(), "frame_id", "left_semi")
-    names = inside.withColumn("name", F.concat_ws(" ", "role", "label"))
-    distinct = names.groupBy("name").agg(F.min("id").alias("id")).select("id", F.col("name").alias("text"), "name")
-    found = bm25(distinct.select("id", "text"), queries, 2**31 - 1).join(distinct.select("id", "name"), "id")
+    names, distinct = label_names(regions, frames)
+    hits = bm25(distinct, queries, 2**31 - 1) if index is None else index.search(queries, k, ties=True)
+    found = hits.join(distinct.select("id", F.col("text").alias("name")), "id")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "name")
     ranked = found.withColumn("rank", F.dense_rank().over(w)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "name", "score").join(names.select(F.col("id").alias("region_id"), "frame_id", "name"), "name").select("query_id", "region_id", "frame_id", "rank", "score")

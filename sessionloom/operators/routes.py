@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 from pyspark.sql.window import Window
 
 from sessionloom.sources.tables import ensure_checkpoint_dir
@@ -35,18 +36,21 @@ def frequent_routes(walked: DataFrame) -> DataFrame:
     return g
 
 
-def lcs(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays."""
-    start = F.array_repeat(F.lit(0), (F.size(b) + 1).cast("int"))
-
-    def row(prev: Column, x: Column) -> Column:
-        def cell(cur: Column, j: Column) -> Column:
-            best = F.when(F.element_at(b, j) == x, F.element_at(prev, j) + 1).otherwise(F.greatest(F.element_at(prev, j + 1), F.element_at(cur, j)))
-            return F.concat(cur, F.array(best))
-
-        return F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)), cell)
-
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(F.aggregate(a, start, row), -1))
+@F.pandas_udf(IntegerType())
+def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence of two arrays: a row of the table is one whole number, a bit a place."""
+    out = []
+    for x, y in zip(a, b, strict=True):
+        at: dict = {}
+        for i, p in enumerate(x):
+            at[p] = at.get(p, 0) | 1 << i
+        full = (1 << len(x)) - 1
+        row = full
+        for p in y:
+            met = row & at.get(p, 0)
+            row = (row + met | row - met) & full
+        out.append(len(x) - row.bit_count())
+    return pd.Series(out, dtype="int32")
 
 
 def similarity(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -83,21 +87,47 @@ def compatible_pairs(routes: DataFrame, *, rule: str = "insertions", budget: int
 
     Insertions need equal first and last places: the longer route, with as many places left out in
     between as the budget allows, is the shorter one, so pairs meet by an equal join on what is left.
-    A route of n places has about n ** budget such forms. The other rules need some place in common,
-    so they meet on places.
+    A route of n places has about n ** budget such forms. The other rules are joins of sets: see ``alike``.
     """
     one = routes.select("route_key", "places")
-    side = lambda p, *extra: one.select(F.col("route_key").alias(f"{p}_key"), F.col("places").alias(p), *extra)
     if rule == "exact":
         return routes.select(F.col("route_key").alias("a_key"), F.col("route_key").alias("b_key")).filter(F.lit(False))
     if rule == "insertions":
         held = one.select(F.col("route_key").alias("long"), F.explode(shortened(F.col("places"), budget)).alias("form"))
         met = held.join(one.select(F.col("route_key").alias("short"), F.col("places").alias("form")), "form").filter("long <> short")
         return met.select(F.least("long", "short").alias("a_key"), F.greatest("long", "short").alias("b_key")).distinct()
-    met = side("a", F.explode(F.array_distinct("places")).alias("p")).join(side("b", F.explode(F.array_distinct("places")).alias("p")), "p").filter("a_key < b_key").dropDuplicates(["a_key", "b_key"])
+    met = alike(one, "dice" if rule == "lcs" else "jaccard", least)
     return similarity(met).filter(F.col("lcs_ratio" if rule == "lcs" else "jaccard") >= least).select("a_key", "b_key")
 
 
+def alike(routes: DataFrame, measure: str, least: float) -> DataFrame:
+    """a_key, b_key, a, b: the pairs of routes that may reach ``least``, a set join by prefixes.
+
+    Places are put in order from the rarest to the most common; for the longest common subsequence ("dice",
+    twice the common part over both lengths) a place's n-th visit is an element of its own, for "jaccard"
+    places are distinct. Two sets that alike share one of the few rarest elements of each (its prefix), so
+    only these are posted; lengths that differ too much, and elements after which too little is left to
+    share, do not meet.
+    """
+    share = {"jaccard": least / (1 + least), "dice": least / 2}[measure]  # of both sizes, what must be common
+    seen = F.transform("places", lambda p, i: F.struct(p.alias("p"), F.size(F.filter(F.slice("places", 1, i), lambda q: q == p)).alias("n")))
+    elements = F.transform(F.array_distinct("places"), lambda p: F.struct(p.alias("p"), F.lit(0).alias("n"))) if measure == "jaccard" else seen
+    each = routes.select("route_key", F.explode(elements).alias("e"))
+    rarity = each.groupBy("e").agg(F.count("*").alias("uses"))
+    ordered = each.join(rarity, "e").groupBy("route_key").agg(F.array_sort(F.collect_list(F.struct("uses", "e"))).alias("es"))
+    size = F.size("es")
+    # the least that any partner must share: the smallest partner has size * ratio elements
+    ratio = least if measure == "jaccard" else least / (2 - least)
+    prefix = F.least(size, F.greatest(F.lit(1), size - F.ceil(size * ratio - 1e-9) + 1)).cast("int")
+    posted = ordered.select("route_key", size.alias("size"), F.posexplode(F.slice("es", F.lit(1), prefix)).alias("at", "e")).select("route_key", "size", "at", F.col("e.e").alias("e"))
+    side = lambda p: posted.select("e", F.col("route_key").alias(f"{p}_key"), F.col("size").alias(f"{p}_size"), F.col("at").alias(f"{p}_at"))
+    need = (F.col("a_size") + F.col("b_size")) * share - 1e-9
+    met = side("a").join(side("b"), "e").filter((F.col("a_key") < F.col("b_key")) & (F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * ratio - 1e-9))
+    met = met.filter(F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at")) >= need).select("a_key", "b_key").distinct()
+    places = lambda p: routes.select(F.col("route_key").alias(f"{p}_key"), F.col("places").alias(p))
+    return met.join(places("a"), "a_key").join(places("b"), "b_key")
+
+
 def _families(keys: DataFrame, pairs: DataFrame) -> DataFrame:
     """route_key, family: least key that compatible pairs lead to, spreading along links and along what neighbours know."""
     ensure_checkpoint_dir(keys.sparkSession)

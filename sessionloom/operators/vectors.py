@@ -36,9 +36,9 @@ def against_all(queries: DataFrame, base: DataFrame, key: str = "id") -> DataFra
     return dealt.join(queries.withColumn("_lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long")))), "_lane").drop("_lane")
 
 
-def top(df: DataFrame, k: int, *order: Column, group: str = "query_id") -> DataFrame:
+def top(df: DataFrame, k: int, *order: Column, group: str = "query_id", rank: Column | None = None) -> DataFrame:
     """The first k rows of each group with ``rank``; Spark cuts each task's rows to k before the shuffle."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("rank") <= k)
+    return df.withColumn("rank", (F.row_number() if rank is None else rank).over(Window.partitionBy(group).orderBy(*order))).filter(F.col("rank") <= k)
 
 
 def knn(queries: DataFrame, base: DataFrame, k: int, *, skip_self: bool = False, scope: DataFrame | None = None) -> DataFrame:

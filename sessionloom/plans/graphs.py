@@ -80,11 +80,11 @@ def clusters(spark, d):
 
 @query("e4_rule_sweep")
 def rule_sweep(spark, d):
-    """Clusters under each rule, on the routes that two sessions share."""
+    """Clusters under each rule, on all routes."""
     ensure_checkpoint_dir(spark)
-    r = _routes(spark, d).filter("n_sessions > 1").checkpoint()
+    r = _routes(spark, d).checkpoint()
     out = None
-    for name, rule in (("exact", {"rule": "exact"}), ("insertions 1", {"budget": 1}), ("insertions 2", {"budget": 2}), ("jaccard", {"rule": "jaccard", "least": 0.9})):
+    for name, rule in (("exact", {"rule": "exact"}), ("insertions 1", {"budget": 1}), ("insertions 2", {"budget": 2}), ("jaccard", {"rule": "jaccard", "least": 0.9}), ("lcs", {"rule": "lcs", "least": 0.9})):
         one = routes.cluster_routes(r, **rule).agg(F.lit(name).alias("rule"), F.countDistinct("canonical").alias("clusters"), F.count("*").alias("routes"))
         out = one if out is None else out.unionByName(one)
     return out

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from sessionloom.functions import text
-from sessionloom.operators import evaluate, fusion, lexical, vectors
+from sessionloom.operators import codes, evaluate, fusion, inverted, lexical, vectors
 from sessionloom.plans.registry import query
 from sessionloom.sources import fixtures as fx
+from sessionloom.sources.tables import shared_dir
 
 
 def _base(spark, d):
@@ -32,7 +35,7 @@ def knn(spark, d):
 @query("t2_ann")
 def ann(spark, d):
     base = _base(spark, d)
-    return vectors.ann(_queries(base), base, 10)
+    return codes.ProductCodes(base).search(_queries(base), 10)
 
 
 def _patches(spark, d):
@@ -105,9 +108,21 @@ def _lexical(spark, d):
     return docs, asked
 
 
+def _index(spark, d, name, docs):
+    """The stored index of one table: written by the first query of the application that asks, read by the others."""
+    place = hashlib.sha256(f"{d}/{name}".encode()).hexdigest()[:16]
+    found = inverted.InvertedIndex(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/index-{name}-{place}")
+    found.append(docs, "all")
+    return found
+
+
+def _texts(spark, d):
+    return _index(spark, d, "documents", _lexical(spark, d)[0])
+
+
 @query("t8_bm25", f"WITH {_BM} SELECT query_id, rank, id, score FROM bm WHERE rank <= 10")
 def bm25(spark, d):
-    return lexical.bm25(*_lexical(spark, d), 10)
+    return _texts(spark, d).search(_lexical(spark, d)[1], 10)
 
 
 _NAME = "lower(concat_ws(' ', p_brand, p_name))"
@@ -125,7 +140,8 @@ def labels(spark, d):
     cols = part.columns
     regions = part.select(F.col(cols[0]).alias("id"), (F.col(cols[0]) % 50).alias("frame_id"), F.lower(F.col(cols[2])).alias("role"), F.lower(F.col(cols[1])).alias("label"))
     asked = regions.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.concat_ws(" ", "role", "label").alias("text"))
-    return lexical.label_search(regions, asked, regions.select("frame_id"), 5)
+    names = _index(spark, d, "labels", lexical.label_names(regions, regions)[1])
+    return lexical.label_search(regions, asked, regions.select("frame_id"), 5, names)
 
 
 _LISTS = f"{_BM}, lens AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY l, id)::INTEGER AS rank, id FROM bm JOIN len USING (id) WHERE rank <= 30), lists AS (SELECT query_id, 'words' AS lane, id, rank FROM bm WHERE rank <= 30 UNION ALL SELECT query_id, 'short', id, rank FROM lens)"
@@ -133,8 +149,9 @@ _LISTS = f"{_BM}, lens AS (SELECT query_id, row_number() OVER (PARTITION BY quer
 
 def _lists(spark, d):
     docs, asked = _lexical(spark, d)
-    words = lexical.bm25(docs, asked, 30)
-    short = vectors.top(words.join(docs.select("id", F.size(text.tokens(F.col("text"))).alias("l")), "id").drop("rank", "score"), 30, F.asc("l"), F.asc("id"))
+    index = _texts(spark, d)
+    words = index.search(asked, 30).checkpoint()  # both lists read it
+    short = vectors.top(words.join(index.documents().withColumnRenamed("len", "l"), "id").drop("rank", "score"), 30, F.asc("l"), F.asc("id"))
     return words.select("query_id", F.lit("words").alias("lane"), "id", "rank").unionByName(short.select("query_id", F.lit("short").alias("lane"), "id", "rank"))
 
 
@@ -182,7 +199,7 @@ def rerank(spark, d):
 
 @query("t19_tied", f"WITH {_BM} SELECT query_id, count(*) >= 2 AND min(score) = max(score) AS tied FROM bm WHERE rank <= 3 GROUP BY query_id")
 def tied(spark, d):
-    return fusion.tied(lexical.bm25(*_lexical(spark, d), 3))
+    return fusion.tied(_texts(spark, d).search(_lexical(spark, d)[1], 3))
 
 
 @query("t22_empty_results", "WITH q AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'a' ELSE 'b' END AS ns FROM benchmark) SELECT query_id, CASE WHEN query_id % 3 = 0 THEN 'no frames linked' WHEN ns = 'b' THEN 'other namespace' ELSE 'nothing found' END AS diagnosis FROM q WHERE NOT (query_id % 3 = 0 AND query_id % 5 = 0)")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.functions import text
-from sessionloom.operators import density, evaluate, features, fusion, hierarchy, library, routes, segments, spatial, temporal, traces, vectors
+from sessionloom.operators import codes, density, evaluate, features, fusion, hierarchy, library, routes, segments, spatial, temporal, traces, vectors
 from sessionloom.plans.catalog import QUERIES as PLANS
 from sessionloom.sources import tables
 
@@ -350,6 +350,30 @@ def test_route_similarity_and_clusters_match_loops(spark):
         assert {tuple(r) for r in routes.compatible_pairs(df, budget=budget).collect()} == {(min(a[0], b[0]), max(a[0], b[0])) for a, b in itertools.combinations(rows, 2) if near(a[1], b[1])}
 
 
+def test_alike_routes_match_all_pairs(spark):
+    rng = random.Random(17)
+    shapes = {tuple(rng.choice("abcdefgh"[: rng.choice([2, 4, 8])]) for _ in range(rng.randint(1, 9))) for _ in range(150)}
+    rows = [("-".join(p), list(p), 1) for p in sorted(shapes)]
+    df = spark.createDataFrame(rows, "route_key string, places array<string>, n_sessions int")
+    dice = lambda a, b: 2 * naive_lcs(a, b) / (len(a) + len(b))
+    jaccard = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    for rule, f in (("lcs", dice), ("jaccard", jaccard)):
+        for least in (0.5, 0.8, 1.0):
+            want = {(min(a[0], b[0]), max(a[0], b[0])) for a, b in itertools.combinations(rows, 2) if f(a[1], b[1]) >= least}
+            assert {tuple(r) for r in routes.compatible_pairs(df, rule=rule, least=least).collect()} == want
+    # few kinds of places don't make all pairs meet: no two of these are alike
+    few = [(str(i), list(f"{i:011b}"), 1) for i in range(0, 2048, 37)]
+    apart = spark.createDataFrame(few, "route_key string, places array<string>, n_sessions int")
+    assert routes.alike(apart, "dice", 0.95).count() < len(few) * (len(few) - 1) / 4
+
+
+def test_long_routes_in_words_of_bits(spark):
+    rng = random.Random(18)
+    pairs = [([rng.choice("abc") for _ in range(rng.randint(0, 150))], [rng.choice("abc") for _ in range(rng.randint(0, 150))]) for _ in range(20)]
+    got = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<string>, b array<string>").select("i", routes.lcs("a", "b").alias("n")).collect()
+    assert all(r.n == naive_lcs(*pairs[r.i]) for r in got)
+
+
 def test_habits_by_hand(spark):
     habits = spark.createDataFrame([("h1", "r1", ["1", "2"]), ("h2", "old", ["3", "4", "5"]), ("h3", "old", ["1", "2"]), ("h4", "old", ["9"])], "habit_id string, route_key string, sessions array<string>")
     live = spark.createDataFrame([("r1", ["1", "2", "7"]), ("r2", ["3", "4"]), ("r3", ["1", "2"])], "route_key string, sessions array<string>")
@@ -574,6 +598,39 @@ def test_approximate_neighbours_as_registered(spark, sf):
     assert exact and len(exact & found) >= 0.9 * len(exact)
 
 
+def test_product_codes_by_recall_and_share(spark):
+    for sf, least in (("sf0.01", 0.97), ("sf0.1", 0.95)):
+        base = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+        asked = base.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "v")
+        exact = {(r.query_id, r.id) for r in vectors.knn(asked, base, 11).collect() if r.query_id != r.id}
+        found = {(r.query_id, r.id) for r in codes.ProductCodes(base).search(asked, 11).collect() if r.query_id != r.id}
+        assert len(exact & found) >= least * len(exact) and 80 / base.count() < 0.2
+
+
+def test_product_codes_are_exact_where_all_is_compared(spark):
+    rng = np.random.default_rng(4)
+    base = spark.createDataFrame([(i, [float(x) for x in rng.integers(0, 4, 6)]) for i in range(120)] + [(900, None)], "id long, v array<double>")
+    asked = spark.createDataFrame([(1, [0.0] * 6), (2, [1.5] * 6), (3, None)], "query_id int, v array<double>")
+    for kw in ({}, {"cells": 3, "subspaces": 4, "codewords": 8}):
+        pc = codes.ProductCodes(base, **kw)
+        want = [tuple(r) for r in vectors.knn(asked.filter("v is not null"), base.filter("v is not null"), 9).orderBy("query_id", "rank").collect()]
+        assert [tuple(r) for r in pc.search(asked, 9, rerank=120).orderBy("query_id", "rank").collect()] == want  # ties to the smaller id
+        assert pc.coded.count() == 120 and pc.coded.select(F.max(F.length("code"))).first()[0] <= 6
+        again = codes.ProductCodes(base.repartition(3), **kw)
+        assert sorted(map(tuple, again.coded.collect())) == sorted(map(tuple, pc.coded.collect()))
+    assert codes.ProductCodes(base.limit(0)).search(asked, 3).isEmpty()
+    assert pc.search(asked.limit(0), 3).isEmpty()
+
+
+def test_product_codes_in_lanes(spark, monkeypatch):
+    monkeypatch.setattr(codes, "LANE_ROWS", 30)
+    base = spark.range(100).select("id", F.array(F.col("id").cast("double"), (F.col("id") % 7).cast("double")).alias("v"))
+    asked = spark.createDataFrame([(1, [50.2, 3.0])], "query_id int, v array<double>")
+    pc = codes.ProductCodes(base, cells=2)
+    assert pc.coded.select("lane").distinct().count() == 4
+    assert [r.id for r in pc.search(asked, 3, rerank=20).orderBy("rank").collect()] == [r.id for r in vectors.knn(asked, base, 3).orderBy("rank").collect()]
+
+
 def test_a_long_region_is_one_box(spark):
     # rows of 16 cells joined at alternating ends: 136 steps from end to end
     snake = [(r, c) for r in range(0, 16, 2) for c in range(16)] + [(r, 15 if r % 4 == 1 else 0) for r in range(1, 15, 2)]
