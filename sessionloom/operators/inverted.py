@@ -72,31 +72,26 @@ class InvertedIndex:
         before = F.sum("slabs").over(Window.orderBy("class").rowsBetween(Window.unboundedPreceding, -1))
         classes = classes.select("class", "slabs", F.coalesce(before, F.lit(0)).alias("before"))
         words = words.join(F.broadcast(classes), "class").withColumn("slab", F.col("before") + F.pmod(F.xxhash64("id"), F.col("slabs")))
-        mode = {"mode": "overwrite", "partitionBy": ["batch"]}
-        conf, key = self.spark.conf, "spark.sql.sources.partitionOverwriteMode"
-        was = conf.get(key)
-        conf.set(key, "dynamic")  # a broken batch's own folders are written anew, no others
-        try:
-            words.select("id", F.size("words").cast("long").alias("len"), "slab", F.lit(batch).alias("batch")).write.parquet(f"{self.path}/documents", **mode)
-            # a slab's words come together once; both groupings follow from that
-            each = words.repartition("slab").select("id", "slab", F.size("words").alias("len"), F.explode("words").alias("token")).groupBy("slab", "token", "id", "len").agg(F.count("*").cast("int").alias("tf"))
-            entry = F.array_sort(F.collect_list(F.struct("id", "tf", "len")))
-            blocks = each.groupBy("token", "slab").agg(entry.alias("e"))
-            blocks = blocks.select(_bucket("token").alias("bucket"), "token", "slab", F.lit(batch).alias("batch"), F.col("e.id").alias("ids"), F.col("e.tf").alias("tfs"), F.col("e.len").alias("lens"))
-            # a word's blocks lie together, so that readers skip what they don't ask for
-            laid = blocks.repartition("bucket").sortWithinPartitions("bucket", "token", "slab")
-            mode["partitionBy"] = ["bucket", "batch"]
-            kept = laid.select("token", "slab", "ids", "tfs", "lens", "bucket", "batch")
-            kept.write.parquet(f"{self.path}/postings", **mode)
-            # heads come from what was written, so that both agree
-            made = self.spark.read.schema(kept.schema).parquet(f"{self.path}/postings").filter(F.col("batch").cast("string") == batch)
-            heads = made.select("token", "slab", F.size("ids").alias("n"), _impacts().alias("impacts"), "bucket", F.lit(batch).alias("batch"))
-            heads.write.parquet(f"{self.path}/heads", **mode)
-            size = self.spark.read.schema("len long, batch string").parquet(f"{self.path}/documents").filter(F.col("batch").cast("string") == batch)
-            mode["partitionBy"] = ["batch"]
-            size.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total")).withColumn("batch", F.lit(batch)).write.parquet(f"{self.path}/commits", **mode)
-        finally:
-            conf.set(key, was)
+        def keep(df: DataFrame, table: str, *folders: str) -> None:
+            # a broken batch's own folders are written anew, no others
+            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(f"{self.path}/{table}")
+
+        keep(words.select("id", F.size("words").cast("long").alias("len"), "slab", F.lit(batch).alias("batch")), "documents", "batch")
+        # a slab's words come together once; both groupings follow from that
+        each = words.repartition("slab").select("id", "slab", F.size("words").alias("len"), F.explode("words").alias("token")).groupBy("slab", "token", "id", "len").agg(F.count("*").cast("int").alias("tf"))
+        entry = F.array_sort(F.collect_list(F.struct("id", "tf", "len")))
+        blocks = each.groupBy("token", "slab").agg(entry.alias("e"))
+        blocks = blocks.select(_bucket("token").alias("bucket"), "token", "slab", F.lit(batch).alias("batch"), F.col("e.id").alias("ids"), F.col("e.tf").alias("tfs"), F.col("e.len").alias("lens"))
+        # a word's blocks lie together, so that readers skip what they don't ask for
+        laid = blocks.repartition("bucket").sortWithinPartitions("bucket", "token", "slab")
+        kept = laid.select("token", "slab", "ids", "tfs", "lens", "bucket", "batch")
+        keep(kept, "postings", "bucket", "batch")
+        # heads come from what was written, so that both agree
+        made = self.spark.read.schema(kept.schema).parquet(f"{self.path}/postings").filter(F.col("batch").cast("string") == batch)
+        heads = made.select("token", "slab", F.size("ids").alias("n"), _impacts().alias("impacts"), "bucket", F.lit(batch).alias("batch"))
+        keep(heads, "heads", "bucket", "batch")
+        size = self.spark.read.schema("len long, batch string").parquet(f"{self.path}/documents").filter(F.col("batch").cast("string") == batch)
+        keep(size.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total")).withColumn("batch", F.lit(batch)), "commits", "batch")
 
     def documents(self) -> DataFrame:
         return self._table("documents").select("id", "len")

@@ -31,7 +31,7 @@ def session_ends(ev: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
 
 
 def boundaries(ev: DataFrame, ends: DataFrame, scenes: DataFrame | None = None, *, dwell_ms: float = DWELL_MS, burst_ms: float = BURST_MS, slice: float | None = None) -> DataFrame:
-    """session_id, t, reason: one reason an instant, within [0, t_end].
+    """session_id, t, reason: one reason an instant, within [0, t_end], or [t_start, t_end] where ``ends`` has both.
 
     Gaps count where they exceed their threshold; a dwell gap is measured between any two events, a
     burst gap between meaningful ones.
@@ -39,16 +39,17 @@ def boundaries(ev: DataFrame, ends: DataFrame, scenes: DataFrame | None = None,
     useful = F.col("kind").isin(*MEANINGFUL)
     rows = slices.carried(ev, {"_before": F.col("t"), "_useful": F.when(useful, F.col("t"))}, ["event_id"], session="session_id", t="t", slice=slice, own=False)
     gaps = rows.withColumns({"_any": F.col("t") - F.col("_before"), "_burst": F.when(useful, F.col("t") - F.col("_useful"))})
+    start = F.col("t_start") if "t_start" in ends.columns else F.lit(0.0)
     at = lambda df, when, reason: df.filter(when).select("session_id", "t", F.lit(reason).alias("reason"))
     found = [
-        ends.select("session_id", F.lit(0.0).alias("t"), F.lit("session_start").alias("reason")),
+        ends.select("session_id", start.alias("t"), F.lit("session_start").alias("reason")),
         ends.select("session_id", F.col("t_end").alias("t"), F.lit("session_end").alias("reason")),
         at(gaps, F.col("_any") > dwell_ms, "dwell_gap"), at(gaps, F.col("_burst") > burst_ms, "burst_gap"),
         at(ev, F.col("kind") == "focus_change", "focus_change"), at(ev, F.col("kind") == "bookmark", "bookmark"),
     ]
     if scenes is not None:
         found.append(scenes.select("session_id", "t", F.lit("scene_change").alias("reason")))
-    every = reduce(DataFrame.unionByName, found).join(ends, "session_id").filter((F.col("t") >= 0) & (F.col("t") <= F.col("t_end")))
+    every = reduce(DataFrame.unionByName, found).join(ends, "session_id").filter((F.col("t") >= start) & (F.col("t") <= F.col("t_end")))
     weight = F.create_map(*[F.lit(x) for pair in PRIORITY.items() for x in pair])
     return every.groupBy("session_id", "t").agg(F.max_by("reason", weight[F.col("reason")]).alias("reason"))
 
@@ -149,12 +150,12 @@ def app_spans(ev: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def clicks(ev: DataFrame, *, drag_px: float = 4.0) -> DataFrame:
-    """Each mouse_down with the first mouse_up at or after it: event_id, t, up_t, gesture (click or drag)."""
+    """Each mouse_down with the first mouse_up at or after it: event_id, t, up_t, gesture (click or drag), up_x, up_y."""
     w = Window.partitionBy("session_id").orderBy("t", "event_id").rowsBetween(0, Window.unboundedFollowing)
     up = F.first(F.when(F.col("kind") == "mouse_up", F.struct("t", "x", "y")), ignorenulls=True).over(w)
     downs = ev.withColumn("_up", up).filter("kind = 'mouse_down'")
     moved = F.hypot(F.col("_up.x") - F.col("x"), F.col("_up.y") - F.col("y"))
-    return downs.select("session_id", "event_id", "t", F.col("_up.t").alias("up_t"), F.when(moved > drag_px, "drag").otherwise("click").alias("gesture"))
+    return downs.select("session_id", "event_id", "t", F.col("_up.t").alias("up_t"), F.when(moved > drag_px, "drag").otherwise("click").alias("gesture"), F.col("_up.x").alias("up_x"), F.col("_up.y").alias("up_y"))
 
 
 # Limits of what makes one gesture.

@@ -54,14 +54,13 @@ def _listed(kept: DataFrame, most: int) -> DataFrame:
     return ranked.filter(F.col("ord") <= most).select("snapshot_id", "key", "ord")
 
 
-def predicates(elements: DataFrame, context: DataFrame, most: int = 64) -> DataFrame:
-    """snapshot_id, kind, key, ord: all that a snapshot asserts, in order.
+def predicate_value(key: Column) -> Column:
+    """What a predicate's key says of its first argument: ``app(app=Mail)`` says Mail."""
+    return F.regexp_extract(key, r"^\w+\(\w+=(.*?)(?:,\w+=.*)?\)$", 1)
 
-    App, URL place, displays and files of ``context`` (snapshot_id, app, url, displays: an array of
-    structs of id, w, h, files: an array of paths), then the focused element and the others by
-    ``element_predicates``. An element in focus counts if its role is stable, it has a descriptor and
-    lies outside tab strips; of several in focus the first is it.
-    """
+
+def context_predicates(context: DataFrame) -> DataFrame:
+    """snapshot_id, part, i, kind, key: app, URL place, displays and files of ``context`` (see ``predicates``)."""
     one = lambda name, value: F.create_map(F.lit(name), value)
     place = text.url_prefix(F.col("url"))
     display = lambda s: F.create_map(*[x for c in ("id", "w", "h") for x in (F.lit(c), s[c].cast("string"))])
@@ -71,7 +70,18 @@ def predicates(elements: DataFrame, context: DataFrame, most: int = 64) -> DataF
         F.transform(F.coalesce("displays", F.expr("array()")), lambda s: told("display", display(s))),
         F.transform(F.coalesce("files", F.array().cast("array<string>")), lambda p: told("file", one("path", p))),
     )
-    around = context.select("snapshot_id", F.posexplode(F.filter(said, lambda s: s.isNotNull())).alias("i", "s")).select("snapshot_id", F.lit(0).alias("part"), "i", "s.kind", "s.key")
+    return context.select("snapshot_id", F.posexplode(F.filter(said, lambda s: s.isNotNull())).alias("i", "s")).select("snapshot_id", F.lit(0).alias("part"), "i", "s.kind", "s.key")
+
+
+def predicates(elements: DataFrame, context: DataFrame, most: int = 64) -> DataFrame:
+    """snapshot_id, kind, key, ord: all that a snapshot asserts, in order.
+
+    App, URL place, displays and files of ``context`` (snapshot_id, app, url, displays: an array of
+    structs of id, w, h, files: an array of paths), then the focused element and the others by
+    ``element_predicates``. An element in focus counts if its role is stable, it has a descriptor and
+    lies outside tab strips; of several in focus the first is it.
+    """
+    around = context_predicates(context)
     first = elements.filter("focused").groupBy("snapshot_id").agg(F.min("idx").alias("idx"))
     described = _described(elements)
     focus = described.join(first, ["snapshot_id", "idx"], "left_semi").select("snapshot_id", F.lit(1).alias("part"), F.lit(0).alias("i"), F.lit("ax_focused").alias("kind"), predicate_key(F.lit("ax_focused"), F.col("args")).alias("key"))

@@ -274,4 +274,4 @@ def app_spans(spark, d):
 @query("g10_clicks", f"""WITH {fx.EV}, u AS (SELECT *, first_value(CASE WHEN kind = 'mouse_up' THEN {{'t': t, 'x': x, 'y': y}} END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY us, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS up FROM ev)
 SELECT session_id, event_id, t, up.t AS up_t, CASE WHEN sqrt((up.x - x) * (up.x - x) + (up.y - y) * (up.y - y)) > 4 THEN 'drag' ELSE 'click' END AS gesture FROM u WHERE kind = 'mouse_down'""")
 def clicks(spark, d):
-    return segments.clicks(fx.events(spark, d))
+    return segments.clicks(fx.events(spark, d)).drop("up_x", "up_y")

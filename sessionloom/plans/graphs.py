@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sessionloom.operators import evaluate, routes, segments, traces
+from sessionloom.operators import evaluate, rebuild, routes, segments, traces
 from sessionloom.plans.registry import query
 from sessionloom.sources import fixtures as fx
-from sessionloom.sources.tables import ensure_checkpoint_dir
+from sessionloom.sources.tables import ensure_checkpoint_dir, shared_dir
 
 DAY = 86_400_000_000
 
@@ -318,3 +320,56 @@ def resolve(spark, d):
     n = F.col("l_linenumber") % 4
     c = li.select(F.col("l_orderkey").alias("want_id"), F.when(n == 0, "identifier").when(n == 1, "path").when(n == 2, "label").otherwise("point").alias("rung"), (F.col("l_linenumber").cast("long") * 1000000 + F.col("l_partkey") * 100 + F.col("l_suppkey") % 100).alias("idx"), (F.col("l_partkey") % 9 + 1).alias("depth"), (F.col("l_partkey") % 400 + 100).cast("double").alias("area"), F.when(F.col("l_suppkey") % 5 > 0, (F.col("l_suppkey") % 300 + 100).cast("double")).alias("recorded_area"), (F.col("l_partkey") % 40).cast("double").alias("centre_distance"), F.lit(100.0).alias("recorded_diagonal"))
     return traces.resolve(c)
+
+
+_PT = "'pt:D0:' || floor({0}x / 16 + 0.5)::BIGINT || ',' || floor({0}y / 16 + 0.5)::BIGINT"
+_LIFTED = f"""{fx.EV}, fc AS (SELECT *, CASE WHEN kind = 'focus_change' THEN coalesce(app = 'app2', false) END AS hit FROM ev),
+mk AS (SELECT *, coalesce(last_value(hit IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING), first_value(hit IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY us, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS gone FROM fc),
+kp AS (SELECT * EXCLUDE (hit, gone), count(*) FILTER (WHERE kind = 'focus_change') OVER (PARTITION BY session_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS era FROM mk WHERE NOT coalesce(gone, false)),
+sp AS (SELECT session_id, min(us) AS s0, max(us) AS s1 FROM kp GROUP BY session_id),
+ca AS (SELECT session_id, s0 AS us, 'session_start' AS reason, 101 AS p FROM sp UNION ALL SELECT session_id, s1, 'session_end', 100 FROM sp UNION ALL SELECT session_id, us, kind, CASE kind WHEN 'bookmark' THEN 30 ELSE 20 END FROM kp WHERE kind IN ('bookmark', 'focus_change')
+  UNION ALL SELECT session_id, us, 'dwell_gap', 10 FROM (SELECT *, lag(us) OVER (PARTITION BY session_id ORDER BY us, event_id) AS b FROM kp) WHERE us - b > 86400000000
+  UNION ALL SELECT session_id, us, 'burst_gap', 5 FROM (SELECT *, lag(us) OVER (PARTITION BY session_id ORDER BY us, event_id) AS b FROM kp WHERE kind IN ('mouse_down', 'key_down', 'scroll')) WHERE us - b > 28800000000),
+bd AS (SELECT session_id, us, arg_max(reason, p) AS reason FROM ca GROUP BY session_id, us),
+cx AS (SELECT session_id, us, event_id, last_value(app IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS fa,
+  last_value(url IGNORE NULLS) OVER (PARTITION BY session_id, era ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS fu FROM kp),
+at_ AS (SELECT * FROM cx QUALIFY row_number() OVER (PARTITION BY session_id, us ORDER BY event_id DESC) = 1),
+nd AS (SELECT session_id, us, reason, row_number() OVER (PARTITION BY session_id ORDER BY us) - 1 AS n, 'app(app=' || fa || ')' AS ka, 'url(prefix=' || regexp_replace(fu, '^https://www\\.(site[0-9]\\.example/docs)/[0-9]+/a$', '\\1/a') || ')' AS ku,
+  fa, regexp_replace(fu, '^https://www\\.(site[0-9]\\.example/docs)/[0-9]+/a$', '\\1/a') AS pl FROM bd JOIN at_ USING (session_id, us)),
+ns AS (SELECT *, sha256(concat_ws(chr(1), ka, ku)) AS state, coalesce(nullif(concat_ws(' — ', fa, pl), ''), 'no state') AS label FROM nd),
+ed AS (SELECT session_id, n, us AS e0, lead(us) OVER w AS e1, lead(reason) OVER w AS reason, state AS f, lead(state) OVER w AS g, ka, ku, lead(ka) OVER w AS nka, lead(ku) OVER w AS nku FROM ns WINDOW w AS (PARTITION BY session_id ORDER BY n)),
+up AS (SELECT *, first_value(CASE WHEN kind = 'mouse_up' THEN {{'x': x, 'y': y}} END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY us, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS u FROM kp),
+ru AS (SELECT session_id, us, row_number() OVER (PARTITION BY session_id ORDER BY us, event_id) AS ord FROM (SELECT *, lag(us) OVER (PARTITION BY session_id, era ORDER BY us, event_id) AS b FROM kp WHERE kind = 'key_down') WHERE b IS NULL OR us - b > 345600000000),
+ac AS (SELECT session_id, us, event_id AS ord, CASE WHEN sqrt((u.x - x) * (u.x - x) + (u.y - y) * (u.y - y)) > 4 THEN 'drag' ELSE 'click' END AS kind,
+    CASE WHEN sqrt((u.x - x) * (u.x - x) + (u.y - y) * (u.y - y)) > 4 THEN 'drag:' || {_PT.format('')} || '->' || {_PT.format('u.')} || ':left' ELSE 'click:' || {_PT.format('')} || ':left:1' END AS sig FROM up WHERE kind = 'mouse_down'
+  UNION ALL SELECT session_id, us, event_id, 'scroll', 'scroll:' || {_PT.format('')} || ':0,0' FROM kp WHERE kind = 'scroll' UNION ALL SELECT session_id, us, ord, 'type', 'type' FROM ru),
+ia AS (SELECT ed.session_id, ed.n, ac.us, ac.ord, ac.kind, ac.sig FROM ed JOIN sp USING (session_id) JOIN ac ON ac.session_id = ed.session_id AND ac.us >= e0 AND (ac.us < e1 OR (e1 = s1 AND ac.us = e1)) WHERE e1 IS NOT NULL
+  UNION ALL SELECT session_id, n, e1, 4611686018427387904, 'wait', 'wait:' || CASE WHEN nka IS NOT NULL AND nka IS DISTINCT FROM ka THEN nka WHEN nku IS NOT NULL AND nku IS DISTINCT FROM ku THEN nku ELSE 'warning: nothing to wait for' END FROM ed WHERE reason IN ('dwell_gap', 'burst_gap')),
+sg AS (SELECT session_id, n, string_agg(sig, '|' ORDER BY us, ord, kind) AS signature FROM ia GROUP BY session_id, n),
+stp AS (SELECT session_id, f AS from_state, g AS to_state, coalesce(signature, '') AS signature FROM ed LEFT JOIN sg USING (session_id, n) WHERE e1 IS NOT NULL)"""
+_GRAPH_EDGES = f"WITH {_LIFTED} SELECT from_state, to_state, signature, count(*) AS observations, count(DISTINCT session_id) AS sessions FROM stp GROUP BY ALL"
+
+
+def _lifted(ev):
+    return rebuild.lift(ev.withColumn("char", F.when(F.col("kind") == "key_down", F.chr(F.lit(97) + F.col("k") % 26))), ["app2"], dwell_ms=fx.DWELL_MS, burst_ms=fx.BURST_MS, typed_gap_ms=4 * fx.DWELL_MS)
+
+
+@query("m12_rebuild", _GRAPH_EDGES)
+def rebuilt_edges(spark, d):
+    """From events to the merged edges of all sessions."""
+    return rebuild.merged_edges(_lifted(fx.events(spark, d)).steps)
+
+
+@query("m12_rebuild_nodes", f"WITH {_LIFTED} SELECT state, min(label) AS label, count(*) AS visits, count(DISTINCT session_id) AS sessions FROM ns GROUP BY state")
+def rebuilt_nodes(spark, d):
+    return rebuild.merged_nodes(_lifted(fx.events(spark, d)).visits)
+
+
+@query("m9_graph_by_batch", _GRAPH_EDGES)
+def graph_by_batch(spark, d):
+    """The same graph kept up by three batches: of two thirds of the sessions an early part first, then whole sessions again."""
+    store = rebuild.GraphStore(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/graph-{uuid.uuid4().hex}")
+    ev = fx.events(spark, d)
+    for batch, part in enumerate((ev.filter("session_id % 3 <> 0 and event_id % 4 <> 0"), ev.filter("session_id % 3 = 1"), ev.filter("session_id % 3 <> 1"))):
+        store.apply(_lifted(part), part.select("session_id"), batch)
+    return store.edges()
