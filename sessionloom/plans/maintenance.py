@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from sessionloom.operators import providers
 from sessionloom.plans.registry import query
 from sessionloom.sources import fixtures as fx
 from sessionloom.sources import tables
+from sessionloom.sources.store import TableStore
+
+
+def _store(spark, **by):
+    """A new store in the shared folder; results read it."""
+    return TableStore(spark, f"{tables.shared_dir(spark)}/{spark.sparkContext.applicationId}/store-{uuid.uuid4().hex}", by, buckets=8)
 
 
 @query("s4_namespaces", "SELECT vec_id, 'digest:fixture:emb:' || len(embedding) AS namespace, 'digest' AS view, len(embedding)::INTEGER AS dims FROM embeddings")
@@ -21,7 +30,11 @@ def upsert(spark, d):
     old = fx.table(spark, d, "labels").select("doc_id", "quality", F.lit(0).alias("version"))
     third = old.filter("doc_id % 3 = 0")
     new = third.select("doc_id", "quality", F.lit(1).alias("version")).unionByName(third.select("doc_id", (1 - F.col("quality")).alias("quality"), F.lit(2).alias("version")))
-    return tables.upsert(old, new, ["doc_id"], "version")
+    store = _store(spark, labels=["doc_id"])
+    store.replace({"labels": old})
+    for _ in range(2):  # the second time changes nothing
+        store.upsert("labels", new, ["doc_id"], "version")
+    return store.read("labels")
 
 
 @query("s6_reconcile", "SELECT doc_id, 'missing' AS problem FROM documents WHERE doc_id NOT IN (SELECT 2 * doc_id FROM labels) UNION ALL SELECT 2 * doc_id, 'orphan' FROM labels WHERE 2 * doc_id NOT IN (SELECT doc_id FROM documents)")
@@ -32,17 +45,33 @@ def reconcile(spark, d):
 
 @query("s7_reembed_missing", "SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS n_tokens FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def reembed(spark, d):
-    from sessionloom.functions import text
-
     docs = fx.table(spark, d, "documents")
     missing = tables.reconcile(docs.select("doc_id"), fx.table(spark, d, "labels").select("doc_id"), "doc_id").filter("problem = 'missing'")
-    return docs.join(missing, "doc_id", "left_semi").select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+    store = _store(spark, vectors=["namespace", "doc_id"])
+    made = providers.embed(docs.join(missing, "doc_id", "left_semi"), COUNTER, "digest", id_col="doc_id").withColumnRenamed("id", "doc_id")
+    store.upsert("vectors", made, ["namespace", "doc_id"])
+    providers.check_namespaces(store.read("vectors"), COUNTER, "digest")
+    return store.read("vectors").select("doc_id", F.col("v")[0].cast("long").alias("n_tokens"))
+
+
+def _count_words():
+    import re
+
+    return lambda texts, role: [[float(len(re.findall("[a-z0-9]+", t.lower()))), 1.0] for t in texts]
+
+
+#: Stands for a model: the number of words and a constant.
+COUNTER = providers.Provider("fixture", "words", 2, _count_words)
 
 
 @query("s8_cascade_delete", f"WITH {fx.EV} SELECT 'events' AS name, count(*) AS n FROM ev WHERE session_id % 10 <> 3 UNION ALL SELECT 'frames', count(*) FROM ev WHERE session_id % 10 <> 3 AND event_id % 5 = 0")
 def cascade(spark, d):
     ev = fx.events(spark, d)
-    left = tables.cascade_delete({"events": ev, "frames": fx.frames(ev)}, ev.filter("session_id % 10 = 3").select("session_id"))
+    store = _store(spark, events=["session_id"], frames=["session_id"])
+    store.replace({"events": ev, "frames": fx.frames(ev)})
+    for _ in range(2):
+        store.delete(["events", "frames"], ev.filter("session_id % 10 = 3").select("session_id").distinct())
+    left = {name: store.read(name) for name in store.by}
     return left["events"].agg(F.lit("events").alias("name"), F.count("*").alias("n")).unionByName(left["frames"].agg(F.lit("frames").alias("name"), F.count("*").alias("n")))
 
 
@@ -50,8 +79,11 @@ def cascade(spark, d):
 def purge(spark, d):
     ev = fx.events(spark, d)
     gone = ev.filter("session_id % 10 = 3").select("session_id")
-    once = tables.purge_derived({"events": ev, "segments": ev.filter("kind = 'bookmark'")}, {"segments"}, gone)
-    twice = tables.purge_derived(once, {"segments"}, gone)
+    store = _store(spark, events=["session_id"], segments=["session_id"])
+    store.replace({"events": ev, "segments": ev.filter("kind = 'bookmark'")})
+    for _ in range(2):
+        store.purge(["events", "segments"], {"segments"}, gone)
+    twice = {name: store.read(name) for name in store.by}
     return twice["events"].agg(F.lit("events").alias("name"), F.count("*").alias("n")).unionByName(twice["segments"].agg(F.lit("segments").alias("name"), F.count("*").alias("n")))
 
 
