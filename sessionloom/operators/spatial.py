@@ -168,17 +168,41 @@ def grid(frames: DataFrame, *, cols: int = 4, rows: int = 3, overlap: float = 0.
     return t.select("frame_id", F.col("t.r").alias("r"), F.col("t.c").alias("c"), x0.alias("x"), y0.alias("y"), w.alias("w"), h.alias("h"), F.lit("grid").alias("source"), F.lit(priority).alias("priority")).filter("w > 0 and h > 0")
 
 
+#: Levels of the tree of squares that boxes are kept on: sides up to 2 ** 30, every second one.
+LEVELS = range(-10, 31, 2)
+
+
+def holding(points: DataFrame, shapes: DataFrame, key: str, margin: float = 0.0) -> DataFrame:
+    """Every (point, box) of one ``key`` where the box, wider by ``margin`` on each side, holds the point's (px, py).
+
+    A box stands on the few squares that it reaches at the level of its longer side; a point asks its own
+    square of each level that boxes stand on. So points meet boxes that are near for their size, and not
+    all of a screen's.
+    """
+    side = F.greatest(F.col("w"), F.col("h")).cast("double") + 2 * margin
+    level = F.coalesce(F.greatest(F.lit(LEVELS[0]), F.ceil(F.log2(F.when(side > 0, side)) / 2) * 2), F.lit(LEVELS[0])).cast("int")
+    known = shapes.filter((F.col("w") >= 0) & (F.col("h") >= 0)).withColumn("_at", level)
+    levels = sorted(r["_at"] for r in known.select("_at").distinct().collect())  # as many as LEVELS at most
+    cell = lambda v, at: F.floor(v / F.pow(F.lit(2.0), F.col(at))).cast("long")
+    across = lambda low, size: F.explode(F.sequence(cell(F.col(low) - margin, "_at"), cell(F.col(low) + F.col(size) + margin, "_at")))
+    spread = known.withColumn("_sx", across("x", "w")).withColumn("_sy", across("y", "h")).withColumnRenamed(key, "_key")
+    asked = points.withColumn("_level", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>"))).withColumns({"_px": cell(F.col("px"), "_level"), "_py": cell(F.col("py"), "_level")})
+    meet = (F.col(key) == F.col("_key")) & (F.col("_level") == F.col("_at")) & (F.col("_px") == F.col("_sx")) & (F.col("_py") == F.col("_sy"))
+    inside = (F.col("px") >= F.col("x") - margin) & (F.col("px") <= F.col("x") + F.col("w") + margin) & (F.col("py") >= F.col("y") - margin) & (F.col("py") <= F.col("y") + F.col("h") + margin)
+    return asked.join(spread, meet & inside).drop("_level", "_px", "_py", "_key", "_at", "_sx", "_sy")
+
+
 def smallest_hit(points: DataFrame, regions: DataFrame) -> DataFrame:
     """point_id, region_id: the labelled region of the frame that holds a point, the smallest."""
     b = F.struct(*BOX)
-    met = points.select("frame_id", "point_id", F.col("x").alias("px"), F.col("y").alias("py")).join(regions.filter(F.length("label") > 0), "frame_id").filter(boxes.contains(b, F.col("px"), F.col("py")))
+    met = holding(points.select("frame_id", "point_id", F.col("x").alias("px"), F.col("y").alias("py")), regions.filter(F.length("label") > 0), "frame_id")
     return met.groupBy("point_id").agg(F.min_by("region_id", F.struct(boxes.area(b), "region_id")).alias("region_id"))
 
 
 def deepest_hit(points: DataFrame, elements: DataFrame) -> DataFrame:
     """point_id, idx: the deepest element that holds a point, the smaller and then the earlier on a tie."""
     b = F.struct(*BOX)
-    met = points.select("snapshot_id", "point_id", F.col("x").alias("px"), F.col("y").alias("py")).join(elements, "snapshot_id").filter(boxes.contains(b, F.col("px"), F.col("py")))
+    met = holding(points.select("snapshot_id", "point_id", F.col("x").alias("px"), F.col("y").alias("py")), elements, "snapshot_id")
     return met.groupBy("point_id").agg(F.max_by("idx", F.struct("depth", -boxes.area(b), -F.col("idx"))).alias("idx"))
 
 
@@ -201,16 +225,17 @@ def outside_displays(shapes: DataFrame, displays: DataFrame) -> DataFrame:
 def nest(elements: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """snapshot_id, idx, parent: the smallest larger box of the snapshot that holds an element, within a pixel.
 
-    Of equal boxes the earlier holds the later. Elements of one snapshot meet by its id.
+    Of equal boxes the earlier holds the later. An element meets the boxes that hold its middle.
     """
     size = lambda p: F.col(f"{p}w") * F.col(f"{p}h")
-    inner = elements.select("snapshot_id", "idx", *BOX)
-    outer = elements.select("snapshot_id", F.col("idx").alias("oi"), *[F.col(c).alias(f"o{c}") for c in BOX])
-    met = inner.join(outer, "snapshot_id").filter(
-        (F.col("ox") <= F.col("x") + tolerance) & (F.col("oy") <= F.col("y") + tolerance) & (F.col("ox") + F.col("ow") >= F.col("x") + F.col("w") - tolerance) & (F.col("oy") + F.col("oh") >= F.col("y") + F.col("h") - tolerance)
-        & ((size("o") > size("")) | ((size("o") == size("")) & (F.col("oi") < F.col("idx"))))
+    inner = elements.select("snapshot_id", "idx", *[F.col(c).alias(f"i{c}") for c in BOX], (F.col("x") + F.col("w") / 2).alias("px"), (F.col("y") + F.col("h") / 2).alias("py"))
+    outer = elements.select("snapshot_id", F.col("idx").alias("oi"), *BOX)
+    # a box within the tolerance holds the middle within it too, but for rounding
+    met = holding(inner, outer, "snapshot_id", tolerance + 1e-6).filter(
+        (F.col("x") <= F.col("ix") + tolerance) & (F.col("y") <= F.col("iy") + tolerance) & (F.col("x") + F.col("w") >= F.col("ix") + F.col("iw") - tolerance) & (F.col("y") + F.col("h") >= F.col("iy") + F.col("ih") - tolerance)
+        & ((size("") > size("i")) | ((size("") == size("i")) & (F.col("oi") < F.col("idx"))))
     )
-    best = met.groupBy("snapshot_id", "idx").agg(F.min_by("oi", F.struct(size("o"), -F.col("oi"))).alias("parent"))
+    best = met.groupBy("snapshot_id", "idx").agg(F.min_by("oi", F.struct(size(""), -F.col("oi"))).alias("parent"))
     return elements.select("snapshot_id", "idx").join(best, ["snapshot_id", "idx"], "left")
 
 

@@ -257,6 +257,35 @@ def test_a_frame_of_many_regions_is_folded_by_cells(spark):
     assert spatial.collapse(many, 0.5).count() == 50_000 and time.time() - began < 60
 
 
+def test_hits_and_nesting_match_all_pairs(spark):
+    rng = random.Random(21)
+    shapes = [(rng.randint(0, 3), i, float(rng.randint(-40, 400)), float(rng.randint(-40, 400)), rng.choice([0.0, 1.0, 5.0, 40.0, 300.0]), rng.choice([0.0, 1.5, 8.0, 90.0])) for i in range(160)]
+    shapes += [(s, 200 + i, x + 0.5, y + 1.0, w, h) for i, (s, _, x, y, w, h) in enumerate(shapes[:20])]
+    points = [(rng.randint(0, 3), i, float(rng.randint(-50, 450)), float(rng.randint(-50, 450))) for i in range(150)]
+    df = spark.createDataFrame([(*b, "L", b[1] % 4) for b in shapes], "frame_id int, region_id int, x double, y double, w double, h double, label string, depth int")
+    at = spark.createDataFrame(points, "frame_id int, point_id int, x double, y double")
+    held = lambda f, x, y: [b for b in shapes if b[0] == f and b[2] <= x <= b[2] + b[4] and b[3] <= y <= b[3] + b[5]]
+    want = {i: min(held(f, x, y), key=lambda b: (b[4] * b[5], b[1]))[1] for f, i, x, y in points if held(f, x, y)}
+    assert {r.point_id: r.region_id for r in spatial.smallest_hit(at, df).collect()} == want
+    deep = {i: max(held(f, x, y), key=lambda b: (b[1] % 4, -b[4] * b[5], -b[1]))[1] for f, i, x, y in points if held(f, x, y)}
+    elements = df.withColumnsRenamed({"frame_id": "snapshot_id", "region_id": "idx"})
+    assert {r.point_id: r.idx for r in spatial.deepest_hit(at.withColumnRenamed("frame_id", "snapshot_id"), elements).collect()} == deep
+    size = lambda b: b[4] * b[5]
+    holds = lambda o, b: o[0] == b[0] and o[2] <= b[2] + 1 and o[3] <= b[3] + 1 and o[2] + o[4] >= b[2] + b[4] - 1 and o[3] + o[5] >= b[3] + b[5] - 1 and (size(o) > size(b) or size(o) == size(b) and o[1] < b[1])
+    parents = {(b[0], b[1]): min((o for o in shapes if holds(o, b)), key=lambda o: (size(o), -o[1]), default=(0, None))[1] for b in shapes}
+    assert {(r.snapshot_id, r.idx): r.parent for r in spatial.nest(elements).collect()} == parents
+
+
+def test_a_snapshot_of_many_boxes(spark):
+    many = spark.range(50_000).select(F.lit(1).alias("snapshot_id"), F.col("id").cast("int").alias("idx"), (F.col("id") % 250 * 8.0).alias("x"), (F.floor(F.col("id") / 250) * 6.0).alias("y"), F.lit(6.0).alias("w"), F.lit(4.0).alias("h"), F.lit(1).alias("depth"))
+    whole = spark.createDataFrame([(1, 50_000, 0.0, 0.0, 2000.0, 1200.0, 0)], "snapshot_id int, idx int, x double, y double, w double, h double, depth int")
+    began = time.time()
+    found = spatial.nest(many.unionByName(whole)).groupBy("parent").count().collect()
+    assert {r.parent: r["count"] for r in found} == {50_000: 50_000, None: 1}
+    points = many.select("snapshot_id", F.col("idx").alias("point_id"), (F.col("x") + 1).alias("x"), (F.col("y") + 1).alias("y"))
+    assert spatial.deepest_hit(points, many.unionByName(whole)).filter("point_id = idx").count() == 50_000 and time.time() - began < 60
+
+
 def test_a_dense_cell_makes_no_pairs(spark):
     # 100,000 points in one cell and 30,000 in the next one, none of which is near; a light point between two clusters
     dense = spark.range(100_000).select(F.lit(1).alias("frame_id"), F.col("id").alias("point_id"), (F.rand(3) * 5).alias("x"), (F.rand(4) * 5).alias("y"), F.lit(1.0).alias("weight"))
