@@ -11,13 +11,17 @@ from sessionloom.plans.events import _greedy as greedy
 from sessionloom.plans.registry import query
 from sessionloom.sources import fixtures as fx
 from sessionloom.sources import tables
-from sessionloom.streaming import streams
+from sessionloom.streaming import streams, timers
 
 _SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
     raw = spark.readStream.schema(_SCHEMA).parquet(f"{d}/event[s].parquet")  # a pattern, since a stream takes no single file
+    return _shaped(raw)
+
+
+def _shaped(raw: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.create_map(*[F.lit(x) for p in {"view": "focus_change", "click": "mouse_down", "error": "key_down", "purchase": "scroll", "signup": "bookmark"}.items() for x in p])[F.col("event_type")]
     ts = F.col("ts").cast("timestamp")
@@ -81,3 +85,27 @@ def sink(spark, d):
     q = streams.event_sink(_events(spark, d), f"{path}/out", f"{path}/checkpoint", buckets=8, once=True)
     q.awaitTermination()
     return spark.read.parquet(f"{path}/out").groupBy("session_id", "kind").agg(F.count("*").alias("n"))
+
+
+def _in_order(spark: SparkSession, d: str) -> DataFrame:
+    """The event table as a stream of three batches by time, and a row behind all others, which lets the stream's time pass them."""
+    path = f"{_folder(spark)}/in"
+    rows = spark.read.schema(_SCHEMA).parquet(f"{d}/events.parquet")
+    lo, hi = rows.agg(F.min("ts"), F.max("ts")).first()
+    cut = [lo + (hi - lo) * i / 3 for i in range(1, 3)]
+    at = F.col("ts")
+    for part in (rows.filter(at < cut[0]), rows.filter((at >= cut[0]) & (at < cut[1])), rows.filter(at >= cut[1])):
+        part.coalesce(1).write.mode("append").parquet(path)
+    behind = rows.orderBy(F.desc("ts")).limit(1).select("event_id", (F.col("ts") + F.expr("interval 300 days")).alias("ts"), F.lit(-1).cast("long").alias("user_id"), "event_type", "value", "props")
+    behind.coalesce(1).write.mode("append").parquet(path)
+    return _shaped(spark.readStream.schema(_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path))
+
+
+_TRIGGERS = f"WITH {_LIVE} SELECT *, us / 1000.0::DOUBLE AS t, CASE WHEN kind IN ('focus_change', 'bookmark') THEN kind WHEN kind IN ('mouse_down', 'key_down', 'scroll') AND us - last_value(CASE WHEN kind IN ('mouse_down', 'key_down', 'scroll') THEN us END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= {fx.DWELL_MS * 1000} THEN 'dwell_resume' END AS reason FROM ev QUALIFY reason IS NOT NULL"
+
+
+@query("x4_triggers", greedy(_TRIGGERS, f"{fx.BURST_MS}"))
+def triggers(spark, d):
+    """Boundary triggers by event time, the same as over the whole table."""
+    out = timers.boundary_triggers(_in_order(spark, d), settle_ms=fx.BURST_MS, dwell_ms=fx.DWELL_MS, idle_ms=400 * 86_400_000.0, late="1 second")
+    return _last(spark, out, "append").filter("session_id >= 0").select("event_id", "session_id")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.operators import features, segments, temporal
-from sessionloom.streaming import streams
+from sessionloom.streaming import streams, timers
 
 SCHEMA = "event_id long, session_id string, ts timestamp, t double, kind string, app string, x double, y double"
 START = datetime.datetime(2024, 1, 1)
@@ -114,3 +114,49 @@ def test_event_sink_appends_all(spark, rows):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(f"{folder}/out").count() == len(rows)
+
+
+def _fed(spark, tmp_path, batches, shape):
+    """The rows of a stream that gets one file after the other."""
+    path = tmp_path / "in"
+    for rows in batches:
+        spark.createDataFrame(rows, "session_id string, event_id long, ts timestamp, t double, kind string").coalesce(1).write.mode("append").parquet(str(path))
+        time.sleep(0.05)
+    stream = spark.readStream.schema("session_id string, event_id long, ts timestamp, t double, kind string").option("maxFilesPerTrigger", 1).parquet(str(path))
+    out = shape(stream)
+    writer = out.writeStream.outputMode("append").foreachBatch(lambda b, _: b.write.mode("append").parquet(str(tmp_path / "out")))
+    writer.option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(str(tmp_path / "out")).collect()
+
+
+def _at(s, i, sec, kind="key_down"):
+    return (s, i, START + datetime.timedelta(seconds=sec), 1_704_067_200_000.0 + sec * 1000, kind)
+
+
+def test_rows_later_than_the_watermark_are_left_out(spark, tmp_path):
+    batches = [[_at("a", 1, 0), _at("a", 2, 100)], [_at("tick", 7, 100)], [_at("a", 3, 95), _at("a", 4, 40)], [_at("a", 5, 1000)], [_at("tick", 6, 5000)]]
+    # rows are held against the watermark that the batch before them began with, 90 s: 40 s is later, 95 s is not
+    counts = {(r.window.start.minute * 60 + r.window.start.second): r.n for r in _fed(spark, tmp_path / "x1", batches, lambda s: streams.windowed_counts(s, "10 seconds", late="10 seconds")) if r.session_id == "a"}
+    assert counts == {0: 1, 90: 1, 100: 1, 1000: 1}
+    gaps = sorted(r.n for r in _fed(spark, tmp_path / "x2", batches, lambda s: streams.gap_sessions(s, "8 seconds", late="10 seconds")) if r.session_id == "a")
+    assert gaps == [1, 1, 2]
+
+
+def test_event_time_triggers_match_the_table(spark, tmp_path):
+    rng, rows, sec = random.Random(5), [], 0.0
+    for i in range(300):
+        sec += rng.choice([0.05, 0.2, 1.0, 5.0])
+        rows.append(_at(rng.choice("abc"), i, round(sec, 3), rng.choice(["focus_change", "key_down", "scroll", "mouse_move", "bookmark"])))
+    batches = [rows[at : at + 75] for at in range(0, 300, 75)]
+    for b in batches:
+        rng.shuffle(b)
+    got = _fed(spark, tmp_path, [*batches, [_at("tick", 999, sec + 10_000)]], lambda s: timers.boundary_triggers(s, settle_ms=250, dwell_ms=3000, late="1 second"))
+    want = segments.boundary_triggers(spark.createDataFrame(rows, "session_id string, event_id long, ts timestamp, t double, kind string"), settle_ms=250, dwell_ms=3000).collect()
+    assert sorted((r.session_id, r.event_id, r.reason) for r in got if r.session_id != "tick") == sorted((r.session_id, r.event_id, r.reason) for r in want)
+
+
+def test_a_still_session_is_forgotten(spark, tmp_path):
+    batches = [[_at("a", 1, 0)], [_at("tick", 2, 100)], [_at("tick", 3, 200)], [_at("a", 4, 300)], [_at("a", 5, 310)], [_at("tick", 6, 9000)]]
+    got = _fed(spark, tmp_path, batches, lambda s: timers.boundary_triggers(s, settle_ms=250, dwell_ms=3000, idle_ms=50_000, late="1 second"))
+    # input at 300 s follows nothing known, input at 310 s a pause of ten seconds
+    assert [r.event_id for r in got if r.session_id == "a"] == [5]
