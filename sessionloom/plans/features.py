@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sessionloom.operators import features, segments, temporal, vectors
+from sessionloom.operators import features, segments, temporal, tracks, vectors
 from sessionloom.plans.events import W, _segments
 from sessionloom.plans.registry import query
 from sessionloom.sources import fixtures as fx
@@ -186,7 +186,50 @@ def axis(spark, d):
     return features.lane_axis(sessions, video).select("session_id", F.round("origin_ms", 6).alias("origin_ms"), F.round("total_sec", 6).alias("total_sec"))
 
 
-@query("a24_all_lanes")
+_RATE = "SELECT session_id, {no}, 'input', '{lane}', bucket, NULL, NULL, CASE WHEN p > 0 THEN v / p ELSE 0 END, NULL, p, NULL FROM (SELECT *, max(v) OVER (PARTITION BY session_id) AS p FROM (SELECT ax.session_id, ax.bucket, CASE WHEN total > 0 THEN coalesce(n, 0) / (total / 48) ELSE 0 END AS v FROM ax JOIN tot USING (session_id) LEFT JOIN (SELECT session_id, {idx} AS bucket, count(*) AS n FROM ev JOIN tot USING (session_id) WHERE kind = '{kind}' GROUP BY ALL) USING (session_id, bucket)))"
+_LANES = f"""WITH {_TOTAL}, {_AXIS}, {fx.SEG}, sn AS (SELECT session_id, seg_no, start_us / 1000000.0::DOUBLE AS s, end_us / 1000000.0::DOUBLE AS e, reason FROM seg),
+cl AS (SELECT session_id, event_id, us / 1000000.0::DOUBLE AS s FROM ev WHERE kind = 'bookmark' AND session_id % 4 = 0),
+au AS (SELECT ev.session_id, {_IDX.replace('us / 1000000.0::DOUBLE', '(us / 1000000.0::DOUBLE + (i + 0.5::DOUBLE) * 1800)')} AS bucket, max(((k + i * 3) % 10) / 10.0::DOUBLE) AS v FROM ev JOIN tot USING (session_id), range(2) r(i) WHERE kind = 'bookmark' AND us / 1000000.0::DOUBLE + (i + 0.5::DOUBLE) * 1800 <= total GROUP BY ALL),
+mk AS (SELECT DISTINCT session_id FROM ev WHERE kind = 'bookmark'),
+up AS (SELECT *, first_value(CASE WHEN kind = 'mouse_up' THEN {{'t': t, 'x': x, 'y': y}} END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY us, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS u FROM ev),
+sp AS (SELECT session_id, us, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS d, (t - lag(t) OVER w) / 1000 AS dt FROM ev WHERE kind = 'mouse_move' WINDOW w AS (PARTITION BY session_id ORDER BY us, event_id)),
+bs AS (SELECT session_id, CASE WHEN session_id % 3 = 0 THEN 2560 ELSE greatest(1, max(x)) END AS bw, CASE WHEN session_id % 3 = 0 THEN 1440 ELSE greatest(1, max(y)) END AS bh FROM ev GROUP BY session_id),
+hd AS (SELECT session_id, {_IDX} AS bucket, max_by({{'x': x / bw, 'y': y / bh}}, (us, event_id)) AS v FROM ev JOIN tot USING (session_id) JOIN bs USING (session_id) WHERE kind = 'mouse_move' GROUP BY ALL),
+pl AS (SELECT *, lag(us) OVER (PARTITION BY session_id ORDER BY us, event_id) AS b, last_value(CASE WHEN kind IN ('mouse_down', 'key_down', 'scroll') THEN us END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM ev),
+ps AS (SELECT session_id, CASE WHEN us - b > 86400000000 THEN b ELSE m END AS s, us, us - b > 86400000000 AS long FROM pl WHERE us - b > 86400000000 OR (kind IN ('mouse_down', 'key_down', 'scroll') AND us - m > 28800000000)),
+ln(session_id, lane_no, band, lane, "at", start_sec, end_sec, value, value2, peak, label) AS (
+SELECT session_id, 0, 'screen', 'frames', event_id, us / 1000000.0::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, event_id::VARCHAR FROM ev WHERE event_id % 5 = 0
+UNION ALL SELECT session_id, 1, 'screen', 'apps', round(us / 1000.0::DOUBLE)::BIGINT, us / 1000000.0::DOUBLE, coalesce(n, e) / 1000000.0::DOUBLE, NULL, NULL, NULL, app FROM (SELECT session_id, app, us, lead(us) OVER (PARTITION BY session_id ORDER BY us, event_id) AS n FROM ev WHERE kind = 'focus_change') JOIN (SELECT session_id, max(us) AS e FROM ev GROUP BY session_id) USING (session_id) WHERE coalesce(n, e) > us
+UNION ALL SELECT session_id, 2, 'screen', 'web', event_id, us / 1000000.0::DOUBLE, NULL, NULL, NULL, NULL, 'site' || (k % 5) || '.example/docs/a' FROM ev WHERE kind = 'url_change'
+UNION ALL SELECT session_id, 3, 'screen', 'ax', event_id, us / 1000000.0::DOUBLE, NULL, NULL, NULL, NULL, CASE WHEN k % 2 = 0 THEN 'keyframe' ELSE 'boundary' END || ' · ' || (k % 7) || ' elements · ' || k || 'ms' FROM ev WHERE kind = 'mouse_up'
+UNION ALL SELECT session_id, 4, 'segments', 'level-1', seg_no, s, e, NULL, NULL, NULL, CASE WHEN seg_no % 5 > 0 THEN reason ELSE 'summary missing' END FROM sn
+UNION ALL SELECT session_id, 5, 'segments', 'caption', round(s * 1000)::BIGINT, s, e, NULL, NULL, NULL, reason FROM sn WHERE seg_no % 2 = 0
+UNION ALL SELECT session_id, 6, 'audio', 'transcript', event_id, s, s + 1, NULL, NULL, NULL, 'clip ' || event_id FROM cl
+UNION ALL SELECT session_id, 6, 'audio', 'transcript', round(s * 1000)::BIGINT, s, e, NULL, NULL, NULL, 'said ' || seg_no FROM sn WHERE seg_no % 3 = 0 AND session_id NOT IN (SELECT session_id FROM cl)
+UNION ALL SELECT session_id, 7, 'audio', 'audio-mic', bucket, NULL, NULL, CASE WHEN v IS NOT NULL THEN CASE WHEN p > 0 THEN v / p ELSE 0 END END, NULL, p, NULL FROM (SELECT session_id, bucket, v, greatest(coalesce(max(v) OVER (PARTITION BY session_id), 0), 0) AS p FROM ax JOIN mk USING (session_id) LEFT JOIN au USING (session_id, bucket))
+UNION ALL {_RATE.format(no=8, lane='typing', kind='key_down', idx=_IDX)}
+UNION ALL SELECT session_id, 9, 'input', 'clicks', event_id, us / 1000000.0::DOUBLE, NULL, NULL, NULL, NULL, CASE WHEN sqrt((u.x - x) ** 2 + (u.y - y) ** 2) > 4 THEN 'drag ' || round(u.t - t)::BIGINT || 'ms · ' || round(sqrt((u.x - x) ** 2 + (u.y - y) ** 2))::BIGINT || 'px' ELSE 'click' END FROM up WHERE kind = 'mouse_down'
+UNION ALL {_RATE.format(no=10, lane='scroll', kind='scroll', idx=_IDX)}
+UNION ALL SELECT session_id, 11, 'input', 'mouse-speed', bucket, NULL, NULL, CASE WHEN p > 0 THEN v / p ELSE 0 END, NULL, p, NULL FROM (SELECT *, max(v) OVER (PARTITION BY session_id) AS p FROM (SELECT ax.session_id, ax.bucket, greatest(coalesce(v, 0), 0) AS v FROM ax LEFT JOIN (SELECT session_id, {_IDX} AS bucket, max(d / dt) AS v FROM sp JOIN tot USING (session_id) WHERE dt > 0 GROUP BY ALL) USING (session_id, bucket)))
+UNION ALL SELECT session_id, 12, 'input', 'mouse-xy', bucket, NULL, NULL, h.x, h.y, 1.0, NULL FROM (SELECT session_id, bucket, last_value(v IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS h FROM ax LEFT JOIN hd USING (session_id, bucket))
+UNION ALL SELECT session_id, 13, 'input', 'idle', round(us / 1000.0::DOUBLE)::BIGINT, s / 1000000.0::DOUBLE, us / 1000000.0::DOUBLE, NULL, NULL, NULL, CASE WHEN long THEN 'idle ' ELSE 'pause ' END || round((us - s) / 1000000.0::DOUBLE, 1)::DECIMAL(24, 1)::VARCHAR || 's' FROM ps
+UNION ALL SELECT session_id, 14, 'marks', 'markers', event_id, us / 1000000.0::DOUBLE, NULL, NULL, NULL, NULL, 'bookmark' FROM ev WHERE kind = 'bookmark')
+SELECT session_id, lane_no::INTEGER AS lane_no, band, lane, "at", round(start_sec, 3) AS start_sec, round(end_sec, 3) AS end_sec, round(value, 6) AS value, round(value2, 6) AS value2, round(peak, 6) AS peak, label FROM ln"""
+
+
+@query("a24_all_lanes", _LANES)
 def lanes(spark, d):
+    """Fifteen lanes: walks are mouse_up events, clips and audio begin at bookmarks, a third of the sessions know their displays."""
     ev = fx.events(spark, d)
-    return features.all_lanes([("typing", _rate_lane(ev, "key_down")), ("scrolling", _rate_lane(ev, "scroll"))]).withColumns({"value": F.round("value", 6), "peak": F.round("peak", 6)})
+    segs = _segments(ev)[0]
+    spoken = segs.select("session_id", F.lit("action").alias("granularity"), "t_start", "t_end", F.when(F.col("seg_no") % 3 == 0, F.concat(F.lit("said "), F.col("seg_no").cast("string"))).alias("transcript"), F.when(F.col("seg_no") % 2 == 0, F.col("reason")).alias("caption"), F.lit(None).cast("string").alias("app_caption"))
+    marked = ev.filter("kind = 'bookmark'")
+    out = tracks.session_tracks(
+        ev, _totals(ev).select("session_id", F.lit(0.0).alias("origin_ms"), "total_sec"), B, frames=fx.frames(ev), segs=spoken, dwell_ms=fx.DWELL_MS, burst_ms=fx.BURST_MS,
+        walks=ev.filter("kind = 'mouse_up'").select("session_id", F.col("event_id").alias("walk_id"), "t", F.when(F.col("k") % 2 == 0, "keyframe").otherwise("boundary").alias("reason"), (F.col("k") % 7).alias("n_elements"), F.col("k").alias("walk_ms")),
+        levels=segs.select("session_id", F.lit(1).alias("level"), F.col("seg_no").alias("node_id"), "t_start", "t_end", F.when(F.col("seg_no") % 5 > 0, F.col("reason")).alias("text")),
+        clips=marked.filter("session_id % 4 = 0").select("session_id", F.col("event_id").alias("clip_no"), F.col("t").alias("t_start"), (F.col("t") + 1000).alias("t_end"), F.concat(F.lit("clip "), F.col("event_id").cast("string")).alias("text")),
+        audio=marked.select("session_id", F.lit("mic").alias("media"), (F.col("t") / 1000).alias("start_sec"), F.lit(3600.0).alias("duration_sec"), F.transform(F.array(F.lit(0), F.lit(1)), lambda i: ((F.col("k") + i * 3) % 10) / 10.0).alias("peaks")),
+        displays=ev.filter("session_id % 3 = 0").groupBy("session_id").agg(F.min("t").alias("t"), F.lit(2560.0).alias("right"), F.lit(1440.0).alias("bottom")),
+    )
+    return out.select("session_id", "lane_no", "band", "lane", "at", *[F.round(c, 3).alias(c) for c in ("start_sec", "end_sec")], *[F.round(c, 6).alias(c) for c in ("value", "value2", "peak")], "label")
