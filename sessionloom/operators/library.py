@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sessionloom.operators import spatial, temporal
+from sessionloom.operators import hierarchy, spatial, temporal
 from sessionloom.sources import tables
 
 # Modifiers that make a key a command, and the virtual key of each scancode: letters A to Z, digits 1 to 0, then punctuation and space.
@@ -64,23 +64,44 @@ def frame_recall(scored: DataFrame | None, scope: DataFrame, links: DataFrame, k
     return found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).select("query_id", "id", F.lit(None).cast("double").alias("distance"))
 
 
-def enrich_hits(hits: DataFrame, frames: DataFrame, sessions: DataFrame, focus: DataFrame) -> DataFrame:
-    """hits with session_id, wall clock, offset, the session's length and the app in force.
+def task_summaries(ids: DataFrame, edges: DataFrame, summaries: DataFrame) -> DataFrame:
+    """segment_id, task: the summary of the nearest node at or above a segment that has one (J17)."""
+    found = hierarchy.nearest_summary(edges, ids.select(F.col("segment_id").alias("id")).filter("id is not null").distinct(), summaries)
+    return found.select(F.col("id").alias("segment_id"), F.col("summary").alias("task"))
 
-    ``hits``: query_id, frame_id; ``frames``: frame_id, session_id, t; ``sessions``: session_id,
-    started_at, t_end; ``focus``: session_id, event_id, t, app.
+
+def enrich_hits(hits: DataFrame, frames: DataFrame, sessions: DataFrame, focus: DataFrame, edges: DataFrame | None = None, summaries: DataFrame | None = None) -> DataFrame:
+    """hits with session_id, wall clock, offset, the session's length, the app in force and the task the segment belongs to.
+
+    ``hits``: query_id, frame_id, segment_id (null if none is known); ``frames``: frame_id, session_id, t;
+    ``sessions``: session_id, started_at, t_end; ``focus``: session_id, event_id, t, app; ``edges`` and
+    ``summaries``: the tree of segments and what was said of its nodes.
     """
     rows = hits.join(frames, "frame_id").join(sessions, "session_id")
     rows = temporal.asof(rows.withColumn("event_id", F.col("frame_id")), focus, ["app"])
-    return rows.select("query_id", "frame_id", "session_id", (F.col("started_at") + F.col("t")).alias("wall_ms"), (F.col("t") / 1000).alias("offset_sec"), (F.col("t_end") / 1000).alias("session_sec"), "app")
+    columns = ["query_id", "frame_id", "session_id", (F.col("started_at") + F.col("t")).alias("wall_ms"), (F.col("t") / 1000).alias("offset_sec"), (F.col("t_end") / 1000).alias("session_sec"), "app"]
+    if edges is None or summaries is None:
+        return rows.select(*columns)
+    return rows.join(task_summaries(hits, edges, summaries), "segment_id", "left").select(*columns, "task")
 
 
-def moment(frames: DataFrame, links: DataFrame, segs: DataFrame, elements: DataFrame, most: int = 40) -> DataFrame:
-    """frame_id, texts, labels: the texts of a frame's segments and at most ``most`` labels, both in order."""
+def moment(frames: DataFrame, links: DataFrame, segs: DataFrame, elements: DataFrame, most: int = 40, *, edges: DataFrame | None = None, summaries: DataFrame | None = None, highlights: DataFrame | None = None) -> DataFrame:
+    """frame_id, texts, labels: the texts of a frame's segments and at most ``most`` labels, both in order; with a tree
+    and summaries its ``task``, that of its first segment which has one; with ``highlights`` (frame_id, region_id, role,
+    label, matched_by, strength) its matched ``regions``, the strongest first.
+    """
     said = frames.select("frame_id").join(links, "frame_id").join(segs.select("segment_id", "text"), "segment_id").groupBy("frame_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("segment_id", "text"))), lambda s: s["text"]).alias("texts"))
     w = Window.partitionBy("frame_id").orderBy("idx")
     seen = elements.filter(F.length("label") > 0).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).groupBy("frame_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "label"))), lambda s: s["label"]).alias("labels"))
-    return frames.select("frame_id").join(said, "frame_id", "left").join(seen, "frame_id", "left")
+    out = frames.select("frame_id").join(said, "frame_id", "left").join(seen, "frame_id", "left")
+    if edges is not None and summaries is not None:
+        tasks = links.join(task_summaries(links, edges, summaries).filter("task is not null"), "segment_id").groupBy("frame_id").agg(F.min_by("task", "segment_id").alias("task"))
+        out = out.join(tasks, "frame_id", "left")
+    if highlights is not None:
+        name = F.concat(F.coalesce("role", F.lit("region")), F.lit(' "'), F.coalesce("label", F.lit("")), F.lit('" ('), F.array_join("matched_by", "+"), F.lit(")"))
+        met = highlights.select("frame_id", F.struct((-F.col("strength")).alias("s"), "region_id", name.alias("name")).alias("h")).groupBy("frame_id").agg(F.transform(F.array_sort(F.collect_list("h")), lambda h: h["name"]).alias("regions"))
+        out = out.join(met, "frame_id", "left")
+    return out
 
 
 def primary_segments(frames: DataFrame, segs: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sessionloom.operators import library, routes, segments, temporal, traces
-from sessionloom.plans.events import W, _segments
+from sessionloom.plans.events import _segments
 from sessionloom.plans.graphs import _ST, _steps, _WK, _walks
+from sessionloom.plans.hierarchies import _E, _edges
 from sessionloom.plans.registry import query
 from sessionloom.plans.spaces import _boxes, _BOX
 from sessionloom.sources import fixtures as fx
@@ -74,20 +75,35 @@ def recall(spark, d):
     return library.frame_recall(None, scope, frames.select(F.col("session_id").alias("segment_id"), "frame_id"), 30)
 
 
-@query("t20_enriched_hits", f"WITH {fx.EV}, e AS (SELECT session_id, max(us) AS e FROM ev GROUP BY session_id) SELECT session_id % 9 AS query_id, event_id AS frame_id, session_id, round(session_id * 1000 + us / 1000.0::DOUBLE, 3) AS wall_ms, round(us / 1000000.0::DOUBLE, 6) AS offset_sec, round(e / 1000000.0::DOUBLE, 6) AS session_sec, (SELECT max_by(f.app, (f.us, f.event_id)) FROM ev f WHERE f.session_id = ev.session_id AND f.us <= ev.us AND f.kind = 'focus_change') AS app FROM ev JOIN e USING (session_id) WHERE event_id % 5 = 0")
+_TASKS = "sm AS (SELECT 'n' || n_nationkey AS id, n_name AS summary FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'r' || r_regionkey, r_name FROM region WHERE r_regionkey > 0), tk AS (SELECT clo.x AS id, min_by(summary, depth) AS task FROM clo JOIN sm ON sm.id = clo.a GROUP BY clo.x)"
+
+
+def _tasks(spark, d):
+    """The tree of customers below nations below regions, with summaries of some nations and regions."""
+    nation, region = fx.table(spark, d, "nation"), fx.table(spark, d, "region").filter("r_regionkey > 0")
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string")).alias("id")
+    said = nation.filter("n_nationkey % 2 = 0").select(name("n", "n_nationkey"), F.col("n_name").alias("summary")).unionByName(region.select(name("r", "r_regionkey"), F.col("r_name").alias("summary")))
+    return {"edges": _edges(spark, d), "summaries": said}
+
+
+@query("t20_enriched_hits", f"WITH RECURSIVE {fx.EV}, {_E}, {_TASKS}, en AS (SELECT session_id, max(us) AS e FROM ev GROUP BY session_id) SELECT session_id % 9 AS query_id, event_id AS frame_id, session_id, round(session_id * 1000 + us / 1000.0::DOUBLE, 3) AS wall_ms, round(us / 1000000.0::DOUBLE, 6) AS offset_sec, round(e / 1000000.0::DOUBLE, 6) AS session_sec, (SELECT max_by(f.app, (f.us, f.event_id)) FROM ev f WHERE f.session_id = ev.session_id AND f.us <= ev.us AND f.kind = 'focus_change') AS app, task FROM ev JOIN en USING (session_id) LEFT JOIN tk ON tk.id = 'c' || (1 + event_id % 120) WHERE event_id % 5 = 0")
 def enriched(spark, d):
     ev = fx.events(spark, d)
     frames = fx.frames(ev)
     sessions = segments.session_ends(ev).select("session_id", (F.col("session_id") * 1000).alias("started_at"), "t_end")
-    out = library.enrich_hits(frames.select((F.col("session_id") % 9).alias("query_id"), "frame_id"), frames.select("frame_id", "session_id", "t"), sessions, ev.filter("kind = 'focus_change'"))
+    out = library.enrich_hits(frames.select((F.col("session_id") % 9).alias("query_id"), "frame_id", F.concat(F.lit("c"), (1 + F.col("frame_id") % 120).cast("string")).alias("segment_id")), frames.select("frame_id", "session_id", "t"), sessions, ev.filter("kind = 'focus_change'"), **_tasks(spark, d))
     return out.withColumns({"wall_ms": F.round("wall_ms", 3), "offset_sec": F.round("offset_sec", 6), "session_sec": F.round("session_sec", 6)})
 
 
-@query("t21_moments", f"WITH {_BOX}, lb AS (SELECT frame_id, string_agg(label, ',' ORDER BY idx) AS labels FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY idx) AS n FROM bx WHERE label <> '') WHERE n <= 3 GROUP BY frame_id) SELECT o_orderkey AS frame_id, 'order of ' || o_custkey AS texts, labels FROM orders LEFT JOIN lb ON frame_id = o_orderkey")
+@query("t21_moments", f"WITH RECURSIVE {_BOX}, {_E}, {_TASKS}, hl AS (SELECT frame_id, string_agg(role || ' \"' || label || '\" (' || CASE WHEN idx % 2 = 0 THEN 'label+patch' ELSE 'patch' END || ')', ', ' ORDER BY idx % 3 DESC, region_id) AS regions FROM bx WHERE idx % 4 > 0 GROUP BY frame_id), lb AS (SELECT frame_id, string_agg(label, ',' ORDER BY idx) AS labels FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY idx) AS n FROM bx WHERE label <> '') WHERE n <= 3 GROUP BY frame_id) SELECT o_orderkey AS frame_id, 'order of ' || o_custkey AS texts, labels, task, regions FROM orders LEFT JOIN lb ON lb.frame_id = o_orderkey LEFT JOIN hl ON hl.frame_id = o_orderkey LEFT JOIN tk ON tk.id = 'c' || o_custkey")
 def moments(spark, d):
     o = fx.table(spark, d, "orders")
-    out = library.moment(o.select(F.col("o_orderkey").alias("frame_id")), o.select(F.col("o_orderkey").alias("frame_id"), F.col("o_custkey").alias("segment_id")), o.select(F.col("o_custkey").alias("segment_id"), F.concat(F.lit("order of "), F.col("o_custkey").cast("string")).alias("text")).distinct(), _boxes(spark, d), 3)
-    return out.select("frame_id", F.array_join("texts", ",").alias("texts"), F.array_join("labels", ",").alias("labels"))
+    segment = F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("segment_id")
+    b = _boxes(spark, d)
+    shown = b.filter("idx % 4 > 0").select("frame_id", "region_id", "role", "label", F.when(F.col("idx") % 2 == 0, F.array(F.lit("label"), F.lit("patch"))).otherwise(F.array(F.lit("patch"))).alias("matched_by"), (F.col("idx") % 3).alias("strength"))
+    texts = o.select(segment, F.concat(F.lit("order of "), F.col("o_custkey").cast("string")).alias("text")).distinct()
+    out = library.moment(o.select(F.col("o_orderkey").alias("frame_id")), o.select(F.col("o_orderkey").alias("frame_id"), segment), texts, b, 3, highlights=shown, **_tasks(spark, d))
+    return out.select("frame_id", F.array_join("texts", ",").alias("texts"), F.array_join("labels", ",").alias("labels"), "task", F.array_join("regions", ", ").alias("regions"))
 
 
 @query("r8_region_job")

@@ -10,8 +10,6 @@ from sessionloom.operators import segments, temporal
 from sessionloom.plans.registry import query
 from sessionloom.sources import fixtures as fx
 
-W = 24 * 3_600_000.0
-
 
 def _segments(ev):
     ends = segments.session_ends(ev)

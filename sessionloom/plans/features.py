@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sessionloom.operators import features, segments, temporal, tracks, vectors
-from sessionloom.plans.events import W, _segments
+from sessionloom.plans.events import _segments
 from sessionloom.plans.registry import query
 from sessionloom.sources import fixtures as fx
 from sessionloom.sources.tables import ensure_checkpoint_dir
