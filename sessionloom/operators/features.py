@@ -229,10 +229,16 @@ def shares(df: DataFrame, group: str, value: str, least: float = 0.0) -> DataFra
     return rows.groupBy(group, F.when(F.col("share") < least, "other").otherwise(F.col("name")).alias("name")).agg(F.sum("share").alias("share"))
 
 
-def tallies(ev: DataFrame) -> DataFrame:
-    """session_id and counts of keys, clicks and focus changes, with the latest app."""
+def tallies(ev: DataFrame, frames: DataFrame | None = None, chunks: DataFrame | None = None, walks: DataFrame | None = None) -> DataFrame:
+    """session_id and counts of keys, clicks and focus changes, with the latest app; and of keyframes, audio chunks and
+    walks of the element tree (each with session_id) where these are given."""
     n = lambda kind: F.count_if(F.col("kind") == kind)
-    return ev.groupBy("session_id").agg(n("key_down").alias("keys"), n("mouse_down").alias("clicks"), n("focus_change").alias("focus_changes"), F.max_by("app", F.when(F.col("app").isNotNull(), F.struct("t", "event_id"))).alias("latest_app"))
+    out = ev.groupBy("session_id").agg(n("key_down").alias("keys"), n("mouse_down").alias("clicks"), n("focus_change").alias("focus_changes"), F.max_by("app", F.when(F.col("app").isNotNull(), F.struct("t", "event_id"))).alias("latest_app"))
+    for name, rows in (("keyframes", frames), ("chunks", chunks), ("walks", walks)):
+        if rows is not None:
+            # a session may have these and no event
+            out = out.join(rows.groupBy("session_id").agg(F.count("*").alias(name)), "session_id", "full_outer").fillna(0)
+    return out
 
 
 # Fixed values of the path fit: points of the velocity profile, the residual that is small enough, how often a span is halved.

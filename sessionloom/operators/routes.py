@@ -265,6 +265,25 @@ def habit_conflicts(bound: DataFrame, routes: DataFrame) -> DataFrame:
     return claims.filter("n > 1").select("route_key", F.lit("duplicate").alias("issue")).unionByName(routes.select("route_key").join(claims, "route_key", "left_anti").select("route_key", F.lit("unclaimed").alias("issue")))
 
 
+def route_facts(walked: DataFrame, names: DataFrame, pairs: DataFrame, targets: DataFrame, unlocatable: DataFrame) -> DataFrame:
+    """What ``cautions`` reads of each route, from its walks.
+
+    ``walked``: as ``walks``; ``names``: session_id, name that its recording was given; ``pairs``: a_key,
+    b_key of routes that were folded; ``targets``: edge_id, has_ax; ``unlocatable``: place.
+    """
+    known = walked.select("route_key", "session_id", "places", "edges")
+    base = known.groupBy("route_key").agg(F.countDistinct("session_id").alias("n_sessions"), F.countDistinct(F.size("edges")).alias("n_ways"), F.first("places").alias("places"))
+    named = known.join(names, "session_id").groupBy("route_key").agg(F.countDistinct("name").alias("n_names"))
+    folded = pairs.select(F.col("a_key").alias("route_key")).unionByName(pairs.select(F.col("b_key").alias("route_key"))).groupBy("route_key").agg(F.count("*").alias("n_folded"))
+    each = known.select("route_key", "session_id", F.explode(F.array_distinct("edges")).alias("edge_id")).groupBy("route_key", "edge_id").agg(F.countDistinct("session_id").alias("n"))
+    steps = each.join(base.select("route_key", "n_sessions"), "route_key").join(targets, "edge_id", "left").groupBy("route_key").agg(F.count_if(F.col("n") < F.col("n_sessions")).alias("partial_steps"), F.avg((~F.coalesce("has_ax", F.lit(False))).cast("double")).alias("coordinate_share"))
+    lost = base.select("route_key", F.explode(F.array_distinct("places")).alias("place")).join(unlocatable, "place", "left_semi").groupBy("route_key").agg(F.count("*").alias("unlocatable"))
+    out = base.drop("places")
+    for more in (named, folded, steps, lost):
+        out = out.join(more, "route_key", "left")
+    return out.fillna(0)
+
+
 def cautions(routes: DataFrame) -> DataFrame:
     """route_key, caution: one row for each reason to doubt a route.
 

@@ -147,9 +147,12 @@ def marks(spark, d):
     return features.marks(ev, {"url_change": "web", "bookmark": "markers", "focus_change": "apps"}, axis).withColumn("sec", F.round("sec", 6))
 
 
-@query("a16_tallies", f"WITH {fx.EV} SELECT session_id, count(*) FILTER (WHERE kind = 'key_down') AS keys, count(*) FILTER (WHERE kind = 'mouse_down') AS clicks, count(*) FILTER (WHERE kind = 'focus_change') AS focus_changes, max_by(app, (us, event_id)) FILTER (WHERE app IS NOT NULL) AS latest_app FROM ev GROUP BY session_id")
+@query("a16_tallies", f"WITH {fx.EV} SELECT session_id, count(*) FILTER (WHERE kind = 'key_down') AS keys, count(*) FILTER (WHERE kind = 'mouse_down') AS clicks, count(*) FILTER (WHERE kind = 'focus_change') AS focus_changes, max_by(app, (us, event_id)) FILTER (WHERE app IS NOT NULL) AS latest_app, count(*) FILTER (WHERE event_id % 5 = 0) AS keyframes, coalesce(any_value(c.n), 0) AS chunks, count(*) FILTER (WHERE kind = 'mouse_up') AS walks FROM ev LEFT JOIN (SELECT conv_id AS session_id, count(*) AS n FROM conversations WHERE conv_id IN (SELECT session_id FROM ev) GROUP BY conv_id) c USING (session_id) GROUP BY session_id")
 def tallies(spark, d):
-    return features.tallies(fx.events(spark, d))
+    """Turns of the conversation of a session's number are its audio chunks."""
+    ev = fx.events(spark, d)
+    chunks = fx.table(spark, d, "conversations").select(F.col("conv_id").alias("session_id")).join(ev.select("session_id").distinct(), "session_id", "left_semi")
+    return features.tallies(ev, fx.frames(ev), chunks, ev.filter("kind = 'mouse_up'"))
 
 
 @query("a17_transcripts", "SELECT conv_id AS session_id, (turn // 2)::INTEGER AS seg_no, string_agg(trim(text), ' ' ORDER BY turn) FILTER (WHERE trim(text) <> '') AS transcript FROM conversations GROUP BY ALL")

@@ -156,11 +156,19 @@ def conflicts(spark, d):
     return routes.habit_conflicts(routes.bind_habits(habit, live), live)
 
 
-@query("m28_cautions", f"WITH {_RT}, w AS (SELECT k, count(DISTINCT len(edges)) AS ways FROM wk GROUP BY k) SELECT k AS route_key, unnest(list_filter([CASE WHEN n = 1 THEN 'seen once' END, CASE WHEN ways > 1 THEN 'several ways' END], lambda c: c IS NOT NULL)) AS caution FROM rt JOIN w USING (k)")
+_FACTS = f"""{_CP}, pr AS (SELECT DISTINCT least(fm.k, rt.k) AS a, greatest(fm.k, rt.k) AS b FROM fm JOIN rt ON fm.p = rt.places AND fm.k <> rt.k), nf AS (SELECT k, count(*) AS n_folded FROM (SELECT a AS k FROM pr UNION ALL SELECT b FROM pr) GROUP BY k),
+w AS (SELECT k, count(DISTINCT len(edges)) AS ways, count(DISTINCT split_part(sess, '-', 2)::INTEGER % 3) AS n_names FROM wk GROUP BY k),
+es AS (SELECT k, x AS e, count(DISTINCT sess) AS c FROM (SELECT k, sess, unnest(edges) AS x FROM wk) GROUP BY ALL), sh AS (SELECT k, count(*) FILTER (WHERE c < n) AS part, avg((length(e) % 2 = 1)::INTEGER) AS share FROM es JOIN rt USING (k) GROUP BY k)"""
+
+
+@query("m28_cautions", f"WITH {_FACTS} SELECT k AS route_key, unnest(list_filter([CASE WHEN n = 1 THEN 'seen once' END, CASE WHEN n_names > 1 THEN 'names disagree' END, CASE WHEN n_folded > 0 THEN 'variants folded' END, CASE WHEN ways > 1 THEN 'several ways' END, CASE WHEN part > 0 THEN 'steps not in every recording' END, CASE WHEN share > 0.5 THEN 'mostly coordinates' END, CASE WHEN list_contains(places, 'mouse_up') THEN 'states that cannot be located' END], lambda c: c IS NOT NULL)) AS caution FROM rt JOIN w USING (k) JOIN sh USING (k) LEFT JOIN nf USING (k)")
 def cautions(spark, d):
-    r = _routes(spark, d).join(routes.ways(_walks(spark, d)).select("route_key", F.size("lengths").alias("n_ways")), "route_key")
-    zero = {c: F.lit(0) for c in ("n_names", "n_folded", "partial_steps", "unlocatable")}
-    return routes.cautions(r.withColumns(zero | {"coordinate_share": F.lit(0.0)}))
+    """All seven; a session's name follows from its number, elements are known of edges whose name has an even length."""
+    walked = _walks(spark, d)
+    names = walked.select("session_id", F.concat(F.lit("task "), (F.element_at(F.split("session_id", "-"), 2).cast("int") % 3).cast("string")).alias("name"))
+    edges = walked.select(F.explode("edges").alias("edge_id")).distinct().select("edge_id", (F.length("edge_id") % 2 == 0).alias("has_ax"))
+    lost = spark.createDataFrame([("mouse_up",)], "place string")
+    return routes.cautions(routes.route_facts(walked, names, routes.compatible_pairs(_routes(spark, d)), edges, lost))
 
 
 _EDGE = f"{_ST}, eg AS (SELECT f, g, count(*) AS n, count(*) FILTER (WHERE ord % 2 = 0) AS a, count(*) FILTER (WHERE ord % 4 = 0) AS s FROM st GROUP BY ALL), co AS (SELECT f, g, 1 / (1 + n * CASE WHEN a > 0 THEN s::DOUBLE / a ELSE 0.5 END) AS c FROM eg)"

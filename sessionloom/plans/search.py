@@ -172,10 +172,16 @@ def hybrid(spark, d):
     return fusion.rrf(near.unionByName(by_label)).filter("rank <= 10").select("query_id", "id", "score", "rank")
 
 
-@query("t15_frame_scores", f"WITH {_RRF}, z AS (SELECT query_id, id, id % 7 AS t, CASE WHEN id % 3 <> 0 THEN rank::DOUBLE END AS distance, CASE WHEN id % 2 = 0 THEN score END AS region, score AS segment FROM rf), o AS (SELECT *, CASE WHEN distance IS NULL THEN 0 WHEN max(distance) OVER w = min(distance) OVER w THEN 1 ELSE (max(distance) OVER w - distance) / (max(distance) OVER w - min(distance) OVER w) END AS own FROM z WINDOW w AS (PARTITION BY query_id)), s AS (SELECT query_id, id, t, round(own / greatest(max(own) OVER w, 1e-9) + 0.5::DOUBLE * coalesce(region, 0) / greatest(max(coalesce(region, 0)) OVER w, 1e-9) + 0.5::DOUBLE * segment / greatest(max(segment) OVER w, 1e-9), 6) AS score FROM o WINDOW w AS (PARTITION BY query_id)) SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, t, id)::INTEGER AS rank FROM s) WHERE rank <= 30")
+def _region_hits(fused):
+    """Every second hit's frame has four labelled regions, found in a row from the frame's own rank on."""
+    return fused.filter("id % 2 = 0").select("query_id", F.col("id").alias("frame_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"), "rank").select("query_id", "frame_id", F.col("i").alias("region_id"), (F.col("rank") + F.col("i")).alias("rank"))
+
+
+@query("t15_frame_scores", f"WITH {_RRF}, z AS (SELECT query_id, id, id % 7 AS t, CASE WHEN id % 3 <> 0 THEN rank::DOUBLE END AS distance, CASE WHEN id % 2 = 0 THEN (1.0::DOUBLE / rank + 1.0::DOUBLE / (rank + 1) + 1.0::DOUBLE / (rank + 2)) / 3 END AS region, score AS segment FROM rf), o AS (SELECT *, CASE WHEN distance IS NULL THEN 0 WHEN max(distance) OVER w = min(distance) OVER w THEN 1 ELSE (max(distance) OVER w - distance) / (max(distance) OVER w - min(distance) OVER w) END AS own FROM z WINDOW w AS (PARTITION BY query_id)), s AS (SELECT query_id, id, t, round(own / greatest(max(own) OVER w, 1e-9) + 0.5::DOUBLE * coalesce(region, 0) / greatest(max(coalesce(region, 0)) OVER w, 1e-9) + 0.5::DOUBLE * segment / greatest(max(segment) OVER w, 1e-9), 6) AS score FROM o WINDOW w AS (PARTITION BY query_id)) SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, t, id)::INTEGER AS rank FROM s) WHERE rank <= 30")
 def frame_scores(spark, d):
     fused = fusion.rrf(_lists(spark, d))
-    rows = fused.select("query_id", "id", (F.col("id") % 7).alias("t"), F.when(F.col("id") % 3 != 0, F.col("rank").cast("double")).alias("distance"), F.when(F.col("id") % 2 == 0, F.col("score")).alias("region"), F.col("score").alias("segment"))
+    regions = fusion.region_scores(_region_hits(fused)).withColumnRenamed("frame_id", "id")
+    rows = fused.join(regions, ["query_id", "id"], "left").select("query_id", "id", (F.col("id") % 7).alias("t"), F.when(F.col("id") % 3 != 0, F.col("rank").cast("double")).alias("distance"), "region", F.col("score").alias("segment"))
     return fusion.frame_scores(rows)
 
 
@@ -185,9 +191,10 @@ def best_segment(spark, d):
     return fusion.best_segment(fused.select("query_id", F.floor(F.col("id") / 10).alias("frame_id"), F.col("id").alias("segment_id"), "score", (F.col("id") % 4).alias("duration")))
 
 
-@query("t17_evidence", f"WITH {_LISTS} SELECT query_id, id, string_agg(lane || '@' || rank, ', ' ORDER BY rank, lane) AS evidence FROM lists GROUP BY ALL")
+@query("t17_evidence", f"WITH {_LISTS}, every AS (SELECT query_id, id, rank, lane FROM lists UNION ALL SELECT query_id, id, rank, 'region_label x4' FROM lists WHERE lane = 'words' AND id % 2 = 0) SELECT query_id, id, string_agg(lane || '@' || rank, ', ' ORDER BY rank, lane) AS evidence FROM every GROUP BY ALL")
 def evidence(spark, d):
-    return fusion.evidence(_lists(spark, d))
+    lists = _lists(spark, d)
+    return fusion.evidence(lists, _region_hits(lists.filter("lane = 'words'")).withColumnRenamed("frame_id", "id"))
 
 
 @query("t18_rerank", f"WITH {_RRF}, qt AS (SELECT query_id, list(DISTINCT token) AS qtok FROM q GROUP BY query_id), h AS (SELECT rf.*, CASE WHEN rank <= 10 THEN -len(list_intersect(qtok, list_distinct({_TOK.format('text')}))) ELSE 0 END AS o FROM rf JOIN qt USING (query_id) JOIN documents ON doc_id = id) SELECT query_id, id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank > 10, o, rank)::INTEGER AS new_rank FROM h")
