@@ -74,13 +74,26 @@ def mine_rules(labelled: DataFrame, *, min_support: float = 0.002, min_rows: int
     its confidence by the share of blocked rows (1: no rule that is worse than chance). Rows with a
     null URL or label teach nothing; repeated rows count as often as they occur. No labelled rows: no
     rules.
+
+    Tokens that are in the same labelled rows (a host and its labels, all folders of one template) are one
+    item while patterns grow, so a URL's depth does not multiply them; a rule is then told with each of
+    the tokens that stand for its items. Folders that are nested in ever fewer rows stay items of their own.
     """
     spark = labelled.sparkSession
-    rows = stored(labelled.filter(F.col("url").isNotNull() & F.col("blocked").isNotNull()).select(F.concat(tokens_of(F.col("url")), F.when(F.col("blocked"), F.array(F.lit(BLOCKED))).otherwise(F.array().cast("array<string>"))).alias("items")))
+    known = labelled.filter(F.col("url").isNotNull() & F.col("blocked").isNotNull())
+    rows = stored(known.select(F.monotonically_increasing_id().alias("row"), tokens_of(F.col("url")).alias("tokens"), "blocked"))
     n = rows.count()
     if not n:
         return spark.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_rows / n)), minConfidence=min_confidence).fit(rows)
+    least = min(1.0, max(min_support, min_rows / n))
+    # which rows a token is in, as a count and two sums of hashes
+    told = [F.sum(F.xxhash64("row", F.lit(seed)).cast("decimal(38,0)")).alias(f"h{seed}") for seed in (1, 2)]
+    frequent = rows.select("row", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), *told).filter(F.col("n") >= F.lit(least * n - 1e-9))
+    alike = stored(frequent.groupBy("n", "h1", "h2").agg(F.array_sort(F.collect_list("token")).alias("members")).select(F.col("members")[0].alias("item"), "members"))
+    items = rows.select("row", F.explode("tokens").alias("token")).join(alike.select(F.explode("members").alias("token"), "item"), "token").groupBy("row").agg(F.collect_set("item").alias("items"))
+    bad = F.when(F.col("blocked"), F.array(F.lit(BLOCKED))).otherwise(F.array().cast("array<string>"))
+    baskets = stored(rows.join(items, "row", "left").select(F.concat(F.coalesce("items", F.array().cast("array<string>")), bad).alias("items")))
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(baskets)
     rules = (
         model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCKED) & (F.col("lift") >= min_lift))
         .select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
@@ -94,7 +107,12 @@ def mine_rules(labelled: DataFrame, *, min_support: float = 0.002, min_rows: int
         .filter((F.size("less") < F.size("tokens")) & (F.col("less_confidence") >= F.col("confidence")) & (F.size(F.array_except("less", "tokens")) == 0))
         .select("rule_id").distinct()
     )
-    return rules.join(needless, "rule_id", "left_anti").select("rule_id", "tokens", "confidence", "support")
+    kept = rules.join(needless, "rule_id", "left_anti")
+    # each item by any of the tokens that stand for it
+    choices = kept.select("rule_id", F.explode("tokens").alias("item")).join(alike, "item").groupBy("rule_id").agg(F.collect_list("members").alias("choices"))
+    said = F.aggregate("choices", F.array(F.array().cast("array<string>")), lambda done, some: F.flatten(F.transform(done, lambda one: F.transform(some, lambda token: F.concat(one, F.array(token))))))
+    each = kept.join(choices, "rule_id").select(F.explode(said).alias("tokens"), "confidence", "support").withColumn("tokens", F.array_sort("tokens"))
+    return each.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "confidence", "support")
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:

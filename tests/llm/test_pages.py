@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import itertools
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,6 +107,22 @@ def test_mined_rules_match_brute_force(spark):
     assert matched == {u for (u, _), t in zip(rows, tokens) if any(set(c) <= t for c in want)}
 
 
+def test_deep_urls_are_mined_in_bounded_time(spark):
+    for n in (10, 40):
+        deep = "http://bad.example.org/" + "/".join(f"f{i}" for i in range(n)) + "/"
+        rows = [(f"{deep}{i}", True) for i in range(50)] + [(f"http://good.example.org/x{i % 7}/{i}", False) for i in range(50)]
+        labelled = spark.createDataFrame(rows, "url string, blocked boolean")
+        began = time.time()
+        mined = urlrules.mine_rules(labelled)
+        rules = {tuple(r.tokens) for r in mined.collect()}
+        assert time.time() - began < 20 and rules == {(t,) for t in ["host:bad.example.org", "label:bad", *[f"dir:f{i}" for i in range(n)]]}
+        asked = labelled.select("url").union(spark.createDataFrame([(f"http://other.example.org/f{n - 1}/q",), ("http://other.example.org/q",)], "url string"))
+        hit = {r.url for r in urlrules.match_rules(asked, mined).collect()}
+        assert hit == {u for u, b in rows if b} | {f"http://other.example.org/f{n - 1}/q"}
+        again = urlrules.judge(pages(spark, []), labelled, queries.URL_RULES)
+        assert again.count() == 0
+
+
 def test_hosts_named_like_a_class(spark):
     rows = [(f"http://block.example.org/{'bad' if i % 2 else 'good'}/{i}", i % 2 == 1) for i in range(20)] + [(None, True), ("http://x.org/", None)]
     labelled = spark.createDataFrame(rows, "url string, blocked boolean")
