@@ -1,9 +1,11 @@
 """License scans by conditional compression.
 
-Each template has cues: words of which any wording close enough to it must hold one. Windows of words
-around the cues, across line breaks, are held against each license template. A template with enough of its words in the window is compared word by word, which also says
-exactly where the wording differs. The stretch found is compressed plainly and with the template as a
-raw zstandard dictionary; what that saves decides between templates that match alike.
+Each template has cues: words of which any wording close enough to it must hold one. The words around
+the cues, across line breaks, are a candidate block. A block is compressed plainly and with each license
+template as a raw zstandard dictionary, and templates are ranked by what they save. In that order they are
+held against the block word by word, which also says exactly where the wording differs; of templates that
+are confirmed on one stretch, the one that saves most of it has it. The ranking is gone down to its end: a template is passed over only if the block lacks too many of its words in any order, which no
+wording that is close enough does.
 """
 
 from __future__ import annotations
@@ -144,17 +146,17 @@ def _compressors(templates: tuple[tuple[str, str], ...]):
 def classify(block: str, templates: tuple[tuple[str, str], ...], *, least_match: float = 0.8) -> list[tuple]:
     """(license, saved, share, exact, differences, start, end, words) of the templates that a block holds.
 
-    A template is compared word by word where the block holds enough of its words in any order. One
-    whose words a stretch of the block holds in order to ``least_match`` is confirmed, and of those
-    that overlap the one that covers most words, then the one that saves most. ``saved``: share of the
-    stretch's plain size that the template saves as a dictionary. ``differences`` tells each change of
-    wording.
+    Templates come in the order of what they save of the block. One whose words a stretch of the block
+    holds in order to ``least_match`` is confirmed there. Of those confirmed on one stretch, the one that
+    saves most bytes of it has it, then the one that saves more of the block. ``saved``: share of the
+    stretch's plain size that the template saves as a dictionary. ``differences`` tells each change of wording.
     """
-    plain, own = _compressors(templates)
+    own = _compressors(templates)[1]
     words = [m for m in _WORD.finditer(block)]
     lower = [m[0].lower() for m in words]
-    found = []
-    for name, (compressor, want) in own.items():
+    found: list[tuple] = []
+    for name in ranked(" ".join(lower).encode(), templates):
+        want = own[name][1]
         need, bag = least_match * len(want), Counter(want)
         rest: list = list(lower)
         left = Counter(w for w in rest if w in bag)
@@ -173,11 +175,35 @@ def classify(block: str, templates: tuple[tuple[str, str], ...], *, least_match:
             for tag, a0, a1, b0, b1 in difflib.SequenceMatcher(None, want, lower[first:last], autojunk=False).get_opcodes():
                 if tag != "equal":
                     changes.append(f"{' '.join(want[a0:a1])}->{' '.join(lower[first + b0 : first + b1])}")
-            data = " ".join(lower[first:last]).encode()
-            base = len(plain.compress(data))
-            found.append((name, (base - len(compressor.compress(data))) / base, same / len(want), not changes, "; ".join(changes), words[first].start(), words[last - 1].end(), same))
+            base, rest_size = _sizes(" ".join(lower[first:last]).encode(), name, templates)
+            hit = (name, (base - rest_size) / base, same / len(want), not changes, "; ".join(changes), words[first].start(), words[last - 1].end(), same)
+            found.append((base - rest_size, hit))
             break
-    return apart(found)
+    # the order of the sort is kept for equal savings: the block's ranking
+    return sorted(taken([h for _, h in sorted(found, key=lambda x: -x[0])]), key=lambda h: h[5])
+
+
+def taken(hits: list[tuple]) -> list[tuple]:
+    """Those of ``hits`` that no hit before them overlaps."""
+    kept: list[tuple] = []
+    for hit in hits:
+        if all(hit[6] <= h[5] or h[6] <= hit[5] for h in kept):
+            kept.append(hit)
+    return kept
+
+
+def _sizes(data: bytes, name: str, templates: tuple[tuple[str, str], ...]) -> tuple[int, int]:
+    """Compressed sizes plainly and with a template as a dictionary."""
+    plain, own = _compressors(templates)
+    return len(plain.compress(data)), len(own[name][0].compress(data))
+
+
+def ranked(data: bytes, templates: tuple[tuple[str, str], ...]) -> list[str]:
+    """All templates, those that save most of ``data`` first; of equal ones the longer, then by name."""
+    plain, own = _compressors(templates)
+    base = len(plain.compress(data))
+    saved = {name: base - len(compressor.compress(data)) for name, (compressor, _) in own.items()}
+    return sorted(own, key=lambda name: (-saved[name], -len(own[name][1]), name))
 
 
 def apart(found: list[tuple]) -> list[tuple]:

@@ -114,12 +114,13 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, *, rows_per_block: int = 10
     """
     vectors = stored(vectors)
     n = vectors.count()
-    tasks = max(1, min(4096, n // rows_per_block + 1))
+    blocks = n // rows_per_block + 1
+    tasks = min(4096, blocks)  # partitions, which hold as many blocks as there are
     candidates = stored(_blocks(vectors, rows_per_block, tasks))
     n_queries = vectors.filter(is_query).count()
     asked = vectors.filter(is_query).groupBy("vec_id", "dim").agg(F.min("v").alias("v"))
     queries = stored(_blocks(asked, queries_per_block, max(1, n_queries // queries_per_block + 1)))
-    lanes = lanes or max(min(LANES, tasks), -(-tasks // LANE_BLOCKS))
+    lanes = lanes or max(min(LANES, blocks), -(-blocks // LANE_BLOCKS))
     c = candidates.select("dim", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int").alias("lane"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"), F.col("n").alias("c_n"))
     most = vectors.agg(F.max(F.col("dim") * F.pow(F.array_max(F.transform("v", F.abs)), F.lit(2.0)))).first()[0] or 1.0
     bits = min(62, int(np.log2(max(most, 1.0))) + 1)

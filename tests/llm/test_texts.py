@@ -367,3 +367,20 @@ def test_texts_take_the_agenda_chunk_by_chunk():
             chunks = re.findall(r" +[^ \n]*|\n|[^ \n]+", " " + text) if text else []
             draws = mergedropout._mix(np.arange(len(chunks), dtype=np.uint64) * mergedropout._M[0] + np.uint64(name)).tolist()
             assert got.tobytes() == b"".join(own.agenda(list(zip(chunks, draws, strict=True))) if chunks else [])
+
+
+def test_compression_decides_between_templates(monkeypatch):
+    fixed = tuple(sorted(licenses.TEMPLATES.items()))
+    names = ("GPL-2.0", "GPL-3.0", "LGPL-3.0", "GPL-notice", "AGPL-notice", "MIT-notice", "MIT-text")
+    block = lambda name: "as they say " + licenses.TEMPLATES[name] + " and so on"
+    assert [[h[0] for h in licenses.classify(block(n), fixed)] for n in names] == [[n] for n in names]
+    for n in names:
+        assert n in licenses.ranked(" ".join(licenses.words_of(block(n))).encode(), fixed)[:2]  # a notice is in the whole text as well
+
+    class Same:
+        def compress(self, data):
+            return b"x" * 10
+
+    own = {name: (Same(), words) for name, (_, words) in licenses._compressors(fixed)[1].items()}
+    monkeypatch.setattr(licenses, "_compressors", lambda templates: (Same(), own))
+    assert [[h[0] for h in licenses.classify(block(n), fixed)] for n in names] != [[n] for n in names]
