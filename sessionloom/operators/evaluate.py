@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sessionloom.operators.vectors import highlights
+
 from sessionloom.operators import fusion
 
 
@@ -29,12 +33,14 @@ def rrf_sweep(lists: DataFrame, answers: DataFrame, ks: list[float]) -> DataFram
     return ranked.join(answers, ["query_id", "id"]).groupBy("k").agg(F.round(F.avg("rank"), 6).alias("mean_rank"), F.round(F.avg((F.col("rank") <= 5).cast("double")), 6).alias("recall5"))
 
 
-def floor_sweep(scores: DataFrame, floors: list[float]) -> DataFrame:
-    """floor, cells, answered: cells kept and queries with any, at each share of a frame's best."""
+def floor_sweep(scores: DataFrame, floors: list[float], most: int = 8) -> DataFrame:
+    """floor, boxes, cells, answered: boxes that highlights draw at each share of a frame's best, the cells they come from, and queries with any."""
     best = F.max("score").over(Window.partitionBy("query_id", "frame_id"))
     rows = scores.withColumns({"_best": best, "floor": F.explode(F.array(*[F.lit(f) for f in floors]))})
     kept = rows.filter((F.col("score") > 0) & (F.col("score") >= F.col("floor") * F.col("_best")))
-    return kept.groupBy("floor").agg(F.count("*").alias("cells"), F.countDistinct("query_id").alias("answered"))
+    cells = kept.groupBy("floor").agg(F.count("*").alias("cells"), F.countDistinct("query_id").alias("answered"))
+    drawn = reduce(DataFrame.unionByName, [highlights(scores, floor=f, most=most).withColumn("floor", F.lit(f)) for f in floors])
+    return cells.join(drawn.groupBy("floor").agg(F.count("*").alias("boxes")), "floor").select("floor", "boxes", "cells", "answered")
 
 
 def key_stability(before: DataFrame, after: DataFrame, key: str = "route_key") -> DataFrame:

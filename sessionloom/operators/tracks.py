@@ -33,6 +33,14 @@ def pointer_bounds(ev: DataFrame, displays: DataFrame | None) -> DataFrame:
     return seen.join(last, "session_id", "left").select("session_id", F.coalesce("d.r", "mx").alias("bw"), F.coalesce("d.b", "my").alias("bh"))
 
 
+def pointer_lane(ev: DataFrame, axis: DataFrame, buckets: int, displays: DataFrame | None = None) -> DataFrame:
+    """session_id, bucket, x, y: where the pointer was last, as shares of the screen; null before it first moved."""
+    moves = ev.filter("kind = 'mouse_move' and x is not null and y is not null").join(pointer_bounds(ev, displays), "session_id").join(axis, "session_id")
+    sec = F.greatest((F.col("t") - F.col("origin_ms")) / 1000, F.lit(0.0)).alias("sec")
+    point = moves.select("session_id", "event_id", sec, F.struct((F.col("x") / F.col("bw")).alias("x"), (F.col("y") / F.col("bh")).alias("y")).alias("value"))
+    return features.bucket_hold(point, axis.select("session_id", "total_sec"), buckets).select("session_id", "bucket", F.col("value.x").alias("x"), F.col("value.y").alias("y"))
+
+
 def rates(samples: DataFrame, totals: DataFrame, buckets: int) -> DataFrame:
     """session_id, bucket, value, peak: counts to a rate a second over about one second around each bucket, over the peak.
 
@@ -110,9 +118,7 @@ def session_tracks(
     density("scroll", rates(samples.filter("kind = 'scroll'"), totals, buckets))
     speeds = features.pointer_speeds(ev).join(axis, "session_id").select("session_id", F.greatest(F.col("sec") - F.col("origin_ms") / 1000, F.lit(0.0)).alias("sec"), "value")
     density("mouse-speed", features.normalised(features.bucket_max(speeds, totals, buckets)))
-    moves = on_axis(ev.filter("kind = 'mouse_move' and x is not null and y is not null").join(pointer_bounds(ev, displays), "session_id"))
-    point = moves.select("session_id", "event_id", at("t").alias("sec"), F.struct((F.col("x") / F.col("bw")).alias("x"), (F.col("y") / F.col("bh")).alias("y")).alias("value"))
-    lane("mouse-xy", features.bucket_hold(point, totals, buckets), F.col("bucket"), value=F.col("value.x"), value2=F.col("value.y"), peak=F.lit(1.0))
+    lane("mouse-xy", pointer_lane(ev, axis, buckets, displays), F.col("bucket"), value=F.col("x"), value2=F.col("y"), peak=F.lit(1.0))
     idle = on_axis(segments.pauses(ev, dwell_ms=dwell_ms, burst_ms=burst_ms))
     lasting = F.concat(F.when(F.col("pause") == "dwell_gap", "idle ").otherwise("pause "), F.round((F.col("t_end") - F.col("t_start")) / 1000, 1).cast("decimal(24,1)").cast("string"), F.lit("s"))
     lane("idle", idle, F.round("t_end"), start_sec=at("t_start"), end_sec=at("t_end"), label=lasting)

@@ -130,6 +130,24 @@ def pointer(spark, d):
     return features.bucket_hold(_samples(ev.filter("kind in ('mouse_move', 'mouse_down')"), "share"), _totals(ev), B).withColumn("value", F.round("value", 7))
 
 
+def _screens(ev):
+    """A third of the sessions know their displays."""
+    return ev.filter("session_id % 3 = 0").groupBy("session_id").agg(F.min("t").alias("t"), F.lit(2560.0).alias("right"), F.lit(1440.0).alias("bottom"))
+
+
+_BOUNDS = f"""bs AS (SELECT session_id, CASE WHEN session_id % 3 = 0 THEN 2560 ELSE greatest(1, max(x)) END AS bw, CASE WHEN session_id % 3 = 0 THEN 1440 ELSE greatest(1, max(y)) END AS bh FROM ev GROUP BY session_id),
+hd AS (SELECT session_id, {_IDX} AS bucket, max_by({{'x': x / bw, 'y': y / bh}}, (us, event_id)) AS v FROM ev JOIN tot USING (session_id) JOIN bs USING (session_id) WHERE kind = 'mouse_move' GROUP BY ALL),
+ho AS (SELECT session_id, bucket, last_value(v IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS h FROM ax LEFT JOIN hd USING (session_id, bucket))"""
+
+
+@query("a11_pointer_xy", f"WITH {_TOTAL}, {_AXIS}, {_BOUNDS} SELECT session_id, bucket, round(h.x, 6) AS x, round(h.y, 6) AS y FROM ho")
+def pointer_xy(spark, d):
+    """Both lanes, by the displays or else by the farthest point seen."""
+    ev = fx.events(spark, d)
+    out = tracks.pointer_lane(ev, _totals(ev).select("session_id", F.lit(0.0).alias("origin_ms"), "total_sec"), B, _screens(ev))
+    return out.select("session_id", "bucket", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
 def _rate_lane(ev, kind):
     lane = features.bucket_counts(_samples(ev.filter(F.col("kind") == kind)), _totals(ev), B)
     return features.normalised(features.smoothed_rate(lane, 0.25))
@@ -196,8 +214,7 @@ au AS (SELECT ev.session_id, {_IDX.replace('us / 1000000.0::DOUBLE', '(us / 1000
 mk AS (SELECT DISTINCT session_id FROM ev WHERE kind = 'bookmark'),
 up AS (SELECT *, first_value(CASE WHEN kind = 'mouse_up' THEN {{'t': t, 'x': x, 'y': y}} END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY us, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS u FROM ev),
 sp AS (SELECT session_id, us, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS d, (t - lag(t) OVER w) / 1000 AS dt FROM ev WHERE kind = 'mouse_move' WINDOW w AS (PARTITION BY session_id ORDER BY us, event_id)),
-bs AS (SELECT session_id, CASE WHEN session_id % 3 = 0 THEN 2560 ELSE greatest(1, max(x)) END AS bw, CASE WHEN session_id % 3 = 0 THEN 1440 ELSE greatest(1, max(y)) END AS bh FROM ev GROUP BY session_id),
-hd AS (SELECT session_id, {_IDX} AS bucket, max_by({{'x': x / bw, 'y': y / bh}}, (us, event_id)) AS v FROM ev JOIN tot USING (session_id) JOIN bs USING (session_id) WHERE kind = 'mouse_move' GROUP BY ALL),
+{_BOUNDS},
 pl AS (SELECT *, lag(us) OVER (PARTITION BY session_id ORDER BY us, event_id) AS b, last_value(CASE WHEN kind IN ('mouse_down', 'key_down', 'scroll') THEN us END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM ev),
 ps AS (SELECT session_id, CASE WHEN us - b > 86400000000 THEN b ELSE m END AS s, us, us - b > 86400000000 AS long FROM pl WHERE us - b > 86400000000 OR (kind IN ('mouse_down', 'key_down', 'scroll') AND us - m > 28800000000)),
 ln(session_id, lane_no, band, lane, "at", start_sec, end_sec, value, value2, peak, label) AS (
@@ -214,7 +231,7 @@ UNION ALL {_RATE.format(no=8, lane='typing', kind='key_down', idx=_IDX)}
 UNION ALL SELECT session_id, 9, 'input', 'clicks', event_id, us / 1000000.0::DOUBLE, NULL, NULL, NULL, NULL, CASE WHEN sqrt((u.x - x) ** 2 + (u.y - y) ** 2) > 4 THEN 'drag ' || round(u.t - t)::BIGINT || 'ms · ' || round(sqrt((u.x - x) ** 2 + (u.y - y) ** 2))::BIGINT || 'px' ELSE 'click' END FROM up WHERE kind = 'mouse_down'
 UNION ALL {_RATE.format(no=10, lane='scroll', kind='scroll', idx=_IDX)}
 UNION ALL SELECT session_id, 11, 'input', 'mouse-speed', bucket, NULL, NULL, CASE WHEN p > 0 THEN v / p ELSE 0 END, NULL, p, NULL FROM (SELECT *, max(v) OVER (PARTITION BY session_id) AS p FROM (SELECT ax.session_id, ax.bucket, greatest(coalesce(v, 0), 0) AS v FROM ax LEFT JOIN (SELECT session_id, {_IDX} AS bucket, max(d / dt) AS v FROM sp JOIN tot USING (session_id) WHERE dt > 0 GROUP BY ALL) USING (session_id, bucket)))
-UNION ALL SELECT session_id, 12, 'input', 'mouse-xy', bucket, NULL, NULL, h.x, h.y, 1.0, NULL FROM (SELECT session_id, bucket, last_value(v IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS h FROM ax LEFT JOIN hd USING (session_id, bucket))
+UNION ALL SELECT session_id, 12, 'input', 'mouse-xy', bucket, NULL, NULL, h.x, h.y, 1.0, NULL FROM ho
 UNION ALL SELECT session_id, 13, 'input', 'idle', round(us / 1000.0::DOUBLE)::BIGINT, s / 1000000.0::DOUBLE, us / 1000000.0::DOUBLE, NULL, NULL, NULL, CASE WHEN long THEN 'idle ' ELSE 'pause ' END || round((us - s) / 1000000.0::DOUBLE, 1)::DECIMAL(24, 1)::VARCHAR || 's' FROM ps
 UNION ALL SELECT session_id, 14, 'marks', 'markers', event_id, us / 1000000.0::DOUBLE, NULL, NULL, NULL, NULL, 'bookmark' FROM ev WHERE kind = 'bookmark')
 SELECT session_id, lane_no::INTEGER AS lane_no, band, lane, "at", round(start_sec, 3) AS start_sec, round(end_sec, 3) AS end_sec, round(value, 6) AS value, round(value2, 6) AS value2, round(peak, 6) AS peak, label FROM ln"""
@@ -233,6 +250,6 @@ def lanes(spark, d):
         levels=segs.select("session_id", F.lit(1).alias("level"), F.col("seg_no").alias("node_id"), "t_start", "t_end", F.when(F.col("seg_no") % 5 > 0, F.col("reason")).alias("text")),
         clips=marked.filter("session_id % 4 = 0").select("session_id", F.col("event_id").alias("clip_no"), F.col("t").alias("t_start"), (F.col("t") + 1000).alias("t_end"), F.concat(F.lit("clip "), F.col("event_id").cast("string")).alias("text")),
         audio=marked.select("session_id", F.lit("mic").alias("media"), (F.col("t") / 1000).alias("start_sec"), F.lit(3600.0).alias("duration_sec"), F.transform(F.array(F.lit(0), F.lit(1)), lambda i: ((F.col("k") + i * 3) % 10) / 10.0).alias("peaks")),
-        displays=ev.filter("session_id % 3 = 0").groupBy("session_id").agg(F.min("t").alias("t"), F.lit(2560.0).alias("right"), F.lit(1440.0).alias("bottom")),
+        displays=_screens(ev),
     )
     return out.select("session_id", "lane_no", "band", "lane", "at", *[F.round(c, 3).alias(c) for c in ("start_sec", "end_sec")], *[F.round(c, 6).alias(c) for c in ("value", "value2", "peak")], "label")

@@ -64,7 +64,17 @@ def _cells(spark, d):
     return rows.select((F.col("vec_id") % 30).alias("query_id"), F.col("vec_id").alias("frame_id"), F.posexplode("embedding").alias("i", "score")).select("query_id", "frame_id", F.floor(F.col("i") / 8).cast("int").alias("r"), (F.col("i") % 8).alias("c"), F.round(F.col("score").cast("double"), 6).alias("score"))
 
 
-@query("t5_highlights")
+def _grown(floors: str) -> str:
+    """Cells at each floor, and for each the least cell of its region."""
+    return f"""ce AS (SELECT vec_id AS frame_id, round(unnest(embedding)::DOUBLE, 6) AS score, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), cb AS (SELECT *, i // 8 AS r, i % 8 AS c, max(score) OVER (PARTITION BY frame_id) AS best FROM ce),
+ck AS (SELECT f, frame_id, i, r, c, score FROM cb, (VALUES {floors}) v(f) WHERE score > 0 AND score >= f * best),
+cr AS (SELECT f, frame_id, i, r, c, i AS lab FROM ck UNION SELECT ck.f, ck.frame_id, ck.i, ck.r, ck.c, cr.lab FROM cr JOIN ck ON ck.f = cr.f AND ck.frame_id = cr.frame_id AND abs(ck.r - cr.r) + abs(ck.c - cr.c) = 1),
+cl AS (SELECT f, frame_id, i, r, c, min(lab) AS lab FROM cr GROUP BY ALL),
+cx AS (SELECT f, frame_id, min(cl.r) AS r0, min(cl.c) AS c0, max(cl.r) AS r1, max(cl.c) AS c1, max(score) AS strength FROM cl JOIN ck USING (f, frame_id, i) GROUP BY f, frame_id, lab),
+bo AS (SELECT * FROM cx QUALIFY row_number() OVER (PARTITION BY f, frame_id ORDER BY strength DESC, r0, c0) <= 8)"""
+
+
+@query("t5_highlights", f"WITH RECURSIVE {_grown('(0.5::DOUBLE)')} SELECT frame_id % 30 AS query_id, frame_id, r0::INTEGER AS r0, c0::INTEGER AS c0, r1::INTEGER AS r1, c1::INTEGER AS c1, strength FROM bo")
 def highlights(spark, d):
     return vectors.highlights(_cells(spark, d), floor=0.5)
 
@@ -231,6 +241,6 @@ def sweep(spark, d):
     return evaluate.rrf_sweep(lists, lists.filter("lane = 'words' and rank = 1").select("query_id", "id"), [5, 10, 20, 60])
 
 
-@query("e3_floor_sweep", "WITH c AS (SELECT vec_id % 30 AS query_id, vec_id AS frame_id, round(unnest(embedding)::DOUBLE, 6) AS score FROM embeddings), b AS (SELECT *, max(score) OVER (PARTITION BY frame_id) AS best FROM c) SELECT f AS floor, count(*) AS cells, count(DISTINCT query_id) AS answered FROM b, (VALUES (0.5::DOUBLE), (0.8::DOUBLE), (0.95::DOUBLE)) v(f) WHERE score > 0 AND score >= f * best GROUP BY f")
+@query("e3_floor_sweep", f"WITH RECURSIVE {_grown('(0.5::DOUBLE), (0.8::DOUBLE), (0.95::DOUBLE)')} SELECT f AS floor, any_value(nb) AS boxes, count(*) AS cells, count(DISTINCT frame_id % 30) AS answered FROM ck JOIN (SELECT f, count(*) AS nb FROM bo GROUP BY f) USING (f) GROUP BY f")
 def floors(spark, d):
     return evaluate.floor_sweep(_cells(spark, d), [0.5, 0.8, 0.95])

@@ -28,7 +28,7 @@ LOOPS = {
     "h3_cap_split": "test_cap_split_matches_a_loop", "m1_element_predicates": "test_element_predicates_leave_tab_strips_out", "m1_predicates": "test_predicates_of_a_snapshot", "m3_anchors": "test_anchors_have_paths_from_the_root",
     "m17_lcs": "test_route_similarity_and_clusters_match_loops", "m18_compatible": "test_route_similarity_and_clusters_match_loops", "m19_clusters": "test_route_similarity_and_clusters_match_loops",
     "r2_collapse": "test_fuse_matches_a_loop", "r7_fuse": "test_fuse_matches_a_loop", "r8_region_job": "test_region_jobs_fuse_their_sources", "t2_ann": "test_approximate_neighbours_as_registered",
-    "t5_highlights": "test_highlights_match_a_flood_fill", "t6_embed_text": "test_text_roles", "t12_collapse": "test_collapse_keeps_siblings_and_drops_relatives",
+    "t6_embed_text": "test_text_roles", "t12_collapse": "test_collapse_keeps_siblings_and_drops_relatives",
 }
 
 
