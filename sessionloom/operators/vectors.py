@@ -68,7 +68,8 @@ def ann(queries: DataFrame, base: DataFrame, k: int, *, cells: int = 16, probes:
     some = rows if n <= sample_rows else rows.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)) < sample_rows)
     model = KMeans(k=min(cells, max(1, n)), seed=seed, maxIter=10, featuresCol="features", predictionCol="cell").fit(some)
     centres = [[float(x) for x in c] for c in model.clusterCenters()]  # as many as cells
-    dealt = model.transform(rows).select("id", "v", "cell", F.pmod(F.xxhash64("id"), F.lit(LANES)).alias("_lane"))
+    lanes = max(LANES, n // LANE_ROWS + 1)
+    dealt = model.transform(rows).select("id", "v", "cell", F.pmod(F.xxhash64("id"), F.lit(lanes)).alias("_lane"))
     own = F.element_at(F.array(*[F.array(*[F.lit(x) for x in c]) for c in centres]), F.col("cell") + 1)
     radii = {r["cell"]: r["radius"] for r in dealt.groupBy("cell").agg(F.max(l2("v", own)).alias("radius")).collect()}
     far = F.array_sort(F.array(*[F.struct(l2("v", F.array(*[F.lit(x) for x in c])).alias("d"), F.lit(i).alias("cell"), F.lit(radii[i]).alias("radius")) for i, c in enumerate(centres) if i in radii]))
@@ -76,7 +77,7 @@ def ann(queries: DataFrame, base: DataFrame, k: int, *, cells: int = 16, probes:
 
     def look(probed: DataFrame) -> DataFrame:
         """The k nearest of each query in the cells given with it; a cell's rows are dealt to lanes."""
-        sent = probed.withColumn("_lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LANES - 1).cast("long"))))
+        sent = probed.withColumn("_lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
         near = dealt.join(sent, ["cell", "_lane"]).select("query_id", "id", F.round(l2("qv", "v"), 6).alias("distance"))
         return top(near, k, F.asc("distance"), F.asc("id")).select("query_id", "rank", "id", "distance")
 

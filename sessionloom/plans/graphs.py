@@ -98,7 +98,14 @@ def stability(spark, d):
     return evaluate.key_stability(w.filter(F.col("t_start") < 15 * DAY), w.filter(F.col("t_start") >= 15 * DAY))
 
 
-@query("e6_transfer")
+_TRANSFER = f"""WITH RECURSIVE {_RT}, r2 AS (SELECT k AS route_id, places, len(places) AS n_steps FROM rt WHERE n > 1), sp2 AS (SELECT route_id, unnest(places) AS node, generate_subscripts(places, 1) - 1 AS step FROM r2),
+tl AS (SELECT session_id, kind AS node, list(DISTINCT t) AS ts FROM ev GROUP BY ALL), ss AS (SELECT DISTINCT session_id, session_id % 3 <> 0 AS held_out FROM ev),
+tr AS (SELECT route_id, session_id, -1::BIGINT AS step, -1e300::DOUBLE AS t, 0 AS m FROM r2, ss
+  UNION ALL SELECT tr.route_id, tr.session_id, tr.step + 1, coalesce(list_min(list_filter(ts, lambda x: x >= tr.t)), tr.t), tr.m + (list_min(list_filter(ts, lambda x: x >= tr.t)) IS NOT NULL)::INTEGER FROM tr JOIN sp2 ON sp2.route_id = tr.route_id AND sp2.step = tr.step + 1 LEFT JOIN tl ON tl.session_id = tr.session_id AND tl.node = sp2.node)
+SELECT route_id, held_out, count(*) AS n, count(*) FILTER (WHERE m = n_steps) AS whole, round(sum(m::DOUBLE / n_steps) / count(*), 6) AS mean_share FROM tr JOIN r2 USING (route_id) JOIN ss USING (session_id) WHERE step = n_steps - 1 GROUP BY route_id, held_out"""
+
+
+@query("e6_transfer", _TRANSFER)
 def transfer(spark, d):
     """Routes that two sessions share (of others no session is left to hold out) in all sessions; every third is a control."""
     r = _routes(spark, d).filter("n_sessions > 1")
