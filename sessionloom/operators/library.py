@@ -56,12 +56,17 @@ def level_lanes(nodes: DataFrame, summaries: DataFrame) -> DataFrame:
 
 
 def frame_recall(scored: DataFrame | None, scope: DataFrame, links: DataFrame, k: int) -> DataFrame:
-    """query_id, id, distance: frames of a multi-vector search, else those of the scope's segments (no distance)."""
+    """query_id, id, distance: a query's frames of a multi-vector search (query_id, id, score), and for queries that it
+    finds none for, k of the frames of their scope's segments, without a distance.
+
+    ``scope``: query_id, segment_id; ``links``: segment_id, frame_id.
+    """
     if scored is not None:
-        return scored.select("query_id", "id", F.col("score").alias("distance"))
+        scope = scope.join(scored.select("query_id").distinct(), "query_id", "left_anti")
     found = scope.join(links, "segment_id").select("query_id", F.col("frame_id").alias("id")).distinct()
     w = Window.partitionBy("query_id").orderBy("id")
-    return found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).select("query_id", "id", F.lit(None).cast("double").alias("distance"))
+    plain = found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).select("query_id", "id", F.lit(None).cast("double").alias("distance"))
+    return plain if scored is None else scored.select("query_id", "id", F.col("score").alias("distance")).unionByName(plain)
 
 
 def task_summaries(ids: DataFrame, edges: DataFrame, summaries: DataFrame) -> DataFrame:

@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sessionloom.operators import library, routes, segments, temporal, traces
+from sessionloom.operators import library, routes, segments, temporal, traces, vectors
 from sessionloom.plans.events import _segments
 from sessionloom.plans.graphs import _ST, _steps, _WK, _walks
 from sessionloom.plans.hierarchies import _E, _edges
 from sessionloom.plans.registry import query
+from sessionloom.plans.search import _patches, _SIM
 from sessionloom.plans.spaces import _boxes, _BOX
 from sessionloom.sources import fixtures as fx
 from sessionloom.sources import tables
@@ -68,11 +69,14 @@ def levels(spark, d):
     return library.level_lanes(nodes, said)
 
 
-@query("t14_frame_recall", f"WITH {fx.EV} SELECT session_id % 5 AS query_id, event_id AS id, NULL::DOUBLE AS distance FROM (SELECT *, row_number() OVER (PARTITION BY session_id % 5 ORDER BY event_id) AS n FROM ev WHERE event_id % 5 = 0) WHERE n <= 30")
+@query("t14_frame_recall", f"WITH {fx.EV}, {_SIM} SELECT session_id % 5 AS query_id, event_id AS id, NULL::DOUBLE AS distance FROM (SELECT *, row_number() OVER (PARTITION BY session_id % 5 ORDER BY event_id) AS n FROM ev WHERE event_id % 5 = 0) WHERE n <= 30 AND session_id % 5 > 0 UNION ALL SELECT query_id, id, score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS n FROM sc WHERE query_id = 0) WHERE n <= 30")
 def recall(spark, d):
+    """The first query has vectors, the others only a scope."""
     frames = fx.frames(fx.events(spark, d))
     scope = frames.select((F.col("session_id") % 5).alias("query_id"), F.col("session_id").alias("segment_id")).distinct()
-    return library.frame_recall(None, scope, frames.select(F.col("session_id").alias("segment_id"), "frame_id"), 30)
+    base = _patches(spark, d)
+    scored = vectors.maxsim(base.filter("id = 0").select(F.col("id").alias("query_id"), "patches"), base, 30)
+    return library.frame_recall(scored, scope, frames.select(F.col("session_id").alias("segment_id"), "frame_id"), 30)
 
 
 _TASKS = "sm AS (SELECT 'n' || n_nationkey AS id, n_name AS summary FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'r' || r_regionkey, r_name FROM region WHERE r_regionkey > 0), tk AS (SELECT clo.x AS id, min_by(summary, depth) AS task FROM clo JOIN sm ON sm.id = clo.a GROUP BY clo.x)"
