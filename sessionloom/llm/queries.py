@@ -101,7 +101,8 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op12_repeated_passages": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(len(x) // 2 - 49)) AS i FROM d)),
+cut AS (SELECT doc_id, j, substr(x, 2000 * j + 1, 2098) AS y FROM (SELECT doc_id, x, unnest(range((len(x) // 2 + 999) // 1000)) AS j FROM d)),
+w AS (SELECT doc_id, 1000 * j + i AS i, substr(y, 2 * i + 1, 100) AS s FROM (SELECT doc_id, j, y, unnest(range(least(1000, len(y) // 2 - 49))) AS i FROM cut)),
 low AS (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s),
 f AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true) AS opens FROM w JOIN low USING (s) WHERE first_id < doc_id),
 g AS (SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM f),
