@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sessionloom.operators import slices
+from sessionloom.sources.tables import ensure_checkpoint_dir
 
 #: Levels of the time tree that intervals are kept on: lengths up to 2 ** 62, down to 2 ** -20, every second one.
 LEVELS = range(-20, 63, 2)
@@ -70,7 +71,8 @@ def _levels(intervals: DataFrame, start: str, end: str) -> tuple[DataFrame, list
     """``intervals`` with ``_level``, that of the least tree nodes they are no longer than, and the levels that there are."""
     length = (F.col(end) - F.col(start)).cast("double")
     level = F.greatest(F.lit(LEVELS[0]), F.ceil(F.log2(F.when(length > 0, length)) / 2) * 2).cast("int")
-    known = intervals.filter(F.col(end) >= F.col(start)).withColumn("_level", F.coalesce(level, F.lit(LEVELS[0])))
+    ensure_checkpoint_dir(intervals.sparkSession)
+    known = intervals.filter(F.col(end) >= F.col(start)).withColumn("_level", F.coalesce(level, F.lit(LEVELS[0]))).checkpoint()  # read twice
     return known, sorted(r["_level"] for r in known.select("_level").distinct().collect())  # as many as LEVELS at most
 
 
