@@ -191,6 +191,7 @@ def verify(docs: DataFrame, pairs: DataFrame, threshold: float, words: int = WOR
         for batch in batches:
             found = [_similarity(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["a", "b", "similarity"])
+        give_back()
 
     return stored(both.select("a", "b", "sa", "sb").mapInArrow(task, f"a {kinds[0]}, b {kinds[1]}, similarity double").filter(F.col("similarity") >= threshold))
 
@@ -202,6 +203,7 @@ def _pack(frame: pd.DataFrame) -> pd.DataFrame:
         h, n = np.frombuffer(x[: len(x) * 2 // 3], np.uint64), np.frombuffer(x[len(x) * 2 // 3 :], np.uint32).astype(np.int64)
         nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         units.append(_mix(np.repeat(h, n) + nth.astype(np.uint64) * _D))
+    give_back()
     data = pickle.dumps((frame["rep"].to_numpy(np.int64), frame["c"].to_numpy(np.int64), np.array([len(u) for u in units]), np.concatenate(units)), protocol=5)
     return pd.DataFrame({"home": frame["home"].iloc[:1], "part": frame["part"].iloc[:1], "low": [frame["c"].min()], "high": [frame["c"].max()], "texts": [data]})
 
@@ -266,6 +268,7 @@ def _links_across(docs: DataFrame, members: DataFrame, threshold: float, words:
         for batch in batches:
             links = [link for x, y in zip(batch.column(0), batch.column(1), strict=True) for link in _across(x.as_py(), y.as_py(), threshold)]
             yield pa.RecordBatch.from_arrays([pa.array([link[i] for link in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+        give_back()
 
     return stored(both.select("p_texts", "q_texts").mapInArrow(task, "a long, b long"))
 
