@@ -50,8 +50,9 @@ def ngram_counts(text: str | None) -> np.ndarray | None:
 
 
 def _features(counts: np.ndarray) -> np.ndarray:
-    x = np.sqrt(counts.astype(np.float32))
-    return x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = np.sqrt(counts.astype(np.float32, copy=False))
+    x /= np.linalg.norm(x, axis=-1, keepdims=True)
+    return x
 
 
 def codewords(n: int) -> np.ndarray:
@@ -89,12 +90,18 @@ class LanguageModel:
         return best, share.max(1), top[:, -1] - (top[:, -2] if share.shape[1] > 1 else 0)
 
 
-def _ridge(x: np.ndarray, y: np.ndarray, strength: float = 1e-2) -> tuple[np.ndarray, np.ndarray]:
-    """Least-squares classifiers for all bits at once, solved in the rows' own space."""
+def _ridge(x: np.ndarray, y: np.ndarray, some: np.ndarray | slice = slice(None), strength: float = 1e-2) -> tuple[np.ndarray, np.ndarray]:
+    """Least-squares classifiers for all bits at once, fitted on ``some`` rows and solved in the rows' own space.
+
+    Features are taken a piece at a time, so that no second copy of ``x`` is made on the driver.
+    """
+    y = y[some]
     bias = y.mean(0)
-    k = x @ x.T
+    pieces = [slice(a, a + 1024) for a in range(0, x.shape[1], 1024)]
+    k = sum(part @ part.T for part in (x[some, p] for p in pieces))
     k.flat[:: len(k) + 1] += strength
-    return x.T @ np.linalg.solve(k, y - bias), bias
+    solved = np.linalg.solve(k, y - bias)
+    return np.concatenate([x[some, p].T @ solved for p in pieces]), bias
 
 
 def fit(docs: DataFrame, learnable: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 2400) -> LanguageModel:
@@ -133,10 +140,12 @@ def fit(docs: DataFrame, learnable: Column, *, id_col: str = "doc_id", text_col:
     held = np.arange(len(sample)) % 5 == 0
     trust = np.ones(codes.shape[1])
     if len(sample) >= 50:
-        w, b = _ridge(x[~held], y[~held])
+        w, b = _ridge(x, y, np.flatnonzero(~held))
         right = ((x[held] @ w + b) * y[held] > 0).mean(0)
         trust = np.log((right + 0.01) / (1.01 - right)).clip(0.05) / np.log(101)
     w, b = _ridge(x, y)
+    del x, sample
+    give_back()
     return LanguageModel(languages, codes, w.astype(np.float32), b.astype(np.float32), trust)
 
 
