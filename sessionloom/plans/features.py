@@ -237,6 +237,11 @@ UNION ALL SELECT session_id, 14, 'marks', 'markers', event_id, us / 1000000.0::D
 SELECT session_id, lane_no::INTEGER AS lane_no, band, lane, "at", round(start_sec, 3) AS start_sec, round(end_sec, 3) AS end_sec, round(value, 6) AS value, round(value2, 6) AS value2, round(peak, 6) AS peak, label FROM ln"""
 
 
+def _rounded(name, places):
+    """As DuckDB rounds: the scaled double to the nearest whole number, not the number's shortest decimal form."""
+    return (F.round(F.col(name) * 10.0**places) / 10.0**places).alias(name)
+
+
 @query("a24_all_lanes", _LANES)
 def lanes(spark, d):
     """Fifteen lanes: walks are mouse_up events, clips and audio begin at bookmarks, a third of the sessions know their displays."""
@@ -252,4 +257,4 @@ def lanes(spark, d):
         audio=marked.select("session_id", F.lit("mic").alias("media"), (F.col("t") / 1000).alias("start_sec"), F.lit(3600.0).alias("duration_sec"), F.transform(F.array(F.lit(0), F.lit(1)), lambda i: ((F.col("k") + i * 3) % 10) / 10.0).alias("peaks")),
         displays=_screens(ev),
     )
-    return out.select("session_id", "lane_no", "band", "lane", "at", *[F.round(c, 3).alias(c) for c in ("start_sec", "end_sec")], *[F.round(c, 6).alias(c) for c in ("value", "value2", "peak")], "label")
+    return out.select("session_id", "lane_no", "band", "lane", "at", _rounded("start_sec", 3), _rounded("end_sec", 3), *[_rounded(c, 6) for c in ("value", "value2", "peak")], "label")
