@@ -559,6 +559,22 @@ def test_transfer_counts_sessions_that_share_nothing(spark):
     assert out == {("r", True): (3, 1, 0.5), ("r", False): (2, 0, 0.25), ("q", True): (3, 0, 0.0), ("q", False): (2, 0, 0.0)}
 
 
+def test_transfer_report_makes_no_pairs_and_agrees_with_them(spark, monkeypatch):
+    r = random.Random(5)
+    steps = spark.createDataFrame([(f"r{i}", s, r.choice(["a", "b", "c", "z", None])) for i in range(30) for s in range(r.randrange(1, 7))], "route_id string, step int, node string")
+    seen = spark.createDataFrame([(i, r.choice("abcd"), float(r.randrange(8))) for i in range(40) for _ in range(r.randrange(1, 12))] + [(40, None, 1.0)], "session_id int, node string, t double")
+    pairs = evaluate.transfer(steps, seen).collect()
+    monkeypatch.setattr(evaluate, "transfer", None)
+    for name, value in (("BLOCK_ROUTES", 7), ("BLOCK_SESSIONS", 11), ("LANES", 2)):
+        monkeypatch.setattr(evaluate, name, value)
+    got = evaluate.transfer_report(steps, seen, seen.filter("session_id % 3 = 0").select("session_id")).collect()
+    assert len(got) == 60
+    for row in got:
+        mine = [p for p in pairs if p.route_id == row.route_id and (p.session_id % 3 != 0) == row.held_out]
+        assert row.n == (27 if row.held_out else 14) and row.whole == sum(p.matched == p.n_steps for p in mine)
+        assert row.mean_share == pytest.approx(sum(p.matched / p.n_steps for p in mine) / row.n)
+
+
 def test_highlights_match_a_flood_fill(spark):
     rng = random.Random(3)
     rows = [(q, f, r, c, rng.choice([-0.2, 0.3, 0.55, 0.9, 1.0])) for q in range(2) for f in range(3) for r in range(7) for c in range(9)]
