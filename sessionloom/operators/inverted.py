@@ -14,6 +14,11 @@ written again under the same name.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,6 +30,14 @@ SLAB, BUCKETS = 32, 16
 #: Slabs of a query that are scored first, those of the highest bounds; their k-th score decides what else is read.
 FIRST = 4
 K1, B = 1.2, 0.75
+#: Slabs whose bounds, and whose documents, a task holds; lanes of slabs at least; most queries they meet in a task;
+#: most cells of a matrix; most words that are sent to all tasks.
+BOUND_SLABS, SCORE_SLABS, LANES, BLOCK_QUERIES, CELLS, SENT_WORDS = 1_024, 64, 24, 2_000, 4_000_000, 100_000
+
+
+def _place():
+    """A slab of a batch in one word."""
+    return F.concat_ws(" ", F.col("slab").cast("string"), "batch")
 
 
 def _bucket(token):
@@ -96,38 +109,86 @@ class InvertedIndex:
     def documents(self) -> DataFrame:
         return self._table("documents").select("id", "len")
 
-    def _asked(self, queries: DataFrame) -> tuple[DataFrame, float]:
-        """(query_id, bucket, token, idf, batch, slab, n, bound) of each block that a query's words have, and the mean length."""
+    def _asked(self, queries: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+        """(token, bucket, idf) of the words that are asked for and known, (query_id, terms) of queries with any, and the mean length."""
         totals = self.batches().agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
         count, mean = totals["n"] or 0, (totals["total"] or 0) / max(totals["n"] or 0, 1)
         words = queries.select("query_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token")).withColumn("bucket", _bucket("token"))
-        heads = self._table("heads").join(words.select("bucket", "token").distinct(), ["bucket", "token"])
-        df = heads.groupBy("token").agg(F.sum("n").alias("df"))
-        rare = df.select("token", F.log(1 + (F.lit(count) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-        blocks = heads.join(rare, "token").join(words, ["bucket", "token"])
-        return blocks.select("query_id", "bucket", "token", "batch", "slab", "n", "idf", F.array_max(F.transform("impacts", lambda i: weight(F.col("idf"), i["tf"], i["len"], mean))).alias("bound")), mean
-
-    def _scores(self, blocks: DataFrame, mean: float, scope: DataFrame | None) -> DataFrame:
-        """query_id, batch, slab, id, score of the documents in some blocks of (query, slab), all words of a slab being there."""
-        rows = self._table("postings").join(blocks.select("query_id", "bucket", "token", "batch", "slab", "idf"), ["bucket", "token", "batch", "slab"])
-        each = rows.select("query_id", "idf", F.explode(F.arrays_zip("ids", "tfs", "lens")).alias("e")).select("query_id", F.col("e.ids").alias("id"), weight(F.col("idf"), F.col("e.tfs"), F.col("e.lens"), mean).alias("w"))
+        df = self._table("heads").join(words.select("bucket", "token").distinct(), ["bucket", "token"]).groupBy("bucket", "token").agg(F.sum("n").alias("df"))
+        rare = df.select("bucket", "token", F.log(1 + (F.lit(count) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")).checkpoint()
+        terms = words.join(rare, ["bucket", "token"]).groupBy("query_id").agg(F.collect_list(F.struct("token", "idf")).alias("terms")).checkpoint()
+        return rare, terms, mean
+
+    def _lanes(self, slabs: int) -> int:
+        n = self.batches().agg(F.sum("n")).first()[0] or 0
+        return max(LANES, -(-n // (SLAB * slabs)))
+
+    def _bounds(self, rare: DataFrame, terms: DataFrame, mean: float) -> DataFrame:
+        """query_id, batch, slab, bound: the most that a document of a slab can score, of slabs with any word of a query."""
+        lanes, blocks = self._lanes(BOUND_SLABS), _blocks(terms)
+        heads = self._table("heads").join(_sent(rare), ["bucket", "token"])
+        left = heads.select(_deal(lanes, "batch", "slab").alias("_lane"), _every(blocks).alias("_block"), _place().alias("place"), "batch", "slab", "token", F.array_max(F.transform("impacts", lambda i: weight(F.lit(1.0), i["tf"], i["len"], mean))).alias("w"))
+        right = terms.select(_every(lanes).alias("_lane"), _deal(blocks, "query_id").alias("_block"), "query_id", "terms")
+
+        def bound(table: pa.Table, some: pa.Table) -> pa.Table:
+            words = table["token"].combine_chunks().dictionary_encode()
+            at = table["place"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            first = np.unique(at, return_index=True)[1]
+            q, c, v = _joined(list(_products(some, words, at, table["w"].to_numpy(), len(first))))
+            row = pa.array(first[c])
+            return pa.table({"query_id": some["query_id"].take(pa.array(q)), "batch": table["batch"].take(row), "slab": table["slab"].take(row), "bound": pa.array(v)})
+
+        kind = terms.schema["query_id"].dataType.simpleString()
+        return left.groupBy("_lane", "_block").cogroup(right.groupBy("_lane", "_block")).applyInArrow(bound, f"query_id {kind}, batch string, slab long, bound double")
+
+    def _scores(self, pairs: DataFrame, rare: DataFrame, terms: DataFrame, mean: float, scope: DataFrame | None) -> DataFrame:
+        """query_id, id, score of the documents in some pairs of (query_id, batch, slab, least), none far below ``least``."""
+        lanes, blocks = self._lanes(SCORE_SLABS), _blocks(terms)
+        rows = self._table("postings").join(_sent(rare), ["bucket", "token"]).join(pairs.select("batch", "slab").distinct(), ["batch", "slab"], "left_semi")
+        left = rows.select(_deal(lanes, "batch", "slab").alias("_lane"), _every(blocks).alias("_block"), _place().alias("place"), "token", "ids", F.zip_with("tfs", "lens", lambda t, n: weight(F.lit(1.0), t, n, mean)).alias("ws"))
+        open_ = pairs.groupBy(_deal(lanes, "batch", "slab").alias("_lane"), "query_id").agg(F.collect_list(_place()).alias("open"), F.coalesce(F.first("least"), F.lit(0.0)).alias("least"))
+        right = open_.join(terms, "query_id").select("_lane", _deal(blocks, "query_id").alias("_block"), "query_id", "open", "least", "terms")
+        kinds = [terms.schema["query_id"].dataType.simpleString(), rows.schema["ids"].dataType.elementType.simpleString()]
+
+        def score(table: pa.Table, some: pa.Table) -> pa.Table:
+            lists = table["ids"].combine_chunks()
+            long = lists.value_lengths().to_numpy(zero_copy_only=False)
+            ids = lists.flatten().dictionary_encode()
+            words = table["token"].combine_chunks().dictionary_encode()
+            words = pa.DictionaryArray.from_arrays(words.indices.take(pa.array(np.repeat(np.arange(len(long)), long))), words.dictionary)
+            places = table["place"].combine_chunks().dictionary_encode()
+            at, opened = ids.indices.to_numpy(zero_copy_only=False), some["open"].combine_chunks()
+            home = np.zeros(len(ids.dictionary), dtype=np.int64)
+            home[at] = np.repeat(places.indices.to_numpy(zero_copy_only=False), long)
+            place = pa.compute.index_in(opened.flatten(), value_set=places.dictionary).fill_null(len(places.dictionary)).to_numpy(zero_copy_only=False)
+            may = np.zeros((len(some), len(places.dictionary) + 1), dtype=bool)
+            may[np.repeat(np.arange(len(some)), opened.value_lengths().to_numpy(zero_copy_only=False)), place] = True
+            least, out = some["least"].to_numpy(), []
+            for q, c, v in _products(some, words, at, table["ws"].combine_chunks().flatten().to_numpy(zero_copy_only=False), len(home)):
+                kept = may[q, home[c]] & (v >= least[q] - 1e-5)
+                out.append((q[kept], c[kept], v[kept]))
+            q, c, v = _joined(out)
+            return pa.table({"query_id": some["query_id"].take(pa.array(q)), "id": ids.dictionary.take(pa.array(c)), "score": pa.array(v)})
+
+        each = left.groupBy("_lane", "_block").cogroup(right.groupBy("_lane", "_block")).applyInArrow(score, f"query_id {kinds[0]}, id {kinds[1]}, score double")
         if scope is not None:
             each = each.join(scope.select("id").distinct(), "id", "left_semi")
-        return each.groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
+        return each.withColumn("score", F.round("score", 6))
 
     def plan(self, queries: DataFrame, k: int, scope: DataFrame | None = None) -> tuple[DataFrame, DataFrame, float]:
-        """Blocks of queries with ``read`` (whether they are read), the scores of the first slabs, and the mean length."""
-        blocks, mean = self._asked(queries)
-        blocks = blocks.checkpoint()
+        """Pairs of queries and slabs with ``read`` (whether they are read), the scores of the first slabs, and the mean length."""
+        rare, terms, mean = self._asked(queries)
+        return (*self._planned(rare, terms, mean, k, scope), mean)
+
+    def _planned(self, rare: DataFrame, terms: DataFrame, mean: float, k: int, scope: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        bounds = self._bounds(rare, terms, mean).checkpoint()
         slab = ["query_id", "batch", "slab"]
-        bounds = blocks.groupBy(*slab).agg(F.sum("bound").alias("bound"))
-        first = top(bounds, FIRST, F.desc("bound"), F.asc("batch"), F.asc("slab")).select(*slab, F.lit(True).alias("first"))
-        opened = blocks.join(first, slab)
-        scores = self._scores(opened, mean, scope).checkpoint()
+        first = top(bounds, FIRST, F.desc("bound"), F.asc("batch"), F.asc("slab")).select(*slab, F.lit(True).alias("first")).checkpoint()
+        scores = self._scores(first.withColumn("least", F.lit(None).cast("double")), rare, terms, mean, scope).checkpoint()
         # documents below the k-th score found so far can't come in, nor can slabs whose words together stay below it
         least = top(scores, k, F.desc("score"), F.asc("id")).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("found")).filter(F.col("found") >= k).select("query_id", "least")
-        wanted = bounds.join(first, slab, "left").join(least, "query_id", "left").select(*slab, F.coalesce("first", F.lit(False)).alias("first"), (F.col("first").isNotNull() | F.col("least").isNull() | (F.col("bound") >= F.col("least") - 1e-5)).alias("read"))
-        return blocks.join(wanted, slab), scores, mean
+        wanted = bounds.join(first, slab, "left").join(least, "query_id", "left").select(*slab, "least", F.coalesce("first", F.lit(False)).alias("first"), (F.col("first").isNotNull() | F.col("least").isNull() | (F.col("bound") >= F.col("least") - 1e-5)).alias("read"))
+        return wanted, scores
 
     def search(self, queries: DataFrame, k: int, *, scope: DataFrame | None = None, ties: bool = False) -> DataFrame:
         """query_id, rank, id, score: the best k by BM25, ties to the smaller id (with ``ties``, all of the k-th score, unranked).
@@ -137,8 +198,9 @@ class InvertedIndex:
         """
         if self.batches().filter("total > 0").isEmpty():
             return queries.select("query_id", F.lit(0).alias("rank"), F.lit(None).cast("long").alias("id"), F.lit(0.0).alias("score")).limit(0)
-        blocks, scores, mean = self.plan(queries, k, scope)
-        rest = self._scores(blocks.filter("read and not first"), mean, scope)
+        rare, terms, mean = self._asked(queries)
+        pairs, scores = self._planned(rare, terms, mean, k, scope)
+        rest = self._scores(pairs.filter("read and not first"), rare, terms, mean, scope)
         every = scores.unionByName(rest)
         if ties:
             # rank() keeps all rows of the k-th score
@@ -146,6 +208,55 @@ class InvertedIndex:
         return top(every, k, F.desc("score"), F.asc("id")).select("query_id", "rank", "id", "score")
 
 
+def _deal(n: int, *key: str):
+    return F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")
+
+
+def _every(n: int):
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def _blocks(terms: DataFrame) -> int:
+    return max(1, -(-terms.count() // BLOCK_QUERIES))
+
+
+def _sent(rare: DataFrame) -> DataFrame:
+    """The words that are asked for, sent to all tasks where they are few."""
+    return F.broadcast(rare) if rare.count() <= SENT_WORDS else rare
+
+
+def _joined(pieces: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    whole, none = np.zeros(0, dtype=np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip((whole, whole, none), *pieces, strict=True))
+
+
+def _products(some: pa.Table, words: pa.DictionaryArray, column: np.ndarray, share: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, column, value) of what is above 0 in queries times columns, in pieces: ``words``, ``column`` and ``share`` of each entry."""
+    if not len(some) or not len(words):
+        return
+    lists = some["terms"].combine_chunks()
+    term, size = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+    code = pa.compute.index_in(term.field("token"), value_set=words.dictionary).fill_null(-1).to_numpy(zero_copy_only=False)
+    known = code >= 0
+    asks, code, idf = np.repeat(np.arange(len(size)), size)[known], code[known], term.field("idf").to_numpy(zero_copy_only=False)[known]
+    order = np.argsort(column, kind="stable")
+    word, column, share = words.indices.to_numpy(zero_copy_only=False)[order], column[order], share[order]
+    width = len(words.dictionary)
+    step = max(1, CELLS // width)
+    for c in range(0, n, step):
+        lo, hi = np.searchsorted(column, [c, c + step])
+        table = np.zeros((width, min(step, n - c)))
+        table[word[lo:hi], column[lo:hi] - c] = share[lo:hi]
+        rows = max(1, min(step, CELLS // table.shape[1]))
+        for q in range(0, len(size), rows):
+            first, last = np.searchsorted(asks, [q, q + rows])
+            mine = np.zeros((min(rows, len(size) - q), width))
+            mine[asks[first:last] - q, code[first:last]] = idf[first:last]
+            value = mine @ table
+            i, j = np.nonzero(value > 0)
+            yield i + q, j + c, value[i, j]
+
+
 def weight(idf, tf, length, mean: float):
     """BM25's share of one word; it grows with the count and falls with the length."""
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(float(mean or 1.0))))

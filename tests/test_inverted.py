@@ -44,6 +44,16 @@ def test_search_is_bm25_and_reads_less(spark, index):
     assert sum(r["read"] for r in found) < 0.8 * sum(r["all"] for r in found)
 
 
+def test_queries_meet_slabs_once_in_blocks_of_any_size(spark, index, monkeypatch):
+    docs = texts(spark, 150)
+    index.append(docs, "one")
+    pairs, _, _ = index.plan(asked(spark), 4)
+    assert pairs.count() == pairs.select("query_id", "batch", "slab").distinct().count()  # not a row a word
+    for name, value in (("BLOCK_QUERIES", 2), ("CELLS", 7), ("SCORE_SLABS", 1), ("LANES", 2), ("SENT_WORDS", 0)):
+        monkeypatch.setattr(inverted, name, value)
+    assert rows(index.search(asked(spark), 4)) == rows(lexical.bm25(docs.na.fill(""), asked(spark), 4))
+
+
 def test_batches_add_up(spark, index):
     docs = texts(spark, 300)
     for i in range(3):
