@@ -380,6 +380,22 @@ def test_route_similarity_and_clusters_match_loops(spark):
         assert {tuple(r) for r in routes.compatible_pairs(df, budget=budget).collect()} == {(min(a[0], b[0]), max(a[0], b[0])) for a, b in itertools.combinations(rows, 2) if near(a[1], b[1])}
 
 
+def test_routes_in_blocks_match_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    shapes = {tuple(rng.choice("abcd") for _ in range(rng.choice([1, 3, 6, 9, 62, 63, 64, 65, 130]))) for _ in range(60)}
+    df = spark.createDataFrame([("-".join(p), list(p), p[0]) for p in sorted(shapes)], "route_key string, places array<string>, f string")
+    monkeypatch.setattr(routes, "BLOCK_ASKED", 3)
+    monkeypatch.setattr(routes, "BLOCK_BASE", 5)
+    asked = [p for p in shapes if len(p) % 2]
+    got = {(r.a_key, r.b_key): (r.lcs, r.gap, r.lcs_ratio) for r in routes.against(df.filter("size(places) % 2 = 1"), df, "f").collect()}
+    want = {}
+    for a, b in itertools.product(asked, shapes):
+        if a != b and a[0] == b[0]:
+            n = naive_lcs(a, b)
+            want["-".join(a), "-".join(b)] = (n, abs(len(a) - len(b)) if n == min(len(a), len(b)) else None, 2 * n / (len(a) + len(b)))
+    assert got == want
+
+
 def test_alike_routes_match_all_pairs(spark):
     rng = random.Random(17)
     shapes = {tuple(rng.choice("abcdefgh"[: rng.choice([2, 4, 8])]) for _ in range(rng.randint(1, 9))) for _ in range(150)}
