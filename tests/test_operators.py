@@ -413,6 +413,37 @@ def test_alike_routes_match_all_pairs(spark):
     assert routes.alike(apart, "dice", 0.95).count() < len(few) * (len(few) - 1) / 4
 
 
+def test_clusters_in_lots_match_a_loop(spark, monkeypatch):
+    """Each rule against one route after another, with families in one task, in one lot and in several."""
+    rng = random.Random(23)
+    shapes = {tuple(rng.choice("abc") for _ in range(rng.randint(1, 7))) for _ in range(90)} | {tuple("abc" * 9), tuple("abc" * 9 + "a"), tuple("bca" * 12)}
+    rows = [("-".join(p), list(p), rng.randint(1, 3)) for p in sorted(shapes)]
+    df = spark.createDataFrame(rows, "route_key string, places array<string>, n_sessions int")
+    dice = lambda a, b: 2 * naive_lcs(a, b) / (len(a) + len(b))
+    jaccard = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    for rule, least, measure in (("jaccard", 0.6, jaccard), ("jaccard", 0.9, jaccard), ("lcs", 0.9, dice), ("lcs", 0.8, dice)):
+        clusters, want = [], set()
+        for key, places, _ in sorted(rows, key=lambda r: (-r[2], len(r[1]), r[0])):
+            take = [c for c in clusters if all(measure(places, m[1]) >= least for m in c)]
+            if len(take) == 1:
+                take[0].append((key, places))
+            else:
+                clusters.append([(key, places)])
+            want.add((key, take[0][0][0] if len(take) == 1 else key, len(take) > 1))
+        for family_rows, lot in ((5_000, 50_000), (0, 25)):
+            monkeypatch.setattr(routes, "ROUND_ROWS", lot)
+            assert {tuple(r) for r in routes.cluster_routes(df, rule=rule, least=least, family_rows=family_rows).collect()} == want
+
+
+def test_routes_of_one_set_of_places_make_no_pairs(spark, monkeypatch):
+    asked = []
+    pairs = routes.compatible_pairs
+    monkeypatch.setattr(routes, "compatible_pairs", lambda df, **rule: asked.append(df.count()) or pairs(df, **rule))
+    df = spark.createDataFrame([("".join(p), list(p), 1) for p in itertools.permutations("abcd")], "route_key string, places array<string>, n_sessions int")
+    out = routes.cluster_routes(df, rule="jaccard", least=0.9).collect()
+    assert asked == [1] and len(out) == 24 and {r.canonical for r in out} == {"abcd"}
+
+
 def test_long_routes_in_words_of_bits(spark):
     rng = random.Random(18)
     pairs = [([rng.choice("abc") for _ in range(rng.randint(0, 150))], [rng.choice("abc") for _ in range(rng.randint(0, 150))]) for _ in range(20)]
