@@ -156,3 +156,22 @@ def test_one_session_with_intervals_of_all_lengths(spark):
     p = spark.range(20_000).select(F.lit(1).alias("session_id"), F.col("id").alias("p"), F.col("id").cast("double").alias("t"))
     s = spark.range(500).select(F.lit(1).alias("session_id"), F.col("id").alias("s"), (F.col("id") * 40.0).alias("t_start"), (F.col("id") * 40.0 + F.pow(F.lit(2.0), (F.col("id") % 6).cast("double"))).alias("t_end"))
     assert temporal.interval_join(p, s).count() == sum(2 ** (i % 6) for i in range(500))
+
+
+def test_sliced_throttle_tells_sessions_apart(spark):
+    """One without an id, and ids beyond what a double can hold, in batches that cut sessions."""
+    rows = [(s, i, float(i % 7 * 60 + i), 100.0) for s in (None, 2**53, 2**53 + 1, 2**53 + 2) for i in range(40)]
+    rows = [(s, n, t, g) for n, (s, _, t, g) in enumerate(rows)]
+    want = set()
+    for session in {r[0] for r in rows}:
+        last = None
+        for _, n, t, g in sorted((r for r in rows if r[0] == session), key=lambda r: (r[2], r[1])):
+            if last is None or t - last >= g:
+                want.add(n)
+                last = t
+    df = spark.createDataFrame(rows, "session_id long, event_id long, t double, gap double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert {r.event_id for r in temporal.min_gap(df, F.col("gap"), slice=150.0).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
