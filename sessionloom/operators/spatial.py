@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -81,55 +82,110 @@ class _Kept:
         return None
 
 
-def _fold(regions: DataFrame, order: list[Column], threshold: float, boost: float) -> DataFrame:
+#: Frames of at most so many regions are folded together.
+SMALL = 64
+
+
+def _fold_small(box: np.ndarray, source: np.ndarray, first: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(kept, times) of the regions of frames of one size: whether each is kept, and how often one of another source that goes lifts it.
+
+    ``box``: x, y, w and h of each region; ``first``: where each frame begins. All frames go on by one region at a time.
+    """
+    kept, times = np.zeros(len(box), dtype=bool), np.zeros(len(box), dtype=np.int64)
+    size = len(box) // max(len(first), 1)
+    at = first[:, None] + np.arange(size)
+    x, y, w, h = (box[:, i][at] for i in range(4))
+    area = np.where(w > 0, w, 0.0) * np.where(h > 0, h, 0.0)
+    stays, kind, rows = np.zeros((len(first), size), dtype=bool), source[at], np.arange(len(first))
+    for i in range(size):
+        iw = np.minimum((x + w)[:, :i], (x + w)[:, i, None]) - np.maximum(x[:, :i], x[:, i, None])
+        ih = np.minimum((y + h)[:, :i], (y + h)[:, i, None]) - np.maximum(y[:, :i], y[:, i, None])
+        both = np.where((iw > 0) & (ih > 0), iw * ih, 0.0)
+        union = area[:, :i] + area[:, i, None] - both
+        share = np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+        hit = stays[:, :i] & (share > threshold)
+        stays[:, i] = ~hit.any(axis=1)
+        if i:
+            j = hit.argmax(axis=1)
+            lifts = ~stays[:, i] & (kind[rows, j] != kind[:, i])
+            np.add.at(times, at[rows, j][lifts], 1)
+    kept[at] = stays
+    return kept, times
+
+
+def _fold(regions: DataFrame, order: list[Column], threshold: float, boost: float, most: int | None = None) -> DataFrame:
     """Per frame, in order: a region that overlaps a kept one more than ``threshold`` goes; another source lifts that one.
 
-    Rows are dealt by frame and sorted; a task reads frame after frame and holds the kept boxes of one.
+    Rows are dealt by frame and sorted; a task reads frame after frame and holds some batches. Small frames of one
+    size are folded together, by arrays. ``most``: so many stay of a frame, of highest priority and then least region_id.
     """
     keys = {f"_o{i}": o for i, o in enumerate(order)}
     dealt = regions.withColumns(keys).repartition("frame_id").sortWithinPartitions("frame_id", *keys).select(*regions.columns)
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, kept = None, _Kept(threshold)
-        held: list[list] = []  # row, source and priority of the kept regions of the frame that goes on
-        rest: list[pa.RecordBatch] = []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if held:
-                table = pa.concat_tables([pa.Table.from_batches([r]) for r in rest]).combine_chunks()
-                kind = table.schema.field("priority").type
-                table = table.set_column(table.schema.get_field_index("priority"), "priority", pa.array([p for _, p in held], kind))
-                yield from table.to_batches()
-            held.clear()
-            rest.clear()
+    def folded(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """What is kept of whole frames."""
+        frame = batch.column("frame_id").dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        box = np.column_stack([pc.fill_null(batch.column(c).cast(pa.float64()), math.nan).to_numpy(zero_copy_only=False) for c in BOX])
+        source = batch.column("source").dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(np.r_[True, frame[1:] != frame[:-1]])
+        size = np.diff(np.r_[first, len(frame)])
+        kept, times = np.zeros(len(frame), dtype=bool), np.zeros(len(frame), dtype=np.int64)
+        for n in np.unique(size[size <= SMALL]):
+            of = first[size == n]
+            at = (of[:, None] + np.arange(n)).ravel()
+            kept[at], times[at] = _fold_small(box[at], source[at], np.arange(len(of)) * n, threshold)
+        for start, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+            near, rows = _Kept(threshold), []
+            for row, one in enumerate(box[start : start + n].tolist(), start):
+                hit = near.first_hit(tuple(one), threshold)
+                if hit is None:
+                    near.add(tuple(one))
+                    rows.append(row)
+                elif source[rows[hit]] != source[row]:
+                    times[rows[hit]] += 1
+            kept[rows] = True
+        rows = np.flatnonzero(kept)
+        if boost:
+            priority, n = batch.column("priority").cast(pa.float64()), times[rows]
+            lifted = priority.take(pa.array(rows)).to_numpy(zero_copy_only=False).copy()
+            for i in range(int(n.max(initial=0))):  # one after the other, as sums are rounded
+                lifted[n > i] += boost
+            values = pa.array(lifted, mask=priority.take(pa.array(rows)).is_null().to_numpy(zero_copy_only=False)).cast(batch.schema.field("priority").type)
+            batch = batch.take(pa.array(rows))
+            batch = batch.set_column(batch.schema.get_field_index("priority"), batch.schema.field("priority"), values)
+        else:
+            batch = batch.take(pa.array(rows))
+        if most is not None:
+            table = pa.table({"frame": frame[rows], "priority": batch.column("priority"), "region": batch.column("region_id")})
+            best = pc.sort_indices(table, sort_keys=[("frame", "ascending"), ("priority", "descending"), ("region", "ascending")]).to_numpy()
+            of = frame[rows][best]
+            start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, dtype=np.int64)
+            place = np.arange(len(of)) - np.repeat(start, np.diff(np.r_[start, len(of)]))
+            batch = batch.take(pa.array(best[place < most]))
+        return batch
 
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the frame that goes on
         for batch in batches:
-            frames = batch.column("frame_id").to_pylist()
-            boxes = list(zip(*(pc.fill_null(batch.column(c).cast(pa.float64()), math.nan).to_pylist() for c in BOX)))
-            taken: list[int] = []
-            for row, (frame, box, source, priority) in enumerate(zip(frames, boxes, batch.column("source").to_pylist() if boost else frames, batch.column("priority").to_pylist())):
-                if frame != at:
-                    if taken:
-                        rest.append(batch.take(pa.array(taken)))
-                        taken = []
-                    # many small frames go out together
-                    if len(held) > 4096:
-                        yield from done()
-                    at, kept, base = frame, _Kept(threshold), len(held)
-                hit = kept.first_hit(box, threshold)
-                if hit is None:
-                    kept.add(box)
-                    taken.append(row)
-                    held.append([source, priority])
-                elif boost and held[base + hit][0] != source and held[base + hit][1] is not None:
-                    held[base + hit][1] += boost
-            if taken:
-                rest.append(batch.take(pa.array(taken)))
-        yield from done()
+            if not len(batch):
+                continue
+            at = batch.column("frame_id").dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            goes_on = int(np.flatnonzero(np.r_[-1, at] != at[-1])[-1])  # where the last frame begins
+            same = not held or held[0].column("frame_id")[0].as_py() == batch.column("frame_id")[0].as_py()
+            if goes_on or not same:
+                yield folded(_joined([*held, batch.slice(0, goes_on)]))
+                held = []
+            held.append(batch.slice(goes_on))
+        if held:
+            yield folded(_joined(held))
 
     return dealt.mapInArrow(fold, regions.schema)
 
 
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0] if len(batches) > 1 else batches[0]
+
+
 def collapse(regions: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Of regions that nearly coincide, that of highest priority, then of least area. A frame holds a bounded number."""
     size = F.greatest(F.col("w"), F.lit(0.0)) * F.greatest(F.col("h"), F.lit(0.0))
@@ -138,9 +194,7 @@ def collapse(regions: DataFrame, threshold: float = 0.7) -> DataFrame:
 
 def fuse(regions: DataFrame, *, threshold: float = 0.5, most: int = 14, boost: float = 1.5) -> DataFrame:
     """Non-maximum suppression over all sources; agreement of two sources lifts a region; the best ``most`` stay."""
-    kept = _fold(regions, [-F.col("priority"), F.col("region_id")], threshold, boost)
-    w = Window.partitionBy("frame_id").orderBy(F.desc("priority"), "region_id")
-    return kept.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
+    return _fold(regions, [-F.col("priority"), F.col("region_id")], threshold, boost, most)
 
 
 def weighted_points(ev: DataFrame) -> DataFrame:

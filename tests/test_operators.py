@@ -241,6 +241,32 @@ def test_fuse_matches_a_loop(spark):
     assert {(r.frame_id, r.region_id, r.priority) for r in spatial.fuse(df, threshold=0.3, most=4).collect()} == want
 
 
+def test_frames_of_all_sizes_are_folded_in_one_pass(spark):
+    """Frames that batches cut, some too large to be folded with others, and boxes with a null; rows move once."""
+    rng, rows = random.Random(6), []
+    for f in range(40):
+        rows += [(f, f * 1000 + i, rng.choice(["ax", "grid", None]), float(rng.randint(0, 3)), *(float(rng.randint(1, 12)) for _ in range(4))) for i in range(rng.choice([1, 2, 7, 30, 64, 65, 90]))]
+    want = set()
+    for f in range(40):
+        kept = []
+        for r in sorted((r for r in rows if r[0] == f), key=lambda r: (-r[3], r[1])):
+            hit = next((k for k in kept if iou(k[4:], r[4:]) > 0.3), None)
+            if hit is None:
+                kept.append(list(r))
+            elif hit[2] != r[2]:
+                hit[3] += 1.5
+        want |= {(k[0], k[1], k[3]) for k in sorted(kept, key=lambda k: (-k[3], k[1]))[:6]}
+    rows += [(99, 1, "ax", 2.0, 5.0, 5.0, 9.0, 9.0), (99, 2, "ax", 1.0, None, 5.0, 9.0, 9.0)]
+    df = spark.createDataFrame(rows, "frame_id int, region_id int, source string, priority double, x double, y double, w double, h double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        out = spatial.fuse(df, threshold=0.3, most=6)
+        assert {(r.frame_id, r.region_id, r.priority) for r in out.collect()} == want | {(99, 1, 2.0), (99, 2, 1.0)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_frame_of_many_regions_is_folded_by_cells(spark):
     rng = random.Random(15)
     rows = [(0, i, rng.choice(["ax", "grid"]), float(rng.randint(0, 3)), float(rng.randint(-50, 1500)), float(rng.randint(0, 900)), rng.choice([0.0, 5.0, 30.0, 31.0, 200.0]), rng.choice([3.0, 28.0, 160.0])) for i in range(900)]
