@@ -422,6 +422,16 @@ def test_routes_in_blocks_match_pairs(spark, monkeypatch):
     assert got == want
 
 
+def test_shares_of_routes_in_blocks_match_pairs(spark, monkeypatch):
+    rng = random.Random(10)
+    shapes = sorted({tuple(rng.choice("abcdefg") for _ in range(rng.choice([1, 3, 6, 9]))) for _ in range(60)})
+    df = spark.createDataFrame([("-".join(p), list(p), (p[0], p[-1])) for p in shapes], "route_key string, places array<string>, ends struct<f:string,l:string>")
+    monkeypatch.setattr(routes, "BLOCK_ASKED", 2)
+    monkeypatch.setattr(routes, "BLOCK_BASE", 3)
+    got = {(r.a_key, r.b_key): r.jaccard for r in routes.shared(df.filter("size(places) % 2 = 1"), df, "ends").collect()}
+    assert got == {("-".join(a), "-".join(b)): len(set(a) & set(b)) / len(set(a) | set(b)) for a, b in itertools.product(shapes, shapes) if len(a) % 2 and a != b and (a[0], a[-1]) == (b[0], b[-1])}
+
+
 def test_alike_routes_match_all_pairs(spark):
     rng = random.Random(17)
     shapes = {tuple(rng.choice("abcdefgh"[: rng.choice([2, 4, 8])]) for _ in range(rng.randint(1, 9))) for _ in range(150)}
