@@ -1,6 +1,7 @@
 """Folds and iterative operators against plain loops, and hand-computed cases."""
 
 import itertools
+import json
 import math
 import random
 import time
@@ -810,6 +811,29 @@ def test_elements_are_coerced(spark):
     assert [(r.idx, r.role, r.parent, r.depth) for r in got] == [(0, "w", None, 0), (1, "b", 0, 1)]
 
 
+def test_elements_are_coerced_as_a_loop_does_without_rounds(spark, monkeypatch):
+    """Deep chains of elements that go, parents that are absent, and circles of elements that go or stay."""
+    rng, rows, want = random.Random(31), [], set()
+    for s in range(60):
+        n = rng.randint(1, 12)
+        es = [{"role": rng.choice(["b", ""]), "x": 1, "y": 1, "w": 1, "h": 1, "parent": rng.choice([None, -1, 40, *range(n)])} for _ in range(n)]
+        if s == 0:
+            es = [{"role": "b" if i in (0, 79) else None, "x": 1, "y": 1, "w": 1, "h": 1, "parent": i - 1 if i else None} for i in range(80)]
+        rows.append((s, json.dumps(es)))
+        number = {i: k for k, i in enumerate(i for i, e in enumerate(es) if e["role"])}
+        for i in number:
+            seen, up, over = {i}, es[i]["parent"], []
+            while up is not None and 0 <= up < len(es) and up not in seen:
+                seen.add(up)
+                over += [up] if up in number else []
+                up = es[up]["parent"]
+            if up not in seen:
+                want.add((s, number[i], number[over[0]] if over else None, len(over)))
+    df = spark.createDataFrame([*rows, (100, None), (101, "[null]"), (102, "no array")], "snapshot_id int, elements string")
+    monkeypatch.setattr(type(df), "checkpoint", None)
+    assert {(r.snapshot_id, r.idx, r.parent, r.depth) for r in tables.coerce_elements(df).collect()} == want
+
+
 def test_upsert_and_purge_are_idempotent(spark):
     old = spark.createDataFrame([("n", 1, 0), ("n", 2, 0)], "namespace string, id int, v int")
     new = spark.createDataFrame([("n", 2, 5), ("n", 3, 5)], "namespace string, id int, v int")
