@@ -4,6 +4,7 @@ import itertools
 import json
 import math
 import random
+import re
 import time
 
 import numpy as np
@@ -834,6 +835,17 @@ def test_elements_are_coerced_as_a_loop_does_without_rounds(spark, monkeypatch):
     assert {(r.snapshot_id, r.idx, r.parent, r.depth) for r in tables.coerce_elements(df).collect()} == want
 
 
+def test_lifting_takes_more_tasks_for_more_rows(spark, monkeypatch):
+    monkeypatch.setattr(traces, "LIFT_ROWS", 10)
+    bounds = [(s, float(t), f"r{t}") for s in range(20) for t in (0, 10, 20, 35)]
+    acts = [(s, float(t), t, f"a{t}") for s in range(20) for t in range(0, 40, 1 + s % 4)]
+    out = traces.lift(spark.createDataFrame(bounds, "session_id int, t double, reason string"), spark.createDataFrame(acts, "session_id int, t double, ord int, action string"))
+    want = {(s, n, f"r{b}", tuple(f"a{t}" for x, t in ((r[0], r[2]) for r in acts) if x == s and a <= t < b)) for s in range(20) for n, (a, b) in enumerate(((0, 10), (10, 20), (20, 35)))}
+    assert {(r.session_id, r.n, r.reason, tuple(r.actions)) for r in out.collect()} == want
+    parts = -(-(len(bounds) + len(acts)) // 10)
+    assert parts > 40 and re.search(rf"RepartitionByExpression \[session_id#\d+\], {parts}", out._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_upsert_and_purge_are_idempotent(spark):
     old = spark.createDataFrame([("n", 1, 0), ("n", 2, 0)], "namespace string, id int, v int")
     new = spark.createDataFrame([("n", 2, 5), ("n", 3, 5)], "namespace string, id int, v int")
