@@ -230,8 +230,8 @@ def _joined(pieces: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip((whole, whole, none), *pieces, strict=True))
 
 
-def _products(some: pa.Table, words: pa.DictionaryArray, column: np.ndarray, share: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query, column, value) of what is above 0 in queries times columns, in pieces: ``words``, ``column`` and ``share`` of each entry."""
+def _products(some: pa.Table, words: pa.DictionaryArray, column: np.ndarray, share: np.ndarray, n: int, least: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, column, value) of what is above 0, or a query's ``least``, in queries times columns, in pieces: ``words``, ``column`` and ``share`` of each entry."""
     if not len(some) or not len(words):
         return
     lists = some["terms"].combine_chunks()
@@ -253,7 +253,7 @@ def _products(some: pa.Table, words: pa.DictionaryArray, column: np.ndarray, sha
             mine = np.zeros((min(rows, len(size) - q), width))
             mine[asks[first:last] - q, code[first:last]] = idf[first:last]
             value = mine @ table
-            i, j = np.nonzero(value > 0)
+            i, j = np.nonzero(value > (0 if least is None else least[q : q + rows, None]))
             yield i + q, j + c, value[i, j]
 
 
