@@ -3,12 +3,14 @@
 Cells have a diagonal of ``eps``, so all points of a cell are neighbours: where a cell's weight alone makes
 a point core, all its points are, and they are one cluster. Distances are taken between a light cell's
 points (few, since their weight is below the bound) and neighbouring cells that reach over ``eps``, and
-between cells that may touch. A cell that lies within ``eps`` as a whole is taken as one weight.
+between cells that may touch. A cell that lies within ``eps`` as a whole is taken as one weight. Frames of few
+points need no grid: a task clusters them by arrays, all of one size at once.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,8 @@ from pyspark.sql.window import Window
 AROUND = [(a, b) for a in range(-2, 3) for b in range(-2, 3) if (a or b) and abs(a) + abs(b) < 4]
 #: Of two cells with so many pairs of points or less, the pairs are joined; of more, a tree search tells whether any is near.
 PAIRS = 4096
+#: Frames of so many points or less are clustered in a task; most pairs of points that it holds at once.
+SMALL, HELD = 64, 2_000_000
 CELL = ["frame_id", "cx", "cy"]
 SITE = ["frame_id", "x", "y"]
 
@@ -74,14 +78,88 @@ def _touching(eps: float):
     return touching
 
 
+def _few(x: np.ndarray, y: np.ndarray, weight: np.ndarray, eps2: float, enough: float) -> np.ndarray:
+    """Clusters of the points of frames of one size: a row is a frame, its points in the order of their ids."""
+    n = x.shape[1]
+    dx, dy = x[:, None, :] - x[:, :, None], y[:, None, :] - y[:, :, None]
+    near = dx * dx + dy * dy <= eps2
+    core = (near * weight[:, None, :]).sum(axis=2) >= enough
+    to = near & core[:, None, :]
+    least = lambda value: np.where(to, value[:, None, :], n).min(axis=2)
+    label = np.where(core, np.arange(n), n)
+    while True:  # labels only fall, so this ends
+        fell = np.where(core, least(label), n)
+        if (fell == label).all():
+            break
+        label = fell
+    number = np.cumsum(label == np.arange(n), axis=1) - 1
+    own = np.where(core, np.take_along_axis(number, np.minimum(label, n - 1), axis=1), n)
+    cluster = least(own)
+    return np.where(cluster == n, -1, cluster)
+
+
+def _small(eps2: float, enough: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds ``cluster`` to rows of small frames and null to others; rows come by frame and point, and of a large frame few are held."""
+
+    def done(rows: pa.RecordBatch, going: object) -> pa.RecordBatch:
+        frame = rows.column("frame_id").dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        x, y, weight = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "weight"))
+        first = np.flatnonzero(np.r_[True, frame[1:] != frame[:-1]])
+        size = np.diff(np.r_[first, len(frame)])
+        small = size <= SMALL
+        small[0] &= rows.column("frame_id")[0].as_py() != going
+        cluster, known = np.zeros(len(frame), dtype=np.int32), np.zeros(len(frame), dtype=bool)
+        for n in np.unique(size[small]):
+            of = first[small & (size == n)]
+            step = max(1, HELD // int(n * n))
+            for i in range(0, len(of), step):
+                at = of[i : i + step, None] + np.arange(n)
+                cluster[at], known[at] = _few(x[at], y[at], weight[at], eps2, enough), True
+        return rows.append_column("cluster", pa.array(cluster, mask=~known))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, going = None, object()  # rows of the frame that goes on, and the large frame whose rows have gone out already
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            frame = rows.column("frame_id").dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            cut, last = int(np.flatnonzero(np.r_[-1, frame] != frame[-1])[-1]), rows.column("frame_id")[-1].as_py()
+            large = len(rows) - cut > SMALL or last == going
+            cut = len(rows) if large else cut
+            if cut:
+                yield done(rows.slice(0, cut), going)
+            held, going = (None, last) if large else (rows.slice(cut), object())
+        if held is not None:
+            yield done(held, going)
+
+    return each
+
+
+def clustered(points: DataFrame, *, eps: float = 80.0, min_weight: float = 3.0) -> DataFrame:
+    """frame_id, point_id, x, y, weight, cluster of ``points``, as ``dbscan`` has them."""
+    each = points.select("frame_id", "point_id", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "weight")])
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in each.schema)
+    found = each.repartition("frame_id").sortWithinPartitions("frame_id", "point_id").mapInArrow(_small(eps * eps, min_weight - 1e-9), f"{schema}, cluster int").checkpoint()
+    rest = found.filter("cluster is null").drop("cluster")
+    if rest.isEmpty():
+        return found
+    by_grid = _by_grid(rest, eps=eps, min_weight=min_weight)
+    return found.filter("cluster is not null").unionByName(rest.join(by_grid, ["frame_id", "point_id"]))
+
+
 def dbscan(points: DataFrame, *, eps: float = 80.0, min_weight: float = 3.0) -> DataFrame:
     """frame_id, point_id, cluster (-1 for noise) by weighted density.
 
     ``points``: frame_id, point_id, x, y, weight. A point is core if the weight within eps, its own
     included, reaches ``min_weight``. Cores that are neighbours share the least core id; clusters are
-    numbered by it, and a border point takes the least number among its core neighbours'. Points of one
-    place are one site from the start.
+    numbered by it, and a border point takes the least number among its core neighbours'.
     """
+    return clustered(points, eps=eps, min_weight=min_weight).select("frame_id", "point_id", "cluster")
+
+
+def _by_grid(points: DataFrame, *, eps: float, min_weight: float) -> DataFrame:
+    """The same for frames of any number of points. Points of one place are one site from the start."""
     enough, eps2 = min_weight - 1e-9, eps * eps
     side = eps / math.sqrt(2.0) * (1 - 1e-9)
     cell = lambda c: F.floor(F.col(c) / side).cast("long")

@@ -110,28 +110,33 @@ def moment(frames: DataFrame, links: DataFrame, segs: DataFrame, elements: DataF
 
 
 def primary_segments(frames: DataFrame, segs: DataFrame) -> DataFrame:
-    """frame_id, segment_id: the shortest segment that holds a frame, ends included."""
-    held = temporal.interval_join(frames, segs.withColumn("_end", F.col("t_end")), closed_at="_end")
-    return held.groupBy("frame_id").agg(F.min_by("segment_id", F.struct(F.col("t_end") - F.col("t_start"), "segment_id")).alias("segment_id"))
+    """frame_id, session_id, segment_id, t_start, t_end: the shortest segment that holds a frame, ends included."""
+    held = temporal.interval_join(frames.select("frame_id", "session_id", "t"), segs.withColumn("_end", F.col("t_end")), closed_at="_end")
+    best = F.min_by(F.struct("segment_id", "t_start", "t_end"), F.struct(F.col("t_end") - F.col("t_start"), "segment_id"))
+    return held.groupBy("frame_id", "session_id").agg(best.alias("s")).select("frame_id", "session_id", "s.*")
 
 
 def region_job(frames: DataFrame, segs: DataFrame, ev: DataFrame, elements: DataFrame, *, size: tuple[float, float], most: int = 14) -> DataFrame:
     """frame_id, region_id, source, priority and box: elements, hotspots of the frame's segment, and a grid, fused.
 
     ``frames``: frame_id, session_id, t; ``segs``: session_id, segment_id, t_start, t_end;
-    ``elements``: frame_id, region_id, role, label, focused and box.
+    ``elements``: frame_id, region_id, role, label, focused and box. A frame is dealt as one row, its tiles are
+    made where it lies.
     """
-    first = primary_segments(frames, segs).join(segs, "segment_id")
-    span = frames.select("frame_id", "session_id").join(first.select("frame_id", "t_start", "t_end"), "frame_id").withColumn("_end", F.col("t_end"))
+    span = primary_segments(frames, segs).drop("segment_id").withColumn("_end", F.col("t_end"))
     inside = temporal.interval_join(spatial.weighted_points(ev), span, closed_at="_end")
-    points = inside.select("frame_id", F.col("event_id").alias("point_id"), "x", "y", "weight")
-    hot = spatial.hotspots(points, spatial.dbscan(points), *size)
-    box = ["frame_id", "source", "priority", "x", "y", "w", "h"]
+    points = spatial.clustered(inside.select("frame_id", F.col("event_id").alias("point_id"), "x", "y", "weight"))
+    hot = spatial.hotspots(points, None, *size)
+    box = ["source", "priority", "x", "y", "w", "h"]
     name = lambda prefix, *cols: F.concat_ws(":", F.lit(prefix), *[F.col(c).cast("string") for c in cols]).alias("region_id")
-    tiles = spatial.grid(frames.select("frame_id", F.lit(float(size[0])).alias("width"), F.lit(float(size[1])).alias("height")))
-    ax = spatial.collapse(spatial.element_regions(elements, *size).select("frame_id", "region_id", *box[1:], "role", "label"))
-    every = ax.select(name("ax", "region_id"), *box).unionByName(hot.select(name("hot", "cluster"), *box)).unionByName(tiles.select(name("grid", "r", "c"), *box))
-    return spatial.fuse(every, most=most)
+    ax = spatial.collapse(spatial.element_regions(elements, *size).select("frame_id", "region_id", *box, "role", "label"))
+    each = ax.select("frame_id", name("ax", "region_id"), *box).unionByName(hot.select("frame_id", name("hot", "cluster"), *box))
+    each = each.select("frame_id", F.struct("region_id", *box).alias("one"))
+    dealt = each.unionByName(frames.select("frame_id", F.lit(None).cast(each.schema["one"].dataType).alias("one"))).repartition("frame_id")
+    tile = lambda t: F.struct(F.concat_ws(":", F.lit("grid"), t["r"].cast("string"), t["c"].cast("string")).alias("region_id"), *[t[c].alias(c) for c in box])
+    tiles = F.transform(spatial.tiles(F.lit(float(size[0])), F.lit(float(size[1]))), tile)
+    every = dealt.select("frame_id", F.inline(F.when(F.col("one").isNull(), tiles).otherwise(F.array("one"))))
+    return spatial.fuse(every, most=most, dealt=True)
 
 
 def element_paths(elements: DataFrame) -> DataFrame:

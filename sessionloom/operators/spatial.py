@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sessionloom.functions import boxes
-from sessionloom.operators.density import dbscan  # noqa: F401
+from sessionloom.operators.density import clustered, dbscan  # noqa: F401
 
 # Fixed values.
 DROP_ROLES = ("window", "application", "group", "unknown", "layout-area", "splitter", "scrollarea")
@@ -113,14 +113,16 @@ def _fold_small(box: np.ndarray, source: np.ndarray, first: np.ndarray, threshol
     return kept, times
 
 
-def _fold(regions: DataFrame, order: list[Column], threshold: float, boost: float, most: int | None = None) -> DataFrame:
+def _fold(regions: DataFrame, order: list[Column], threshold: float, boost: float, most: int | None = None, dealt: bool = False) -> DataFrame:
     """Per frame, in order: a region that overlaps a kept one more than ``threshold`` goes; another source lifts that one.
 
     Rows are dealt by frame and sorted; a task reads frame after frame and holds some batches. Small frames of one
     size are folded together, by arrays. ``most``: so many stay of a frame, of highest priority and then least region_id.
+    ``dealt``: the caller has dealt the rows by frame.
     """
     keys = {f"_o{i}": o for i, o in enumerate(order)}
-    dealt = regions.withColumns(keys).repartition("frame_id").sortWithinPartitions("frame_id", *keys).select(*regions.columns)
+    by_frame = regions.withColumns(keys) if dealt else regions.withColumns(keys).repartition("frame_id")
+    by_frame = by_frame.sortWithinPartitions("frame_id", *keys).select(*regions.columns)
 
     def folded(batch: pa.RecordBatch) -> pa.RecordBatch:
         """What is kept of whole frames."""
@@ -179,7 +181,7 @@ def _fold(regions: DataFrame, order: list[Column], threshold: float, boost: floa
         if held:
             yield folded(_joined(held))
 
-    return dealt.mapInArrow(fold, regions.schema)
+    return by_frame.mapInArrow(fold, regions.schema)
 
 
 def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -192,9 +194,9 @@ def collapse(regions: DataFrame, threshold: float = 0.7) -> DataFrame:
     return _fold(regions, [-F.col("priority"), size, F.col("region_id")], threshold, 0.0)
 
 
-def fuse(regions: DataFrame, *, threshold: float = 0.5, most: int = 14, boost: float = 1.5) -> DataFrame:
+def fuse(regions: DataFrame, *, threshold: float = 0.5, most: int = 14, boost: float = 1.5, dealt: bool = False) -> DataFrame:
     """Non-maximum suppression over all sources; agreement of two sources lifts a region; the best ``most`` stay."""
-    return _fold(regions, [-F.col("priority"), F.col("region_id")], threshold, boost, most)
+    return _fold(regions, [-F.col("priority"), F.col("region_id")], threshold, boost, most, dealt)
 
 
 def weighted_points(ev: DataFrame) -> DataFrame:
@@ -203,23 +205,30 @@ def weighted_points(ev: DataFrame) -> DataFrame:
     return ev.filter(F.col("kind").isin(*EVENT_WEIGHTS) & F.col("x").isNotNull() & F.col("y").isNotNull()).withColumn("weight", weight[F.col("kind")])
 
 
-def hotspots(points: DataFrame, clusters: DataFrame, width: float, height: float, *, pad: float = 48.0, scale: float = 9.0) -> DataFrame:
-    """A padded box around each cluster, in the frame; priority 1 to 2 by its weight."""
-    rows = points.join(clusters.filter("cluster >= 0"), ["frame_id", "point_id"])
+def hotspots(points: DataFrame, clusters: DataFrame | None, width: float, height: float, *, pad: float = 48.0, scale: float = 9.0) -> DataFrame:
+    """A padded box around each cluster, in the frame; priority 1 to 2 by its weight. Without ``clusters``, points have their cluster."""
+    rows = points.filter("cluster >= 0") if clusters is None else points.join(clusters.filter("cluster >= 0"), ["frame_id", "point_id"])
     b = rows.groupBy("frame_id", "cluster").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.sum("weight").alias("weight"))
     box = boxes.clamp(F.col("x0") - pad, F.col("y0") - pad, F.col("x1") - F.col("x0") + 2 * pad, F.col("y1") - F.col("y0") + 2 * pad, width, height)
     return b.select("frame_id", "cluster", box.alias("b"), F.lit("hotspot").alias("source"), (1 + F.least(F.col("weight") / scale, F.lit(1.0))).alias("priority")).select("frame_id", "cluster", *[F.col(f"b.{c}").alias(c) for c in BOX], "source", "priority")
 
 
+def tiles(width: Column, height: Column, *, cols: int = 4, rows: int = 3, overlap: float = 0.15, priority: float = 0.5) -> Column:
+    """The overlapping tiles of a frame, cut at its edges, as an array."""
+    sx, sy = width / F.lit(cols), height / F.lit(rows)
+
+    def tile(r: int, c: int) -> Column:
+        x, y = F.lit(c) * sx - sx * overlap / 2, F.lit(r) * sy - sy * overlap / 2
+        x0, y0 = F.greatest(x, F.lit(0.0)), F.greatest(y, F.lit(0.0))
+        w, h = F.least(x + sx * (1 + overlap), width) - x0, F.least(y + sy * (1 + overlap), height) - y0
+        return F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), x0.alias("x"), y0.alias("y"), w.alias("w"), h.alias("h"), F.lit("grid").alias("source"), F.lit(priority).alias("priority"))
+
+    return F.filter(F.array(*[tile(r, c) for r in range(rows) for c in range(cols)]), lambda t: (t["w"] > 0) & (t["h"] > 0))
+
+
 def grid(frames: DataFrame, *, cols: int = 4, rows: int = 3, overlap: float = 0.15, priority: float = 0.5) -> DataFrame:
     """Overlapping tiles of each frame (frame_id, width, height), cut at its edges."""
-    tiles = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in range(rows) for c in range(cols)]))
-    t = frames.select("frame_id", "width", "height", tiles.alias("t"))
-    sx, sy = F.col("width") / F.lit(cols), F.col("height") / F.lit(rows)
-    x, y = F.col("t.c") * sx - sx * overlap / 2, F.col("t.r") * sy - sy * overlap / 2
-    x0, y0 = F.greatest(x, F.lit(0.0)), F.greatest(y, F.lit(0.0))
-    w, h = F.least(x + sx * (1 + overlap), F.col("width")) - x0, F.least(y + sy * (1 + overlap), F.col("height")) - y0
-    return t.select("frame_id", F.col("t.r").alias("r"), F.col("t.c").alias("c"), x0.alias("x"), y0.alias("y"), w.alias("w"), h.alias("h"), F.lit("grid").alias("source"), F.lit(priority).alias("priority")).filter("w > 0 and h > 0")
+    return frames.select("frame_id", F.inline(tiles(F.col("width"), F.col("height"), cols=cols, rows=rows, overlap=overlap, priority=priority)))
 
 
 #: Levels of the tree of squares that boxes are kept on: sides up to 2 ** 30, every second one.

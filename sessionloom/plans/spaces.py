@@ -18,8 +18,9 @@ _BOX = """bx AS (SELECT l_orderkey AS frame_id, row_number() OVER (PARTITION BY
 def _boxes(spark, d):
     li = fx.table(spark, d, "lineitem")
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    return li.select(
-        F.col("l_orderkey").alias("frame_id"), n.alias("idx"), (F.col("l_orderkey") * 100 + n).alias("region_id"),
+    # numbered first, so that only the keys are shuffled
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", n.alias("idx")).select(
+        F.col("l_orderkey").alias("frame_id"), "idx", (F.col("l_orderkey") * 100 + F.col("idx")).alias("region_id"),
         (F.col("l_partkey") * 7 % 1500).cast("double").alias("x"), (F.col("l_suppkey") * 13 % 900).cast("double").alias("y"), (40 + F.col("l_partkey") % 400).cast("double").alias("w"), (20 + F.col("l_suppkey") % 300).cast("double").alias("h"),
         F.when(F.col("l_partkey") % 5 == 0, "AXGroup").otherwise("button").alias("role"), F.when(F.col("l_partkey") % 3 == 0, "").otherwise(F.concat(F.lit("p"), (F.col("l_partkey") % 9).cast("string"))).alias("label"), (F.col("l_linenumber") % 4 == 0).alias("focused"),
     )

@@ -8,6 +8,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -701,6 +702,38 @@ def test_region_jobs_fuse_their_sources(spark):
     assert hot.x <= 700 and hot.x + hot.w >= 711 and hot.y <= 500 <= hot.y + hot.h
 
 
+def test_small_frames_are_clustered_as_by_the_grid(spark):
+    r = random.Random(11)
+    sizes = [1, 2, 5, 30, density.SMALL, density.SMALL + 1, 150] * 3
+    points = [(f, 1000 * f + p, float(r.choice([r.randrange(300), 40 * r.randrange(9)])), float(r.randrange(200)), r.choice([0.2, 1.0, 3.0])) for f, n in enumerate(sizes) for p in r.sample(range(900), n)]
+    df = spark.createDataFrame(points, "frame_id int, point_id long, x double, y double, weight double").repartition(3)
+    for eps, least in ((25.0, 3.0), (60.0, 4.0)):
+        want = {(x.frame_id, x.point_id): x.cluster for x in density._by_grid(df, eps=eps, min_weight=least).collect()}
+        assert {(x.frame_id, x.point_id): x.cluster for x in density.dbscan(df, eps=eps, min_weight=least).collect()} == want and len(want) == len(points)
+    assert max(want.values()) > 1 and min(want.values()) == -1
+
+
+def test_a_task_holds_no_large_frame(monkeypatch):
+    monkeypatch.setattr(density, "SMALL", 4)
+    frame = [1] * 2 + [2] * 13 + [3] * 4 + [4] * 5 + [5]
+    rows = pa.record_batch({"frame_id": frame, "point_id": list(range(len(frame))), "x": [0.0] * len(frame), "y": [0.0] * len(frame), "weight": [2.0] * len(frame)})
+    for n in (1, 2, 3, 7, 25):
+        out = pa.Table.from_batches(density._small(100.0, 3.0)(rows.slice(i, n) for i in range(0, len(frame), n)))
+        assert out["point_id"].to_pylist() == list(range(len(frame)))
+        assert out["cluster"].to_pylist() == [0] * 2 + [None] * 13 + [0] * 4 + [None] * 5 + [-1]
+
+
+def test_a_region_job_moves_frames_as_one_row(spark):
+    frames = spark.createDataFrame([(i, "s", 10.0 * i) for i in range(40)], "frame_id long, session_id string, t double")
+    segs = spark.createDataFrame([("s", "a", 0.0, 900.0)], "session_id string, segment_id string, t_start double, t_end double")
+    ev = spark.createDataFrame([("s", 1, 5.0, "mouse_down", 700.0, 500.0)], "session_id string, event_id long, t double, kind string, x double, y double")
+    el = spark.createDataFrame([], "frame_id long, region_id long, role string, label string, focused boolean, x double, y double, w double, h double")
+    out = library.region_job(frames, segs, ev, el, size=(1920.0, 1080.0))
+    assert out.groupBy("source").count().collect() and out.filter("source = 'grid'").count() > 40 * 10
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("RepartitionByExpression")  # tiles are made after frames are dealt
+
+
 def test_collapse_keeps_siblings_and_drops_relatives(spark):
     closure = hierarchy.closure(spark.createDataFrame([("p", "a"), ("p", "b"), ("a", "x")], "parent_id string, child_id string"))
     hits = lambda *r: spark.createDataFrame([("q", i, n) for n, i in enumerate(r, 1)], "query_id string, id string, rank int")
