@@ -91,7 +91,8 @@ def session_tracks(
 
     samples = on_axis(ev).select("session_id", "event_id", "kind", at("t").alias("sec"))
     lane("frames", on_axis(frames), F.col("frame_id"), start_sec=at("t"), label=F.col("frame_id").cast("string"))
-    ends = axis.select("session_id", (F.col("origin_ms") + F.col("total_sec") * 1000).alias("t_end"))
+    # to the microsecond, since a length in seconds times 1000 may lie past the last event
+    ends = axis.select("session_id", F.round(F.col("origin_ms") + F.col("total_sec") * 1000, 3).alias("t_end"))
     apps = on_axis(segments.app_spans(ev, ends))
     lane("apps", apps, F.round("t_start"), start_sec=at("t_start"), end_sec=at("t_end"), label=F.col("app"))
     web = on_axis(ev.filter("kind = 'url_change' and url is not null"))
@@ -100,11 +101,13 @@ def session_tracks(
     lane("ax", on_axis(walks), F.col("walk_id"), start_sec=at("t"), label=said)
     lane("levels", on_axis(levels), F.col("node_id"), F.concat(F.lit("level-"), F.col("level").cast("string")), start_sec=at("t_start"), end_sec=at("t_end"), label=F.coalesce("text", F.lit("summary missing")))
     present = library.presence_lanes(segs)
-    lane("caption", on_axis(present.filter("lane = 'caption'")), F.round("t_start"), start_sec=at("t_start"), end_sec=at("t_end"), label=F.col("text"))
+    # spans of text are told apart by their start on the axis, in whole milliseconds
+    starts = F.round(at("t_start") * 1000)
+    lane("caption", on_axis(present.filter("lane = 'caption'")), starts, start_sec=at("t_start"), end_sec=at("t_end"), label=F.col("text"))
     timed = clips.select("session_id", "t_start", "t_end", "text", F.col("clip_no").cast("long").alias("key"))
     spoken = present.filter("lane = 'transcript'").join(clips.select("session_id").distinct(), "session_id", "left_anti")
-    heard = timed.unionByName(spoken.select("session_id", "t_start", "t_end", "text", F.round("t_start").cast("long").alias("key")))
-    lane("transcript", on_axis(heard), F.col("key"), start_sec=at("t_start"), end_sec=at("t_end"), label=F.col("text"))
+    heard = timed.unionByName(spoken.select("session_id", "t_start", "t_end", "text", F.lit(None).cast("long").alias("key")))
+    lane("transcript", on_axis(heard), F.coalesce("key", starts.cast("long")), start_sec=at("t_start"), end_sec=at("t_end"), label=F.col("text"))
     # a medium of a session has an axis of its own
     both = F.struct("session_id", "media")
     peaks = features.merge_peaks(audio.select(both.alias("session_id"), "start_sec", "duration_sec", "peaks"), audio.select("session_id", "media").distinct().join(totals, "session_id").select(both.alias("session_id"), "total_sec"), buckets)
@@ -120,7 +123,8 @@ def session_tracks(
     density("mouse-speed", features.normalised(features.bucket_max(speeds, totals, buckets)))
     lane("mouse-xy", pointer_lane(ev, axis, buckets, displays), F.col("bucket"), value=F.col("x"), value2=F.col("y"), peak=F.lit(1.0))
     idle = on_axis(segments.pauses(ev, dwell_ms=dwell_ms, burst_ms=burst_ms))
-    lasting = F.concat(F.when(F.col("pause") == "dwell_gap", "idle ").otherwise("pause "), F.round((F.col("t_end") - F.col("t_start")) / 1000, 1).cast("decimal(24,1)").cast("string"), F.lit("s"))
+    lasted = F.round((F.col("t_end") - F.col("t_start")) / 1000, 6)  # to the microsecond: a difference of doubles may lie below the half
+    lasting = F.concat(F.when(F.col("pause") == "dwell_gap", "idle ").otherwise("pause "), (F.round(lasted * 10) / 10).cast("decimal(24,1)").cast("string"), F.lit("s"))
     lane("idle", idle, F.round("t_end"), start_sec=at("t_start"), end_sec=at("t_end"), label=lasting)
     names = F.create_map(*[F.lit(x) for pair in MARKERS.items() for x in pair])
     lane("markers", on_axis(ev.filter(F.col("kind").isin(*MARKERS))), F.col("event_id"), start_sec=at("t"), label=names[F.col("kind")])
