@@ -7,7 +7,7 @@ A byte goes where a string of ``LENGTH`` bytes around it also starts in a docume
    have it, and learns which anchors two documents or more have. Equal strings have equal anchors.
 2. A stretch of strings with one such anchor is a piece. A block sends each of its pieces once, with the
    smallest id that has it, so a piece that is everywhere comes once a block. An anchor in very many
-   documents is split: each of its strings is a piece of its own.
+   documents is split: each of its strings is a piece of its own, which goes by itself and not by the anchor.
 3. Pieces meet by anchor. Where an anchor has equal pieces only, they are each other's repeats. Shards of
    the others are suffix-sorted once, each with its transform, and the shards' transforms are merged:
    suffixes start in the interleave of their first bytes, and each round takes one byte more into account
@@ -23,6 +23,8 @@ The texts' exchange is used three times and written once. What a key gathers is
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -224,6 +226,11 @@ ASKED = (np.uint64, np.int32, None, np.int64, np.int64, np.int32, np.int64)
 TOLD = (np.int64,) * 6
 
 
+def _own(piece: bytes) -> int:
+    """What a string of a split anchor goes by instead of it, so that strings of one anchor lie in many buckets."""
+    return int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little")
+
+
 def _pieces(parts: int, buckets: int):
     def pieces(left: pa.Table, right: pa.Table) -> pa.Table:
         found: dict[bytes, list[int]] = {}
@@ -248,12 +255,14 @@ def _pieces(parts: int, buckets: int):
                     had = found.get(piece)
                     if had is None:
                         found[piece] = [i << PLACE | a]
-                        own.append(v)
+                        own.append(v if flag == 1 else _own(piece))
                     else:
                         had.append(i << PLACE | a)
-        texts = list(found)
-        places = np.asarray([x for its in found.values() for x in its], np.int64)
-        counts = np.asarray([len(x) for x in found.values()], np.int32)
+        by = np.argsort(np.asarray(own, np.uint64), kind="stable").tolist()  # split pieces have buckets of their own
+        texts, held, own = list(found), list(found.values()), [own[i] for i in by]
+        texts, held = [texts[i] for i in by], [held[i] for i in by]
+        places = np.asarray([x for its in held for x in its], np.int64)
+        counts = np.asarray([len(x) for x in held], np.int32)
         at = np.concatenate(([0], np.cumsum(counts)))
         of_place = np.asarray(ids, np.int64)[places >> PLACE]
         least, most = (f.reduceat(of_place, at[:-1]) if len(at) > 1 else of_place for f in (np.minimum, np.maximum))
@@ -465,7 +474,8 @@ def _repeats(table: pa.Table) -> pa.Table:
     held = 0
     counts = np.diff(edges)
     bytes_of = np.add.reduceat(size[order], edges[:-1])
-    for k in np.flatnonzero(counts > 1).tolist():  # an anchor of one piece has nothing to compare it with
+    longest = np.maximum.reduceat(size[order], edges[:-1])
+    for k in np.flatnonzero((counts > 1) & (longest > LENGTH)).tolist():  # one piece has nothing to compare it with, single strings are alike or not
         if held and held + bytes_of[k] > UNIT:
             settle(np.concatenate(unit))
             unit, held = [], 0
