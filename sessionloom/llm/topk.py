@@ -127,17 +127,17 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, *, rows_per_block: int = 10
     both = ["ids", "vectors", "n", "c_ids", "c_vectors", "c_n"]
     low = high = above = None
     for shift in range((bits - 1) // STEP * STEP, -1, -STEP):
-        q = queries if low is None else queries.join(low, ["dim", "block"]).join(high, ["dim", "block"])
+        q = queries if low is None else _beside(_beside(queries, low, ["dim", "block"]), high, ["dim", "block"])
         q = q.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).drop("block")
         bounds = [F.lit(None).cast("binary").alias(b) if low is None else F.col(b) for b in ("low", "high")]
         counts = (
-            _each(c.join(q, ["dim", "lane"]).select(*both, *bounds, F.lit(shift)), _histogram, ["query_id", "bin", "n"])
+            _each(_beside(q, c, ["dim", "lane"]).select(*both, *bounds, F.lit(shift)), _histogram, ["query_id", "bin", "n"])
             .groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         )
         down = Window.partitionBy("query_id").orderBy(F.desc("bin"))
         counts = counts.withColumn("reached", F.sum("n").over(down))
         if above is not None:
-            counts = counts.join(above, "query_id")
+            counts = _beside(counts, above, ["query_id"])
             counts = counts.withColumn("reached", F.col("reached") + F.col("above"))
         # the bin in which the count reaches k; a query with fewer rows than k takes its lowest bin
         chosen = counts.groupBy("query_id").agg(
@@ -152,17 +152,22 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, *, rows_per_block: int = 10
         chosen = stored(chosen.select("query_id", "above", F.shiftleft("bin", shift).alias("low"), F.shiftleft(F.col("bin") + 1, shift).alias("high")))
         above = chosen.select("query_id", "above")
         low, high = (_bounds(queries, chosen, name) for name in ("low", "high"))
-    q = queries.join(low, ["dim", "block"]).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).drop("block")
-    found = _each(c.join(q, ["dim", "lane"]).select(*both, "low", F.lit(k)), _at_or_above, ["query_id", "vec_id", "score"])
+    q = _beside(queries, low, ["dim", "block"]).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).drop("block")
+    found = _each(_beside(q, c, ["dim", "lane"]).select(*both, "low", F.lit(k)), _at_or_above, ["query_id", "vec_id", "score"])
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _beside(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """A join by shuffles: the size of blocks on disk, by which Spark broadcasts them, knows nothing of how often a lane repeats them."""
+    return left.join(right.hint("merge"), on)
+
+
 def _bounds(queries: DataFrame, chosen: DataFrame, name: str) -> DataFrame:
     """``chosen``'s bound of each query of a block, in the block's order; a query without one gets an empty interval."""
 
     ids = F.udf(lambda data: np.frombuffer(data, np.int64).tolist(), "array<long>", useArrow=False)
     packed = F.udf(lambda pairs: np.array([v for _, v in sorted(pairs)], np.int64).tobytes(), "binary", useArrow=False)
     none = 2**62
-    each = queries.select("dim", "block", F.posexplode(ids("ids")).alias("at", "query_id")).join(chosen, "query_id", "left")
+    each = queries.select("dim", "block", F.posexplode(ids("ids")).alias("at", "query_id")).join(chosen.hint("merge"), "query_id", "left")
     return each.groupBy("dim", "block").agg(packed(F.collect_list(F.struct("at", F.coalesce(name, F.lit(none)).alias("v")))).alias(name))
